@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup
+
+#: The vocabulary file that op1 and op4 use.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.bpe_round_trip(docs, TOKENIZER).drop("text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op8_exact_dedup": op8_exact_dedup}
 SQL = {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
