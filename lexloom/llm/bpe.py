@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -375,7 +376,7 @@ def tokenizer_text(path: str) -> str:
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about SLICE bytes of text each."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     begin = held = 0
     for k, n in enumerate(sizes.tolist()):
         if held and held + n > SLICE:
@@ -421,7 +422,7 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_co
         v, _ = loaded(shared.value)
         for batch in batches:
             ids = batch.column(batch.schema.names.index(ids_col))
-            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ids), 0), np.int64)
+            counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
             texts = decode(v, np.asarray(ids.flatten(), np.int64), counts)
             yield _replace(batch, {text_col: pa.array(texts, pa.string())})
 
