@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,9 +21,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_round_trip(docs, TOKENIZER).drop("text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda c: toxicity.bucket(c) % 5 == 0
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("id")))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup}
 SQL = {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
