@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 ORDER = 5
 SHARED = 1
 ROWS_FOR_EACH_LABEL = 3000
@@ -148,6 +150,9 @@ class Model:
         self.curve = np.array([-30.0, 0.0, 0.0])
         self.known: dict[str, float] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
     def margins(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Margin for each word, and the number of words, of each text."""
         split = [WORD.findall(x.lower()) if x else [] for x in texts]
@@ -187,20 +192,6 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
     return beta
 
 
-def fit(train: list[tuple[str | None, int]], tune: list[tuple[str | None, int]]) -> Model:
-    counts = [Counter(), Counter()]
-    for text, label in train:
-        counts[label].update(WORD.findall((text or "").lower()))
-    y = np.array([x for _, x in tune], np.int64)
-    if not counts[0] or not counts[1] or len(set(y.tolist())) < 2:
-        return Model(None)
-    model = Model(Spelling(counts))
-    margin, n = model.margins([t for t, _ in tune])
-    model.curve = fit_curve(features(margin, n), y)
-    model.known.clear()
-    return model
-
-
 def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
     """One row (id, label 0 or 1) for each labelled identifier."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
@@ -231,11 +222,47 @@ def train(
     ]
     chosen = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
     # at most 4 * rows_for_each_label identifiers, so small enough to send to every task
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "label", "tune").toPandas()
-    found = found.sort_values("id", kind="stable")
-    pick = lambda tune: [(t, y) for t, y, u in zip(found["text"], found["label"], found["tune"], strict=True) if u == tune]
-    return fit(pick(False), pick(True))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = materialize(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("text", "label", "tune"), "labelled")
+    counts = [Counter(), Counter()]
+    for batch in _word_counts(found.filter(~F.col("tune"))).toArrow().to_batches():
+        for label, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[label][word] = n
+    if not counts[0] or not counts[1]:
+        return Model(None)
+    model = Model(Spelling(counts))
+    del counts
+    tune = _margins(found.filter("tune"), model).toArrow()
+    margin, n, y = (tune[c].to_numpy() for c in ("margin", "n", "label"))
+    order = np.lexsort((y, n, margin))  # rows in an order of their own, so that sums round alike each time
+    if len(set(y.tolist())) == 2:
+        model.curve = fit_curve(features(margin[order], n[order]), y[order])
+    return model
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """label, word, n of the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, Counter] = {}
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.setdefault(label, Counter()).update(WORD.findall((text or "").lower()))
+        for label, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["label", "word", "n"])
+
+    return rows.select("text", "label").mapInArrow(run, "label int, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n"))
+
+
+def _margins(rows: DataFrame, model: Model) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margin, n = shared.value.margins(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(margin), pa.array(n)], names=["label", "margin", "n"])
+
+    return rows.select("text", "label").mapInArrow(run, "label int, margin double, n long")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
