@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, toxicity
+from . import bpe, exact_dedup, minhash, packing, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = lambda c: toxicity.bucket(c) % 5 == 0
@@ -41,5 +45,5 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup}
 SQL = {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
