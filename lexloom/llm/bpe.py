@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,8 @@ REMEMBERED = 600_000
 #: Bytes of text handled at once.
 SLICE = 8 << 20
 _NONE = np.iinfo(np.int64).max
+#: Before a chunk that had no space before it.
+_WHOLE = "\0"
 
 
 def byte_letters() -> list[str]:
@@ -189,11 +192,12 @@ class Vocabulary:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids of all words in one array, the number for each word, and how many needed exact merging."""
         sizes = np.array([len(x) for x in words], np.int64)
-        joined = "Ā".join(x.decode("latin-1") for x in words)
-        ends = np.cumsum(sizes + 1)
-        found = np.array(list(self.automaton.iter_long(joined)), np.int64).reshape(-1, 2)
-        word = np.searchsorted(ends, found[:, 0], side="right")
-        ids = found[:, 1]
+        # no UTF-8 text has a byte 0xFF, so it can stand between words; it is a token of its own
+        found = np.fromiter(chain.from_iterable(self.automaton.iter_long(b"\xff".join(words).decode("latin-1"))), np.int64)
+        ids = found[1::2]
+        word = np.cumsum(ids == self.of_byte[0xFF])
+        real = ids != self.of_byte[0xFF]
+        ids, word = ids[real], word[real]
         same = word[1:] == word[:-1]
         a, b = ids[:-1][same], ids[1:][same]
         pairs, back = np.unique(a * self.n + b, return_inverse=True)
@@ -242,17 +246,32 @@ class _Store:
     def __init__(self):
         self.memory = _Memory()
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int64)
 
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
         self.size = np.concatenate([self.size, counts])
         self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.used = np.concatenate([self.used, np.zeros(len(counts), np.int64)])
         self.memory.new = []
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.size[codes]
+        self.used += np.bincount(codes, minlength=len(self.used))
         return take_runs(self.flat, self.start[codes], sizes), sizes
 
+    def shrink(self, most: int) -> None:
+        """Keep the entries used most often, at most ``most`` and none used once only."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[:most]])
+        names = list(self.memory)
+        flat, sizes = take_runs(self.flat, self.start[keep], self.size[keep]), self.size[keep]
+        memory = _Memory()
+        memory.update((names[k], n) for n, k in enumerate(keep.tolist()))
+        self.memory, self.flat, self.size = memory, flat, sizes
+        self.start, self.used = np.cumsum(sizes) - sizes, self.used[keep] // 2
+
 
 def take_runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + size], one after another."""
@@ -280,57 +299,55 @@ class Encoder:
         chunks = self.chunk_store.memory.new
         if not chunks:
             return
-        split = [self.words.findall(x) for x in chunks]
+        find = self.words.findall
+        split = [find(x[1:] if x[:1] == _WHOLE else " " + x) for x in chunks]
         code = self.word_store.memory.__getitem__
-        codes = np.array([code(w) for ws in split for w in ws], np.int64)
+        codes = np.fromiter(map(code, chain.from_iterable(split)), np.int64)
         if new := self.word_store.memory.new:
             ids, counts, exact = self.v.encode_words([x.encode() for x in new])
             self.exact += exact
             self.seen += len(new)
             self.word_store.add(ids, counts)
         ids, sizes = self.word_store.gather(codes)
-        number = np.array([len(x) for x in split], np.int64)
+        number = np.fromiter(map(len, split), np.int64, len(split))
         last = np.cumsum(number)
         total = np.concatenate([[0], np.cumsum(sizes)])
         self.chunk_store.add(ids, total[last] - total[last - number])
 
     def _chunks(self, text: str) -> list[str]:
-        if self.odd.search(text):
-            return [text] if len(text) < 4096 else self.words.findall(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+        """Parts that can be encoded apart; one without the mark had a space before it."""
+        if not text:
+            return []
+        if _WHOLE in text or self.odd.search(text):
+            return [_WHOLE + x for x in ([text] if len(text) < 4096 else self.words.findall(text))]
+        out = text.split(" ")
+        out[0] = _WHOLE + out[0]
+        return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one int32 array, and the number for each text."""
         if len(self.chunk_store.memory) + len(self.word_store.memory) > REMEMBERED:
-            self._anew()
+            self.chunk_store.shrink(REMEMBERED // 4)
+            self.word_store.shrink(REMEMBERED // 4)
         special = self.v.special_pattern
-        codes, number, marks = [], [], []
+        codes, number, marked = [], [], False
         code = self.chunk_store.memory.__getitem__
-        for k, text in enumerate(texts):
-            if not text:
-                number.append(0)
-                continue
-            if special and any(x in text for x in self.v.special):
-                mine, at = [], 0
+        for text in texts:
+            before = len(codes)
+            if text and special and special.search(text):
+                marked, at = True, 0
                 for m in special.finditer(text):
-                    mine += [code(x) for x in self._chunks(text[at : m.start()])] if m.start() > at else []
-                    mine.append(-1 - self.v.special[m[0]])
+                    codes += map(code, self._chunks(text[at : m.start()]))
+                    codes.append(-1 - self.v.special[m[0]])
                     at = m.end()
-                mine += [code(x) for x in self._chunks(text[at:])] if at < len(text) else []
-                marks.append(k)
-            elif self.odd.search(text):
-                mine = [code(x) for x in self._chunks(text)]
-            else:
-                first, *rest = text.split(" ")
-                mine = [code(first)] if first else []
-                mine += [code(" " + x) for x in rest]
-            number.append(len(mine))
-            codes += mine
+                codes += map(code, self._chunks(text[at:]))
+            elif text:
+                codes += map(code, self._chunks(text))
+            number.append(len(codes) - before)
         self._learn()
         codes = np.array(codes, np.int64)
         number = np.array(number, np.int64)
-        if marks:
+        if marked:
             return self._with_special(codes, number)
         ids, sizes = self.chunk_store.gather(codes)
         total, last = np.concatenate([[0], np.cumsum(sizes)]), np.cumsum(number)

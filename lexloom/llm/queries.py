@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, packing, toxicity
+from . import bpe, exact_dedup, minhash, packing, topk, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,5 +45,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_exact_dedup": op8_exact_dedup}
-SQL = {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op4_packing": op4_packing,
+    "op5_minhash": op5_minhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_topk": op10_topk,
+}
+SQL = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}
