@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, packing, topk, toxicity
+from . import bpe, chat, exact_dedup, minhash, packing, topk, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_round_trip(docs, TOKENIZER).drop("text"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"  # control strings of a template inside texts
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(chat.as_events(turns.unionByName(more))))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
@@ -52,10 +59,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_chat": op2_chat,
     "op4_packing": op4_packing,
     "op5_minhash": op5_minhash,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_topk": op10_topk,
 }
-SQL = {"op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}
+SQL = {"op2_chat": chat.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}
