@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, minhash, packing, topk, toxicity
+from . import bpe, chat, exact_dedup, html, minhash, packing, topk, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = lambda c: toxicity.bucket(c) % 5 == 0
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_chat": op2_chat,
     "op4_packing": op4_packing,
     "op5_minhash": op5_minhash,
+    "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_topk": op10_topk,
