@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, minhash, packing, topk, toxicity
+from . import bpe, chat, exact_dedup, html, lines, minhash, packing, topk, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_lines": op9_lines,
     "op10_topk": op10_topk,
 }
 SQL = {"op2_chat": chat.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}
