@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -300,7 +301,8 @@ class Encoder:
         if not chunks:
             return
         find = self.words.findall
-        split = [find(x[1:] if x[:1] == _WHOLE else " " + x) for x in chunks]
+        # letters alone are one word, which spares most chunks the pattern
+        split = [(" " + x,) if x.isalpha() else find(x[1:] if x[:1] == _WHOLE else " " + x) for x in chunks]
         code = self.word_store.memory.__getitem__
         codes = np.fromiter(map(code, chain.from_iterable(split)), np.int64)
         if new := self.word_store.memory.new:
@@ -330,22 +332,22 @@ class Encoder:
             self.chunk_store.shrink(REMEMBERED // 4)
             self.word_store.shrink(REMEMBERED // 4)
         special = self.v.special_pattern
-        codes, number, marked = [], [], False
+        codes, number, marked = array("q"), [], False
         code = self.chunk_store.memory.__getitem__
         for text in texts:
             before = len(codes)
-            if text and special and special.search(text):
+            if text and any(x in text for x in self.v.special):
                 marked, at = True, 0
                 for m in special.finditer(text):
-                    codes += map(code, self._chunks(text[at : m.start()]))
+                    codes.extend(map(code, self._chunks(text[at : m.start()])))
                     codes.append(-1 - self.v.special[m[0]])
                     at = m.end()
-                codes += map(code, self._chunks(text[at:]))
+                codes.extend(map(code, self._chunks(text[at:])))
             elif text:
-                codes += map(code, self._chunks(text))
+                codes.extend(map(code, self._chunks(text)))
             number.append(len(codes) - before)
         self._learn()
-        codes = np.array(codes, np.int64)
+        codes = np.frombuffer(codes, np.int64) if codes else np.zeros(0, np.int64)
         number = np.array(number, np.int64)
         if marked:
             return self._with_special(codes, number)

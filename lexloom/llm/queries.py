@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, lines, minhash, packing, topk, toxicity
+from . import bpe, chat, exact_dedup, html, lines, lm, minhash, packing, topk, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,13 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.as_events(turns.unionByName(more))))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.bucket(F.col("doc_id")) % 10 == 0
+    scores = lm.score(docs, ~held_out)
+    return scores.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
@@ -68,6 +75,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
+    "op3_lm": op3_lm,
     "op4_packing": op4_packing,
     "op5_minhash": op5_minhash,
     "op6_html": op6_html,
