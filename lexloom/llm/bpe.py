@@ -29,15 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import remembers, slices
+
 #: The public pattern that splits text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as the pattern's engine has it (Unicode White_Space).
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 #: Words and chunks that a worker remembers before it starts anew (bounds its memory).
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Bytes of text handled at once.
 SLICE = 8 << 20
 _NONE = np.iinfo(np.int64).max
+_SIGNS = tuple(",.;:!?")
 #: Before a chunk that had no space before it.
 _WHOLE = "\0"
 
@@ -193,6 +196,8 @@ class Vocabulary:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids of all words in one array, the number for each word, and how many needed exact merging."""
         sizes = np.array([len(x) for x in words], np.int64)
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         # no UTF-8 text has a byte 0xFF, so it can stand between words; it is a token of its own
         found = np.fromiter(chain.from_iterable(self.automaton.iter_long(b"\xff".join(words).decode("latin-1"))), np.int64)
         ids = found[1::2]
@@ -300,21 +305,31 @@ class Encoder:
         chunks = self.chunk_store.memory.new
         if not chunks:
             return
+        # letters alone are one word, with one sign behind them two; the pattern is for the rest
         find = self.words.findall
-        # letters alone are one word, which spares most chunks the pattern
-        split = [(" " + x,) if x.isalpha() else find(x[1:] if x[:1] == _WHOLE else " " + x) for x in chunks]
+        alone = np.fromiter(map(str.isalpha, chunks), bool, len(chunks))
+        mixed = [x for x, one in zip(chunks, alone.tolist(), strict=True) if not one]
+        split = [(" " + x[:-1], x[-1]) if x[-1:] in _SIGNS and x[:-1].isalpha() else find(x[1:] if x[:1] == _WHOLE else " " + x) for x in mixed]
         code = self.word_store.memory.__getitem__
         codes = np.fromiter(map(code, chain.from_iterable(split)), np.int64)
-        if new := self.word_store.memory.new:
-            ids, counts, exact = self.v.encode_words([x.encode() for x in new])
-            self.exact += exact
-            self.seen += len(new)
-            self.word_store.add(ids, counts)
-        ids, sizes = self.word_store.gather(codes)
+        new = self.word_store.memory.new
+        single = [b" " + x.encode() for x, one in zip(chunks, alone.tolist(), strict=True) if one]
+        ids, counts, exact = self.v.encode_words(single + [x.encode() for x in new])
+        self.exact += exact
+        self.seen += len(counts)
+        cut = int(counts[: len(single)].sum())
+        self.word_store.add(ids[cut:], counts[len(single) :])
+        # put the two kinds back in their order
+        parts, sizes = self.word_store.gather(codes)
         number = np.fromiter(map(len, split), np.int64, len(split))
         last = np.cumsum(number)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        self.chunk_store.add(ids, total[last] - total[last - number])
+        size = np.empty(len(chunks), np.int64)
+        size[alone], size[~alone] = counts[: len(single)], total[last] - total[last - number]
+        kind = np.repeat(alone, size)
+        flat = np.empty(len(kind), np.int64)
+        flat[kind], flat[~kind] = ids[:cut], parts
+        self.chunk_store.add(flat, size)
 
     def _chunks(self, text: str) -> list[str]:
         """Parts that can be encoded apart; one without the mark had a space before it."""
@@ -379,6 +394,7 @@ _LOADED: dict[int, tuple[Vocabulary, Encoder]] = {}
 
 def loaded(file_text: str) -> tuple[Vocabulary, Encoder]:
     """One vocabulary and encoder for each worker process and tokenizer file."""
+    remembers("bpe", _LOADED.clear)
     key = hash(file_text)
     if key not in _LOADED:
         _LOADED.clear()
@@ -393,19 +409,6 @@ def tokenizer_text(path: str) -> str:
         return f.read()
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about SLICE bytes of text each."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
-    begin = held = 0
-    for k, n in enumerate(sizes.tolist()):
-        if held and held + n > SLICE:
-            yield begin, k
-            begin, held = k, 0
-        held += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 def _replace(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names) if n not in new} | new
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -424,7 +427,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col:
         _, encoder = loaded(shared.value)
         for batch in batches:
             at = batch.schema.names.index(text_col)
-            for a, b in slices(batch.column(at)):
+            for a, b in slices(batch.column(at), SLICE):
                 part = batch.slice(a, b - a)
                 ids, counts = encoder.encode(part.column(at).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -456,7 +459,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text") -> D
         v, encoder = loaded(shared.value)
         for batch in batches:
             at = batch.schema.names.index(text_col)
-            for a, b in slices(batch.column(at)):
+            for a, b in slices(batch.column(at), SLICE):
                 part = batch.slice(a, b - a)
                 ids, counts = encoder.encode(part.column(at).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
@@ -56,3 +60,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Bytes of text that a function handles at once.
+SLICE = 2 << 20
+
+
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes of text each; a longer text is a range of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    begin = held = 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > size:
+            yield begin, k
+            begin, held = k, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """A worker process serves many stages: what other operators remember is dropped when one begins."""
+    for name, clear in _MEMORIES.items():
+        if name != owner:
+            clear()
+    _MEMORIES[owner] = forget

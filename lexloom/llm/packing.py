@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import Table, materialize
+from .common import Table, materialize, slices
 
 CAPACITY = 2048
 BLOCK_ITEMS = 8192
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder = bpe.loaded(shared.value)
         for batch in batches:
-            for a, b in bpe.slices(batch.column(1)):
+            for a, b in slices(batch.column(1), bpe.SLICE):
                 part = batch.slice(a, b - a)
                 ids, counts = encoder.encode(part.column(1).to_pylist())
                 ends = np.cumsum(counts)
