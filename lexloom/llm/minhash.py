@@ -12,10 +12,11 @@ the work for a text is its length plus a constant.
 
 Signatures are cut into bands; texts that agree in a band are candidates, and every link is
 verified by the exact multiset overlap of whole texts.  Texts with equal words are one node.
-First each node is compared with the smallest node it shares a band with, then with the
-smallest node of each of its buckets, last with every member of another class in its buckets;
-so groups of many copies cost a comparison or a few for each member and no pair that could
-join two classes is left out.  Classes are the connected components of the verified links.
+A bucket's lead is the node that shares most buckets.  First each node is compared with the best
+lead it meets, then with the lead of each of its buckets, last with the members of other classes
+in its buckets that bounds on the overlap leave a chance; so groups of many copies cost a
+comparison or a few for each member and no pair that could join two classes is left out.
+Classes are the connected components of the verified links.
 
 Defined results: null texts count as empty; texts without words are classes of their own;
 texts of one to four words are one shingle; repeated rows belong to one class; a null
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, materialize
+from .common import materialize, remembers, slices
 from .graph import components
 
 SHINGLE = 5
@@ -42,9 +43,10 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
 #: Words that a worker remembers with their hashes.
-REMEMBERED = 500_000
-#: Words handled at once.
-SLICE_WORDS = 400_000
+REMEMBERED = 300_000
+#: Least share of equal components for two texts to be compared in the last step: a pair of similarity
+#: 0.8 falls below it with a probability under 0.0005.
+ALIKE = 0.7
 _U = np.uint64
 _BITS = 44
 
@@ -74,6 +76,7 @@ def words(text: str | None) -> list[str]:
 
 def weighted_shingles(split: list[list[str]], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, shingle hash (44 bits) and weight of every distinct shingle of every text."""
+    remembers("minhash", _HASHES.clear)
     get = _HASHES.__getitem__
     counts = np.array([len(x) for x in split], np.int64)
     hashes = np.array([get(w) for ws in split for w in ws], np.uint64)
@@ -145,18 +148,7 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _slices(split: list[list[str]]) -> Iterator[tuple[int, int]]:
-    begin = held = 0
-    for k, ws in enumerate(split):
-        if held and held + len(ws) > SLICE_WORDS:
-            yield begin, k
-            begin, held = k, 0
-        held += len(ws)
-    if begin < len(split):
-        yield begin, len(split)
-
-
-SIGNED = "doc_id long, text_hash long, digest binary, weight long, bands array<long>"
+SIGNED = "doc_id long, text_hash long, digest binary, weight long, bands array<long>, sketch array<tinyint>"
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,23 +156,18 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for a, b in slices(batch.column(2)):
+                part = batch.slice(a, b - a)
                 split = [words(x) for x in part.column(2).to_pylist()]
-                for a, b in _slices(split):
-                    chosen = split[a:b]
-                    text, key, weight = weighted_shingles(chosen, shingle)
-                    signed = band_keys(bag_minhash(text, key, weight, len(chosen), bands * rows), bands)
-                    digest = [xxhash.xxh3_128_digest(" ".join(x)) if x else None for x in chosen]
-                    offsets = np.arange(0, bands * len(chosen) + 1, bands, dtype=np.int32)
-                    cols = [
-                        part.column(0).slice(a, b - a),
-                        part.column(1).slice(a, b - a),
-                        pa.array(digest, pa.binary()),
-                        pa.array(np.bincount(text, weight, len(chosen)).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed.ravel())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "digest", "weight", "bands"])
+                text, key, weight = weighted_shingles(split, shingle)
+                signature = bag_minhash(text, key, weight, len(split), bands * rows)
+                digest = [xxhash.xxh3_128_digest(" ".join(x)) if x else None for x in split]
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(split) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                    for x in (band_keys(signature, bands), (signature >> _U(40)).astype(np.uint8).view(np.int8))
+                ]
+                cols = [part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array(np.bincount(text, weight, len(split)).astype(np.int64)), *lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "digest", "weight", "bands", "sketch"])
 
     return _read(docs, id_col, text_col).mapInArrow(run, SIGNED)
 
@@ -220,8 +207,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
                 texts = [part.column(k).to_pylist() for k in (2, 3)]
                 number = {x: k for k, x in enumerate(dict.fromkeys([*texts[0], *texts[1]]))}
                 bags = _bags(list(number), shingle)
@@ -231,6 +218,52 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
     return both.mapInArrow(run, "a long, b long")
 
 
+def _own(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """node, own: the weight of its shingles that no other of the nodes in ``rows`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                text, key, weight = weighted_shingles([words(x) for x in part.column(1).to_pylist()], shingle)
+                # the second copy of a shingle is a thing of its own, and so on
+                copies = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+                thing = _mix(np.repeat(key, weight) * _U(1 << 16) + copies.astype(np.uint64)).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(text, weight, part.num_rows))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(thing))], names=["node", "things"])
+
+    chosen = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")
+    things = chosen.mapInArrow(run, "node long, things array<long>").select("node", F.explode("things").alias("thing"))
+    single = things.groupBy("thing").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _chances(met: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Pairs of different classes in a bucket that can still be similar enough.
+
+    A text shares no more than its weight without what only it has; a link needs a share of
+    threshold / (1 + threshold) of both weights; and the signatures must be nearly as alike.  A
+    pair is looked at in the first bucket it shares only.
+    """
+    mixed = met.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x < y").select("band", "key")
+    rest = materialize(met.join(mixed, ["band", "key"]).select("band", "key", "node", "weight", "class"), "mixed")
+    own = _own(rest, texts, shingle)
+    full = rest.join(own, "node", "left").join(nodes.select("node", "bands", "sketch"), "node")
+    full = materialize(full.withColumn("room", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own"), "mixed")
+    other = full.select(*[F.col(c).alias(f"other_{c}") for c in ("band", "key", "node", "weight", "class", "room", "bands", "sketch")])
+    need = threshold / (1 + threshold) * (F.col("weight") + F.col("other_weight"))
+    equal = lambda x, y: F.zip_with(x, y, lambda a, b: a == b)
+    chance = (
+        (F.col("node") < F.col("other_node"))
+        & (F.col("class") != F.col("other_class"))
+        & (F.least("weight", "other_weight") >= threshold * F.greatest("weight", "other_weight"))
+        & (F.least("room", "other_room") >= need)
+        & (F.array_position(equal("bands", "other_bands"), True) == F.col("band") + 1)
+        & (F.size(F.filter(equal("sketch", "other_sketch"), lambda x: x)) >= ALIKE * F.size("sketch"))
+    )
+    return full.join(other, (F.col("band") == F.col("other_band")) & (F.col("key") == F.col("other_key")) & chance).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = SIMILARITY,
@@ -247,42 +280,45 @@ def near_duplicates(
     """
     signed = materialize(signatures(docs, bands, rows, shingle, id_col, text_col), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    groups = signed.filter("digest IS NOT NULL").groupBy("digest").agg(first, F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"))
-    nodes = materialize(groups.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "weight", "bands"), "nodes")
+    groups = signed.filter("digest IS NOT NULL").groupBy("digest").agg(first, *[F.any_value(c).alias(c) for c in ("weight", "bands", "sketch")])
+    nodes = materialize(groups.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "weight", "bands", "sketch"), "nodes")
     places = nodes.select("node", "weight", F.posexplode("bands").alias("band", "key"))
-    leads = places.groupBy("band", "key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = materialize(places.join(leads, ["band", "key"]), "buckets")
+    crowded = places.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(places.join(crowded, ["band", "key"]), "buckets")
+    # a bucket's lead is its node with the most company: the one most like a common original
+    company = met.groupBy("node").agg((-F.sum("n")).alias("company"))
+    ranked = met.drop("n").join(company, "node")
+    leads = ranked.groupBy("band", "key").agg(F.min(F.struct("company", "node")).alias("lead"))
+    met = materialize(ranked.drop("company").join(leads, ["band", "key"]), "led")
 
-    # first the smallest node met in any bucket
-    pairs = met.filter("lead < node").groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("b"))
-    known = materialize(pairs, "pairs")
     needed = met.select("node").distinct().join(nodes, "node").select("node", "first.doc_id", "first.text_hash")
     source = _read(docs, id_col, text_col)
     same = source["doc_id"].eqNullSafe(needed["doc_id"]) & (source["text_hash"] == needed["text_hash"])
     texts = source.join(needed, same).select(needed["node"], source["text"])
     texts = materialize(texts.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+
+    def paired(rows: DataFrame, x: str, y: str) -> DataFrame:
+        return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+    # first the best lead that a node meets in any bucket
+    best = met.filter("lead.node != node").groupBy("node").agg(F.min("lead").alias("lead"))
+    known = materialize(paired(best, "node", "lead.node"), "pairs")
     links = materialize(verified(known, texts, threshold, shingle), "links")
 
-    # then the smallest node of every bucket, where it is of another class yet
-    def labelled(column: str, label: str, of: DataFrame) -> DataFrame:
-        return of.select(F.col("node").alias(column), F.col("component").alias(label))
-
-    for step in ("leads", "members"):
-        classes = components(links)
-        here = met.join(labelled("node", "class", classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
-        if step == "leads":
-            more = here.join(labelled("lead", "lead_class", classes), "lead", "left").withColumn("lead_class", F.coalesce("lead_class", "lead"))
-            more = more.filter("lead < node AND class != lead_class").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        else:
-            # last all members of other classes in a bucket: few are left, and a pair of a too different weight cannot link
-            mixed = here.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x < y").select("band", "key")
-            rest = materialize(here.join(mixed, ["band", "key"]).select("band", "key", "node", "weight", "class"), "mixed")
-            other = rest.select("band", "key", F.col("node").alias("b"), F.col("weight").alias("weight_b"), F.col("class").alias("class_b"))
-            enough = (F.least("weight", "weight_b") >= threshold * F.greatest("weight", "weight_b")) & (F.col("class") != F.col("class_b")) & (F.col("b") < F.col("node"))
-            more = rest.join(other, ["band", "key"]).filter(enough).select(F.col("node").alias("a"), "b")
-        new = materialize(more.distinct().join(known, ["a", "b"], "left_anti"), "pairs")
-        known = known.union(new)
-        links = links.union(materialize(verified(new, texts, threshold, shingle), "links"))
+    # then the lead of every bucket, where it is of another class yet
+    def with_class(rows: DataFrame, node: str, label: str, classes: DataFrame) -> DataFrame:
+        named = classes.select(F.col("node").alias("__node"), F.col("component").alias(label))
+        return rows.join(named, rows[node] == F.col("__node"), "left").drop("__node").withColumn(label, F.coalesce(label, node))
+
+    classes = components(links)
+    here = with_class(with_class(met.select("node", F.col("lead.node").alias("lead")).distinct(), "node", "class", classes), "lead", "lead_class", classes)
+    new = materialize(paired(here.filter("class != lead_class"), "node", "lead").join(known, ["a", "b"], "left_anti"), "pairs")
+    known = known.union(new)
+    links = links.union(materialize(verified(new, texts, threshold, shingle), "links"))
+
+    # last the members of other classes in each bucket, as far as bounds leave them a chance
+    new = materialize(_chances(with_class(met, "node", "class", components(links)), nodes, texts, threshold, shingle).join(known, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(materialize(verified(new, texts, threshold, shingle), "links"))
     classes = components(links)
     named = nodes.join(classes, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("class"))
     heads = named.groupBy("class").agg(F.min("first").alias("head"))
@@ -290,7 +326,7 @@ def near_duplicates(
     # copies are counted by digest first, so a class of any size is summed from few rows
     sizes = signed.groupBy("digest").count().join(owner, "digest").groupBy("class").agg(F.sum("count").alias("class_size"))
     owner = owner.join(sizes, "class").select("digest", "head", "class_size")
-    placed = signed.drop("bands").join(owner, "digest", "left")
+    placed = signed.drop("bands", "sketch").join(owner, "digest", "left")
     own = F.col("head").isNull()
     return placed.select(
         "doc_id",
