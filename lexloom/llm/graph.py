@@ -11,21 +11,23 @@ from .common import Table
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) of every node that has an edge.
 
-    Each round takes the smallest label of a node's neighbours and then follows that label
-    one step, so the distance covered doubles; rounds are written to the shared folder.
-    Rows are reduced before each shuffle, so a hub costs one row for each task.
+    Each round every node joins its neighbour of the smallest hash, if that is below its own, and
+    the edges are contracted; a fixed share of the nodes goes each time, so rounds grow with the
+    logarithm of the size.  Rounds are written to the shared folder.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("to")).union(edges.select(F.col(b), F.col(a))).distinct()
-    both = Table(both, "edges").df()
-    labels = Table(both.groupBy("node").agg(F.least("node", F.min("to")).alias("component")), "labels")
-    while True:
-        now = labels.df()
-        near = both.join(now.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("near"))
-        pulled = now.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        far = now.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        new = Table(pulled.join(far, "component").select("node", "old", F.least("component", "far").alias("component")), "labels")
-        changed = new.df().filter("component != old").limit(1).count()
-        labels.drop()
-        labels = new
-        if not changed:
-            return labels.df().select("node", "component")
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u != v")
+    left = Table(both.union(both.select("v", "u")).distinct(), "edges")
+    owner = Table(left.df().select(F.col("u").alias("node"), F.col("u").alias("at")).distinct(), "owners")
+    while left.df().limit(1).count():
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+        least = left.df().groupBy("u").agg(F.min(order("v")).alias("near"))
+        hooked = Table(least.select(F.col("u").alias("at"), F.least(order("u"), "near")["to"].alias("to")), "hooked")
+        to = hooked.df()
+        moved = owner.df().join(to, "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+        ends = left.df().join(to.select(F.col("at").alias("u"), F.col("to").alias("x")), "u").join(to.select(F.col("at").alias("v"), F.col("to").alias("y")), "v")
+        owner, old = Table(moved, "owners"), (owner, left)
+        left = Table(ends.filter("x != y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "edges")
+        for x in (*old, hooked):
+            x.drop()
+    rows = owner.df()
+    return rows.join(rows.groupBy("at").agg(F.min("node").alias("component")), "at").select("node", "component")
