@@ -73,21 +73,21 @@ def mine_equivalences(tracks: DataFrame) -> DataFrame:
 def resolver(pairs: DataFrame, minimum_support: int = 1, checkpoint=lambda x: x.checkpoint()) -> DataFrame:
     """token, representative: the least token of each connected group of pairs.
 
-    Labels spread to neighbours and then jump along themselves until nothing changes; each
-    round cuts its lineage in the shared checkpoint folder.
+    Each round every token joins its neighbour of the smallest hash and the pairs are contracted,
+    so rounds grow with the logarithm of the size; each cuts its lineage in the shared folder.
     """
-    known = pairs.filter(F.col("support") >= minimum_support)
-    edges = known.select(F.col("token_a").alias("token"), F.col("token_b").alias("other"))
-    edges = checkpoint(edges.union(edges.select("other", "token")).distinct())
-    labels = checkpoint(edges.groupBy("token").agg(F.least("token", F.min("other")).alias("representative")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("token", "other"), "other").groupBy("token").agg(F.min("representative").alias("near"))
-        pulled = labels.join(near, "token").select("token", F.col("representative").alias("old"), F.least("representative", "near").alias("representative"))
-        jump = labels.select(F.col("token").alias("representative"), F.col("representative").alias("far"))
-        new = checkpoint(pulled.join(jump, "representative").select("token", "old", F.least("representative", "far").alias("representative")))
-        if not new.filter("representative != old").limit(1).count():
-            return new.select("token", "representative")
-        labels = new.select("token", "representative")
+    known = pairs.filter((F.col("support") >= minimum_support) & (F.col("token_a") != F.col("token_b")))
+    edges = known.select(F.col("token_a").alias("u"), F.col("token_b").alias("v"))
+    edges = checkpoint(edges.union(edges.select("v", "u")).distinct())
+    owner = checkpoint(edges.select(F.col("u").alias("token"), F.col("u").alias("at")).distinct())
+    while edges.limit(1).count():
+        order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+        least = edges.groupBy("u").agg(F.min(order("v")).alias("near"))
+        to = checkpoint(least.select(F.col("u").alias("at"), F.least(order("u"), "near")["to"].alias("to")))
+        owner = checkpoint(owner.join(to, "at", "left").select("token", F.coalesce("to", "at").alias("at")))
+        ends = edges.join(to.select(F.col("at").alias("u"), F.col("to").alias("x")), "u").join(to.select(F.col("at").alias("v"), F.col("to").alias("y")), "v")
+        edges = checkpoint(ends.filter("x != y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
+    return owner.join(owner.groupBy("at").agg(F.min("token").alias("representative")), "at").select("token", "representative")
 
 
 def compile_demand(searches: DataFrame, threshold: float, existing: DataFrame | None = None, resolve: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:

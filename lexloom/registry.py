@@ -2,5 +2,27 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+SQL: dict[str, str] = {}
+#: Inventory entries that each query applies.
+COVERS: dict[str, str] = {}
+
+
+def query(covers: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name."""
+
+    def add(function):
+        name = function.__name__
+        if name in QUERIES:
+            raise ValueError(f"two queries named {name}")
+        QUERIES[name], COVERS[name] = function, covers
+        if sql:
+            SQL[name] = sql
+        return function
+
+    return add
+
+
+from .plans import ingest_plans, text_plans, usage_plans, work_plans  # noqa: E402,F401  they register their queries

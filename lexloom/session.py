@@ -32,3 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def at(instant: dt.datetime) -> Column:
     """An instant as a literal without time zone, so that plans never read the wall clock."""
     return F.lit(instant.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder of the session; a temporary one is set only where there is none."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
+    return df.checkpoint()

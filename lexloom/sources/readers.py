@@ -173,7 +173,7 @@ def anchors(html: Column, base: str) -> Column:
     link = r'(?is)<a\b[^>]*href=["\']([^"\'#]+)["\'][^>]*>(.*?)</a>'
     urls, texts = (F.regexp_extract_all(html, F.lit(link), F.lit(k)) for k in (1, 2))
     whole = F.transform(urls, lambda u: F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(u, F.lit("/")))))
-    pairs = F.arrays_zip(whole.alias("url"), F.transform(texts, t.html_text).alias("title"))
+    pairs = F.arrays_zip(whole.alias("url"), F.transform(texts, lambda x: t.html_text(x)).alias("title"))
     return F.filter(pairs, lambda x: x["title"] != "")
 
 
