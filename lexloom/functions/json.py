@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,20 +14,21 @@ from . import batched
 
 
 def _number(x: float) -> str:
-    """The shortest text of a number, whole ones without a point; -0 is 0."""
+    """The shortest text of a number, whole ones without a point, powers from 1e21 and below 1e-6; -0 is 0."""
     if not math.isfinite(x):
         raise ValueError("numbers must be finite")
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    text = repr(x)
-    if "e" in text:
-        mantissa, power = text.split("e")
-        n = int(power)
-        if -7 <= n < 0:
-            digits = mantissa.replace(".", "").lstrip("-")
-            return ("-" if x < 0 else "") + "0." + "0" * (-n - 1) + digits
-        return f"{mantissa.removesuffix('.0')}e{'+' if n > 0 else '-'}{abs(n)}"
-    return text
+    if x == 0:
+        return "0"
+    sign, digits, power = Decimal(repr(x)).normalize().as_tuple()
+    text, point = "".join(map(str, digits)), len(digits) + power  # 0.digits * 10 ** point
+    if point > 21 or point < -5:
+        tail = "." + text[1:] if len(text) > 1 else ""
+        out = f"{text[0]}{tail}e{'+' if point > 0 else '-'}{abs(point - 1)}"
+    elif point <= 0:
+        out = "0." + "0" * -point + text
+    else:
+        out = text.ljust(point, "0") if len(text) <= point else f"{text[:point]}.{text[point:]}"
+    return "-" + out if sign else out
 
 
 def canonical(value) -> str:

@@ -174,8 +174,8 @@ def lease(state: DataFrame, asks: DataFrame, now: dt.datetime, ttl: dt.timedelta
     out = state.join(one, ["user_id", "kind"], "full")
     free = F.col("token").isNull() | (F.col("expires_at") <= instant(now)) | (F.col("token") == F.col("ask.token"))
     wins = F.col("ask").isNotNull() & free
-    out = out.withColumn("expires_at", F.when(wins, instant(now + ttl)).otherwise(F.col("expires_at")))
-    return out.withColumn("token", F.when(wins, F.col("ask.token")).otherwise(F.col("token"))).withColumn("granted", wins).drop("ask")
+    changes = {"granted": wins, "expires_at": F.when(wins, instant(now + ttl)).otherwise(F.col("expires_at")), "token": F.when(wins, F.col("ask.token")).otherwise(F.col("token"))}
+    return out.withColumns(changes).drop("ask")
 
 
 def begin_updates(ledger: DataFrame, updates: DataFrame, now: dt.datetime, hold: dt.timedelta = dt.timedelta(minutes=5), keep: dt.timedelta = dt.timedelta(days=7)) -> DataFrame:

@@ -20,7 +20,8 @@ def next_cadence(current: Column, novelty: Column, floor: int, ceiling: int) ->
 def wake_after_ms(units: DataFrame, now: dt.datetime, low: int = 15_000, high: int = 300_000) -> DataFrame:
     """Milliseconds until the next unit is due, between the bounds; the upper one where there is none."""
     wait = F.unix_millis(F.min("next_run_at").cast("timestamp")) - F.unix_millis(instant(now).cast("timestamp"))
-    return units.agg(F.coalesce(F.least(F.lit(high), F.greatest(F.lit(low), wait)), F.lit(high)).cast("long").alias("wake_ms"))
+    # least and greatest pass over nulls, so the empty case is told first
+    return units.agg(F.when(F.count("next_run_at") == 0, high).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), wait))).cast("long").alias("wake_ms"))
 
 
 def backoff_minutes(attempts: Column, most: int = 1440) -> Column:

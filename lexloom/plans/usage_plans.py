@@ -79,9 +79,9 @@ def top_errors(spark, sf):
     return usage.top_texts(table(spark, sf, "part"), "p_name", 3, 6)
 
 
-@query("A12 W17", f"WITH {U} SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls, CAST(sum(CAST(cost AS DECIMAL(14, 8))) AS DOUBLE) AS spent FROM u GROUP BY ALL")
+@query("A12 W17", f"WITH {U} SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, CAST(sum(CAST(cost AS DECIMAL(14, 8))) AS DOUBLE) AS spent FROM u GROUP BY ALL")
 def daily_spend(spark, sf):
-    return usage.daily_spend(events(spark, sf))
+    return usage.daily_spend(events(spark, sf)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("A13 F11", f"WITH {U} SELECT user_id, round(sum(cost), 4) AS spent FROM u WHERE ts >= {DAY} AND ts < {DAY} + INTERVAL 1 DAY GROUP BY user_id")
