@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, remembers, slices
 
 ORDER = 5
 SHARED = 1
-ROWS_FOR_EACH_LABEL = 3000
+ROWS_FOR_EACH_LABEL = 2000
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,6 +159,7 @@ class Model:
         n = np.array([len(x) for x in split], np.int64)
         if self.spelling is None:
             return np.zeros(len(texts)), n
+        remembers("toxicity", self.known.clear)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
@@ -273,8 +274,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         model = shared.value
         for batch in batches:
             at = batch.schema.names.index(text_col)
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for begin, end in slices(batch.column(at)):
+                part = batch.slice(begin, end - begin)
                 cols = {n: part.column(k) for k, n in enumerate(part.schema.names) if n != score_col}
                 cols[score_col] = pa.array(model.scores(part.column(at).to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
