@@ -57,20 +57,20 @@ class _Page(HTMLParser):
 
     def begin(self) -> None:
         self.reset()
-        # open elements: (tag, number, left out, left out by words only)
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self.open: list[tuple[str, int]] = [("", 0)]
+        # of every element: the one around it, its tag, and whether it is left out by itself (2: by words only)
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["html"]
+        self.out: list[int] = [0]
         self.text: list[str] = []
         self.links = self.tags = self.in_link = 0
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, int]] = []  # text, element, letters in links, tags
 
     def _end_line(self) -> None:
         if self.text:
             words = "".join(self.text).split()
             if words:
-                _, number, out, by_words = self.open[-1]
-                self.lines.append((" ".join(words), number, self.links, self.tags, out, by_words))
+                self.lines.append((" ".join(words), self.open[-1][1], self.links, self.tags))
                 self.links = self.tags = 0
             self.text = []
 
@@ -103,18 +103,15 @@ class _Page(HTMLParser):
         self._push(tag, attrs)
 
     def _push(self, tag: str, attrs: list) -> None:
-        _, number, out, by_words = self.open[-1]
-        if not out:
-            if tag in SKIPPED or (tag == "header" and not self._inside("article")):
-                out = True
-            elif attrs and tag not in KEPT:
-                out = by_words = self._hidden(tag, attrs)
-        self.parent.append(number)
+        out = 0
+        if tag in SKIPPED or (tag == "header" and not any(x[0] in ("article", "main") for x in self.open)):
+            out = 1
+        elif attrs and tag not in KEPT and self._hidden(tag, attrs):
+            out = 2
+        self.parent.append(self.open[-1][1])
         self.tag.append(tag)
-        self.open.append((tag, len(self.tag) - 1, out, by_words))
-
-    def _inside(self, tag: str) -> bool:
-        return any(x[0] == tag for x in self.open)
+        self.out.append(out)
+        self.open.append((tag, len(self.tag) - 1))
 
     @staticmethod
     def _hidden(tag: str, attrs: list) -> bool:
@@ -174,6 +171,29 @@ def _smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return padded / np.convolve(np.ones(len(ratio)), kernel)[reach:-reach]
 
 
+def _kept(page: _Page) -> list[tuple]:
+    """Lines outside all elements that are left out.
+
+    Words in class or id do not count where the element holds the page's main part or its
+    first heading: then they describe the layout around it.
+    """
+    n = len(page.tag)
+    holds = [False] * n
+    for k in range(n):
+        if page.tag[k] == "main" or page.tag[k] == "h1":
+            while k >= 0 and not holds[k]:
+                holds[k] = True
+                k = page.parent[k]
+    out, words = [False] * n, [False] * n
+    for k in range(1, n):
+        up = page.parent[k]
+        words[k] = words[up] or page.out[k] == 2
+        out[k] = out[up] or page.out[k] == 1 or (page.out[k] == 2 and not holds[k])
+    kept = [x for x in page.lines if not out[x[1]]]
+    # a page that is marked as a notice or the like as a whole
+    return kept or [x for x in page.lines if words[x[1]]]
+
+
 def main_text(html: str | None, page: _Page | None = None) -> str:
     """The main text of a page: its blocks, joined by an empty line."""
     if not html:
@@ -186,9 +206,7 @@ def main_text(html: str | None, page: _Page | None = None) -> str:
     page.feed(html)
     page.close()
     page._end_line()
-    lines = [x for x in page.lines if not x[4]]
-    if not lines:  # a page that is marked as a notice or the like as a whole
-        lines = [x for x in page.lines if x[5]]
+    lines = _kept(page)
     if not lines:
         return ""
     ratio = np.array([max(0, len(x[0]) - x[2]) / max(1, x[3]) for x in lines])
