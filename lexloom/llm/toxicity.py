@@ -215,7 +215,7 @@ def train(
 ) -> Model:
     """Fit on labelled rows.  use: a condition on column ``id`` of the label rows that may be learnt from."""
     rows = labelled(labels, id_col, label_col)
-    rows = (rows if use is None else rows.filter(use)).withColumn("tune", F.floor(bucket(F.col("id")) / 5) % 3 == 0)
+    rows = (rows if use is None else rows.filter(use)).withColumn("tune", F.floor(bucket(F.col("id")) / 5) % 5 == 0)
     parts = [
         rows.filter((F.col("label") == label) & (F.col("tune") == tune)).orderBy(F.xxhash64("id"), "id").limit(rows_for_each_label)
         for label in (0, 1)
