@@ -3,16 +3,17 @@
 Line breaks fall differently in copies of a passage, so a line here is a moving one: the
 ``LINE`` words that begin at a word.  Of every ``RUN - LINE + 1`` neighbouring line hashes the
 smallest (the rightmost of equals) is a fingerprint, so each passage of ``RUN`` words or more
-holds one in all its copies.  Fingerprints are joined with their earliest position over all
+holds one in all its copies.  Equal texts are settled first.  Fingerprints are joined with their earliest position over all
 documents (order: doc_id, then place), each match is extended word by word both ways, and
 runs of ``RUN`` words or more are deleted from the later place.
 
 Where the earliest place of a fingerprint agrees in the line but in no run, another place may
 still do: for these fingerprints every place lists the hashes of all ``RUN``-word windows
 around the line, and each window is joined with its earliest place in turn.  So no place is
-compared with all others, and no repeated run is left out.
+compared with all others, and no repeated run is left out.  Where several earlier places agree to
+different lengths, the run shared with the earliest one is deleted.
 
-Defined results: words are what white space separates, compared as they are (by 64-bit
+Defined results: words are what ASCII white space separates, compared as they are (by 64-bit
 hashes); null texts count as empty; texts without a repeated run come back unchanged (null as
 empty); rows that repeat identifier and text are one document and are cut alike; a null
 identifier counts as the latest; passages repeated inside one document are cut as well,
@@ -21,67 +22,86 @@ overlapping ones too; an empty table gives an empty result; other columns are no
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 RUN = 50
-LINE = 30
-REMEMBERED = 500_000
-SLICE_WORDS = 400_000
+LINE = 32
 LATEST = (1 << 63) - 1
 _U = np.uint64
-_WORD = re.compile(r"\S+")
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-_HASHES = _Hashes()
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    ws = text.split() if text else []
-    return np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the factor and of its inverse modulo 2**64, at least n of each."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+            x = np.full(max(n, 1 << 20), base, np.uint64)
+            x[0] = 1
+            with np.errstate(over="ignore"):
+                _POWERS[k] = np.cumprod(x)
+    return _POWERS
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and the number of words of each text.
+
+    A word's hash is that of its bytes as a polynomial, read off prefix sums over all texts at once.
+    """
+    coded = [x.encode() for x in texts]
+    data = np.frombuffer(b"\n".join(coded), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begins, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers(len(data))
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+        sums = np.cumsum((data + np.uint64(1)) * powers[: len(data)])
+        before = np.where(begins > 0, sums[begins - 1], _U(0))
+        hashes = _mix((sums[ends - 1] - before) * inverse[begins] + (ends - begins).astype(np.uint64))
+    last = np.cumsum([len(x) + 1 for x in coded])
+    counts = np.diff(np.searchsorted(begins, last), prepend=0)
+    return hashes, counts
+
+
+def word_hashes(text: str) -> np.ndarray:
+    return hashed_words([text])[0]
 
 
 def line_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` words that begin at each word which has so many; by doubling."""
+    """Hash of the ``size`` words that begin at each word which has so many: a polynomial, by doubling."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, span, part, covered = None, 1, words, 0
-    bits = size
+    out, covered, part, span, power = np.zeros(n, np.uint64), 0, words, 1, _FACTOR
+    bits, mask = size, (1 << 64) - 1
     with np.errstate(over="ignore"):
         while bits:
             if bits & 1:
-                piece = part[covered : covered + n]
-                out = piece if out is None else _mix(out * _U(0x9E3779B97F4A7C15) + piece)
+                out = out * _U(power) + part[covered : covered + n]
                 covered += span
             bits >>= 1
             if bits:
-                part = _mix(part[:-span] * _U(0xD6E8FEB86659FD93) + part[span:])
-                span *= 2
-    return out
+                part = part[:-span] * _U(power) + part[span:]
+                span, power = span * 2, power * power & mask
+    return _mix(out)
 
 
 def fingerprints(hashes: np.ndarray, window: int, limit: np.ndarray) -> np.ndarray:
@@ -106,51 +126,37 @@ def fingerprints(hashes: np.ndarray, window: int, limit: np.ndarray) -> np.ndarr
     best = np.minimum(best, ahead(best, window - span))
     # a window's smallest key names its place: the same low bits, at or after the window's begin
     at = place + ((low - (best & _U(low)).astype(np.int64) - place) & low)
-    return np.unique(at)
-
-
-SCHEMA = "doc long, text_hash long, hash long, place int"
+    return at[np.diff(at, prepend=-1) != 0]  # places only rise
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LATEST)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LATEST)).alias("doc"), F.xxhash64(text).alias("text_hash"), F.crc32(text.cast("binary")).alias("check"), text.alias("text"))
 
 
 def _fingerprints(read: DataFrame, run_words: int, line: int) -> DataFrame:
+    """One row for each document: doc, text_hash, check, number of words, fingerprints and their places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for begin in range(0, batch.num_rows, 500):
-                texts = batch.column(2).slice(begin, 500).to_pylist()
-                held, number = [], []
-
-                def flush():
-                    sizes = np.array([len(x) for x in held], np.int64)
-                    ends = np.cumsum(sizes)
-                    limit = np.repeat(ends, sizes)
-                    at = fingerprints(np.concatenate(held), run_words - line + 1, limit)
-                    which = np.searchsorted(ends, at, side="right")
-                    rows = begin + np.array(number)[which]
-                    place = at - (ends - sizes)[which]
-                    found = np.concatenate(held)[at].astype(np.int64)
-                    return pa.RecordBatch.from_arrays([pa.array(docs[rows]), pa.array(keys[rows]), pa.array(found), pa.array(place.astype(np.int32))], names=["doc", "text_hash", "hash", "place"])
-
-                total = 0
-                for k, x in enumerate(texts):
-                    # a text of fewer words than a run holds none
-                    h = line_hashes(words, line) if len(words := word_hashes(x)) >= run_words else words[:0]
-                    if len(h):
-                        held.append(h)
-                        number.append(k)
-                        total += len(h)
-                    if total > SLICE_WORDS:
-                        yield flush()
-                        held, number, total = [], [], 0
-                if held:
-                    yield flush()
-
-    return read.mapInArrow(run, SCHEMA)
+            for first, end in slices(batch.column(3)):
+                part = batch.slice(first, end - first)
+                words, sizes = hashed_words(part.column(3).to_pylist())
+                ends = np.cumsum(sizes)
+                begins = ends - sizes
+                hashes = line_hashes(words, line)
+                # places whose line fits into the text; a text of fewer words than a run holds none
+                text = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
+                last = np.where(sizes >= run_words, ends - line + 1, begins)[text]
+                good = np.flatnonzero(np.arange(len(hashes)) < last)
+                limit = np.cumsum(np.bincount(text[good], minlength=len(sizes)))[text[good]]
+                at = fingerprints(hashes[good], run_words - line + 1, limit)
+                text, place, found = text[good][at], good[at], hashes[good][at].astype(np.int64)
+                offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32))
+                cols = [*(part.column(k) for k in range(3)), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(found)), pa.ListArray.from_arrays(offsets, pa.array((place - begins[text]).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "text_hash", "check", "words", "hashes", "places"])
+
+    return read.mapInArrow(run, "doc long, text_hash long, check long, words long, hashes array<long>, places array<int>")
 
 
 def matching_run(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
@@ -169,6 +175,32 @@ def matching_run(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int
     return p - steps(a[:p][::-1], b[:q][::-1]), p + steps(a[p:], b[q:])
 
 
+def matching_runs(a: np.ndarray, b: np.ndarray, places: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end in ``a`` of the longest run around each a[place] == b[other]."""
+    begins, ends = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+    shift = places - others
+    for d in np.unique(shift).tolist():
+        mine = np.flatnonzero(shift == d)
+        if len(mine) < 3:
+            for k in mine.tolist():
+                begins[k], ends[k] = matching_run(a, b, int(places[k]), int(others[k]))
+            continue
+        low, high = max(0, d), min(len(a), len(b) + d)
+        breaks = np.flatnonzero(a[low:high] != b[low - d : high - d]) + low
+        breaks = np.concatenate([[low - 1], breaks, [high]])
+        after = np.searchsorted(breaks, places[mine])
+        begins[mine], ends[mine] = breaks[after - 1] + 1, breaks[after]
+    return begins, ends
+
+
+def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of ranges, as ranges that do not touch."""
+    order = np.argsort(begins, kind="stable")
+    begins, reach = begins[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], begins[1:] > reach[:-1]])) if len(begins) else np.zeros(0, np.int64)
+    return begins[new], reach[np.append(new[1:] - 1, len(reach) - 1)] if len(new) else reach
+
+
 def _extended(pairs: DataFrame, texts: DataFrame, run_words: int) -> DataFrame:
     """For each document and source: the runs that repeat, and the fingerprints outside them."""
     mine = texts.withColumnRenamed("text", "mine")
@@ -178,32 +210,31 @@ def _extended(pairs: DataFrame, texts: DataFrame, run_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
-                out: list[list] = [[], [], [], [], []]
+            for first in range(0, batch.num_rows, 50):
+                part = batch.slice(first, 50)
+                inner = part.column(2).flatten()
+                places, others, hashes = (np.asarray(inner.field(k)).astype(np.int64) for k in range(3))
+                edges = np.concatenate([[0], np.cumsum(np.asarray(part.column(2).value_lengths()))])
+                rows, begins, ends, failed = [], [], [], []
                 last: dict[str, np.ndarray] = {}
-                for k, (places, mine, theirs) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                for k, (mine, theirs) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
                     a = word_hashes(mine)
                     if theirs not in last:
                         last = {theirs: word_hashes(theirs)}
-                    b = last[theirs]
-                    done: dict[int, list[tuple[int, int]]] = {}
-                    for x in sorted(places, key=lambda x: x["place"]):
-                        p, q = x["place"], x["source_place"]
-                        runs = done.setdefault(p - q, [])
-                        if runs and runs[-1][0] <= p < runs[-1][1]:
-                            got = runs[-1]
-                        else:
-                            got = matching_run(a, b, p, q)
-                            runs.append(got)
-                        long = got[1] - got[0] >= run_words
-                        for c, v in zip(out, (part.column(0)[k], part.column(1)[k], got[0] if long else None, got[1] if long else None, None if long else x["hash"]), strict=True):
-                            c.append(v)
-                # one row for each run
-                rows = dict.fromkeys(zip(*(c if n > 1 else [x.as_py() for x in c] for n, c in enumerate(out)), strict=True))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc", "text_hash", "begin", "end", "failed"])
+                    at = slice(edges[k], edges[k + 1])
+                    begin, end = matching_runs(a, last[theirs], places[at], others[at])
+                    long = end - begin >= run_words
+                    x, y = merged(begin[long], end[long])
+                    rows.append(np.full(len(x), k))
+                    begins.append(x)
+                    ends.append(y)
+                    failed.append(hashes[at][~long])
+                rows, lost = np.concatenate(rows), np.unique(np.concatenate(failed))
+                none = pa.nulls(len(lost), pa.int64())
+                cols = [pa.concat_arrays([part.column(c).take(pa.array(rows)), none]) for c in (0, 1)]
+                cols += [pa.concat_arrays([pa.array(np.concatenate(x).astype(np.int32)), pa.nulls(len(lost), pa.int32())]) for x in (begins, ends)]
+                cols.append(pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(lost)]))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "text_hash", "begin", "end", "failed"])
 
     return both.mapInArrow(run, "doc long, text_hash long, begin int, end int, failed long")
 
@@ -214,78 +245,96 @@ def _windows(places: DataFrame, texts: DataFrame, run_words: int, line: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                hashes = line_hashes(word_hashes(batch.column(3)[k].as_py()), run_words)
-                at = np.unique(np.array(batch.column(2)[k].as_py())[:, None] - np.arange(run_words - line + 1))
-                at = at[(at >= 0) & (at < len(hashes))]
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array([batch.column(1)[k].as_py()] * n, pa.int64()), pa.array(hashes[at].astype(np.int64)), pa.array(at.astype(np.int32))], names=["doc", "text_hash", "hash", "place"])
+            for begin in range(0, batch.num_rows, 50):
+                part = batch.slice(begin, 50)
+                found, places, sizes = [], [], []
+                for wanted, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    hashes = line_hashes(word_hashes(text), run_words)
+                    at = np.unique(np.array(wanted)[:, None] - np.arange(run_words - line + 1))
+                    at = at[(at >= 0) & (at < len(hashes))]
+                    found.append(hashes[at])
+                    places.append(at)
+                    sizes.append(len(at))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(t))) for x, t in ((found, np.int64), (places, np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc", "text_hash", "hashes", "places"])
+
+    return both.mapInArrow(run, "doc long, text_hash long, hashes array<long>, places array<int>")
+
+
+def _repeated(prints: DataFrame) -> DataFrame:
+    """All places of hashes that have more than one, with the earliest: doc, text_hash, hash, place, source, ...
 
-    return both.mapInArrow(run, SCHEMA)
+    prints: one row for each text with its hashes and their places.
+    """
+    each = prints.select("doc", "text_hash", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc", "text_hash", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
+    repeated = each.groupBy("hash").agg(F.min(F.struct("doc", "text_hash", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    named = repeated.select("hash", F.col("first.doc").alias("source"), F.col("first.text_hash").alias("source_hash"), F.col("first.place").alias("source_place"))
+    return each.join(named, "hash")
 
 
-def _with_first(places: DataFrame) -> DataFrame:
-    """Places whose hash has an earlier place, with that place."""
-    first = F.min(F.struct("doc", "text_hash", "place")).alias("first")
-    repeated = places.groupBy("hash").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return places.join(repeated, "hash").filter(F.struct("doc", "text_hash", "place") != F.col("first"))
+LATER = "doc != source OR text_hash != source_hash OR place != source_place"
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN, line: int = LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, text_hash and the runs of words (array of begin, end) that repeat an earlier passage."""
     read = _read(docs, id_col, text_col)
-    prints = materialize(_fingerprints(read, run_words, line).distinct(), "fingerprints")
-    met = materialize(_with_first(prints), "met")
-    named = met.select("doc", "text_hash", "place", "hash", F.col("first.doc").alias("source"), F.col("first.text_hash").alias("source_hash"), F.col("first.place").alias("source_place"))
-    pairs = named.groupBy("doc", "text_hash", "source", "source_hash").agg(F.collect_list(F.struct("place", "source_place", "hash")).alias("places"))
-    needed = named.select("doc", "text_hash").union(named.select("source", "source_hash")).distinct()
+    prints = materialize(_fingerprints(read, run_words, line), "fingerprints")
+    # equal texts are settled first: the earliest stands for all, the others repeat it as a whole
+    equal = ["text_hash", "check", "words"]
+    first = prints.filter(F.col("words") >= run_words).groupBy(*equal).agg(F.min("doc").alias("doc"))
+    held = prints.dropDuplicates([*equal, "doc"]).join(first, [*equal, "doc"], "left_semi").select("doc", "text_hash", "hashes", "places")
+    copies = prints.select("doc", *equal).join(first, [*equal, "doc"], "left_anti").filter(F.col("words") >= run_words)
+    copies = copies.select("doc", "text_hash", F.lit(0).alias("begin"), F.col("words").cast("int").alias("end"))
+    met = materialize(_repeated(held), "met")
+    pairs = met.filter(LATER).groupBy("doc", "text_hash", "source", "source_hash").agg(F.collect_list(F.struct("place", "source_place", "hash")).alias("places"))
+    needed = met.select("doc", "text_hash").distinct()
     texts = read.join(needed, ["doc", "text_hash"], "left_semi").groupBy("doc", "text_hash").agg(F.any_value("text").alias("text"))
     texts = materialize(texts, "texts")
     runs = materialize(_extended(pairs, texts, run_words), "runs")
     failed = runs.filter("failed IS NOT NULL").select(F.col("failed").alias("hash")).distinct()
-    again = prints.join(failed, "hash").groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
-    windows = materialize(_windows(again, texts, run_words, line).distinct(), "windows")
-    more = _with_first(windows).select("doc", "text_hash", F.col("place").alias("begin"), (F.col("place") + run_words).alias("end"))
-    found = runs.filter("failed IS NULL").select("doc", "text_hash", "begin", "end").union(more)
+    again = met.join(failed, "hash", "left_semi").groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
+    windows = materialize(_windows(again, texts, run_words, line), "windows")
+    more = _repeated(windows).filter(LATER).select("doc", "text_hash", F.col("place").alias("begin"), (F.col("place") + run_words).alias("end"))
+    found = runs.filter("failed IS NULL").select("doc", "text_hash", "begin", "end").union(more).union(copies)
     return found.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("runs"))
 
 
-def cut(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the words of the runs, and their number."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    merged: list[list[int]] = []
-    for a, b in sorted(runs):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
+def cut(text: str, begins: np.ndarray, ends: np.ndarray) -> tuple[str, int, int]:
+    """The text without the words of the runs, the number of these words, and that of the runs."""
+    data = text.encode()
+    inside = np.frombuffer(data, np.uint8)
+    inside = (inside != 32) & ((inside < 9) | (inside > 13))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    first, last = edges[::2], edges[1::2]
+    begins, ends = merged(begins, ends)
     out, at = [], 0
-    for a, b in merged:
-        out.append(text[at : spans[a][0]])
-        at = spans[b][0] if b < len(spans) else len(text)
-        gap = text[spans[b - 1][1] : at]
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        out.append(data[at : first[a]])
+        at = first[b] if b < len(first) else len(data)
         # a line that the run ended stays ended
-        if "\n" in gap and a and "\n" not in text[spans[a - 1][1] : spans[a][0]]:
-            out.append("\n")
-    out.append(text[at:])
-    left = "".join(out)
-    return (left.rstrip() if merged and merged[-1][1] == len(spans) else left), sum(b - a for a, b in merged)
+        if a and b"\n" in data[last[b - 1] : at] and b"\n" not in data[last[a - 1] : first[a]]:
+            out.append(b"\n")
+    out.append(data[at:])
+    left = b"".join(out).decode()
+    return (left.rstrip() if len(ends) and ends[-1] == len(first) else left), int((ends - begins).sum()), len(ends)
 
 
 def drop_repeated_lines(docs: DataFrame, run_words: int = RUN, line: int = LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (without later repeats), removed_words, removed_runs of every document."""
-    runs = repeated_runs(docs, run_words, line, id_col, text_col)
+    runs = materialize(repeated_runs(docs, run_words, line, id_col, text_col), "cuts")
     joined = _read(docs, id_col, text_col).join(runs, ["doc", "text_hash"], "left").select("doc", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, words, number = [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                left, n = cut(text, [(x["begin"], x["end"]) for x in found]) if found else (text, 0)
-                texts.append(left)
-                words.append(n)
-                number.append(len(found or ()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(number, pa.int64())], names=["doc", "text", "removed_words", "removed_runs"])
-
-    out = joined.mapInArrow(run, "doc long, text string, removed_words long, removed_runs long")
-    return out.select(F.when(F.col("doc") != LATEST, F.col("doc")).alias("doc_id"), "text", "removed_words", "removed_runs")
+            for first, end in slices(batch.column(1)):
+                part = batch.slice(first, end - first)
+                edges = np.concatenate([[0], np.cumsum(np.asarray(part.column(2).value_lengths()))])
+                begins, ends = (np.asarray(part.column(2).flatten().field(k)).astype(np.int64) for k in (0, 1))
+                done = [cut(x, begins[a:b], ends[a:b]) for x, a, b in zip(part.column(1).to_pylist(), edges, edges[1:], strict=False)]
+                texts, words, number = zip(*done, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(number, pa.int64())], names=["doc", "text", "removed_words", "removed_runs"])
+
+    whole = joined.filter("runs IS NULL").select("doc", "text", F.lit(0).cast("long").alias("removed_words"), F.lit(0).cast("long").alias("removed_runs"))
+    less = joined.filter("runs IS NOT NULL").mapInArrow(run, "doc long, text string, removed_words long, removed_runs long")
+    return whole.union(less).select(F.when(F.col("doc") != LATEST, F.col("doc")).alias("doc_id"), "text", "removed_words", "removed_runs")
