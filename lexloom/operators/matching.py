@@ -61,17 +61,24 @@ def track_scores(listings: DataFrame, tracks: DataFrame) -> DataFrame:
     listings with which they share a title n-gram, a title token or a skill's first word: with none
     of them both kinds of evidence are 0 and the pair is never admitted.
     """
-    words = F.concat(t.lexical_words(F.concat_ws("\n", "title", "body")))
-    left = listings.select("id", t.search_tokens(F.col("title")).alias("title_tokens"), words.alias("words"), F.transform("key_skills", t.lexical_words).alias("key_words"))
-    left = left.withColumn("keys", F.array_distinct(F.concat(t.ngrams(F.col("title_tokens")), F.transform("title_tokens", lambda x: F.concat(F.lit("t:"), x)), F.transform(F.array_distinct(F.concat("words", F.flatten("key_words"))), lambda x: F.concat(F.lit("s:"), x)))))
-    right = tracks.select("user_id", "track", F.transform("titles", t.search_tokens).alias("titles"), F.transform("skills", t.lexical_words).alias("skills"))
-    titles = F.flatten("titles")
-    first = F.transform(F.filter("skills", lambda s: F.size(s) > 0), lambda s: F.concat(F.lit("s:"), s[0]))
-    right = right.withColumn("keys", F.array_distinct(F.concat(t.ngrams(titles), F.transform(titles, lambda x: F.concat(F.lit("t:"), x)), first)))
-    met = left.select("id", F.explode("keys").alias("key")).join(right.select("user_id", "track", F.explode("keys").alias("key")), "key").select("id", "user_id", "track").distinct()
-    both = met.join(left.drop("keys"), "id").join(right.drop("keys"), ["user_id", "track"])
-    title = F.coalesce(F.array_max(F.transform("titles", lambda x: t.token_similarity(x, F.col("title_tokens")))), F.lit(0.0))
-    both = both.withColumn("title_similarity", title).withColumn("skill_coverage", skill_coverage(F.col("skills"), F.col("words"), F.col("key_words")))
+    words = t.lexical_words(F.concat_ws("\n", "title", "body"))
+    marked = lambda c, mark: F.transform(c, lambda x: F.concat(F.lit(mark), x))
+    left = listings.select("id", t.search_tokens(F.col("title")).alias("title_tokens"), words.alias("words"), F.transform("key_skills", lambda x: t.lexical_words(x)).alias("key_words"))
+    left = left.withColumn("title_grams", t.ngrams(F.col("title_tokens")))
+    # both texts are only told by their distinct words, so a listing sends each key once
+    told = F.array_distinct(F.concat("words", F.flatten("key_words")))
+    offered = left.select("id", F.explode(F.concat("title_grams", marked("title_tokens", "t:"), marked(told, "s:"))).alias("key"))
+
+    right = tracks.select("user_id", "track", F.transform("titles", lambda x: t.search_tokens(x)).alias("titles"), F.transform("skills", lambda x: t.lexical_words(x)).alias("skills"))
+    right = right.withColumn("titles", F.transform("titles", lambda x: F.struct(x.alias("tokens"), t.ngrams(x).alias("grams"))))
+    first = F.transform(F.filter("skills", lambda s: F.size(s) > 0), lambda s: s[0])
+    asked = F.concat(F.flatten(F.transform("titles", lambda x: x["grams"])), marked(F.flatten(F.transform("titles", lambda x: x["tokens"])), "t:"), marked(first, "s:"))
+    wanted = right.select("user_id", "track", F.explode(F.array_distinct(asked)).alias("key"))
+    met = offered.join(wanted, "key").select("id", "user_id", "track").distinct()
+    both = met.join(left, "id").join(right, ["user_id", "track"])
+    alike = lambda x: F.greatest(t.jaccard(x["tokens"], F.col("title_tokens")), t.jaccard(x["grams"], F.col("title_grams")))
+    both = both.withColumn("title_similarity", F.coalesce(F.array_max(F.transform("titles", alike)), F.lit(0.0)))
+    both = both.withColumn("skill_coverage", skill_coverage(F.col("skills"), F.col("words"), F.col("key_words")))
     score = F.round((F.col("title_similarity") * 0.75 + F.col("skill_coverage") * 0.25) * 100).cast("int")
     return both.select("id", "user_id", "track", "title_similarity", "skill_coverage", score.alias("regex_score"), (F.size("skills") > 0).alias("has_skills"))
 
