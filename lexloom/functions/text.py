@@ -34,6 +34,10 @@ SENIORITY = {
 TOP_RANK = 5
 NAMED_ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"', "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»"}
 
+# Lines of contact data, and addresses, links and telephone numbers inside a line.
+CONTACT = r"(?iu)(?<![\p{L}\p{N}_])(?:contacts?|e-?mail|phone|telegram|whatsapp)(?![\p{L}\p{N}_])|контакт|почт|телефон"
+PERSONAL = [r"(?<![\w])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w])", r"(?i)(?<![\w])(?:https?://|www\.)\S+", r"(?:\+?\d[\s().-]*){7,}"]
+
 #: A word that may hold + # and inner dots, or a leading dot; without look-ahead, so other engines agree.
 TOKEN = r"\.[\p{L}\p{N}]+|[\p{L}\p{N}][\p{L}\p{N}+#]*(?:\.[\p{L}\p{N}][\p{L}\p{N}+#]*)*"
 PLAIN = r"[\p{L}\p{N}]+"
@@ -74,12 +78,10 @@ def lexical_words(text: Column) -> Column:
 
 def relevance_text(text: Column) -> Column:
     """Text without contact lines, addresses, links and telephone numbers."""
-    contact = r"(?iu)(?<![\p{L}\p{N}_])(?:contacts?|e-?mail|phone|telegram|whatsapp)(?![\p{L}\p{N}_])|контакт|почт|телефон"
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: ~x.rlike(contact))
-    out = F.array_join(lines, "\n")
-    out = F.regexp_replace(out, r"(?<![\w])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w])", " ")
-    out = F.regexp_replace(out, r"(?i)(?<![\w])(?:https?://|www\.)\S+", " ")
-    return F.regexp_replace(out, r"(?:\+?\d[\s().-]*){7,}", " ")
+    out = F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: ~x.rlike(CONTACT)), "\n")
+    for pattern in PERSONAL:
+        out = F.regexp_replace(out, pattern, " ")
+    return out
 
 
 def ngrams(tokens: Column) -> Column:

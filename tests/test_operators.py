@@ -114,6 +114,39 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.table("hours"), "hour", "tokens") == rows(batch, "hour", "tokens")
 
 
+def test_streamed_leases(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    data = spark.createDataFrame([("a", "x", at(0)), ("a", "y", at(1)), ("a", "x", at(2)), ("a", "y", at(10)), ("b", "z", at(0))], "key string, token string, at timestamp")
+    data.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    got = []
+    lanes.lane(lanes.leases(stream, 300), lambda df, _: got.extend(df.collect()), str(tmp_path / "c"), "leases").awaitTermination(120)
+    assert sorted((r.key, r.token, r.at.minute, r.granted) for r in got) == [("a", "x", 0, True), ("a", "x", 2, True), ("a", "y", 1, False), ("a", "y", 10, True), ("b", "z", 0, True)]
+
+
+def test_scoring_by_an_injected_model(spark):
+    from lexloom.operators import scoring
+
+    asked = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "late")], "id int, prompt string")
+    model = lambda p: '{"total": 7}' if p == "good" or p.startswith("late\n") else "no idea"
+    assert sorted(map(tuple, scoring.scored(asked, model).collect())) == [(1, '{"total": 7}', 1), (2, None, 3), (3, '{"total": 7}', 2)]
+    queue = spark.createDataFrame([(1,), (2,), (3,)], "id int").coalesce(1)
+    assert scoring.delivered(queue, lambda row: row["id"] < 3) == ([1, 2], True)
+
+
+def test_registry_only_grows():
+    registry = readers.Registry()
+    registry.add(readers.PageSource("a", None, None), ["X.org"])
+    registry.allow("a", ["y.org"])
+    assert registry.hosts["a"] == {"x.org", "y.org"}
+    with pytest.raises(ValueError):
+        registry.add(readers.PageSource("a", None, None))
+    registry.close()
+    registry.close()
+    with pytest.raises(ValueError):
+        registry.add(readers.PageSource("b", None, None))
+
+
 def test_vocabulary(spark):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "a"]), (3, ["c"])], "id int, tokens array<string>")
     words = vocabulary.vocabulary(docs, F.col("tokens"))
