@@ -93,14 +93,18 @@ def upsert_listings(state: DataFrame, incoming: DataFrame, now: dt.datetime) ->
 def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
     """The oldest known row of the same fingerprint and nearly the same description.
 
-    Both: id, fingerprint, tokens (distinct words).  The fingerprint is the join key, and rows
-    whose sizes rule the threshold out are not compared.
+    Both: id, fingerprint, tokens (distinct words).  Rows of equal words are one set with its oldest
+    row, so copies are never paired with each other; sets meet inside a fingerprint, and only
+    where their sizes allow the threshold.
     """
-    left = candidates.select(F.col("id").alias("candidate"), "fingerprint", F.col("tokens").alias("a"))
-    right = known.select(F.col("id").alias("known"), "fingerprint", F.col("tokens").alias("b"))
-    near = (F.least(F.size("a"), F.size("b")) >= threshold * F.greatest(F.size("a"), F.size("b"))) & (F.col("known") < F.col("candidate"))
-    met = left.join(right, (left["fingerprint"] == right["fingerprint"]) & near).filter(t.jaccard(F.col("a"), F.col("b")) >= threshold)
-    return met.groupBy("candidate").agg(F.min("known").alias("duplicate_of"))
+    key = F.sha2(F.array_join(F.array_sort("tokens"), "\u0001"), 256)
+    rows = candidates.select(F.col("id").alias("candidate"), "fingerprint", "tokens", key.alias("key"))
+    left = rows.groupBy("fingerprint", "key").agg(F.any_value("tokens").alias("a"))
+    right = known.select("id", "fingerprint", "tokens", key.alias("other")).groupBy(F.col("fingerprint").alias("f"), "other").agg(F.min("id").alias("known"), F.any_value("tokens").alias("b"))
+    near = F.least(F.size("a"), F.size("b")) >= threshold * F.greatest(F.size("a"), F.size("b"))
+    met = left.join(right, (F.col("fingerprint") == F.col("f")) & near).filter(t.jaccard(F.col("a"), F.col("b")) >= threshold)
+    oldest = met.groupBy("fingerprint", "key").agg(F.min("known").alias("duplicate_of"))
+    return rows.drop("tokens").join(oldest, ["fingerprint", "key"]).filter("duplicate_of < candidate").select("candidate", "duplicate_of")
 
 
 def reset_changed(matches: DataFrame, changes: DataFrame) -> DataFrame:
