@@ -438,5 +438,22 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, DIR).collect()} == set(kept)
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    rows = [(k, x, None, "s", None, "clash", 1) for k, x in enumerate(ODD)] + [(None, "null id", "en", None, 7, "x", 2), (3, "a  b", "en", "s", 4, "y", 3), (3, "a  b", "en", "s", 4, "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, class_id int").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, docs.limit(0), DIR)
+        assert none.columns == docs.columns and none.count() == 0, name
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == none.columns
+    texts = [r.text or "" for r in docs.collect()]
+    normal = {" ".join(t.split()) for t in texts}
+    # empty texts, which have no words, are exact copies of one another or stand alone
+    assert len([t for t in texts if t.strip()]) == len(normal - {""}) and "null id" in normal
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
 def test_tokenizer_path_is_a_parameter():
     assert queries.TOKENIZER == public_tokenizers.path("byte_bpe_50k.json")
