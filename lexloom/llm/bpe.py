@@ -19,6 +19,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -199,8 +200,7 @@ class Vocabulary:
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         # no UTF-8 text has a byte 0xFF, so it can stand between words; it is a token of its own
-        found = np.fromiter(chain.from_iterable(self.automaton.iter_long(b"\xff".join(words).decode("latin-1"))), np.int64)
-        ids = found[1::2]
+        ids = np.fromiter(map(itemgetter(1), self.automaton.iter_long(b"\xff".join(words).decode("latin-1"))), np.int64)
         word = np.cumsum(ids == self.of_byte[0xFF])
         real = ids != self.of_byte[0xFF]
         ids, word = ids[real], word[real]
