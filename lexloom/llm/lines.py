@@ -289,7 +289,10 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN, line: int = LINE, id_co
     met = materialize(_repeated(held), "met")
     pairs = met.filter(LATER).groupBy("doc", "text_hash", "source", "source_hash").agg(F.collect_list(F.struct("place", "source_place", "hash")).alias("places"))
     needed = met.select("doc", "text_hash").distinct()
-    texts = read.join(needed, ["doc", "text_hash"], "left_semi").groupBy("doc", "text_hash").agg(F.any_value("text").alias("text"))
+    # the keys are hashed, so that whole texts are not sorted; only repeated rows make a key come twice
+    texts = read.join(needed.hint("shuffle_hash"), ["doc", "text_hash"], "left_semi").select("doc", "text_hash", "text")
+    if prints.groupBy("doc", "text_hash").count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc", "text_hash"])
     texts = materialize(texts, "texts")
     runs = materialize(_extended(pairs, texts, run_words), "runs")
     failed = runs.filter("failed IS NOT NULL").select(F.col("failed").alias("hash")).distinct()
@@ -323,7 +326,7 @@ def cut(text: str, begins: np.ndarray, ends: np.ndarray) -> tuple[str, int, int]
 def drop_repeated_lines(docs: DataFrame, run_words: int = RUN, line: int = LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (without later repeats), removed_words, removed_runs of every document."""
     runs = materialize(repeated_runs(docs, run_words, line, id_col, text_col), "cuts")
-    joined = _read(docs, id_col, text_col).join(runs, ["doc", "text_hash"], "left").select("doc", "text", "runs")
+    joined = _read(docs, id_col, text_col).join(runs.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("doc", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
