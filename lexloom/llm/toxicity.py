@@ -11,8 +11,9 @@ words.  A logistic curve over the margin and the length, fitted on labelled rows
 have not seen, turns it into a score.
 
 Bounds: at most ``rows_for_each_label`` rows of a label train the models and as many fit the
-curve (those with the smallest hash of the identifier); whole texts are used and every row
-is scored.  Defined results: a null or empty text, or one without words, has margin 0;
+curve (those with the smallest hash of the identifier); each row that fits the curve stands
+for its share of all such rows of its label, so the curve sees the same proportion of toxic
+rows whether or not the bound is met.  Whole texts are used and every row is scored.  Defined results: a null or empty text, or one without words, has margin 0;
 label rows with a null label or identifier are not used; of repeated label rows the largest
 label counts; without rows of both labels every score is 0.
 """
@@ -180,13 +181,13 @@ def features(margin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), margin, margin * np.sqrt(np.maximum(n, 1))], 1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton steps, with a slight ridge."""
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, rounds: int = 50, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic regression by Newton steps, with a slight ridge.  weight: how many rows each row stands for."""
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        step = np.linalg.solve((x * w[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (y - p) - ridge * beta)
+        w = weight * p * (1 - p) + 1e-9
+        step = np.linalg.solve((x * w[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - ridge * beta)
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -237,7 +238,9 @@ def train(
     margin, n, y = (tune[c].to_numpy() for c in ("margin", "n", "label"))
     order = np.lexsort((y, n, margin))  # rows in an order of their own, so that sums round alike each time
     if len(set(y.tolist())) == 2:
-        model.curve = fit_curve(features(margin[order], n[order]), y[order])
+        known = {r["label"]: r["count"] for r in rows.filter("tune").groupBy("label").count().collect()}
+        weight = np.array([known[label] / min(known[label], rows_for_each_label) for label in (0, 1)])
+        model.curve = fit_curve(features(margin[order], n[order]), y[order], weight[y[order]])
     return model
 
 

@@ -323,6 +323,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum((r.toxicity >= 0.5) == bool(r.toxic) for r in got) > 0.97 * len(got)
 
 
+def test_toxicity_curve_weights_stand_for_rows():
+    rng = np.random.default_rng(3)
+    x, y, n = toxicity.features(rng.normal(size=60), rng.integers(1, 9, 60)), rng.integers(0, 2, 60), rng.integers(1, 5, 60)
+    assert np.allclose(toxicity.fit_curve(x, y, n.astype(float)), toxicity.fit_curve(np.repeat(x, n, 0), np.repeat(y, n)), atol=1e-6)
+
+
+def test_toxicity_prior_does_not_depend_on_the_bound(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(4000):  # one toxic row in ten, with words that only lean one way, and texts without words
+        toxic = k % 10 == 0
+        words = rng.choice(["alpha", "bravo", "gamma", "delta"], 4, p=[0.4, 0.3, 0.2, 0.1] if toxic else [0.1, 0.2, 0.3, 0.4])
+        rows.append((k, "" if k % 7 == 0 else " ".join(words), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts = [""] + [x[1] for x in rows]
+    whole, bounded = (toxicity.train(frame, frame, rows_for_each_label=n).scores(texts) for n in (4000, 60))
+    assert bounded[0] < 0.3, bounded[0]  # a text without words: 0.5 where the bound alone sets the proportion
+    assert abs(whole.mean() - 0.1) < 0.05 > abs(bounded.mean() - 0.1), (whole.mean(), bounded.mean())
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None), (0, 0)], "doc_id long, toxic int")
     model = toxicity.train(odd_docs(spark), labels)
