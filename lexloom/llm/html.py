@@ -5,7 +5,9 @@ line knows its text, its share of link text, the tags seen in it and the element
 it.  A line's ratio of text outside links to tags is smoothed over its neighbours with a
 Gaussian; lines above a threshold (a share of the page's deviation) form the content
 clusters.  The region is the smallest container that holds nearly all of their text, widened
-to the article it is part of, and its lines are returned in page order, short ones too.
+to the article it is part of, and its lines are returned in page order, short ones too.  On
+a page without article and main the other containers with content lines, the paragraphs and
+headings between them and the h1 before them belong to it too.
 
 Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments never count: they are told by their elements, roles, and the words in
@@ -171,6 +173,35 @@ def _smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return padded / np.convolve(np.ones(len(ratio)), kernel)[reach:-reach]
 
 
+def _around(page: _Page, lines: list[tuple], content: list[bool], held: list[int], root: int) -> set[int]:
+    """Lines outside ``root`` that belong to it: all content lines, with what stands between them in their containers."""
+    top = max(k for k in range(len(held)) if held[k] == held[0] and (k == 0 or page.tag[k] in CONTAINER))
+    path, at = {top}, root
+    while at > top:
+        path.add(at)
+        at = page.parent[at]
+    n = len(page.tag)
+    # of every element: the part it is in (the element right below the path), and the smallest element of a part that holds all its content
+    part, within = [-1] * n, {}
+    for k in range(top, n):
+        up = page.parent[k]
+        if k not in path and up >= top:
+            part[k] = k if up in path else part[up]
+            if held[k] and part[k] >= 0 and held[k] == held[part[k]]:
+                within[part[k]] = k
+    holds = set(within.values())
+    near = [False] * n
+    for k in range(top, n):
+        near[k] = part[k] >= 0 and (k in holds or near[page.parent[k]])
+    out = set()
+    for number, (line, good) in enumerate(zip(lines, content, strict=True)):
+        at = line[1]
+        loose = at in path or (part[at] == at and page.tag[at] not in CONTAINER and not held[at] and len(line[0]) > line[2])
+        if good or near[at] or loose:
+            out.add(number)
+    return out
+
+
 def _kept(page: _Page) -> list[tuple]:
     """Lines outside all elements that are left out.
 
@@ -211,7 +242,8 @@ def main_text(html: str | None, page: _Page | None = None) -> str:
         return ""
     ratio = np.array([max(0, len(x[0]) - x[2]) / max(1, x[3]) for x in lines])
     smooth = _smoothed(ratio, SMOOTH)
-    content = (smooth >= THRESHOLD * ratio.std()) & (ratio > 0)
+    prose = np.array([2 * x[2] < len(x[0]) for x in lines])  # a list of links beside the text does not join its cluster
+    content = (smooth >= THRESHOLD * ratio.std()) & (ratio > 0) & prose
     if not content.any():
         content = np.ones(len(lines), bool)
     # the smallest container that holds nearly all text of the clusters
@@ -226,10 +258,10 @@ def main_text(html: str | None, page: _Page | None = None) -> str:
     for k in range(1, len(held)):
         if held[k] >= enough and page.tag[k] in CONTAINER:
             root = k
-    at = root
+    at, marked = root, False
     while at > 0:
         if page.tag[at] in ("article", "main"):
-            root = at
+            root, marked = at, True
             if page.tag[at] == "article":
                 break
         at = page.parent[at]
@@ -238,6 +270,11 @@ def main_text(html: str | None, page: _Page | None = None) -> str:
     for k in range(root + 1, len(inside)):
         inside[k] = inside[page.parent[k]]
     chosen = [k for k, x in enumerate(lines) if inside[x[1]]]
+    if not marked:
+        chosen = sorted({*chosen, *_around(page, lines, content.tolist(), held, root)})
+        first = [k for k, x in enumerate(lines[: chosen[0]]) if page.tag[x[1]] == "h1"]
+        if first and not any(page.tag[lines[k][1]] == "h1" for k in chosen):
+            chosen.insert(0, first[-1])
     # the heading right before the region belongs to it
     before = chosen[0] - 1
     if before >= 0 and page.tag[lines[before][1]] in ("h1", "h2") and not any(page.tag[lines[k][1]] == "h1" for k in chosen):

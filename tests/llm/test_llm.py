@@ -289,6 +289,21 @@ def test_html():
     assert len(html.main_text("<p>" + "word " * 200_000)) == 999_999
 
 
+def test_html_without_article_keeps_all_content():
+    def prose(name, n):
+        return [f"{name} {k} is a sentence of the main text that goes on for a while." for k in range(n)]
+
+    def paragraphs(texts):
+        return "".join(f"<p>{x}</p>" for x in texts)
+
+    lead, story = prose("lead", 3), prose("story", 17)
+    links = "<div>" + "".join(f"<a href=/{k}>Link {k}</a> " for k in range(20)) + "</div>"
+    page = f"<body>{links}<div class=wrap><h1>Title</h1><div class=lead>{paragraphs(lead)}</div><p>Short.</p><div class=story>{paragraphs(story)}</div></div><footer>(c)</footer></body>"
+    assert html.main_text(page).split("\n\n") == ["Title", *lead, "Short.", *story]
+    apart = f"<body>{links}<div><h1>Title</h1></div>{links}<div>{paragraphs(story)}</div><div><div>{paragraphs(lead)}</div></div>{links}</body>"
+    assert html.main_text(apart).split("\n\n") == ["Title", *story, *lead]
+
+
 def test_html_pages(spark):
     import html as h
     import re
