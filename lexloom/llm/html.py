@@ -11,7 +11,9 @@ headings between them and the h1 before them belong to it too.
 
 Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments never count: they are told by their elements, roles, and the words in
-class and id.  Elements that a page left open are closed by their containers.
+class and id.  Inside an article or main these words are no sign on headings, paragraphs and
+inline elements, and an id of several words, not all of them such words, is one only where the
+element is also mostly links, holds a form, or has little text to its tags.  Elements that a page left open are closed by their containers.
 
 Defined results: a null or empty page gives an empty text, as does one without text; very
 long pages are read whole; rows are independent, so repeated rows repeat their result;
@@ -48,9 +50,14 @@ WORDS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Never left out for the words in their class or id.
 KEPT = frozenset("html body main article".split())
+#: Elements of running text, where words in class and id say nothing inside an article.
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Words for readers' comments, which are prose too: a sign by themselves.
+READERS = frozenset("comments disqus replies respond".split())
+CONTROLS = frozenset("form textarea".split())
 #: Words inside a class or id.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-SMOOTH, THRESHOLD, SHARE = 1.0, 0.5, 0.8
+SMOOTH, THRESHOLD, SHARE, LITTLE = 1.0, 0.5, 0.8, 10
 
 
 class _Page(HTMLParser):
@@ -60,7 +67,7 @@ class _Page(HTMLParser):
     def begin(self) -> None:
         self.reset()
         self.open: list[tuple[str, int]] = [("", 0)]
-        # of every element: the one around it, its tag, and whether it is left out by itself (2: by words only)
+        # of every element: the one around it, its tag, and whether it is left out by itself (2: by words only, 3: by words in need of a second sign)
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["html"]
         self.out: list[int] = [0]
@@ -108,33 +115,42 @@ class _Page(HTMLParser):
         out = 0
         if tag in SKIPPED or (tag == "header" and not any(x[0] in ("article", "main") for x in self.open)):
             out = 1
-        elif attrs and tag not in KEPT and self._hidden(tag, attrs):
-            out = 2
+        elif attrs and tag not in KEPT:
+            out = self._hidden(tag, attrs)
         self.parent.append(self.open[-1][1])
         self.tag.append(tag)
         self.out.append(out)
         self.open.append((tag, len(self.tag) - 1))
 
-    @staticmethod
-    def _hidden(tag: str, attrs: list) -> bool:
+    def _hidden(self, tag: str, attrs: list) -> int:
+        """0, 2 or 3, as in ``out``."""
+        weak = 0
         for name, value in attrs:
             if name == "hidden":
-                return True
+                return 2
             if not value:
                 continue
             if name in ("class", "id"):
                 parts = {x.lower() for x in _PART.findall(value)}
-                if not WORDS.isdisjoint(parts) or ("header" in parts and tag == "div" and not parts & {"article", "entry", "post"}):
-                    return True
+                if not WORDS.isdisjoint(parts):
+                    if not any(x[0] in ("article", "main") for x in self.open):
+                        return 2
+                    if tag in RUNNING or tag not in BLOCK:
+                        continue
+                    if name == "class" or parts <= WORDS or parts & READERS:
+                        return 2
+                    weak = 3
+                elif "header" in parts and tag == "div" and not parts & {"article", "entry", "post"}:
+                    return 2
             elif name == "role":
                 if value.lower() in ROLES:
-                    return True
+                    return 2
             elif name == "aria-hidden":
                 if value.lower() == "true":
-                    return True
+                    return 2
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
-        return False
+                return 2
+        return weak
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -202,6 +218,25 @@ def _around(page: _Page, lines: list[tuple], content: list[bool], held: list[int
     return out
 
 
+def _second_sign(page: _Page) -> None:
+    """Settles elements told by a word in a longer id: left out where their links, controls or tags say so too."""
+    n = len(page.tag)
+    letters, links, tags, control = [0] * n, [0] * n, [0] * n, [x in CONTROLS for x in page.tag]
+    for text, at, linked, marks in page.lines:
+        letters[at] += len(text)
+        links[at] += linked
+        tags[at] += marks
+    for k in range(n - 1, 0, -1):
+        up = page.parent[k]
+        letters[up] += letters[k]
+        links[up] += links[k]
+        tags[up] += tags[k]
+        control[up] |= control[k]
+        if page.out[k] == 3:
+            little = letters[k] - links[k] < LITTLE * max(1, tags[k])
+            page.out[k] = 2 if control[k] or 2 * links[k] >= letters[k] or little else 0
+
+
 def _kept(page: _Page) -> list[tuple]:
     """Lines outside all elements that are left out.
 
@@ -215,6 +250,8 @@ def _kept(page: _Page) -> list[tuple]:
             while k >= 0 and not holds[k]:
                 holds[k] = True
                 k = page.parent[k]
+    if 3 in page.out:
+        _second_sign(page)
     out, words = [False] * n, [False] * n
     for k in range(1, n):
         up = page.parent[k]

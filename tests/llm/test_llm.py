@@ -304,6 +304,19 @@ def test_html_without_article_keeps_all_content():
     assert html.main_text(apart).split("\n\n") == ["Title", *story, *lead]
 
 
+def test_html_words_in_ids_of_the_article():
+    def text(name):
+        return f"{name} is a sentence of the article that goes on for quite a while, like all the others."
+
+    links = " ".join(f"<a href=/{k}>Related piece {k}</a>" for k in range(9))
+    page = f"""<body><nav>Menu</nav><article><h1>Title</h1><p>{text("A")}</p><section id="social-history"><h2 id="related-work">Related work</h2><p>{text("B")}</p>
+    <p class="notice" id="comment-1">{text("C")}</p></section><div id="advertising-in-sport"><p>{text("D")} <span class="skip">{text("E")}</span></p></div>
+    <div id="related-pieces">{links}</div><div id="share-this">Share</div><div id="newsletter-box"><p>{text("F")}</p><form><button>Sign up</button></form></div>
+    <div id="sponsored"><p>{text("G")}</p></div><div class="promo box"><p>{text("H")}</p></div><div id="comments-list"><p>{text("I")}</p></div></article>
+    <div id="cookie-note"><p>{text("J")}</p></div></body>"""
+    assert html.main_text(page).split("\n\n") == ["Title", text("A"), "Related work", text("B"), text("C"), f"{text('D')} {text('E')}"]
+
+
 def test_html_pages(spark):
     import html as h
     import re
