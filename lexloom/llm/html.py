@@ -48,6 +48,8 @@ WORDS = frozenset(
     " newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay widget widgets pagination pager toolbar skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Elements whose content is text only, marks of tags and comments included.
+PLAIN = frozenset("textarea title".split())
 #: Never left out for the words in their class or id.
 KEPT = frozenset("html body main article".split())
 #: Elements of running text, where words in class and id say nothing inside an article.
@@ -66,6 +68,7 @@ class _Page(HTMLParser):
 
     def begin(self) -> None:
         self.reset()
+        self.closes: dict[str, bool] = {}
         self.open: list[tuple[str, int]] = [("", 0)]
         # of every element: the one around it, its tag, and whether it is left out by itself (2: by words only, 3: by words in need of a second sign)
         self.parent: list[int] = [-1]
@@ -97,6 +100,8 @@ class _Page(HTMLParser):
         self.in_link = 0
         if tag in VOID:
             return
+        if tag in PLAIN and self._closes(tag):
+            self.set_cdata_mode(tag)
         opened = self.open
         # elements whose end may be left out
         if opened[-1][0] == "p" and tag not in ("script", "style"):
@@ -111,6 +116,13 @@ class _Page(HTMLParser):
             opened.pop()
         self._push(tag, attrs)
 
+    def _closes(self, tag: str) -> bool:
+        """Whether every such element of the page has its end, so that none swallows the rest."""
+        if tag not in self.closes:
+            page = self.rawdata.lower()
+            self.closes[tag] = page.count(f"</{tag}") >= page.count(f"<{tag}")
+        return self.closes[tag]
+
     def _push(self, tag: str, attrs: list) -> None:
         out = 0
         if tag in SKIPPED or (tag == "header" and not any(x[0] in ("article", "main") for x in self.open)):
@@ -154,6 +166,7 @@ class _Page(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        self.clear_cdata_mode()
         if tag not in VOID and (tag in BLOCK or self.open[-1][0] == tag):
             self.handle_endtag(tag)
 
@@ -268,10 +281,9 @@ def main_text(html: str | None, page: _Page | None = None) -> str:
         return ""
     page = page or _Page()
     page.begin()
-    cut = html.rfind("<!--")
-    if cut >= 0 and html.find("-->", cut) < 0:  # a comment left open runs to the end
-        html = html[:cut]
     page.feed(html)
+    if page.cdata_elem is None and page.rawdata.startswith("<!--"):  # a comment left open runs to the end
+        page.rawdata = ""
     page.close()
     page._end_line()
     lines = _kept(page)

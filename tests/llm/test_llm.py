@@ -317,6 +317,13 @@ def test_html_words_in_ids_of_the_article():
     assert html.main_text(page).split("\n\n") == ["Title", text("A"), "Related work", text("B"), text("C"), f"{text('D')} {text('E')}"]
 
 
+def test_html_comment_marks_that_open_no_comment():
+    for before in ('<script>var s="<!--";</script>', "<script><!-- code </script>", "<style><!-- p {} </style>", '<a title="<!--">Link</a>', "<textarea><!-- x</textarea>", "<title>a <!-- b</title>", "<svg><title/></svg>", "<!-- done -->"):
+        assert html.main_text(f"<body>{before}<article><p>All of the text.</p></article></body>") == "All of the text.", before
+    assert html.main_text("<article><p>Text.</p><!-- open <p>hidden</p></article>") == "Text."
+    assert html.main_text('<article><p>Text.</p><script>"<!--"</script><p>More.</p><!-- open <p>hidden</p>') == "Text.\n\nMore."
+
+
 def test_html_pages(spark):
     import html as h
     import re
