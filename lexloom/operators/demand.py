@@ -105,21 +105,25 @@ def compile_demand(searches: DataFrame, threshold: float, existing: DataFrame |
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         units: dict[str, dict] = {}
+        sets: dict[str, tuple[set, set]] = {}  # resolved tokens and n-grams of each unit
+        features = lambda tokens: ({resolve.get(x, x) for x in tokens}, _grams(tokens))
         for row in frame[frame["user_id"].isna()].sort_values("unit_id").to_dict("records"):
             units.setdefault(row["unit_id"], row)
-        similar = lambda a, b: max(_jaccard({resolve.get(x, x) for x in a}, {resolve.get(x, x) for x in b}), _jaccard(_grams(a), _grams(b)))
+            sets.setdefault(row["unit_id"], features(units[row["unit_id"]]["tokens"]))
+        similar = lambda a, b: max(_jaccard(a[0], b[0]), _jaccard(a[1], b[1]))
         best: dict[tuple, tuple] = {}
         used: set[str] = set()
         for row in frame[frame["user_id"].notna()].sort_values(["user_id", "unit_id", "search"]).to_dict("records"):
             own = row["unit_id"]
             exact, likeness, target = own in units, 1.0, own
             if not exact:
-                scored = [(similar(u["tokens"], row["tokens"]), k) for k, u in units.items()]
+                asked = features(row["tokens"])
+                scored = [(similar(u, asked), k) for k, u in sets.items()]
                 scored = [x for x in scored if x[0] >= threshold]
                 if scored:
                     likeness, target = min(scored, key=lambda x: (-x[0], x[1]))
                 else:
-                    units[own], exact = row, True
+                    units[own], sets[own], exact = row, asked, True
             elif row["wording"] and not (units[own]["wording"] and len(units[own]["wording"]) <= len(row["wording"])):
                 units[own] = units[own] | {"wording": row["wording"], "search": row["search"]}
             used.add(target)

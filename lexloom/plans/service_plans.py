@@ -140,17 +140,28 @@ def message_split(spark, sf):
 @query("S1 S2 S3 S9 U1 U2 K18", "SELECT p_brand AS search_name, count(*) AS found FROM part WHERE p_partkey < 200 GROUP BY 1")
 def paged_listing(spark, sf):
     """Pages of a registered data source: one partition for each search, cursors followed inside it."""
-    rows = table(spark, sf, "part").filter("p_partkey < 200").select("p_brand", "p_partkey", "p_name").collect()
+    return _paged(spark, table(spark, sf, "part").filter("p_partkey < 200"), "parts")
+
+
+@query("S1 S2 S3 S9 U1 U2 K18", None)
+def paged_listing_whole(spark, sf):
+    """The same over all parts."""
+    return _paged(spark, table(spark, sf, "part"), "all_parts")
+
+
+def _paged(spark, part, name):
+    rows = part.select("p_brand", "p_partkey", "p_name").collect()
     stored: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: r.p_partkey):
         stored.setdefault(r.p_brand, []).append({"id": r.p_partkey, "title": r.p_name, "url": f"https://example.org/{r.p_partkey}"})
     fetch = lambda search, cursor: (stored[search.text], int(cursor or 0))
     read = lambda payload: (payload[0][payload[1] : payload[1] + 3], str(payload[1] + 3) if payload[1] + 3 < len(payload[0]) else None)
-    source = readers.PageSource("parts", fetch, read, searches=[readers.Search(b, b) for b in sorted(stored)])
+    source = readers.PageSource(name, fetch, read, searches=[readers.Search(b, b) for b in sorted(stored)])
     registry = readers.Registry()
     registry.add(source, ["example.org"])
-    spark.dataSource.register(readers.listing_source("lexloom_parts", source, 10_000))
-    return spark.read.format("lexloom_parts").load().groupBy("search_name").agg(F.count(F.lit(1)).alias("found"))
+    most = max(map(len, stored.values()), default=0)
+    spark.dataSource.register(readers.listing_source(f"lexloom_{name}", source, max(10_000, most * len(stored))))
+    return spark.read.format(f"lexloom_{name}").load().groupBy("search_name").agg(F.count(F.lit(1)).alias("found"))
 
 
 @query("K2 K13 K14 U4", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0")

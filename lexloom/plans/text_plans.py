@@ -278,6 +278,16 @@ def role_components(spark, sf):
     return demand.resolver(pairs, checkpoint=cut_lineage)
 
 
+@query("G2 T8", None)
+def role_components_whole(spark, sf):
+    """Every part linked to the part fifty keys on, but for one key in seven: chains over the whole table."""
+    name = lambda c: F.concat(F.lit("t"), c.cast("string"))
+    pairs = table(spark, sf, "part").filter("p_partkey % 7 <> 0").select(name(F.col("p_partkey")).alias("token_a"), name(F.col("p_partkey") + 50).alias("token_b"), F.lit(1).alias("support"))
+    from ..session import cut_lineage
+
+    return demand.resolver(pairs, checkpoint=cut_lineage)
+
+
 @query("G1 A16 T9 T10 K8", "SELECT 'developer' AS token_a, 'разработчик' AS token_b, CAST(count(*) AS BIGINT) AS support FROM nation")
 def equivalence_mining(spark, sf):
     tracks = table(spark, sf, "nation").select(F.col("n_nationkey").alias("track"), F.array(F.lit("Senior Backend Developer"), F.lit("Backend разработчик"), F.concat(F.lit("Backend Developer "), "n_name")).alias("titles"))

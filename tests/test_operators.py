@@ -68,6 +68,44 @@ def test_demand_is_shared_whatever_the_order(spark):
         assert units.count() == 1 and rows(subscriptions, "unit_id", "user_id") == [("id1", "u1"), ("id1", "u2")]
 
 
+def test_registered_queries_read_the_whole_part_table(spark):
+    from collections import Counter
+
+    from lexloom import registry
+    from lexloom.functions import json as j
+    from lexloom.functions import text as t
+
+    sf = "/root/testdata/sf0.01"
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    rows_ = part.select("p_partkey", "p_brand", "p_name", "p_type", t.search_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("tokens")).withColumn("unit_id", j.unit_identity(F.col("p_brand"), F.lit("{}"), F.col("tokens"))).collect()
+    similar = lambda a, b: max(demand._jaccard(set(a), set(b)), demand._jaccard(demand._grams(a), demand._grams(b)))
+    units, want = {}, set()
+    for r in sorted(rows_, key=lambda r: (r.p_brand, r.p_partkey % 40, r.unit_id)):
+        known = units.setdefault(r.p_brand, {})
+        likely = [] if r.unit_id in known else [x for x in ((similar(u, r.tokens), k) for k, u in known.items()) if x[0] >= 0.6]
+        unit = min(likely, key=lambda x: (-x[0], x[1]))[1] if likely else r.unit_id
+        known.setdefault(unit, r.tokens)
+        want.add((unit, r.p_partkey % 40, r.p_brand))
+    assert set(rows(registry.QUERIES["demand_units"](spark, sf), "unit_id", "user_id", "platform")) == want
+
+    assert dict(rows(registry.QUERIES["paged_listing_whole"](spark, sf), "search_name", "found")) == Counter(r.p_brand for r in rows_)
+
+    owner: dict[int, int] = {}
+
+    def root(x):
+        while owner.setdefault(x, x) != x:
+            x = owner[x]
+        return x
+
+    for r in rows_:
+        if r.p_partkey % 7:
+            owner[root(r.p_partkey + 50)] = root(r.p_partkey)
+    groups: dict[int, list] = {}
+    for x in list(owner):
+        groups.setdefault(root(x), []).append(f"t{x}")
+    assert rows(registry.QUERIES["role_components_whole"](spark, sf), "token", "representative") == sorted((x, min(g)) for g in groups.values() for x in g)
+
+
 def test_transitions(spark):
     m = spark.createDataFrame([(1, "scored", None), (2, "scored", None), (3, "applied", NOW)], "id int, state string, delivered_at timestamp_ntz")
     moves = spark.createDataFrame([(1, "scored", "alerted"), (2, "queued", "scored"), (3, "applied", "matched")], "id int, source string, target string")
