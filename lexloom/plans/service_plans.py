@@ -80,6 +80,16 @@ def status_text(spark, sf):
 @query("T2 T11 T12", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}]')) AS letters FROM documents WHERE NOT regexp_matches(text, '[0-9@/:]') AND NOT regexp_matches(lower(text), 'contact|mail|phone|telegram|whatsapp')")
 def clean_text(spark, sf):
     d = table(spark, sf, "documents").filter(~F.col("text").rlike("[0-9@/:]") & ~F.lower("text").rlike("contact|mail|phone|telegram|whatsapp"))
+    return _letters(d)
+
+
+@query("T2 T11 T12", None)
+def clean_text_whole(spark, sf):
+    """The same over all documents, those with something to remove included."""
+    return _letters(table(spark, sf, "documents"))
+
+
+def _letters(d):
     return d.select("doc_id", F.size(t.words(t.nfkc(t.relevance_text(F.col("text"))), r"\p{L}")).cast("long").alias("letters"))
 
 
@@ -109,7 +119,8 @@ def evidence_claims(spark, sf):
 @query("P15 P16", None)
 def structured_cvs(spark, sf):
     """Documents of enough letters read as CVs."""
-    d = table(spark, sf, "documents").filter(F.length(F.regexp_replace("text", r"\s", "")) >= 120).select("doc_id", "text")
+    # every letter that Python takes for a space
+    d = table(spark, sf, "documents").filter(F.length(F.regexp_replace("text", r"[\s\x1c-\x1f\x85\p{Z}]", "")) >= 100).select("doc_id", "text")
 
     @F.pandas_udf("struct<name:string,headline:string,sections:int,blocks:int>")
     def read(texts):

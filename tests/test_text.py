@@ -142,3 +142,33 @@ def test_full_text(spark):
 def test_decoding(spark):
     assert value(spark, d.decode_bytes(F.lit(bytearray("привет".encode("cp1251"))))) == "привет"
     assert value(spark, d.decode_bytes(F.lit(bytearray("привет".encode())))) == "привет"
+
+
+def test_clean_text_over_all_documents_equals_brute_force(spark):
+    import re
+    import unicodedata
+
+    from lexloom import registry
+
+    sf = "/root/testdata/sf0.01"
+
+    def letters(text):
+        kept = [x for x in re.split(r"\r?\n", text) if not re.search(r"(?<!\w)(?:contacts?|e-?mail|phone|telegram|whatsapp)(?!\w)|контакт|почт|телефон", x, re.IGNORECASE)]
+        out = "\n".join(kept)
+        for pattern in (r"(?<!\w)[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?!\w)", r"(?i)(?<!\w)(?:https?://|www\.)\S+", r"(?:\+?\d[\s().-]*){7,}"):
+            out = re.sub(pattern, " ", out, flags=re.ASCII)
+        return sum(unicodedata.category(x)[0] == "L" for x in unicodedata.normalize("NFKC", out).lower())
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.letters for r in registry.QUERIES["clean_text_whole"](spark, sf).collect()}
+    assert got == {k: letters(x or "") for k, x in texts.items()}
+    assert sum(got[k] < sum(unicodedata.category(c)[0] == "L" for c in unicodedata.normalize("NFKC", x or "").lower()) for k, x in texts.items()) > 10
+
+
+def test_structured_cvs_take_texts_of_a_hundred_letters(spark, tmp_path):
+    from lexloom import registry
+
+    texts = [(k, "ab " * (n // 2) + "c" * (n % 2)) for k, n in enumerate((0, 99, 100, 119, 120))] + [(5, "\x1c\x85\xa0 " * 40), (6, "\x1c\x85\xa0 " * 40 + "d" * 100), (7, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["structured_cvs"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [2, 3, 4, 6]
