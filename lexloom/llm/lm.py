@@ -1,27 +1,34 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of words.
 
-Each word is drawn from the restaurant of its context.  Contexts form three levels: the last
-two bytes of the word before (leaf), its last byte (middle), and no context (root); sibling
-restaurants share their parent, whose customers are their tables, and the root's parent is
-uniform over the vocabulary and one unknown word.  Seating is sampled: customers of a dish
-join its tables or open a new one with the Chinese-restaurant probabilities, and Gibbs sweeps
-seat all dishes anew given the tables of the restaurants as the last sweep left them.  After
-burn-in, predictive probabilities are averaged over the sweeps, and a text's score is the sum
-of the log10 of the averages.
+Each word is drawn from the restaurant of its context, the whole word before it (a text's begin
+has one too).  All context restaurants share one parent: their tables are the customers of the
+root restaurant, whose own parent is uniform over the vocabulary and one unknown word.  Contexts
+are told apart by 40 bits of a hash of the word, words by themselves.
+
+Seating is sampled.  Customers arrive one after another; then, in every round of a Gibbs sweep,
+one customer of each dish, chosen at random, leaves its table and is seated again given all
+others: at a table of its dish with a weight (customers there - discount), or at a new one with a
+weight (strength + discount * tables of the restaurant) * parent probability.  A table that opens
+or empties adds or takes a customer of the root, where the same moves follow.  Rounds are the same
+for dishes of any size; a dish of one customer can only sit as it does.  After burn-in, predictive
+probabilities are averaged over sweeps, each with the restaurant totals of its own seating, and a
+text's score is the sum of the log10 of the averages.
 
 Distribution.  A block is a run of documents: it sends each word bucket its distinct words
 and (context, word) pairs with their training counts.  A bucket (by hash of the word) has all
-counts of its words, so it seats all three levels of its dishes alone; only the totals of
-the restaurants, at most 65,536 + 256 + 3 of them, are summed over buckets between sweeps and
-sent to all.  Each bucket answers the blocks' pairs with averaged probabilities, and blocks add them
-up.  Messages are packed arrays, and a block or bucket never exceeds a bounded size; all
-training documents count, and counts gathered grow with the input.
+dishes of its words and their root dishes, so a table and the customer it sends up are in one
+place.  A context's dishes are spread over buckets: its totals are added up in context groups
+(by hash), which every bucket sends its contexts' tables after each sweep and which answer with
+the sums; within a sweep a bucket sees its own changes and the others' last totals.  Only sums
+over everything reach the driver.  Each bucket answers the blocks' pairs, and blocks add them up.
+A row is packed arrays of one block, bucket or group, all of bounded size but for one thing: a
+bucket holds one entry for each distinct context of a word, however often the two meet.
 
 Tokens: words between ASCII white space, A-Z in lower case, then one end.  Defined results:
 a null text counts as empty (its end is its one token); a null identifier counts as empty
 text for the split and is returned as null; repeated rows are trained on and scored one by
 one; without training rows nothing is known and the base is uniform; an empty table gives
-an empty result; other columns are not read.
+an empty result; other columns are not read; very long texts are blocks of their own.
 """
 
 from __future__ import annotations
@@ -31,71 +38,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, materialize
+from .common import Table
 
 #: Tokens of a block.
 BLOCK_TOKENS = 2_500_000
 #: Bytes of text for each bucket of words.
-BUCKET_BYTES = 24 << 20
-SWEEPS, SAMPLES = 2, 3
+BUCKET_BYTES = 20 << 20
+SWEEPS, SAMPLES, ROUNDS = 2, 3, 4
 STRENGTH = 1.0
 SMOOTHING = 0.1
-#: Customers seated one by one; beyond them in steps of a part of those seated.
-SINGLE, STEP = 48, 16
-START = 65536  # the context of a text's first word
-LEAVES = 65537
+BITS = 40  # of a context's hash
+BEGIN = (1 << BITS) - 1  # the context of a text's first word
 END = b"\n"
+#: Log10 probabilities are exchanged in units of 1 / FINE.
+FINE = 1 << 27
 
+ROW = "kind int, a long, bucket int, data array<binary>, sums array<long>"
+#: Kinds of rows.  a: the block, block, sweep, group, group, and group.
+DOCUMENTS, ASKED, STATE, CONTEXTS, TABLES, TOTALS = range(6)
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers of 0 and more, in as few bytes each as the largest needs, compressed."""
+    most = int(x.max()) if len(x) else 0
+    size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{size}").tobytes())
 
-def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
+def unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), f"<u{x[0]}").astype(np.int64)
 
-def _deltas(x: np.ndarray) -> np.ndarray:
-    """Differences of a rising array, as uint32."""
-    return np.diff(x, prepend=0).astype(np.uint32)
 
+def rising(x: np.ndarray) -> np.ndarray:
+    """Differences of an array that never falls."""
+    return np.diff(x, prepend=0)
 
-def leaf_of(word: bytes) -> int:
-    """The context a word gives to the next one: its last two bytes (one: that byte alone)."""
-    return (word[-2] << 8 | word[-1]) if len(word) > 1 else word[-1]
 
+def context_of(word: bytes) -> int:
+    return min(xxhash.xxh64_intdigest(word) >> (64 - BITS), BEGIN - 1)
 
-def middle_of(leaf: np.ndarray) -> np.ndarray:
-    """The middle restaurant of a leaf: the last byte; 256 at the start of a text."""
-    return np.where(leaf == START, 256, leaf & 255)
+
+def _five_bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five_bytes(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return out.view("<i8").ravel()
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in ROW.split(", ")])
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)])
 
 
 class _Words(dict):
-    def __init__(self):
-        super().__init__()
-        self.leaf: list[int] = []
+    """Words by number, in the order of their first use."""
 
     def __missing__(self, word: bytes) -> int:
         self[word] = code = len(self)
-        self.leaf.append(leaf_of(word))
         return code
 
 
-BLOCKS = "block long, bucket int, words binary, pair_words binary, leaves binary, counts binary, docs binary, tokens binary, ids binary"
-
-
 def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str, train_on) -> DataFrame:
-    """Rows of two kinds: a block's message to a bucket, and (bucket -1) what its documents hold."""
+    """Rows ASKED: a block's words and pairs of a bucket; DOCUMENTS: what its documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        held: list[tuple[bytes, np.ndarray]] = []
+        held: list[np.ndarray] = []
         words, sizes, trains, idents = _Words(), [], [], []
         seq = total = 0
 
@@ -105,44 +128,37 @@ def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str, train_on)
             codes = np.concatenate(held)
             names = list(words)
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in names), np.int64, len(names))
-            # words in the order of their buckets
-            order = np.lexsort((np.arange(len(names)), bucket))
+            order = np.argsort(bucket, kind="stable")  # words in the order of their buckets
             rank = np.empty(len(names), np.int64)
             rank[order] = np.arange(len(names))
-            leaf_code = np.array(words.leaf, np.int64)
             size = np.array(sizes, np.int64)
             first = np.cumsum(size) - size
-            leaf = np.append(START, leaf_code[codes[:-1]])
-            leaf[first] = START
-            pairs, back = np.unique(rank[codes] * LEAVES + leaf, return_inverse=True)
-            doc = np.repeat(np.arange(len(size)), size)
-            counts = np.bincount(back, np.repeat(np.array(trains, np.int64), size), len(pairs)).astype(np.uint32)
-            pair_word, pair_leaf = pairs // LEAVES, pairs % LEAVES
-            bucket = bucket[order]
+            before = np.append(0, codes[:-1] + 1)
+            before[first] = 0
+            pairs, back = np.unique(rank[codes] * (len(names) + 1) + before, return_inverse=True)
+            counts = np.bincount(back, np.repeat(np.array(trains, np.int64), size), len(pairs)).astype(np.int64)
+            pair_word, before = pairs // (len(names) + 1), pairs % (len(names) + 1)
+            context = np.fromiter((BEGIN, *map(context_of, names)), np.int64, len(names) + 1)[before]
             names = [names[k] for k in order.tolist()]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             pair_edges = np.searchsorted(pair_word, edges)
             rows = []
-            for b in range(buckets):
+            for b in np.flatnonzero(np.diff(edges)).tolist():
                 w0, w1, p0, p1 = edges[b], edges[b + 1], pair_edges[b], pair_edges[b + 1]
-                if w1 > w0:
-                    text = zstandard.ZstdCompressor(level=1).compress(b" ".join(names[w0:w1]))
-                    rows.append((number, b, text, _pack(_deltas(pair_word[p0:p1] - w0)), _pack(pair_leaf[p0:p1].astype(np.uint32)), _pack(counts[p0:p1]), None, None, None))
-            # each document's pairs, sorted, as differences
-            key = np.sort(doc * len(pairs) + back)
-            inside = key - doc * len(pairs)
-            jump = np.diff(inside, prepend=0)
-            jump[first] = inside[first]
+                text = zstandard.ZstdCompressor(level=1).compress(b" ".join(names[w0:w1]))
+                rows.append((ASKED, number, b, [text, pack(rising(pair_word[p0:p1] - w0)), _five_bytes(context[p0:p1]), pack(counts[p0:p1])], None))
             ids = pa.array(idents, pa.int64())
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as writer:
                 writer.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
-            rows.append((number, -1, None, _pack(_deltas(pair_word)), _pack(edges), None, _pack(np.stack([size, np.array(trains, np.int64)])), _pack(jump.astype(np.uint32)), sink.getvalue().to_pybytes()))
+            # each document's pairs in order, as differences that begin anew
+            key = np.sort(np.repeat(np.arange(len(size)) * len(pairs), size) + back) % len(pairs)
+            jump = np.diff(key, prepend=0)
+            jump[first] = key[first]
+            rows.append((DOCUMENTS, number, -1, [pack(rising(pair_word)), pack(size), pack(np.array(trains, np.int64)), pack(jump), sink.getvalue().to_pybytes()], None))
             words, held, sizes, trains, idents = _Words(), [], [], [], []
             seq, total = seq + 1, 0
-            cols = list(zip(*rows, strict=True))
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            return _batch(rows)
 
         for batch in batches:
             for begin in range(0, batch.num_rows, 200):
@@ -150,299 +166,397 @@ def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str, train_on)
                 for ident, text, train in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     tokens = (text or "").encode().lower().split()
                     tokens.append(END)
-                    codes = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-                    held.append(codes)
-                    sizes.append(len(codes))
+                    held.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
+                    sizes.append(len(tokens))
                     trains.append(bool(train))
                     idents.append(ident)
-                    total += len(codes)
+                    total += len(tokens)
                     if total >= BLOCK_TOKENS:
                         yield flush()
         if held:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), train_on.alias("train")).mapInArrow(run, BLOCKS)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(train_on, F.lit(False)).alias("train")).mapInArrow(run, ROW)
+
+
+class Pairs:
+    """The distinct pairs of a bucket over all its messages; the same on every reading, as messages are read by block."""
+
+    def __init__(self, messages: list[dict]):
+        messages = sorted(messages, key=lambda m: m["a"])
+        words = _Words()
+        keys, counts, self.codes = [], [], []
+        for m in messages:
+            names, pair_word, context, count = m["data"]
+            names = zstandard.ZstdDecompressor().decompress(names).split(b" ")
+            code = np.fromiter(map(words.__getitem__, names), np.int64, len(names))
+            self.codes.append(code)
+            keys.append(code[np.cumsum(unpack(pair_word))] << BITS | _from_five_bytes(context))
+            counts.append(unpack(count))
+        if len(words) >= 1 << (63 - BITS):
+            raise ValueError("a bucket holds too many words: lower bucket_bytes")
+        self.blocks = [m["a"] for m in messages]
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        self.back = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
+        self.words = words
+        self.word, self.count = key >> BITS, np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        #: all contexts, rising, and the place of each pair's there
+        self.contexts, self.at = np.unique(key & BEGIN, return_inverse=True)
+        self.known = np.bincount(self.word, self.count, len(words)).astype(np.int64)
+
+
+class Seating:
+    """Customers at tables; tables stand in the order of their dishes."""
+
+    def __init__(self, tables: np.ndarray, customers: np.ndarray):
+        """tables: of each dish; customers: of each table."""
+        self.dishes, self.n = len(tables), customers
+        self.of = np.repeat(np.arange(len(tables)), tables)
+
+    @property
+    def tables(self) -> np.ndarray:
+        return np.bincount(self.of, minlength=self.dishes)
+
+    @property
+    def customers(self) -> np.ndarray:
+        return np.bincount(self.of, self.n, self.dishes).astype(np.int64)
+
+    def arrive(self, more: np.ndarray, opening, discount: float, rng: np.random.Generator) -> np.ndarray:
+        """Seat new customers of the dishes; opening(dishes, tables opened) gives the weight of a new table.
+
+        The wait for the next new table has probabilities n/(n+a) * (n+1)/(n+1+a) * ...; it is drawn
+        at once, by its smooth form.  Those who came meanwhile share the dish's tables.  Only a begin
+        for the moves: these set the seating right.  Returns the tables opened for each dish.
+        """
+        seated, tables, left = self.customers, self.tables, more.copy()
+        opened = np.zeros(self.dishes, np.int64)
+        who = np.flatnonzero(left > 0)
+        while len(who):
+            a = np.maximum(opening(who, opened[who]), 1e-300)
+            joining = np.maximum(seated[who] - discount * tables[who], 0)
+            with np.errstate(over="ignore"):
+                wait = (joining + a / 2) * np.expm1(np.minimum(-np.log1p(-rng.random(len(who))) / a, 700.0))
+            wait = np.where(tables[who] == 0, 0, np.minimum(wait, left[who])).astype(np.int64)
+            opens = wait < left[who]
+            came = wait + opens
+            seated[who] += came
+            left[who] -= came
+            tables[who] += opens
+            opened[who] += opens
+            who = who[opens & (left[who] > 0)]
+        self._insert(np.repeat(np.arange(self.dishes), opened))
+        joined = more - opened
+        if joined.any():
+            weight = rng.standard_gamma(np.maximum(self.n - discount, 1e-3)) + 1e-3
+            upto = np.cumsum(weight)
+            first, last = self._edges()
+            base = np.where(first > 0, upto[first - 1], 0.0)
+            some = last >= first
+            whole = np.ones(self.dishes)
+            whole[some] = (upto[np.maximum(last, 0)] - base)[some]
+            part = np.rint(np.clip((upto - base[self.of]) / whole[self.of], 0, 1) * joined[self.of]).astype(np.int64)
+            part[last[some]] = joined[some]
+            self.n = self.n + np.where(np.arange(len(part)) == first[self.of], part, np.diff(part, prepend=0))
+        return opened
+
+    def _edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last table of each dish; last < first where it has none."""
+        last = np.cumsum(self.tables) - 1
+        return np.append(0, last[:-1] + 1) if len(last) else last, last
+
+    def _insert(self, dishes: np.ndarray) -> None:
+        """A new table of one customer for each of the dishes, after their others."""
+        if len(dishes):
+            place = np.searchsorted(self.of, dishes, "right")
+            self.n, self.of = np.insert(self.n, place, 1), np.insert(self.of, place, dishes)
+
+    def leave(self, less: np.ndarray, rng: np.random.Generator) -> None:
+        """That many customers of each dish, chosen at random, go."""
+        if not less.any():
+            return
+        customers = self.customers
+        begin = np.cumsum(customers) - customers
+        gone, missing = np.zeros(0, np.int64), less
+        while missing.any():  # numbers drawn twice are drawn again
+            who = np.repeat(np.arange(self.dishes), missing)
+            drawn = begin[who] + (rng.random(len(who)) * customers[who]).astype(np.int64)
+            gone = np.unique(np.append(gone, drawn))
+            missing = less - np.diff(np.searchsorted(gone, np.append(begin, begin[-1] + customers[-1])))
+        self.n = self.n - np.bincount(np.searchsorted(np.cumsum(self.n), gone, "right"), minlength=len(self.n))
+        self._drop_empty()
+
+    def _drop_empty(self) -> None:
+        some = self.n > 0
+        if not some.all():
+            self.n, self.of = self.n[some], self.of[some]
+
+    def move(self, opening, discount: float, rng: np.random.Generator) -> np.ndarray:
+        """One customer of each dish of two or more leaves and is seated again given all others.
+
+        opening(dishes, tables emptied): the weight of a new table then.  Returns the change of tables.
+        """
+        n = self.n
+        change = np.zeros(self.dishes, np.int64)
+        customers, tables = self.customers, self.tables
+        who = np.flatnonzero(customers > 1)
+        if not len(who):
+            return change
+        upto = np.cumsum(n)
+        left = np.searchsorted(upto, (np.cumsum(customers) - customers)[who] + (rng.random(len(who)) * customers[who]).astype(np.int64), "right")
+        n[left] -= 1
+        empty = n[left] == 0
+        joining = customers[who] - 1 - discount * (tables[who] - empty)
+        new = rng.random(len(who)) * (joining + (a := opening(who, empty))) < a
+        first, last = self._edges()
+        share = np.cumsum(np.where(n > 0, n - discount, 0.0))
+        old = who[~new]
+        base = np.where(first[old] > 0, share[first[old] - 1], 0.0)
+        joined = np.searchsorted(share, base + rng.random(len(old)) * joining[~new], "right")
+        n[np.clip(joined, first[old], last[old])] += 1
+        n[left[new & empty]] += 1
+        self._insert(who[new & ~empty])
+        self._drop_empty()
+        change[who] = new.astype(np.int64) - empty
+        return change
+
+
+class Sums:
+    """What is added up over all buckets, and what follows from it."""
+
+    FIELDS = ("tokens", "vocabulary", "ones", "twos", "customers", "tables", "root_ones", "root_twos")
+
+    def __init__(self, values: list[int]):
+        for name, value in zip(self.FIELDS, values, strict=True):
+            setattr(self, name, value or 0)
+        self.uniform = 1.0 / (self.vocabulary + 1)
+        self.discount, self.root_discount = (float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a else 0.5 for a, b in ((self.ones, self.twos), (self.root_ones, self.root_twos)))
 
 
-class Level:
-    """Dishes of the restaurants of one level: restaurant, word, customers, tables."""
+class Bucket:
+    """The seating of a bucket's words: pairs of two customers and more, the single ones' constant tables, and the root's dishes.
 
-    def __init__(self, restaurant: np.ndarray, word: np.ndarray, customers: np.ndarray, tables: np.ndarray | None = None):
-        self.restaurant, self.word, self.customers = restaurant, word, customers
-        self.tables = np.ones(len(word), np.int64) if tables is None else tables
+    contexts: how many the bucket has; word, at, count: of each pair seated; alone: pairs of one
+    customer of each word; tables_alone: those of each context.
+    """
 
-    def parents(self, restaurant: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct dishes of the level above, and the place there of each dish here."""
-        key, back = np.unique(self.word * n + restaurant, return_inverse=True)
-        return key % n, key // n, back
+    def __init__(self, contexts: int, word, at, count, alone, tables_alone, leaf: Seating, root: Seating):
+        self.contexts, self.word, self.at, self.count, self.alone, self.tables_alone, self.leaf, self.root = contexts, word, at, count, alone, tables_alone, leaf, root
 
+    @classmethod
+    def begun(cls, p: Pairs) -> Bucket:
+        """The first customer of each pair sits, at the root one for each word."""
+        more, one = p.count > 1, p.count == 1
+        alone = np.bincount(p.word[one], minlength=len(p.words))
+        pairs = alone + np.bincount(p.word[more], minlength=len(p.words))
+        n = int(more.sum())
+        leaf = Seating(np.ones(n, np.int64), np.ones(n, np.int64))
+        root = Seating((pairs > 0).astype(np.int64), np.ones(int((pairs > 0).sum()), np.int64))
+        return cls(len(p.contexts), p.word[more], p.at[more], p.count[more], alone, np.bincount(p.at[one], minlength=len(p.contexts)), leaf, root)
 
-def seat(customers: np.ndarray, parent: np.ndarray, totals: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after seating its customers one after another.
+    @classmethod
+    def read(cls, data: list[bytes]) -> Bucket:
+        word, at, count, alone, tables_alone, *seats = map(unpack, data)
+        return cls(len(tables_alone), np.cumsum(word), at, count, alone, tables_alone, Seating(*seats[:2]), Seating(*seats[2:]))
 
-    A customer opens a table with a weight (strength + discount * tables of the restaurant) *
-    parent probability, and joins one with a weight (customers - discount * tables) of the
-    dish.  tables, totals: the dish's own and the restaurant's tables before; the other dishes
-    of the restaurant keep theirs.  Beyond SINGLE customers of a dish, steps of a STEPth of
-    those seated draw the number of new tables at the probability of the step's begin.
-    """
-    others = np.maximum(totals - tables, 0)
-    out = np.minimum(customers, 1)
-    left = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(left):
-        step = 1 if seated < SINGLE else max(1, seated // STEP)
-        t = out[left].astype(np.float64)
-        opening = (STRENGTH + discount * (others[left] + t)) * parent[left]
-        chance = opening / (opening + np.maximum(seated - discount * t, 1e-9))
-        n = np.minimum(step, customers[left] - seated)
-        out[left] += rng.random(len(left)) < chance if step == 1 else rng.binomial(n, chance)
-        seated += step
-        left = left[customers[left] > seated]
-    return out
+    def written(self) -> list[bytes]:
+        return [pack(x) for x in (rising(self.word), self.at, self.count, self.alone, self.tables_alone, self.leaf.tables, self.leaf.n, self.root.tables, self.root.n)]
 
+    def own_tables(self) -> np.ndarray:
+        """Tables of each context in this bucket."""
+        return self.tables_alone + np.bincount(self.at, self.leaf.tables, self.contexts).astype(np.int64)
 
-class Bucket:
-    """All counts of a bucket's words, and their seating at the three levels."""
-
-    def __init__(self, leaf: np.ndarray, word: np.ndarray, count: np.ndarray, tables: list[np.ndarray] | None = None):
-        self.leaf = Level(leaf, word, count)
-        r, w, self.to_middle = self.leaf.parents(middle_of(leaf), 257)
-        self.middle = Level(r, w, np.zeros(len(w), np.int64))
-        _, w, self.to_root = self.middle.parents(np.zeros(len(w), np.int64), 1)
-        self.root = Level(np.zeros(len(w), np.int64), w, np.zeros(len(w), np.int64))
-        self.levels = [self.leaf, self.middle, self.root]
-        if tables:
-            for level, t in zip(self.levels, tables, strict=True):
-                level.tables = t
-        self._customers()
-
-    def _customers(self) -> None:
-        self.middle.customers = np.bincount(self.to_middle, self.leaf.tables, len(self.middle.word)).astype(np.int64)
-        self.middle.tables = np.clip(self.middle.tables, 1, self.middle.customers)
-        self.root.customers = np.bincount(self.to_root, self.middle.tables, len(self.root.word)).astype(np.int64)
-        self.root.tables = np.clip(self.root.tables, 1, self.root.customers)
-
-    def totals(self) -> np.ndarray:
-        """(level, restaurant, customers, tables, dishes of one, dishes of two customers), a column each."""
-        out = []
-        for k, x in enumerate(self.levels):
-            ids, back = np.unique(x.restaurant, return_inverse=True)
-            sums = [np.bincount(back, v, len(ids)).astype(np.int64) for v in (x.customers, x.tables, x.customers == 1, x.customers == 2)]
-            out.append(np.stack([np.full(len(ids), k), ids, *sums]))
-        return np.concatenate(out, 1)
-
-    def predictive(self, g: Totals) -> list[np.ndarray]:
-        """Probabilities of each level's dishes in their restaurants."""
-        p = [None, None, None]
-        p[2] = g.kept(2, self.root) + g.spare(2, self.root.restaurant) * g.uniform
-        p[1] = g.kept(1, self.middle) + g.spare(1, self.middle.restaurant) * p[2][self.to_root]
-        p[0] = g.kept(0, self.leaf) + g.spare(0, self.leaf.restaurant) * p[1][self.to_middle]
-        return p
-
-    def sweep(self, g: Totals, rng: np.random.Generator) -> None:
-        """Seat all dishes anew, from the leaves to the root."""
-        p = self.predictive(g)
-        above = [p[1][self.to_middle], p[2][self.to_root], np.full(len(self.root.word), g.uniform)]
-        for k, level in enumerate(self.levels):
-            level.tables = seat(level.customers, above[k], g.tables[k][level.restaurant], level.tables, g.discount[k], rng)
-            if k == 0:
-                self.middle.customers = np.bincount(self.to_middle, level.tables, len(self.middle.word)).astype(np.int64)
-            elif k == 1:
-                self.root.customers = np.bincount(self.to_root, level.tables, len(self.root.word)).astype(np.int64)
-
-
-class Totals:
-    """Sums over all buckets: customers and tables of every restaurant, and what follows from them."""
-
-    def __init__(self, rows: np.ndarray, vocabulary: int):
-        self.uniform = 1.0 / (vocabulary + 1)
-        self.customers, self.tables, self.discount = [], [], []
-        for k, n in enumerate((LEAVES, 257, 1)):
-            c, t = np.zeros(n), np.zeros(n)
-            x = rows[:, rows[0] == k]
-            c[x[1]], t[x[1]] = x[2], x[3]
-            ones, twos = x[4].sum(), x[5].sum()
-            self.customers.append(c)
-            self.tables.append(t)
-            self.discount.append(float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5)
-
-    def kept(self, k: int, level: Level) -> np.ndarray:
-        return (level.customers - self.discount[k] * level.tables) / (STRENGTH + self.customers[k][level.restaurant])
-
-    def spare(self, k: int, restaurant: np.ndarray) -> np.ndarray:
-        """What a restaurant leaves to its parent."""
-        return (STRENGTH + self.discount[k] * self.tables[k][restaurant]) / (STRENGTH + self.customers[k][restaurant])
-
-
-STATE = "bucket int, words binary, leaf binary, word binary, count binary, tables array<binary>, known binary, totals array<long>"
-
-
-def _merge(messages: DataFrame) -> DataFrame:
-    """One row for each bucket: its words, the training counts of its pairs, and a first seating."""
+    def customers_due(self) -> np.ndarray:
+        """Customers that the leaves' tables send each root dish."""
+        return self.alone + np.bincount(self.word, self.leaf.tables, len(self.alone)).astype(np.int64)
+
+    def root_probability(self, s: Sums, customers: float, tables: float) -> np.ndarray:
+        return (self.root.customers - s.root_discount * self.root.tables + (STRENGTH + s.root_discount * tables) * s.uniform) / (STRENGTH + customers)
+
+    def sweep(self, s: Sums, totals: np.ndarray, rounds: int, rng: np.random.Generator) -> None:
+        """Seat those who have not come yet, then rounds of moves; totals: tables of each context in all buckets."""
+        totals = totals.astype(np.float64)
+        customers, tables = float(s.customers), float(s.tables)
+
+        def follow(change: np.ndarray) -> None:
+            """The root after a change of the leaves' tables."""
+            nonlocal totals, customers, tables
+            totals += np.bincount(self.at, change, self.contexts)
+            move = self.customers_due() - self.root.customers
+            self.root.leave(np.maximum(-move, 0), rng)
+            opened = self.root.arrive(np.maximum(move, 0), at_root, s.root_discount, rng)
+            customers += move.sum()
+            tables = max(0.0, tables + opened.sum() + self.root.move(at_root, s.root_discount, rng).sum())
+
+        def at_root(dishes, _):
+            return np.full(len(dishes), (STRENGTH + s.root_discount * tables) * s.uniform)
+
+        def at_leaf(sign: int):
+            above = self.root_probability(s, customers, tables)
+            return lambda dishes, k: (STRENGTH + s.discount * (totals[self.at[dishes]] + sign * k)) * above[self.word[dishes]]
+
+        due = self.count - self.leaf.customers
+        follow(self.leaf.arrive(due, at_leaf(1), s.discount, rng) if due.any() else np.zeros(len(due), np.int64))
+        for _ in range(rounds):
+            follow(self.leaf.move(at_leaf(-1), s.discount, rng))
+
+    def sums(self, known: np.ndarray | None) -> list[int]:
+        """As in Sums; the first four follow from the counts alone and are given once."""
+        c = self.root.customers
+        fixed = [0] * 4 if known is None else [known.sum(), (known > 0).sum(), self.alone.sum(), (self.count == 2).sum()]
+        return [int(x) for x in (*fixed, c.sum(), len(self.root.n), (c == 1).sum(), (c == 2).sum())]
+
+    def predicted(self, p: Pairs, s: Sums, tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """Probabilities of all pairs; tables, customers: of the bucket's contexts, in all buckets."""
+        kept = np.where(p.count == 1, 1 - s.discount, 0.0)
+        kept[p.count > 1] = self.count - s.discount * self.leaf.tables
+        above = self.root_probability(s, s.customers, s.tables)
+        return (kept + (STRENGTH + s.discount * tables[p.at]) * above[p.word]) / (STRENGTH + customers[p.at])
+
+
+def _groups_of(contexts: np.ndarray, groups: int) -> np.ndarray:
+    """Where each group's contexts begin in a rising array of them, and its end."""
+    return np.searchsorted(contexts, [-(-(g << BITS) // groups) for g in range(groups + 1)])
+
+
+def _table_rows(bucket: int, own: np.ndarray, edges: np.ndarray) -> list[tuple]:
+    return [(TABLES, g, bucket, [pack(own[edges[g] : edges[g + 1]])], None) for g in np.flatnonzero(np.diff(edges)).tolist()]
+
+
+def _begin(asked: DataFrame, groups: int) -> DataFrame:
+    """Every bucket's first STATE, its CONTEXTS for the groups, and their TABLES."""
 
     def run(key, table):
-        words: dict[bytes, int] = {}
-        keys, counts = [], []
-        for x in table.select(["words", "pair_words", "leaves", "counts"]).to_pylist():
-            names = zstandard.ZstdDecompressor().decompress(x["words"]).split(b" ")
-            code = np.fromiter((words.setdefault(w, len(words)) for w in names), np.int64, len(names))
-            pair = np.cumsum(_unpack(x["pair_words"], np.uint32).astype(np.int64))
-            n = _unpack(x["counts"], np.uint32)
-            seen = n > 0
-            keys.append((code[pair] * LEAVES + _unpack(x["leaves"], np.uint32))[seen])
-            counts.append(n[seen].astype(np.int64))
-        pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(back, np.concatenate(counts), len(pairs)).astype(np.int64)
-        word, leaf = pairs // LEAVES, pairs % LEAVES
-        bucket = Bucket(leaf, word, count)
-        known = np.bincount(word, count, len(words)).astype(np.int64)
-        return _state(key[0].as_py(), b" ".join(words), bucket, known)
-
-    return messages.groupBy("bucket").applyInArrow(run, STATE)
-
-
-def _state(number: int, words: bytes, bucket: Bucket, known: np.ndarray) -> pa.Table:
-    x = bucket.leaf
-    row = {
-        "bucket": number,
-        "words": zstandard.ZstdCompressor(level=1).compress(words),
-        "leaf": _pack(x.restaurant.astype(np.uint32)),
-        "word": _pack(_deltas(x.word)),
-        "count": _pack(x.customers),
-        "tables": [_pack(level.tables) for level in bucket.levels],
-        "known": _pack(known),
-        "totals": [*bucket.totals().ravel().tolist(), int(known.sum()), int((known > 0).sum())],
-    }
-    types = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.binary()), pa.binary(), pa.list_(pa.int64())]
-    return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), types, strict=True)})
-
-
-def _load(x: dict) -> Bucket:
-    word = np.cumsum(_unpack(x["word"], np.uint32).astype(np.int64))
-    return Bucket(_unpack(x["leaf"], np.uint32).astype(np.int64), word, _unpack(x["count"], np.int64), [_unpack(t, np.int64) for t in x["tables"]])
-
-
-def _sums(state: DataFrame) -> tuple[Totals, int, int]:
-    """Totals of the restaurants (at most 65,795 rows reach the driver), training tokens, vocabulary."""
-    flat = state.select(F.slice("totals", 1, F.size("totals") - 2).alias("t"), F.element_at("totals", -2).alias("n"), F.element_at("totals", -1).alias("v"))
-    n, v = flat.agg(F.sum("n"), F.sum("v")).first()
-    size = F.expr("size(t) div 6")
-    at = F.explode(F.sequence(F.lit(0), size - 1)).alias("k")
-    rows = flat.filter(size > 0).select("t", size.alias("m"), at)
-    cols = [F.expr(f"t[k + {j} * m]").alias(f"c{j}") for j in range(6)]
-    found = rows.select(*cols).groupBy("c0", "c1").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(2, 6)]).toArrow()
-    matrix = np.stack([c.to_numpy() for c in found.columns]).astype(np.int64) if found.num_rows else np.zeros((6, 0), np.int64)
-    return Totals(matrix, v or 0), n or 0, v or 0
-
-
-def _swept(state: DataFrame, g: Totals, sweeps: int, seed: int) -> DataFrame:
-    shared = state.sparkSession.sparkContext.broadcast(g)
+        p = Pairs(table.select(["a", "data"]).to_pylist())
+        bucket = Bucket.begun(p)
+        edges = _groups_of(p.contexts, groups)
+        customers = np.bincount(p.at, p.count, len(p.contexts)).astype(np.int64)
+        number = key[0].as_py()
+        rows = [(STATE, 0, number, [*bucket.written(), pack(edges)], bucket.sums(p.known))]
+        rows += [(CONTEXTS, g, number, [pack(rising(p.contexts[a:b])), pack(customers[a:b])], None) for g, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+        return _table([*rows, *_table_rows(number, bucket.own_tables(), edges)])
+
+    return asked.groupBy("bucket").applyInArrow(run, ROW)
+
+
+def _totals(contexts: DataFrame, tables: DataFrame, groups: int, sweep: int) -> DataFrame:
+    """TOTALS: for each bucket and group, tables and customers of the bucket's contexts over all buckets."""
+
+    def run(key, table):
+        rows = sorted(table.select(["kind", "bucket", "data"]).to_pylist(), key=lambda r: (r["bucket"], r["kind"]))
+        lists = [(np.cumsum(unpack(r["data"][0])), unpack(r["data"][1])) for r in rows if r["kind"] == CONTEXTS]
+        own = [unpack(r["data"][0]) for r in rows if r["kind"] == TABLES]
+        _, back = np.unique(np.concatenate([x for x, _ in lists]), return_inverse=True)
+        t, c = (np.bincount(back, np.concatenate(x)).astype(np.int64)[back] for x in (own, [c for _, c in lists]))
+        edges = np.cumsum([0] + [len(x) for x in own])
+        numbers = [r["bucket"] for r in rows if r["kind"] == TABLES]
+        return _table([(TOTALS, key[0].as_py(), b, [pack(t[i:j]), pack(c[i:j])], [sweep]) for b, i, j in zip(numbers, edges, edges[1:], strict=False)])
+
+    return contexts.union(tables).repartition(groups, "a").groupBy("a").applyInArrow(run, ROW)
+
+
+def _joined(totals: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and customers of all contexts of a bucket."""
+    rows = sorted(totals, key=lambda r: r["a"])
+    return tuple(np.concatenate([unpack(r["data"][k]) for r in rows]) for k in (0, 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x = batch.slice(k, 1).to_pylist()[0]
-                bucket = _load(x)
-                rng = np.random.default_rng([seed, x["bucket"]])
-                for _ in range(sweeps):
-                    bucket.sweep(shared.value, rng)
-                out = _state(x["bucket"], zstandard.ZstdDecompressor().decompress(x["words"]), bucket, _unpack(x["known"], np.int64))
-                yield out.to_batches()[0]
-
-    return state.mapInArrow(run, STATE)
-
-
-ANSWERS = "block long, bucket int, log10 binary, known binary"
-
-
-def _answers(messages: DataFrame, state: DataFrame, g: Totals, samples: int, seed: int) -> DataFrame:
-    """For each block's message: log10 of the averaged probability of its pairs, and its words' counts."""
-    shared = state.sparkSession.sparkContext.broadcast(g)
-
-    def run(key, asked, states):
-        g = shared.value
-        x = states.to_pylist()[0]
-        bucket = _load(x)
-        words = zstandard.ZstdDecompressor().decompress(x["words"]).split(b" ")
-        number = {w: k for k, w in enumerate(words)}
-        known = _unpack(x["known"], np.int64)
-        rng = np.random.default_rng([seed, x["bucket"]])
-        keys = [l.word * n + l.restaurant for l, n in zip(bucket.levels, (LEAVES, 257, 1), strict=True)]
-        queries = []
-        for m in asked.select(["block", "words", "pair_words", "leaves"]).to_pylist():
-            names = zstandard.ZstdDecompressor().decompress(m["words"]).split(b" ")
-            code = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
-            word = code[np.cumsum(_unpack(m["pair_words"], np.uint32).astype(np.int64))]
-            leaf = _unpack(m["leaves"], np.uint32).astype(np.int64)
-            rows = [word * n + r for n, r in ((LEAVES, leaf), (257, middle_of(leaf)), (1, np.zeros(len(leaf), np.int64)))]
-            queries.append((m["block"], code, word, leaf, [_place(k, q) for k, q in zip(keys, rows, strict=True)], np.zeros(len(leaf))))
-        for _ in range(samples):
-            bucket.sweep(g, rng)
-            kept = [np.append(g.kept(k, l), 0.0) for k, l in enumerate(bucket.levels)]
-            for _, _, _, leaf, at, total in queries:
-                p = g.spare(2, np.zeros(1, np.int64))[0] * g.uniform + kept[2][at[2]]
-                p = kept[1][at[1]] + g.spare(1, middle_of(leaf)) * p
-                total += kept[0][at[0]] + g.spare(0, leaf) * p
-        rows = [(block, x["bucket"], _pack(np.log10(total / samples).astype(np.float32)), _pack(known[code])) for block, code, _, _, _, total in queries]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "bucket", "log10", "known"), cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
-
-    return messages.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, ANSWERS)
-
-
-def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in the sorted keys; the one after the last for those not there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, len(keys))
+
+def _swept(state: DataFrame, totals: DataFrame, buckets: int, s: Sums, sweep: int, rounds: int, seed: int) -> DataFrame:
+    """Every bucket's STATE after one more sweep, and its TABLES for the groups."""
+
+    def run(key, table):
+        rows = table.to_pylist()
+        data = next(r["data"] for r in rows if r["kind"] == STATE)
+        bucket, edges, number = Bucket.read(data[:-1]), unpack(data[-1]), key[0].as_py()
+        tables, _ = _joined([r for r in rows if r["kind"] == TOTALS])
+        bucket.sweep(s, tables, rounds, np.random.default_rng([seed, sweep, number]))
+        return _table([(STATE, sweep, number, [*bucket.written(), data[-1]], bucket.sums(None)), *_table_rows(number, bucket.own_tables(), edges)])
+
+    return state.union(totals).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, ROW)
+
+
+def _answers(asked: DataFrame, states: DataFrame, totals: DataFrame, buckets: int, sums: dict[int, Sums]) -> DataFrame:
+    """For each block's message: -log10 of the averaged probabilities of its pairs, and its words' training counts."""
+
+    def run(key, table):
+        rows = table.to_pylist()
+        p = Pairs([r for r in rows if r["kind"] == ASKED])
+        mean = np.zeros(len(p.word))
+        for r in rows:
+            if r["kind"] == STATE:
+                of_sweep = [x for x in rows if x["kind"] == TOTALS and x["sums"][0] == r["a"]]
+                mean += Bucket.read(r["data"][:-1]).predicted(p, sums[r["a"]], *_joined(of_sweep)) / len(sums)
+        fine = np.rint(-np.log10(mean) * FINE).astype(np.int64)
+        return _table([(ASKED, block, key[0].as_py(), [pack(fine[back]), pack(p.known[code])], None) for block, back, code in zip(p.blocks, p.back, p.codes, strict=True)])
+
+    return asked.union(states).union(totals).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, ROW)
 
 
 SCORES = "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _added_up(documents: DataFrame, answers: DataFrame, train_tokens: int, vocabulary: int) -> DataFrame:
-    def run(key, docs, answers):
-        x = docs.to_pylist()[0]
-        got = sorted(answers.to_pylist(), key=lambda a: a["bucket"])
-        log10 = np.concatenate([_unpack(a["log10"], np.float32) for a in got]).astype(np.float64)
-        known = np.concatenate([_unpack(a["known"], np.int64) for a in got])
-        size, train = _unpack(x["docs"], np.int64).reshape(2, -1)
-        pair_word = np.cumsum(_unpack(x["pair_words"], np.uint32).astype(np.int64))
-        jump = _unpack(x["tokens"], np.uint32).astype(np.int64)
-        # differences start anew with each document
+def _added_up(documents: DataFrame, answers: DataFrame, s: Sums) -> DataFrame:
+    def run(key, table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        pair_word, size, train, jump = (unpack(x) for x in rows[0]["data"][:4])
+        log10 = np.concatenate([unpack(r["data"][0]) for r in rows[1:]]) / -FINE
+        known = np.concatenate([unpack(r["data"][1]) for r in rows[1:]])
         first = np.cumsum(size) - size
-        total = np.cumsum(jump)
+        total = np.cumsum(jump)  # differences begin anew with each document
         pair = total - np.repeat(total[first] - jump[first], size)
-        word = pair_word[pair]
-        base = np.log10((known[word] + SMOOTHING) / (train_tokens + SMOOTHING * (vocabulary + 1)))
-        ids = pa.ipc.open_stream(x["ids"]).read_all()["id"]
-        cols = [ids.combine_chunks(), pa.array(train.astype(bool)), pa.array(size), pa.array(np.add.reduceat((known[word] > 0).astype(np.int64), first)), pa.array(np.full(len(size), train_tokens))]
+        count = known[np.cumsum(pair_word)[pair]]
+        base = np.log10((count + SMOOTHING) / (s.tokens + SMOOTHING * (s.vocabulary + 1)))
+        ids = pa.ipc.open_stream(rows[0]["data"][4]).read_all()["id"]
+        cols = [ids.combine_chunks(), pa.array(train.astype(bool)), pa.array(size), pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.full(len(size), s.tokens, np.int64))]
         cols += [pa.array(np.add.reduceat(v, first)) for v in (base, log10[pair])]
         return pa.table(dict(zip([c.split()[0] for c in SCORES.split(", ")], cols, strict=True)))
 
-    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES)
-
-
-def score(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, samples: int = SAMPLES, bucket_bytes: int = BUCKET_BYTES, seed: int = 7) -> DataFrame:
+    return documents.union(answers).groupBy("a").applyInArrow(run, SCORES)
+
+
+class Model:
+    """What training leaves: the blocks' table, the sampled states with their totals, and the sums of each."""
+
+    def __init__(self, docs: DataFrame, train_on, id_col: str, text_col: str, sweeps: int, samples: int, rounds: int, bucket_bytes: int, seed: int):
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+        self.buckets = max(6, -(-size // bucket_bytes))
+        kind = lambda df, k: df.filter(F.col("kind") == k)
+        self.blocks = Table(_blocks(docs, self.buckets, id_col, text_col, train_on), "blocks")
+        self.asked = kind(self.blocks.df(), ASKED)
+        self.documents = kind(self.blocks.df(), DOCUMENTS)
+        begin = Table(_begin(self.asked.repartition(self.buckets, "bucket"), self.buckets), "restaurants")
+        fixed = self._sums(begin)[:4]
+        self.sums: dict[int, Sums] = {}
+        last, s, kept = begin, Sums(fixed + self._sums(begin)[4:]), []
+        for k in range(1, sweeps + samples + 1):
+            contexts, now = kind(begin.df(), CONTEXTS), last.df()
+            totals = _totals(contexts, kind(now, TABLES), self.buckets, k - 1)
+            new = Table(_swept(kind(now, STATE), totals, self.buckets, s, k, rounds, seed), "restaurants")
+            if last is not begin and last not in kept:
+                last.drop()
+            last, s = new, Sums(fixed + self._sums(new)[4:])
+            if k > sweeps:
+                kept.append(new)
+                self.sums[k] = s
+        self.last = s
+        parts = [(kind(t.df(), STATE), _totals(kind(begin.df(), CONTEXTS), kind(t.df(), TABLES), self.buckets, k)) for k, t in zip(self.sums, kept, strict=True)]
+        self.states, self.totals = parts[0]
+        for state, totals in parts[1:]:
+            self.states, self.totals = self.states.union(state), self.totals.union(totals)
+
+    @staticmethod
+    def _sums(table: Table) -> list[int]:
+        rows = table.df().filter(F.col("kind") == STATE)
+        return list(rows.agg(*[F.sum(F.col("sums")[k]) for k in range(len(Sums.FIELDS))]).first())
+
+    def answers(self) -> DataFrame:
+        return _answers(self.asked, self.states, self.totals, self.buckets, self.sums)
+
+
+def score(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, samples: int = SAMPLES, rounds: int = ROUNDS, bucket_bytes: int = BUCKET_BYTES, seed: int = 7) -> DataFrame:
     """One row for each document; train_on: the condition (a column) under which a row is learnt from.
 
     doc_id, trained, n_tokens, n_known (tokens seen in training), train_tokens, base_score (log10 of
     the smoothed unigram probability), score (the model's log10 probability).
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    buckets = max(6, -(-size // bucket_bytes))
-    blocks = Table(_blocks(docs, buckets, id_col, text_col, train_on), "blocks")
-    messages = blocks.df().filter("bucket >= 0").select("block", "bucket", "words", "pair_words", "leaves", "counts")
-    spread = lambda df: df.repartition(min(buckets, 100_000), "bucket")
-    state = Table(_merge(spread(messages)), "restaurants")
-    g, train_tokens, vocabulary = _sums(state.df())
-    for k in range(sweeps):
-        new = Table(_swept(spread(state.df()), g, 1, seed + k), "restaurants")
-        state.drop()
-        state = new
-        g = _sums(state.df())[0]
-    answers = materialize(_answers(spread(messages.drop("counts")), spread(state.df()), g, samples, seed + sweeps), "answers")
-    documents = blocks.df().filter("bucket = -1").select("block", "pair_words", "docs", "tokens", "ids")
-    return _added_up(documents, answers, train_tokens, vocabulary)
+    model = Model(docs, train_on, id_col, text_col, sweeps, samples, rounds, bucket_bytes, seed)
+    return _added_up(model.documents, model.answers(), model.last)

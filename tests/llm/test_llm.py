@@ -156,32 +156,103 @@ def test_lm_base_and_gain(spark):
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
     per_token = lambda c: sum(getattr(got[k], c) for k in out) / sum(got[k].n_tokens for k in out)
     assert per_token("score") > per_token("base_score") + 0.2
-
-
-def test_lm_probabilities_add_up():
-    """Predictive probabilities of all words and the unknown one sum to 1 in a context, whatever the seating."""
-    rng = np.random.default_rng(0)
-    word = np.repeat(np.arange(6), 3)
-    leaf = np.tile([97, 98, 353], 6)
-    bucket = lm.Bucket(leaf, word, rng.integers(1, 30, len(word)))
-    for _ in range(3):
-        g = lm.Totals(bucket.totals(), 6)
-        p = bucket.predictive(g)
-        for k, level in enumerate(bucket.levels):
-            for r in np.unique(level.restaurant):
-                here = level.restaurant == r
-                assert here.sum() == 6
-                unknown = g.uniform
-                for up in range(2, k - 1, -1):
-                    place = np.array([r if up == k else int(lm.middle_of(np.array([r]))[0]) if up == 1 else 0])
-                    unknown = unknown * g.spare(up, place)[0]
-                assert p[k][here].sum() + unknown == pytest.approx(1)
-        bucket.sweep(g, rng)
-        assert all((x.tables >= 1).all() and (x.tables <= x.customers).all() for x in bucket.levels)
+    # the registered query: the same split, learnt without the rows held out
+    for r in queries.op3_lm(spark, DIR).collect():
+        assert r.held_out == (r.doc_id in out) and (r.n_tokens, r.train_tokens) == (len(tokens[r.doc_id]), n)
+        assert r.score == pytest.approx(got[r.doc_id].score, abs=1e-6)
+
+
+def lm_model(docs, train_on, **more):
+    """The model as the query ships it, its pairs' probabilities by (context, word), and the decoded seating of each sample."""
+    options = {"sweeps": 2, "samples": 2, "rounds": 3, "bucket_bytes": 200, "seed": 5} | more
+    model = lm.Model(docs, train_on, "doc_id", "text", *options.values())
+    asked: dict = {}
+    for r in model.asked.collect():
+        asked.setdefault(r.bucket, []).append(r.asDict())
+    pairs = {b: lm.Pairs(m) for b, m in asked.items()}
+    shipped = {}
+    for r in model.answers().collect():
+        p = pairs[r.bucket]
+        at = p.back[p.blocks.index(r.a)]
+        for k, x in zip(at.tolist(), lm.unpack(r.data[0]).tolist(), strict=True):
+            shipped[int(p.contexts[p.at[k]]), list(p.words)[p.word[k]]] = 10 ** (-x / lm.FINE)
+    seats = {(r.a, r.bucket): lm.Bucket.read(r.data[:-1]) for r in model.states.collect()}
+    return model, pairs, shipped, seats
+
+
+def test_lm_shipped_probabilities_add_up_and_equal_the_formula(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(12)]
+    rows = [(k, " ".join(rng.choices(vocabulary, [12 - j for j in range(12)], k=rng.randint(0, 60)))) for k in range(40)]
+    asking = [(1000 + k, " ".join(x for w in [*vocabulary, "never"] for x in (u, w)) + f" {u}") for k, u in enumerate(["w0", "w5", "never"])]
+    docs = spark.createDataFrame(rows + asking, "doc_id long, text string").repartition(3)
+    model, pairs, shipped, seats = lm_model(docs, F.col("doc_id") < 1000)
+    words = {lm.context_of(w.encode()): w for w in [*vocabulary, "never"]}
+    for u in ("w0", "w5", "never"):
+        assert sum(shipped[lm.context_of(u.encode()), w] for w in [*(x.encode() for x in vocabulary), b"never", lm.END]) == pytest.approx(1, abs=1e-6)
+    # the formula over dictionaries of customers and tables
+    counts = Counter()
+    for _, text in rows:
+        before = "BEGIN"
+        for w in [*text.split(), lm.END.decode()]:
+            counts[before, w] += 1
+            before = w
+    mean = Counter()
+    for sweep, s in model.sums.items():
+        tables, root = {}, {}
+        for b, p in pairs.items():
+            x = seats[sweep, b]
+            names = [w.decode() for w in p.words]
+            seated = iter(x.leaf.tables.tolist())
+            for w, at, c in zip(p.word.tolist(), p.at.tolist(), p.count.tolist(), strict=True):
+                context = words.get(int(p.contexts[at]), "BEGIN")
+                assert counts[context, names[w]] == c
+                tables[context, names[w]] = c if c < 2 else next(seated)
+            assert (x.leaf.customers == x.count).all() and (x.leaf.n > 0).all() and (x.root.customers == x.customers_due()).all() and (x.root.n > 0).all()
+            root |= {names[k]: v for k, v in enumerate(zip(x.root.customers.tolist(), x.root.tables.tolist(), strict=True))}
+        assert s.vocabulary == 13 and s.tokens == sum(counts.values())
+        assert s.customers == sum(c for c, _ in root.values()) == sum(tables.values()) and s.tables == sum(t for _, t in root.values())
+        for u, w in shipped:
+            u, w = words.get(u, "BEGIN"), w.decode()
+            c, t = root[w]
+            above = (c - s.root_discount * t + (1 + s.root_discount * s.tables) / 14) / (1 + s.customers)
+            here = sum(n for (a, _), n in counts.items() if a == u), sum(n for (a, _), n in tables.items() if a == u)
+            mean[u, w] += (counts[u, w] - s.discount * tables[u, w] + (1 + s.discount * here[1]) * above) / (1 + here[0]) / len(model.sums)
+    for (u, w), x in shipped.items():
+        assert x == pytest.approx(mean[words.get(u, "BEGIN"), w.decode()], rel=1e-6)
+
+
+def test_lm_moves_leave_the_exact_distribution_of_tables():
+    """One dish of c customers, all else fixed: the chance of t tables is known in closed form."""
+    d, others, above, c, n = 0.6, 3, 0.4, 7, 4000
+    ways = np.zeros((c + 1, c + 1))  # generalised Stirling numbers
+    ways[0, 0] = 1
+    for a in range(c):
+        for t in range(a + 2):
+            ways[a + 1, t] = (ways[a, t - 1] if t else 0) + max(a - d * t, 0) * ways[a, t]
+    want = np.array([ways[c, t] * np.prod([(lm.STRENGTH + d * (others + k)) * above for k in range(t)]) for t in range(c + 1)])
+    want[0] = 0
+    rng = np.random.default_rng(1)
+    dishes = lm.Seating(np.ones(n, np.int64), np.full(n, c))
+    for _ in range(60):
+        now = dishes.tables
+        change = dishes.move(lambda who, gone, now=now: (lm.STRENGTH + d * (others + now[who] - gone)) * above, d, rng)
+        assert (dishes.tables == now + change).all() and (dishes.customers == c).all() and (dishes.n > 0).all()
+    got = np.bincount(dishes.tables, minlength=c + 1) / n
+    assert np.abs(got - want / want.sum()).max() < 0.03
+
+
+def test_lm_arrivals_and_leaves():
+    rng = np.random.default_rng(2)
+    seats = lm.Seating(np.array([0, 1, 2]), np.array([3, 1, 1]))
+    opened = seats.arrive(np.array([5, 0, 100_000]), lambda who, k: np.full(len(who), 2.0), 0.5, rng)
+    assert seats.customers.tolist() == [5, 3, 100_002] and seats.tables.tolist() == [opened[0], 1, 2 + opened[2]] and opened[2] > 3
+    seats.leave(np.array([4, 0, 90_000]), rng)
+    assert seats.customers.tolist() == [1, 3, 10_002] and (seats.n > 0).all()
 
 
 def test_lm_odd_rows(spark):
-    got = lm.score(odd_docs(spark), F.col("doc_id").isNotNull()).collect()
+    got = lm.score(odd_docs(spark).withColumn("score", F.lit("clash")).withColumn("trained", F.lit(3)), F.col("doc_id").isNotNull()).collect()
     assert len(got) == len(ODD) + 3 and all(np.isfinite(r.score) for r in got)
     assert [r.n_tokens for r in got if r.doc_id == 0] == [1]
     assert lm.score(empty(spark), F.lit(True)).count() == 0
