@@ -1,23 +1,29 @@
-"""Removal of repeated passages by winnowing over line hashes.
+"""Removal of repeated lines and passages by winnowing over line hashes.
 
-Line breaks fall differently in copies of a passage, so a line here is a moving one: the
-``LINE`` words that begin at a word.  Of every ``RUN - LINE + 1`` neighbouring line hashes the
-smallest (the rightmost of equals) is a fingerprint, so each passage of ``RUN`` words or more
-holds one in all its copies.  Equal texts are settled first.  Fingerprints are joined with their earliest position over all
-documents (order: doc_id, then place), each match is extended word by word both ways, and
-runs of ``RUN`` words or more are deleted from the later place.
+Lines come in two kinds.  The lines of a text, as its breaks end them, are hashed each: a window of
+one line, so that every line that repeats an earlier one is found, short ones too.  Breaks fall
+differently in copies of a passage, so there are moving lines as well: the ``LINE`` words that begin
+at a word.  Of every ``RUN - LINE + 1`` neighbouring moving lines the smallest hash (the rightmost of
+equals) is a fingerprint, so each passage of ``RUN`` words or more holds one in all its copies.
 
-Where the earliest place of a fingerprint agrees in the line but in no run, another place may
-still do: for these fingerprints every place lists the hashes of all ``RUN``-word windows
-around the line, and each window is joined with its earliest place in turn.  So no place is
-compared with all others, and no repeated run is left out.  Where several earlier places agree to
-different lengths, the run shared with the earliest one is deleted.
+Equal texts are settled first.  Hashes of both kinds are joined with their earliest position over all
+documents (order: doc_id, then place).  A line that repeats one is deleted; a moving line is extended
+word by word both ways, and a run of ``RUN`` words or more is deleted from the later place.  A copy may
+share more with another place than with the earliest: every later place also lists the hashes of the
+``RUN``-word windows around its line that stick out of its run, and each window is joined with its
+earliest place in turn.  So no place is compared with all others, and just those words go that lie in
+a line met before, or in a window of ``RUN`` words met before.
+
+Hashes and sources that hold a large share of all rows (at most ``HOT`` of them can) are joined apart:
+the few hot hashes are broadcast, the texts of hot sources are dealt to several tasks.
 
 Defined results: words are what ASCII white space separates, compared as they are (by 64-bit
-hashes); null texts count as empty; texts without a repeated run come back unchanged (null as
-empty); rows that repeat identifier and text are one document and are cut alike; a null
-identifier counts as the latest; passages repeated inside one document are cut as well,
-overlapping ones too; an empty table gives an empty result; other columns are not read.
+hashes); a line is what line feeds and carriage returns separate, compared by its words, and one without
+words is never deleted; null texts count as empty; texts without a repeated line or run come back
+unchanged (null as empty); rows that repeat identifier and text are one document and are cut alike; a
+null identifier counts as the latest; what repeats inside one document is cut as well, overlapping
+passages too; very long texts are read whole, each by one task; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ from .common import materialize, slices
 RUN = 50
 LINE = 32
 LATEST = (1 << 63) - 1
+#: A key with more than one in so many rows is hot, so that there are no more than so many of them.
+HOT = 1000
 _U = np.uint64
 
 
@@ -59,26 +67,32 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and the number of words of each text.
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, the number of words of each text, and the words that begin a line.
 
     A word's hash is that of its bytes as a polynomial, read off prefix sums over all texts at once.
     """
     coded = [x.encode() for x in texts]
     data = np.frombuffer(b"\n".join(coded), np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
     inside = (data != 32) & ((data < 9) | (data > 13))
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     begins, ends = edges[::2], edges[1::2]
-    powers, inverse = _powers(len(data))
-    with np.errstate(over="ignore"):
-        sums = np.cumsum((data + np.uint64(1)) * powers[: len(data)])
-        before = np.where(begins > 0, sums[begins - 1], _U(0))
-        hashes = _mix((sums[ends - 1] - before) * inverse[begins] + (ends - begins).astype(np.uint64))
+    hashes = _polynomials(data, begins, ends)
     last = np.cumsum([len(x) + 1 for x in coded])
     counts = np.diff(np.searchsorted(begins, last), prepend=0)
-    return hashes, counts
+    breaks = np.searchsorted(np.flatnonzero((data == 10) | (data == 13)), begins)
+    return hashes, counts, np.flatnonzero(np.diff(breaks, prepend=-1))
+
+
+def _polynomials(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each range of values, which depends on its length too."""
+    powers, inverse = _powers(len(values))
+    with np.errstate(over="ignore"):
+        sums = np.cumsum((values + np.uint64(1)) * powers[: len(values)])
+        before = np.where(begins > 0, sums[begins - 1], _U(0))
+        return _mix((sums[ends - 1] - before) * inverse[begins] + (ends - begins).astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -135,28 +149,36 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _fingerprints(read: DataFrame, run_words: int, line: int) -> DataFrame:
-    """One row for each document: doc, text_hash, check, number of words, fingerprints and their places."""
+    """One row for each document: doc, text_hash, check, number of words, hashes, their places, and words of the line (0: a moving one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end in slices(batch.column(3)):
                 part = batch.slice(first, end - first)
-                words, sizes = hashed_words(part.column(3).to_pylist())
-                ends = np.cumsum(sizes)
-                begins = ends - sizes
+                words, counts, starts = hashed_words(part.column(3).to_pylist())
+                ends = np.cumsum(counts)
+                begins = ends - counts
+                text = np.repeat(np.arange(len(counts)), counts)
+                # the lines of the texts
+                stops = np.append(starts[1:], len(words))[: len(starts)]
+                whole = _polynomials(words, starts, stops) if len(starts) else words
+                # moving lines: places whose line fits into the text; a text of fewer words than a run holds none
                 hashes = line_hashes(words, line)
-                # places whose line fits into the text; a text of fewer words than a run holds none
-                text = np.repeat(np.arange(len(sizes)), sizes)[: len(hashes)]
-                last = np.where(sizes >= run_words, ends - line + 1, begins)[text]
+                last = np.where(counts >= run_words, ends - line + 1, begins)[text[: len(hashes)]]
                 good = np.flatnonzero(np.arange(len(hashes)) < last)
-                limit = np.cumsum(np.bincount(text[good], minlength=len(sizes)))[text[good]]
+                limit = np.cumsum(np.bincount(text[good], minlength=len(counts)))[text[good]]
                 at = fingerprints(hashes[good], run_words - line + 1, limit)
-                text, place, found = text[good][at], good[at], hashes[good][at].astype(np.int64)
-                offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32))
-                cols = [*(part.column(k) for k in range(3)), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(found)), pa.ListArray.from_arrays(offsets, pa.array((place - begins[text]).astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "text_hash", "check", "words", "hashes", "places"])
+                place = np.concatenate([good[at], starts])
+                found = np.concatenate([hashes[good][at], ~whole]).astype(np.int64)
+                size = np.concatenate([np.zeros(len(at), np.int64), stops - starts])
+                order = np.argsort(text[place], kind="stable")
+                place, found, size = place[order], found[order], size[order]
+                offsets = pa.array(np.searchsorted(text[place], np.arange(len(counts) + 1)).astype(np.int32))
+                lists = [found, (place - begins[text[place]]).astype(np.int32), size.astype(np.int32)]
+                cols = [*(part.column(k) for k in range(3)), pa.array(counts), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "text_hash", "check", "words", "hashes", "places", "sizes"])
 
-    return read.mapInArrow(run, "doc long, text_hash long, check long, words long, hashes array<long>, places array<int>")
+    return read.mapInArrow(run, "doc long, text_hash long, check long, words long, hashes array<long>, places array<int>, sizes array<int>")
 
 
 def matching_run(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
@@ -201,21 +223,33 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins[new], reach[np.append(new[1:] - 1, len(reach) - 1)] if len(new) else reach
 
 
-def _extended(pairs: DataFrame, texts: DataFrame, run_words: int) -> DataFrame:
-    """For each document and source: the runs that repeat, and the fingerprints outside them."""
-    mine = texts.withColumnRenamed("text", "mine")
+def _dealt(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and source texts with a column ``deal``: a hot source's text comes several times, its pairs are spread over them."""
+    each = pairs.groupBy("source", "source_hash").count()
+    limit = (each.agg(F.sum("count")).first()[0] or 0) / HOT
+    deals = F.broadcast(each.filter(F.col("count") > max(limit, 1)).select("source", "source_hash", F.ceil(F.col("count") / F.lit(max(limit, 1))).cast("int").alias("deals")))
+    spread = F.pmod(F.xxhash64("doc", "text_hash"), F.coalesce("deals", F.lit(1)))
+    pairs = pairs.join(deals, ["source", "source_hash"], "left").withColumn("deal", spread.cast("int")).drop("deals")
     theirs = texts.select(F.col("doc").alias("source"), F.col("text_hash").alias("source_hash"), F.col("text").alias("theirs"))
-    both = pairs.join(mine, ["doc", "text_hash"]).join(theirs, ["source", "source_hash"])
+    theirs = theirs.join(deals, ["source", "source_hash"], "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    return pairs, theirs
+
+
+def _extended(pairs: DataFrame, texts: DataFrame, run_words: int, line: int) -> DataFrame:
+    """For each document and source: the runs that repeat, and (with their hashes) the windows around its places that stick out of them."""
+    pairs, theirs = _dealt(pairs, texts)
+    both = pairs.join(texts.withColumnRenamed("text", "mine"), ["doc", "text_hash"]).join(theirs, ["source", "source_hash", "deal"])
     both = both.select("doc", "text_hash", "places", "mine", "theirs")
+    around = np.arange(run_words - line + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 50):
                 part = batch.slice(first, 50)
                 inner = part.column(2).flatten()
-                places, others, hashes = (np.asarray(inner.field(k)).astype(np.int64) for k in range(3))
+                places, others = (np.asarray(inner.field(k)).astype(np.int64) for k in range(2))
                 edges = np.concatenate([[0], np.cumsum(np.asarray(part.column(2).value_lengths()))])
-                rows, begins, ends, failed = [], [], [], []
+                rows, begins, ends, named, hashes = [], [], [], [], []
                 last: dict[str, np.ndarray] = {}
                 for k, (mine, theirs) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
                     a = word_hashes(mine)
@@ -225,81 +259,66 @@ def _extended(pairs: DataFrame, texts: DataFrame, run_words: int) -> DataFrame:
                     begin, end = matching_runs(a, last[theirs], places[at], others[at])
                     long = end - begin >= run_words
                     x, y = merged(begin[long], end[long])
-                    rows.append(np.full(len(x), k))
-                    begins.append(x)
-                    ends.append(y)
-                    failed.append(hashes[at][~long])
-                rows, lost = np.concatenate(rows), np.unique(np.concatenate(failed))
-                none = pa.nulls(len(lost), pa.int64())
-                cols = [pa.concat_arrays([part.column(c).take(pa.array(rows)), none]) for c in (0, 1)]
-                cols += [pa.concat_arrays([pa.array(np.concatenate(x).astype(np.int32)), pa.nulls(len(lost), pa.int32())]) for x in (begins, ends)]
-                cols.append(pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(lost)]))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "text_hash", "begin", "end", "failed"])
-
-    return both.mapInArrow(run, "doc long, text_hash long, begin int, end int, failed long")
-
-
-def _windows(places: DataFrame, texts: DataFrame, run_words: int, line: int) -> DataFrame:
-    """The hashes of all windows of ``run_words`` words that hold the line at one of the places."""
-    both = places.join(texts, ["doc", "text_hash"]).select("doc", "text_hash", "places", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 50):
-                part = batch.slice(begin, 50)
-                found, places, sizes = [], [], []
-                for wanted, text in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    hashes = line_hashes(word_hashes(text), run_words)
-                    at = np.unique(np.array(wanted)[:, None] - np.arange(run_words - line + 1))
-                    at = at[(at >= 0) & (at < len(hashes))]
-                    found.append(hashes[at])
-                    places.append(at)
-                    sizes.append(len(at))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(t))) for x, t in ((found, np.int64), (places, np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc", "text_hash", "hashes", "places"])
-
-    return both.mapInArrow(run, "doc long, text_hash long, hashes array<long>, places array<int>")
-
-
-def _repeated(prints: DataFrame) -> DataFrame:
-    """All places of hashes that have more than one, with the earliest: doc, text_hash, hash, place, source, ...
-
-    prints: one row for each text with its hashes and their places.
+                    end = np.where(long, end, begin)
+                    start = places[at][:, None] - around
+                    out = ((start < begin[:, None]) | (start + run_words > end[:, None])) & (start >= 0) & (start + run_words <= len(a))
+                    start = np.unique(start[out])
+                    if len(start):
+                        low, high = start[0], start[-1] + run_words
+                        hashes.append(line_hashes(a[low:high], run_words)[start - low])
+                    rows += [np.full(len(x), k), np.full(len(start), k)]
+                    begins += [x, start]
+                    ends += [y, start + run_words]
+                    named += [np.zeros(len(x), bool), np.ones(len(start), bool)]
+                row, window = np.concatenate(rows), np.concatenate(named)
+                found = np.zeros(len(row), np.int64)
+                if hashes:
+                    found[window] = np.concatenate(hashes).astype(np.int64)
+                cols = [part.column(c).take(pa.array(row)) for c in (0, 1)]
+                cols += [pa.array(np.concatenate(x).astype(np.int32)) for x in (begins, ends)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(found, mask=~window)], names=["doc", "text_hash", "begin", "end", "hash"])
+
+    return both.mapInArrow(run, "doc long, text_hash long, begin int, end int, hash long")
+
+
+def _later(each: DataFrame, tag: str) -> DataFrame:
+    """All places of a hash but its earliest, which they name: source, source_hash, source_place.
+
+    each: doc, text_hash, hash, place, size.
     """
-    each = prints.select("doc", "text_hash", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc", "text_hash", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    repeated = each.groupBy("hash").agg(F.min(F.struct("doc", "text_hash", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    named = repeated.select("hash", F.col("first.doc").alias("source"), F.col("first.text_hash").alias("source_hash"), F.col("first.place").alias("source_place"))
-    return each.join(named, "hash")
-
-
-LATER = "doc != source OR text_hash != source_hash OR place != source_place"
+    repeated = materialize(each.groupBy("hash").agg(F.min(F.struct("doc", "text_hash", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), tag)
+    named = repeated.select("hash", F.col("first.doc").alias("source"), F.col("first.text_hash").alias("source_hash"), F.col("first.place").alias("source_place"), "n")
+    rows = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(named.filter(F.col("n") > rows / HOT)).drop("n")
+    found = each.join(hot, "hash").union(each.join(hot.select("hash"), "hash", "left_anti").join(named.filter(F.col("n") <= rows / HOT).drop("n"), "hash"))
+    return found.filter("doc != source OR text_hash != source_hash OR place != source_place")
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN, line: int = LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, text_hash and the runs of words (array of begin, end) that repeat an earlier passage."""
+    """doc, text_hash and the runs of words (array of begin, end) that repeat an earlier line or passage."""
     read = _read(docs, id_col, text_col)
     prints = materialize(_fingerprints(read, run_words, line), "fingerprints")
     # equal texts are settled first: the earliest stands for all, the others repeat it as a whole
     equal = ["text_hash", "check", "words"]
-    first = prints.filter(F.col("words") >= run_words).groupBy(*equal).agg(F.min("doc").alias("doc"))
-    held = prints.dropDuplicates([*equal, "doc"]).join(first, [*equal, "doc"], "left_semi").select("doc", "text_hash", "hashes", "places")
-    copies = prints.select("doc", *equal).join(first, [*equal, "doc"], "left_anti").filter(F.col("words") >= run_words)
+    first = prints.filter("words > 0").groupBy(*equal).agg(F.min("doc").alias("doc"))
+    held = prints.dropDuplicates([*equal, "doc"]).join(first, [*equal, "doc"], "left_semi")
+    copies = prints.select("doc", *equal).join(first, [*equal, "doc"], "left_anti").filter("words > 0")
     copies = copies.select("doc", "text_hash", F.lit(0).alias("begin"), F.col("words").cast("int").alias("end"))
-    met = materialize(_repeated(held), "met")
-    pairs = met.filter(LATER).groupBy("doc", "text_hash", "source", "source_hash").agg(F.collect_list(F.struct("place", "source_place", "hash")).alias("places"))
-    needed = met.select("doc", "text_hash").distinct()
+    each = held.select("doc", "text_hash", F.explode(F.arrays_zip("hashes", "places", "sizes")).alias("x")).select("doc", "text_hash", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"), F.col("x.sizes").alias("size"))
+    later = materialize(_later(each, "repeated"), "later")
+    whole = later.filter("size > 0").select("doc", "text_hash", F.col("place").alias("begin"), (F.col("place") + F.col("size")).alias("end"))
+    moving = later.filter("size = 0")
+    pairs = moving.groupBy("doc", "text_hash", "source", "source_hash").agg(F.collect_list(F.struct("place", "source_place")).alias("places"))
+    needed = moving.select("doc", "text_hash").union(moving.select("source", "source_hash")).distinct()
     # the keys are hashed, so that whole texts are not sorted; only repeated rows make a key come twice
     texts = read.join(needed.hint("shuffle_hash"), ["doc", "text_hash"], "left_semi").select("doc", "text_hash", "text")
     if prints.groupBy("doc", "text_hash").count().filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["doc", "text_hash"])
     texts = materialize(texts, "texts")
-    runs = materialize(_extended(pairs, texts, run_words), "runs")
-    failed = runs.filter("failed IS NOT NULL").select(F.col("failed").alias("hash")).distinct()
-    again = met.join(failed, "hash", "left_semi").groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
-    windows = materialize(_windows(again, texts, run_words, line), "windows")
-    more = _repeated(windows).filter(LATER).select("doc", "text_hash", F.col("place").alias("begin"), (F.col("place") + run_words).alias("end"))
-    found = runs.filter("failed IS NULL").select("doc", "text_hash", "begin", "end").union(more).union(copies)
+    runs = materialize(_extended(materialize(pairs, "pairs"), texts, run_words, line), "runs")
+    windows = runs.filter("hash IS NOT NULL").select("doc", "text_hash", "hash", F.col("begin").alias("place")).distinct()
+    windows = _later(windows, "windows").select("doc", "text_hash", F.col("place").alias("begin"), (F.col("place") + run_words).alias("end"))
+    found = runs.filter("hash IS NULL").select("doc", "text_hash", "begin", "end").union(whole).union(windows).union(copies)
     return found.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("runs"))
 
 
