@@ -1,17 +1,19 @@
 """Exact top-k search by inner product with vector-approximation files.
 
 Vectors are dealt into blocks of bounded size.  In a block every dimension is cut into
-cells, and a vector's approximation is the row of its cell numbers.  For a block of queries
-the cells give an upper and a lower bound of every score; vectors whose upper bound is
-below the kth largest lower bound are out, and the exact vectors of the others are read in
-falling order of the upper bound until the kth best exact score is above the next bound
-(or at it, past all ties).  The best of all blocks are merged for each query.
-
-Every block of queries meets every block of vectors once, on an equi-join over block
-numbers.  Defined results: vectors that are null, or hold null or non-finite components,
-and rows without an identifier take no part; vectors of unequal length are filled up with
-zeros; rows that repeat an identifier are separate candidates and queries; ties go to the
-smaller identifier; empty tables give empty results; other columns are not read.
+cells, and a vector's approximation is the row of its cell numbers, one byte each.  A block
+of queries scans the approximations with one product in single precision, which gives every
+score but for a known spread: that of the cells, and that of rounding.  Vectors whose upper bound
+is below the kth largest lower bound are out; the exact vectors of the others are read in
+falling order of the bound until the kth best exact score is above the next upper bound.
+The best of all blocks are merged for each query.
+
+A block of vectors goes to one task once; the blocks of queries stream past it in the
+order of an exchange, a bounded number at a time.  Defined results: vectors that are null, or
+hold null or non-finite components, and rows without an identifier take no part; vectors of
+unequal length are filled up with zeros; rows that repeat an identifier are separate
+candidates and queries; ties go to the smaller identifier; a scaled component or a score beyond 64 bits
+counts as the nearest 64-bit number; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from .common import materialize
 SCALE = 64
 K = 20
 BLOCK = 8192
-QUERY_BLOCK = 1024
-CELLS = 16
+QUERY_BLOCK = 128
+CELLS = 256
 #: Exact vectors read at a time.
 READ = 64
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -42,8 +45,34 @@ def scaled(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.filter(ok & F.col("vec_id").isNotNull()).select("vec_id", F.transform("x", lambda v: F.floor(F.lit(float(scale)) * v)).alias("v"))
 
 
-def _blocks(rows: DataFrame, block: int, prefix: str) -> DataFrame:
-    """Rows packed in blocks of about ``block``: number, row numbers, identifiers, size, components."""
+class Approximation:
+    """Cell numbers of a block's vectors, and the edges of the cells."""
+
+    def __init__(self, codes: np.ndarray, low: np.ndarray, width: np.ndarray):
+        self.codes, self.low, self.width = codes, low, width
+
+    @classmethod
+    def of(cls, data: np.ndarray, cells: int = CELLS) -> Approximation:
+        low, high = data.min(0, initial=0).astype(np.float64), data.max(0, initial=0).astype(np.float64)
+        width = np.maximum(np.ceil((high - low + 1) / cells), 1)
+        return cls(np.clip((data - low) // width, 0, cells - 1).astype(np.uint8), low, width)
+
+    def scan(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Base (queries x vectors), and for each query what to add for the lower and the upper bounds.
+
+        A cell spans [low + code * width, that + width - 1]; so a bound is the product with the codes, scaled
+        by the widths, plus a constant of the query.  Rounding in single precision is part of the bounds.
+        """
+        step = queries * self.width
+        base = step.astype(np.float32) @ self.codes.T.astype(np.float32)
+        rounding = np.abs(step).sum(1) * 255 * (queries.shape[1] + 4) * 2.0**-23
+        edge = queries @ self.low
+        span = self.width - 1
+        return base, edge + np.minimum(queries, 0) @ span - rounding, edge + np.maximum(queries, 0) @ span + rounding
+
+
+def _blocks(rows: DataFrame, block: int, approximate: bool) -> DataFrame:
+    """Rows packed in blocks of about ``block``: number, row numbers, identifiers, components, and cell numbers with their edges if asked for."""
     n = max(1, -(-rows.count() // block))
 
     def run(key, table):
@@ -52,94 +81,92 @@ def _blocks(rows: DataFrame, block: int, prefix: str) -> DataFrame:
         dim = int(sizes.max(initial=0))
         data = np.zeros((len(sizes), dim), np.int64)
         data[np.arange(dim) < sizes[:, None]] = np.asarray(v.flatten(), np.int64)
-        kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if len(data) == 0 or dim == 0 or (data.min() >= np.iinfo(k).min and data.max() <= np.iinfo(k).max))
-        cols = [key[0], table["row"].to_numpy().tobytes(), table["vec_id"].to_numpy().tobytes(), np.dtype(kind).str, data.astype(kind).tobytes()]
-        return pa.table({f"{prefix}{name}": pa.array([x.as_py() if isinstance(x, pa.Scalar) else x], t) for name, x, t in zip(("block", "rows", "ids", "kind", "data"), cols, (pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()), strict=True)})
+        kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if data.size == 0 or (data.min() >= np.iinfo(k).min and data.max() <= np.iinfo(k).max))
+        packed = [table["row"].to_numpy().tobytes(), table["vec_id"].to_numpy().tobytes(), data.astype(kind).tobytes()]
+        if approximate:
+            a = Approximation.of(data)
+            packed += [a.codes.tobytes(), a.low.tobytes(), a.width.tobytes()]
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([np.dtype(kind).str]), "packed": pa.array([packed], pa.list_(pa.binary()))})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
-    schema = f"{prefix}block int, {prefix}rows binary, {prefix}ids binary, {prefix}kind string, {prefix}data binary"
-    return materialize(dealt.groupBy("block").applyInArrow(run, schema), "vectors")
+    return materialize(dealt.groupBy("block").applyInArrow(run, "block int, kind string, packed array<binary>"), "vectors")
 
 
-class Approximation:
-    """Cell numbers of a block's vectors, and the bounds of each cell."""
+class Block:
+    """A block as it was packed: row numbers, identifiers, integer vectors, and their approximation."""
 
-    def __init__(self, data: np.ndarray, cells: int = CELLS):
-        low, high = data.min(0, initial=0), data.max(0, initial=0)
-        width = np.maximum(-(-(high - low + 1) // cells), 1)
-        self.codes = ((data - low) // width).astype(np.uint8)
-        self.low, self.width = low.astype(np.float64), width.astype(np.float64)
+    def __init__(self, kind: str, packed: list[bytes]):
+        self.rows, self.ids = (np.frombuffer(x, np.int64) for x in packed[:2])
+        self.data = np.frombuffer(packed[2], kind).reshape(len(self.ids), -1)
+        self.most = float(np.abs(self.data.astype(np.float64)).max(initial=0))
+        if len(packed) > 3:
+            self.approximation = Approximation(np.frombuffer(packed[3], np.uint8).reshape(len(self.ids), -1), *(np.frombuffer(x, np.float64) for x in packed[4:]))
+            self.order = np.argsort(self.rows)
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (queries x vectors) of all inner products.
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """Where rows stand in the block; -1 for those of other blocks."""
+        at = self.order[np.minimum(np.searchsorted(self.rows[self.order], rows), len(self.rows) - 1)]
+        return np.where(self.rows[at] == rows, at, -1)
 
-        A cell spans [low + code * width, that + width - 1]; so a bound is an inner product
-        with the cells' lower edges plus a constant for each query.
-        """
-        edge = self.codes * self.width + self.low
-        base = queries @ edge.T
-        span = self.width - 1
-        up = np.maximum(queries, 0) @ span
-        down = np.minimum(queries, 0) @ span
-        return base + down[:, None], base + up[:, None]
 
-
-def search(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, rows: np.ndarray, query_rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(block: Block, queries: Block, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its number, the places of its k best vectors in the block, and their scores."""
-    # float64 sums are exact below 2**53; beyond that Python's integers are used
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, data.shape[1]) < 2.0**52
-    kind = np.float64 if exact else object
-    q, v = queries.astype(kind), data.astype(kind)
-    low, high = Approximation(data).bounds(queries.astype(np.float64)) if exact else (None, None)
-    for n in range(len(q)):
-        others = rows != query_rows[n]
-        if exact:
-            floor = np.where(others, low[n], -np.inf)
-            most = min(k, int(others.sum()))
-            if not most:
-                continue
-            least = np.partition(floor, len(floor) - most)[len(floor) - most]
-            left = np.flatnonzero(others & (high[n] >= least))
-            left = left[np.argsort(-high[n][left], kind="stable")]
-        else:
-            left = np.flatnonzero(others)
-        scores = np.zeros(0, kind)
+    dim, n = block.data.shape[1], len(block.ids)
+    q = queries.data[:, :dim].astype(np.int64)  # components that the block has not are zeros there
+    q = np.pad(q, ((0, 0), (0, dim - q.shape[1])))
+    own = block.place(queries.rows)
+    # float64 sums are exact below 2**53; beyond that Python's integers are used, on all vectors
+    if queries.most * block.most * max(1, dim) >= 2.0**52:
+        for m in range(len(q)):
+            others = np.flatnonzero(np.arange(n) != own[m])
+            scores = block.data[others].astype(object) @ q[m].astype(object) if dim else np.zeros(len(others), object)
+            scores = np.array([min(max(int(x), LOWEST), HIGHEST) for x in scores], np.int64)
+            best = np.lexsort((block.ids[others], ~scores))[:k]
+            yield m, others[best], scores[best]
+        return
+    q = q.astype(np.float64)
+    base, down, up = block.approximation.scan(q)
+    mine = np.flatnonzero(own >= 0)
+    base[mine, own[mine]] = -np.inf
+    most = min(k, n)
+    least = np.partition(base, n - most, axis=1)[:, n - most].astype(np.float64)
+    for m in range(len(q)):
+        left = np.flatnonzero(base[m] >= least[m] + down[m] - up[m]) if np.isfinite(least[m]) else np.flatnonzero(base[m] > -np.inf)
+        left = left[np.argsort(-base[m][left], kind="stable")]
+        scores = np.zeros(0)
         for at in range(0, len(left), READ):
-            if exact and len(scores) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > high[n][left[at]]:
+            if len(scores) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > base[m][left[at]] + up[m]:
                 left = left[:at]
                 break
-            scores = np.append(scores, v[left[at : at + READ]] @ q[n])
-        best = np.lexsort((ids[left], -scores))[:k]
-        yield n, left[best], scores[best]
+            scores = np.append(scores, block.data[left[at : at + READ]].astype(np.float64) @ q[m])
+        best = np.lexsort((block.ids[left], -scores))[:k]
+        yield m, left[best], scores[best].astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every row for which ``is_query`` (on vec_id) holds."""
     rows = materialize(scaled(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "scaled")
-    blocks = _blocks(rows, block, "")
-    queries = _blocks(rows.filter(is_query), query_block, "q_")
-    n_blocks = blocks.count()
-    if not n_blocks:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score")).limit(0)
-    # the queries, a small part of the rows, go to every block of vectors
-    sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), blocks.agg(F.max("block")).first()[0] + F.lit(0)).cast("array<int>")))
-    met = blocks.join(sent, "block").select("block", "rows", "ids", "kind", "data", "q_block", "q_rows", "q_ids", "q_kind", "q_data")
-
-    def run(key, table):
-        out: list[pa.Table] = []
-        for x in table.to_pylist():
-            ids, own, q_ids, q_rows = (np.frombuffer(x[c], np.int64) for c in ("ids", "rows", "q_ids", "q_rows"))
-            data = np.frombuffer(x["data"], x["kind"]).reshape(len(ids), -1).astype(np.int64)
-            q = np.frombuffer(x["q_data"], x["q_kind"]).reshape(len(q_ids), -1).astype(np.int64)
-            dim = max(data.shape[1], q.shape[1])
-            data, q = (np.pad(y, ((0, 0), (0, dim - y.shape[1]))) for y in (data, q))
-            for n, at, scores in search(q, data, ids, own, q_rows, k):
-                m = len(at)
-                out.append((np.full(m, q_rows[n]), np.full(m, q_ids[n]), ids[at], own[at], scores.astype(np.int64)))
-        cols = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64) for c in range(5)]
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("q_row", "query_id", "vec_id", "row", "score"), cols, strict=True)})
-
-    found = met.groupBy("block", "q_block").applyInArrow(run, "q_row long, query_id long, vec_id long, row long, score long")
+    blocks = _blocks(rows, block, True)
+    n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    # the queries, a small part of the rows, go to every block of vectors, which stands before them there
+    queries = _blocks(rows.filter(is_query), query_block, False).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    met = blocks.withColumn("later", F.lit(0)).unionByName(queries.withColumn("later", F.lit(1)))
+    met = met.repartition(n_blocks, "block").sortWithinPartitions("block", "later").select("block", "later", "kind", "packed")
+    names = ["q_row", "query_id", "vec_id", "row", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = None, -1
+        for batch in batches:
+            for at in range(batch.num_rows):
+                x = batch.slice(at, 1).to_pylist()[0]
+                if not x["later"]:
+                    held, number = Block(x["kind"], x["packed"]), x["block"]
+                elif number == x["block"]:
+                    q = Block(x["kind"], x["packed"])
+                    out = [(np.full(len(p), q.rows[n]), np.full(len(p), q.ids[n]), held.ids[p], held.rows[p], scores) for n, p, scores in search(held, q, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    found = met.mapInArrow(run, ", ".join(f"{x} long" for x in names))
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
