@@ -1,23 +1,27 @@
 """Exact deduplication by a tree-merge of sorted digest runs (DataFrame functions only).
 
-Every scan partition makes one run: a row for each distinct digest, with the smallest
-identifier and the number of rows.  In each round ``fan_in`` neighbouring runs are
-exchanged and merged into one, so a digest that a third of all rows share is reduced in
-every run first and no task ever meets more than ``fan_in`` rows of it.  The merged
-answer then walks the same tree downwards to the rows, again at most ``fan_in`` matches
-for each key.
+Every scan partition makes one run: its distinct digests in order, each with the smallest
+identifier and the number of rows.  A run lies in cells by the leading bits of the digest,
+each a sorted array of bounded length.  In round k the run whose bit k is set sends its cells to the run
+that lacks just that bit (a binomial tree), where the two sorted arrays are merged into one: the sort
+of two rising runs laid end to end is a single merging pass.  Neighbours that agree in digest, length and
+a second hash become one entry with the smaller identifier.  So a digest that a third of all rows share
+is one entry of each run, and no task ever meets more than two of it.
+
+The last run answers the first ones, which hold a digest once each, and those answer their own rows.
 
 Defined results: a null text counts as empty; a null identifier loses against any other
 and is returned as null; of rows that agree in text and identifier the first scanned one
-stays; an empty table gives an empty result; other columns of the input are not read.
+stays; very long texts are hashed whole; an empty table gives an empty result; other columns of the
+input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, materialize
+from .common import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -43,30 +47,53 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 KEY = ["digest", "size", "check"]
 
 
-def _merge(runs: DataFrame, fan_in: int) -> DataFrame:
-    return (
-        runs.groupBy(F.floor(F.col("run") / fan_in).cast("int").alias("run"), *KEY)
-        .agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-        .sortWithinPartitions("run", "digest")
-    )
+#: Entries of a cell, about; rounds whose lineage is cut at once.
+CELL, AT_ONCE = 4096, 4
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
-    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def _same(a: Column, b: Column) -> Column:
+    return (a["digest"] == b["digest"]) & (a["size"] == b["size"]) & (a["check"] == b["check"])
+
+
+def _round(runs: DataFrame, bit: int) -> DataFrame:
+    """Runs that differ in this bit alone, merged into the one without it."""
+    target = F.col("run").bitwiseAND(F.lit(~(1 << bit)))
+    pair = runs.groupBy(target.alias("run"), "cell").agg(F.sort_array(F.flatten(F.collect_list("entries"))).alias("e"))
+    # a digest stands at most twice, the smaller identifier first: that one takes the other's rows
+    after = lambda i: F.get("e", i + 1)
+    met = F.transform("e", lambda x, i: F.when(_same(x, after(i)), x.withField("n", x["n"] + after(i)["n"])).otherwise(x))
+    merged = pair.select("run", "cell", "e", met.alias("met"))
+    return merged.select("run", "cell", F.filter("met", lambda x, i: (i == 0) | ~_same(x, F.get("e", i - 1))).alias("entries"))
+
+
+def _merged(leaf: DataFrame, last: int, rows: int) -> DataFrame:
+    """All distinct digests, each with its first row and the number of rows."""
+    cells = max(1, -(-rows // CELL))
+    lead = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    cell = F.shiftright(lead * F.lit(cells), 32).alias("cell") if cells < 1 << 31 else lead.alias("cell")
+    entry = F.struct(*KEY, "first", "n")
+    runs = leaf.groupBy("run", cell).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    for bit in range(max(last, 0).bit_length()):
+        runs = _round(runs, bit)
+        if bit % AT_ONCE == AT_ONCE - 1:
+            runs = materialize(runs, "runs")
+    return runs.select(F.explode("entries").alias("x")).select("x.*")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their digests, and the same with their group: first, n."""
     rows = materialize(_digests(docs, id_col, text_col), "digests")
     # null identifiers sort after all others
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    leaf = rows.groupBy("run", *KEY).agg(first, F.count(F.lit(1)).alias("n")).sortWithinPartitions("run", "digest")
-    levels = [Table(leaf, "runs")]
-    last = rows.agg(F.max("run")).first()[0] or 0
-    while last > 0:
-        levels.append(Table(_merge(levels[-1].df(), fan_in), "runs"))
-        last //= fan_in
-    found = levels.pop().df()
-    while levels:
-        below = levels.pop().df().select("run", *KEY, F.floor(F.col("run") / fan_in).cast("int").alias("up"))
-        found = below.join(found.withColumnRenamed("run", "up"), ["up", *KEY]).drop("up")
-    return rows.join(found, ["run", *KEY]).select(
+    leaf = materialize(rows.groupBy("run", *KEY).agg(first, F.count(F.lit(1)).alias("n")), "leaves")
+    last, n = leaf.agg(F.max("run"), F.count(F.lit(1))).first()
+    found = leaf.select("run", *KEY).join(_merged(leaf, last or 0, n), KEY)
+    return rows, rows.join(found, ["run", *KEY])
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _grouped(docs, id_col, text_col)[1].select(
         F.col("id").alias("doc_id"),
         F.col("first.id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -75,19 +102,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = materialize(exact_dedup(docs, id_col, text_col, fan_in).filter("kept"), "kept")
-    digest = F.sha2(normalized(F.col(text_col)), 256)
-    keys = kept.select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    same = F.col("__keep_id").eqNullSafe(docs[id_col]) & (F.col("__keep_sha") == digest)
+    rows, grouped = _grouped(docs, id_col, text_col)
+    keys = grouped.filter(F.col("row") == F.col("first.row")).select(F.col("id").alias("__keep_id"), F.col("digest").alias("__keep_digest"))
+    digest = F.unhex(F.sha2(normalized(F.col(text_col)), 256))
+    same = F.col("__keep_id").eqNullSafe(docs[id_col]) & (F.col("__keep_digest") == digest)
     out = docs.join(keys, same, "left_semi")
-    # Rows that repeat both identifier and text still stand side by side; drop the extra ones where there are any.
-    repeated = (
-        docs.select(F.col(id_col).alias("id"), digest.alias("sha")).groupBy("id", "sha").count().filter("count > 1").limit(1).count()
-    )
-    if repeated:
-        out = out.withColumn("__sha", digest).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    # rows that repeat both identifier and text still stand side by side; drop the extra ones where there are any
+    if rows.groupBy("id", "digest").count().filter("count > 1").limit(1).count():
+        out = out.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).drop("__digest")
     return out
 
 

@@ -463,24 +463,47 @@ def test_toxicity_odd_rows(spark):
 
 
 def test_exact_dedup_odd_rows(spark):
-    rows = [(5, "a b"), (3, "a \t b"), (3, "a\nb"), (9, None), (8, ""), (7, " "), (None, "a b"), (None, "z"), (4, "a\xa0b")]
-    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int").repartition(5)
-    for fan_in in (2, 8):
-        got = exact_dedup.exact_dedup(frame, fan_in=fan_in).collect()
+    long = "long " * 300_000
+    rows = [(5, "a b"), (3, "a \t b"), (3, "a\nb"), (9, None), (8, ""), (7, " "), (None, "a b"), (None, "z"), (4, "a\xa0b"), (11, long), (10, long + " ")]
+    for parts in (1, 5, 11):
+        frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int").repartition(parts)
+        got = exact_dedup.exact_dedup(frame).collect()
         assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in got if r.keep_id == 3) == [(-1, 3, 4, False), (3, 3, 4, False), (3, 3, 4, True), (5, 3, 4, False)]
         assert {(r.keep_id, r.group_size) for r in got if r.doc_id in (8, 9)} == {(8, 2)}
+        assert {(r.keep_id, r.group_size, r.kept) for r in got if r.doc_id in (10, 11)} == {(10, 2, True), (10, 2, False)}
         assert {r.text_sha256 for r in got if r.doc_id == 7} == {hashlib.sha256(b" ").hexdigest()}
-    assert exact_dedup.drop_exact_copies(frame).count() == 5 and exact_dedup.exact_dedup(empty(spark)).count() == 0
+    assert exact_dedup.drop_exact_copies(frame).count() == 6 and exact_dedup.exact_dedup(empty(spark)).count() == 0
+
+
+def test_exact_dedup_merges_runs_in_rounds(spark, monkeypatch):
+    """Many runs and cells, groups of very different size, and rounds that are cut apart."""
+    monkeypatch.setattr(exact_dedup, "CELL", 7)
+    monkeypatch.setattr(exact_dedup, "AT_ONCE", 2)
+    rng = random.Random(13)
+    rows = [(k, "hot" if k % 3 == 0 else f"t{rng.randrange(400)}") for k in range(1500)]
+    rng.shuffle(rows)
+    want: dict = {}
+    for i, text in rows:
+        want.setdefault(text, []).append(i)
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(23)).collect()}
+    for i, text in rows:
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (min(want[text]), len(want[text]), i == min(want[text]))
 
 
 # --- 9
 
 
 def brute_lines(rows, size=50):
-    seen, out = set(), {}
+    """Words left: without those of a line, or of ``size`` neighbouring words, that came before."""
+    seen, lines_seen, out = set(), set(), {}
     for i, text in rows:
-        w = text.split()
-        gone = set()
+        w, gone, p = text.split(), set(), 0
+        for line in text.split("\n"):
+            if words := tuple(line.split()):
+                if words in lines_seen:
+                    gone.update(range(p, p + len(words)))
+                lines_seen.add(words)
+                p += len(words)
         for p in range(len(w) - size + 1):
             if (key := tuple(w[p : p + size])) in seen:
                 gone.update(range(p, p + size))
@@ -493,28 +516,48 @@ def test_lines_equal_brute_force(spark):
     rng = random.Random(9)
     word = lambda: f"v{rng.randrange(10**9)}"  # noqa: E731  no two places agree beyond a passage by chance
     passages = [[word() for _ in range(n)] for n in (32, 40, 49, 50, 51, 70, 200)]
+    short = [" ".join(word() for _ in range(n)) for n in (1, 1, 2, 5, 20, 60)]
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
     for k in range(80):
         text = [word() for _ in range(rng.randint(0, 60))]
         for _ in range(rng.randint(1, 4)):
             text += rng.choice(passages) + [word() for _ in range(rng.randint(0, 30))]
-        rows.append((10_000 + k, " ".join(text)))
-    rows += [(20_000, " ".join(["again and again"] * 60)), (20_001, "")]
+        text = " ".join(text)
+        for _ in range(rng.randint(0, 3)):
+            text = f"{text}\n{rng.choice(short)}\n{' ' * rng.randint(0, 2)}{word()}"
+        rows.append((10_000 + k, text))
+    rows += [(20_000, " ".join(["again and again"] * 60)), (20_001, ""), (20_002, f"{short[0]}"), (20_003, f"{short[0]}\n\n{short[0]}"), (20_004, " \n ")]
     # contexts that agree on the left with one text and on the right with another
     left, middle, right = ([word() for _ in range(n)] for n in (30, 34, 30))
     rows += [(30_000, " ".join(left + middle + ["p"] * 3)), (30_001, " ".join(["q"] * 3 + middle + right)), (30_002, " ".join(left + middle + right)), (30_003, " ".join(["s"] + middle + right))]
+    # passages inside longer ones that themselves repeat, at either side
+    for k in range(12):
+        inner, before, after = ([word() for _ in range(n)] for n in (60, 10, 12))
+        rows += [(40_000 + 10 * k + j, " ".join([word(), *x, word()])) for j, x in enumerate((inner, before + inner, before + inner + after, before + inner, inner + after, before + inner + after))]
+    # a very long text, and one that repeats a part of its middle
+    long = [word() for _ in range(120_000)]
+    rows += [(50_000, " ".join(long)), (50_001, " ".join(["x", *long[60_000:61_000], "y"]))]
     rows.sort()
     got = {r.doc_id: r for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     for i, want in brute_lines(rows).items():
         assert got[i].text.split() == want, i
+    assert all(got[i].removed_words == len(t.split()) - len(got[i].text.split()) for i, t in rows)
+
+
+def test_lines_query_leaves_each_line_once(spark):
+    kept = Counter(tuple(line.split()) for r in queries.op9_lines(spark, DIR).collect() for line in r.text.split("\n"))
+    assert {n for line, n in kept.items() if line} == {1}
 
 
 def test_lines_odd_rows(spark):
-    assert {r.removed_words for r in lines.drop_repeated_lines(odd_docs(spark).filter("length(text) < 5000 or text is null")).collect()} <= {0}
+    got = lines.drop_repeated_lines(odd_docs(spark).withColumn("removed_runs", F.lit("clash")).withColumn("text_hash", F.lit(1))).collect()
+    assert len(got) == len(ODD) + 3 and {r.removed_words for r in got if r.doc_id == 0} == {0}
+    assert [r.removed_words > 19_000 for r in got if r.doc_id == len(ODD) - 1] == [True]  # one word 20,000 times
+    assert [r.text for r in got if r.doc_id == 3] == ["a  b"] * 3  # the rows of one document are cut alike
     assert lines.drop_repeated_lines(empty(spark)).count() == 0
     same = " ".join(f"k{n}" for n in range(60))
-    twice = spark.createDataFrame([(1, "x\n" + same + "\ny"), (2, "a\n" + same + "\nb"), (None, same)], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.text) for r in lines.drop_repeated_lines(twice).collect()) == [(0, ""), (1, "x\n" + same + "\ny"), (2, "a\nb")]
+    twice = spark.createDataFrame([(1, "x\n" + same + "\ny"), (2, "a\n" + same + "\nb"), (None, same), (3, "c\r\nx\r\nd")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in lines.drop_repeated_lines(twice).collect()) == [(0, ""), (1, "x\n" + same + "\ny"), (2, "a\nb"), (3, "c\r\nd")]
 
 
 # --- 10
@@ -537,6 +580,28 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_bounds_hold_and_prune():
+    rng = np.random.default_rng(11)
+    data, q = rng.integers(-250, 250, (3000, 64)), rng.integers(-250, 250, (40, 64))
+    approximation = topk.Approximation.of(data)
+    base, down, up = approximation.scan(q.astype(np.float64))
+    exact = q @ data.T
+    assert (base + down[:, None] <= exact).all() and (exact <= base + up[:, None]).all()
+    least = np.partition(base, 2980, axis=1)[:, 2980]
+    assert ((base >= (least + down - up)[:, None]).sum(1) < 300).all()  # a tenth is read at most
+
+
+def test_topk_numbers_beyond_64_bits(spark):
+    rows = [(0, [1e300, 1.0]), (20, [-1e300, 0.0]), (1, [1e300, 0.0]), (2, [1e15, 1e15]), (3, [0.5, 0.25])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    most, least = (1 << 63) - 1, -(1 << 63)
+    comp = lambda v: [min(max(int(np.floor(64 * x)) if abs(x) < 1e18 else int(np.sign(x)) * 2**70, least), most) for x in v]
+    for q in (0, 20):
+        own = comp(dict(rows)[q])
+        want = sorted((-min(max(sum(a * b for a, b in zip(own, comp(v), strict=True)), least), most), i) for i, v in rows if i != q)
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
 # --- queries and pipeline
 
 
