@@ -12,8 +12,12 @@ headings between them and the h1 before them belong to it too.
 Lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments never count: they are told by their elements, roles, and the words in
 class and id.  Inside an article or main these words are no sign on headings, paragraphs and
-inline elements, and an id of several words, not all of them such words, is one only where the
-element is also mostly links, holds a form, or has little text to its tags.  Elements that a page left open are closed by their containers.
+inline elements, and a class or id of several words, not all of them such words, is one only where the
+element is also mostly links, holds a form, or has little text to its tags.  A form that holds the
+first heading, an article or most paragraphs is the page's layout and stays; so does the header of an entry.
+Several articles of a page all belong to its text where each has more than one line of prose.
+Scripts, pictures and controls inside a paragraph leave it one block; formulas are text.
+Elements that a page left open are closed by their containers.
 
 Defined results: a null or empty page gives an empty text, as does one without text; very
 long pages are read whole; rows are independent, so repeated rows repeat their result;
@@ -34,14 +38,22 @@ from pyspark.sql import functions as F
 #: Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
-    " h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table"
-    " tbody td textarea tfoot th thead title tr ul video audio object template script style svg math".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
+    " h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section summary table"
+    " tbody td textarea tfoot th thead title tr ul template".split()
 )
 CONTAINER = frozenset("article main section div body td center html".split())
 SKIPPED = frozenset(
-    "script style head title noscript template nav footer aside form button select textarea iframe svg math object audio video canvas menu dialog fieldset option".split()
+    "script style head title noscript template nav footer aside form button select textarea iframe svg object audio video canvas menu dialog fieldset option".split()
 )
+#: Skipped elements that may stand inside a line, which goes on after them.
+MUTE = frozenset("script style button select svg object audio video canvas".split())
+#: Forms may be the layout of a page.
+FORMS = frozenset("form fieldset".split())
+#: Words of an element around one entry, whose header is its own.
+ENTRY = frozenset("article entry post story hentry".split())
+#: Words that say nothing about what an element holds.
+NEUTRAL = frozenset("box block container wrapper wrap section area list slot unit bar panel button buttons link links item items inner outer content group row col holder module".split())
 WORDS = frozenset(
     "nav navigation navbar menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead cookie cookies consent gdpr notice notices banner banners alert"
     " ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion comment comments disqus reply replies respond"
@@ -59,7 +71,7 @@ READERS = frozenset("comments disqus replies respond".split())
 CONTROLS = frozenset("form textarea".split())
 #: Words inside a class or id.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-SMOOTH, THRESHOLD, SHARE, LITTLE = 1.0, 0.5, 0.8, 10
+SMOOTH, THRESHOLD, SHARE, LITTLE, LAYOUT = 1.0, 0.5, 0.8, 10, 600
 
 
 class _Page(HTMLParser):
@@ -69,7 +81,8 @@ class _Page(HTMLParser):
     def begin(self) -> None:
         self.reset()
         self.closes: dict[str, bool] = {}
-        self.open: list[tuple[str, int]] = [("", 0)]
+        # open elements: tag, number, whether what it holds is muted, and whether it is in an entry
+        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         # of every element: the one around it, its tag, and whether it is left out by itself (2: by words only, 3: by words in need of a second sign)
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["html"]
@@ -88,12 +101,16 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        if self.open[-1][2]:
+            if tag not in VOID:
+                self._push(tag, attrs)
+            return
         if tag not in BLOCK:
             if tag == "br":
                 self.text.append(" ")
             elif tag == "a":
                 self.in_link += 1
-            if tag in SKIPPED or (attrs and tag not in VOID and self._hidden(tag, attrs)):
+            if tag in MUTE or tag in SKIPPED or (attrs and tag not in VOID and self._hidden(tag, attrs)):
                 self._push(tag, attrs)
             return
         self._end_line()
@@ -104,7 +121,7 @@ class _Page(HTMLParser):
             self.set_cdata_mode(tag)
         opened = self.open
         # elements whose end may be left out
-        if opened[-1][0] == "p" and tag not in ("script", "style"):
+        if opened[-1][0] == "p":
             opened.pop()
         elif tag == "li" and opened[-1][0] == "li":
             opened.pop()
@@ -125,14 +142,17 @@ class _Page(HTMLParser):
 
     def _push(self, tag: str, attrs: list) -> None:
         out = 0
-        if tag in SKIPPED or (tag == "header" and not any(x[0] in ("article", "main") for x in self.open)):
+        _, up, mute, entry = self.open[-1]
+        if tag in SKIPPED or (tag == "header" and not entry):
             out = 1
         elif attrs and tag not in KEPT:
             out = self._hidden(tag, attrs)
-        self.parent.append(self.open[-1][1])
+        mute = mute or tag in MUTE or (out == 2 and tag not in BLOCK and any(x in ("hidden", "aria-hidden", "style") for x, _ in attrs))
+        entry = entry or tag in ("article", "main") or (tag in ("div", "section") and any(n in ("class", "id") and v and not ENTRY.isdisjoint(v.lower().split()) for n, v in attrs))
+        self.parent.append(up)
         self.tag.append(tag)
         self.out.append(out)
-        self.open.append((tag, len(self.tag) - 1))
+        self.open.append((tag, len(self.tag) - 1, mute, entry))
 
     def _hidden(self, tag: str, attrs: list) -> int:
         """0, 2 or 3, as in ``out``."""
@@ -149,7 +169,8 @@ class _Page(HTMLParser):
                         return 2
                     if tag in RUNNING or tag not in BLOCK:
                         continue
-                    if name == "class" or parts <= WORDS or parts & READERS:
+                    names = ({x.lower() for x in _PART.findall(one)} - NEUTRAL for one in value.split())
+                    if parts & READERS or any(x and x <= WORDS for x in names):
                         return 2
                     weak = 3
                 elif "header" in parts and tag == "div" and not parts & {"article", "entry", "post"}:
@@ -172,11 +193,16 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        opened = self.open
+        if opened[-1][2]:
+            held = next((k for k in range(len(opened) - 1, 0, -1) if opened[k][0] == tag), 0)
+            if not held or opened[held][2]:  # an end inside what is muted
+                del opened[held or len(opened) :]
+                return
         if tag in BLOCK:
             self._end_line()
         elif tag == "a" and self.in_link:
             self.in_link -= 1
-        opened = self.open
         if opened[-1][0] == tag:
             opened.pop()
             return
@@ -190,6 +216,8 @@ class _Page(HTMLParser):
                     return
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][2]:
+            return
         self.text.append(data)
         if self.in_link:
             self.links += len(data)
@@ -250,6 +278,19 @@ def _second_sign(page: _Page) -> None:
             page.out[k] = 2 if control[k] or 2 * links[k] >= letters[k] or little else 0
 
 
+def _layout_forms(page: _Page, holds: list[bool]) -> set[int]:
+    """Forms around the page's heading, an article, or most of its paragraphs."""
+    n = len(page.tag)
+    prose, article = [0] * n, [x == "article" for x in page.tag]
+    for text, at, linked, _ in page.lines:
+        if page.tag[at] == "p":
+            prose[at] += len(text) - linked
+    for k in range(n - 1, 0, -1):
+        prose[page.parent[k]] += prose[k]
+        article[page.parent[k]] |= article[k]
+    return {k for k in range(n) if page.tag[k] in FORMS and (holds[k] or article[k] or 2 * prose[k] > max(prose[0], LAYOUT))}
+
+
 def _kept(page: _Page) -> list[tuple]:
     """Lines outside all elements that are left out.
 
@@ -265,16 +306,32 @@ def _kept(page: _Page) -> list[tuple]:
                 k = page.parent[k]
     if 3 in page.out:
         _second_sign(page)
+    layout = _layout_forms(page, holds) if not FORMS.isdisjoint(page.tag) else set()
     out, words = [False] * n, [False] * n
     for k in range(1, n):
         up = page.parent[k]
         words[k] = words[up] or page.out[k] == 2
-        out[k] = out[up] or page.out[k] == 1 or (page.out[k] == 2 and not holds[k])
+        out[k] = out[up] or (page.out[k] == 1 and k not in layout) or (page.out[k] == 2 and not holds[k])
     kept = [x for x in page.lines if not out[x[1]]]
     # a page that is marked as a notice or the like as a whole
     return kept or [x for x in page.lines if words[x[1]]]
 
 
+def _further_articles(page: _Page, lines: list[tuple], content: list[bool], root: int) -> list[int]:
+    """Articles beside the one that is the region: those with more than one line of prose, no mere teasers."""
+    if page.tag[root] != "article" or page.tag.count("article") < 2:
+        return []
+    article = [0] * len(page.tag)  # of every element: the outermost article around it
+    for k in range(1, len(article)):
+        article[k] = article[page.parent[k]] or (k if page.tag[k] == "article" else 0)
+    prose: dict[int, list[int]] = {}
+    for (text, at, linked, _), good in zip(lines, content, strict=True):
+        if good and article[at] and not linked:
+            prose.setdefault(article[at], []).append(len(text))
+    least = sum(prose.get(article[root], [0])) / 20
+    return [k for k, found in prose.items() if k != article[root] and len(found) > 1 and sum(found) >= least]
+
+
 def main_text(html: str | None, page: _Page | None = None) -> str:
     """The main text of a page: its blocks, joined by an empty line."""
     if not html:
@@ -316,8 +373,10 @@ def main_text(html: str | None, page: _Page | None = None) -> str:
         at = page.parent[at]
     inside = [False] * len(page.tag)
     inside[root] = True
-    for k in range(root + 1, len(inside)):
-        inside[k] = inside[page.parent[k]]
+    for k in _further_articles(page, lines, content.tolist(), root):
+        inside[k] = True
+    for k in range(1, len(inside)):
+        inside[k] = inside[k] or inside[page.parent[k]]
     chosen = [k for k, x in enumerate(lines) if inside[x[1]]]
     if not marked:
         chosen = sorted({*chosen, *_around(page, lines, content.tolist(), held, root)})
