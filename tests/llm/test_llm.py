@@ -167,7 +167,7 @@ def lm_model(docs, train_on, **more):
     options = {"sweeps": 2, "samples": 2, "rounds": 3, "bucket_bytes": 200, "seed": 5} | more
     model = lm.Model(docs, train_on, "doc_id", "text", *options.values())
     asked: dict = {}
-    for r in model.asked.collect():
+    for r in model.of(model.blocks, lm.ASKED).collect():
         asked.setdefault(r.bucket, []).append(r.asDict())
     pairs = {b: lm.Pairs(m) for b, m in asked.items()}
     shipped = {}
@@ -176,7 +176,7 @@ def lm_model(docs, train_on, **more):
         at = p.back[p.blocks.index(r.a)]
         for k, x in zip(at.tolist(), lm.unpack(r.data[0]).tolist(), strict=True):
             shipped[int(p.contexts[p.at[k]]), list(p.words)[p.word[k]]] = 10 ** (-x / lm.FINE)
-    seats = {(r.a, r.bucket): lm.Bucket.read(r.data[:-1]) for r in model.states.collect()}
+    seats = {(r.a, r.bucket): lm.Bucket.read(r.data[:-1]) for r in model.states().collect()}
     return model, pairs, shipped, seats
 
 
@@ -395,6 +395,41 @@ def test_html_comment_marks_that_open_no_comment():
     assert html.main_text('<article><p>Text.</p><script>"<!--"</script><p>More.</p><!-- open <p>hidden</p>') == "Text.\n\nMore."
 
 
+def test_html_layouts_that_hold_the_text():
+    def text(name):
+        return f"{name} is a sentence of the article that goes on for quite a while, like all the others of it."
+
+    def prose(names):
+        return "".join(f"<p>{text(x)}</p>" for x in names)
+
+    nav = "<nav><a href=/>Home</a> <a href=/x>News</a></nav><footer>(c) 2024</footer>"
+    # one form around the whole body
+    assert html.main_text(f"<body><form action=/>{nav}<div><h1>Title</h1>{prose('ABCD')}</div><input type=hidden></form></body>") == "\n\n".join(["Title", *map(text, "ABCD")])
+    assert html.main_text(f"<body><form action=/>{nav}<div>{prose('ABCDEFG')}</div></form></body>") == "\n\n".join(map(text, "ABCDEFG"))
+    assert html.main_text(f"<body><article><h1>Title</h1>{prose('AB')}</article><form><p>{text('Z')}</p><button>Send</button></form></body>") == "\n\n".join(["Title", *map(text, "AB")])
+    # words of a longer class on a part of the article
+    page = f"""<body>{nav}<article><h1>Title</h1><p class="share-of-gdp">{text("A")}</p><div class="related-work"><p>{text("B")}</p></div>
+    <div class="related-links"><a href=/1>One more piece</a> <a href=/2>Another piece</a></div><div class="ad-slot"><p>{text("Z")}</p></div></article></body>"""
+    assert html.main_text(page) == "\n\n".join(["Title", text("A"), text("B")])
+    # formulas, scripts and controls inside a paragraph
+    page = f"<body><article><p>{text('A')} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> as we saw<script>var a = 1;</script>, and <svg><title>icon</title></svg>then <button>Copy</button>more.</p></article></body>"
+    assert html.main_text(page) == f"{text('A')} x=2 as we saw, and then more."
+    # two articles, and teasers beside them
+    teaser = "<article><h3><a href=/t>A teaser</a></h3><p>Short words.</p></article>"
+    page = f"<body>{nav}<main><article><h1>One</h1>{prose('ABCDEFGHIJKLMN')}</article><article><h2>Two</h2>{prose('OP')}</article>{teaser}</main></body>"
+    assert html.main_text(page) == "\n\n".join(["One", *map(text, "ABCDEFGHIJKLMN"), "Two", *map(text, "OP")])
+    # the header of an entry, and that of the site
+    page = f"<body><header>The Site</header><div class='article'><header><h1>Title</h1></header>{prose('ABC')}</div><footer>(c)</footer></body>"
+    assert html.main_text(page) == "\n\n".join(["Title", *map(text, "ABC")])
+
+
+def test_html_odd_rows(spark):
+    page = "<article><p>Text of the page.</p></article>"
+    rows = [(1, "u", page, "x", 1), (1, "u", page, "y", 2), (None, None, page, "z", 3), (2, "v", "", None, None), (3, "v", None, None, None)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in got) == [(0, "", "Text of the page.", 17), (1, "u", "Text of the page.", 17), (1, "u", "Text of the page.", 17), (2, "v", "", 0), (3, "v", "", 0)]
+
+
 def test_html_pages(spark):
     import html as h
     import re
