@@ -1,8 +1,7 @@
 """Token, similarity and text-cleaning functions as column expressions.
 
-All of them are built-in expressions, so they stay inside code generation; only Unicode
-compatibility forms (``nfkc``) need Python, and that step is left to the caller because
-most corpora are already stable under it.
+All of them are built-in expressions, so they stay inside code generation; only Unicode forms
+(``nfkc``, ``nfc``) need Python, and only texts with a letter that such a form may change go there.
 """
 
 from __future__ import annotations
@@ -46,11 +45,40 @@ LEXICAL = r"[\p{L}\p{N}+#.]+"
 SPACE = r"[\s   -     　﻿]"
 
 
+#: Letters and marks that no Unicode form changes, whatever stands beside them.
+STABLE = r"\x00-\x7F¡-§©«®°±¶·»¿-ÿĀ-ıĴ-ľŁ-ňŊ-ž\u0400-\u045F\u2010\u2012-\u2016\u2018-\u2023₽€"
+
+
 @batched("string")
-def nfkc(texts: pd.Series) -> pd.Series:
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@batched("string")
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def _formed(form, text: Column, stable: str) -> Column:
+    changes = text.rlike(f"[^{stable}]")
+    return F.when(changes, form(F.when(changes, text))).otherwise(text)
+
+
+def nfkc(text: Column) -> Column:
+    """The compatibility form; plain texts stay in the JVM."""
+    return _formed(_nfkc, text, STABLE)
+
+
+def nfc(text: Column) -> Column:
+    """The composed form; plain texts stay in the JVM."""
+    return _formed(_nfc, text, STABLE + r"\xa0")
+
+
+def code_units(text: Column) -> Column:
+    """A sort key: the order of UTF-16 code units, as scripts compare texts (Spark compares code points)."""
+    return F.encode(text, "UTF-16BE")
+
+
 def words(text: Column, pattern: str) -> Column:
     """All matches in the lower-case text; null has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
@@ -61,7 +89,17 @@ def strings(values) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Distinct informative tokens in order of first sight; grades only where nothing else remains."""
+    """Distinct informative tokens of the compatibility form in order of first sight; grades only where nothing else remains."""
+    return formed_tokens(nfkc(text))
+
+
+def nfkc_all(texts: Column) -> Column:
+    """The compatibility forms of an array of texts."""
+    return F.when(F.size(texts) > 0, F.split(nfkc(F.array_join(texts, "\x01", "")), "\x01")).otherwise(texts)
+
+
+def formed_tokens(text: Column) -> Column:
+    """Search tokens of a text that is in compatibility form; may stand inside a lambda."""
     usable = lambda t: (F.length(t) > 1) | t.contains("+") | t.contains("#") | t.startswith(".")
     informative = F.filter(words(text, TOKEN), lambda t: usable(t) & ~F.array_contains(strings(LOW_INFORMATION), t))
     plain = F.filter(informative, lambda t: ~F.array_contains(strings(GRADES), t))
@@ -69,7 +107,7 @@ def search_tokens(text: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    return words(relevance_text(text), PLAIN)
+    return words(nfkc(relevance_text(text)), PLAIN)
 
 
 def lexical_words(text: Column) -> Column:
@@ -144,37 +182,38 @@ def plain_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", "")
 
 
-@batched("string")
-def _coded_entities(texts: pd.Series) -> pd.Series:
-    import re
+REFERENCE = r"(?i)&(?:#\d+|#x[0-9a-f]+|[a-z]+);"
 
-    code = re.compile(r"&#(?:(\d+)|[xX]([0-9a-fA-F]+));")
-    letter = lambda m: chr(n) if (n := int(m[1]) if m[1] else int(m[2], 16)) < 0x110000 else " "
-    return texts.map(lambda x: None if x is None else code.sub(letter, x))
 
+def _referred(reference: Column) -> Column:
+    """The letter of one character reference; unknown names and numbers of no letter are a space."""
+    name = F.lower(F.regexp_extract(reference, "&([A-Za-z]+);", 1))
+    named = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])[name]
+    decimal, hexadecimal = F.regexp_extract(reference, r"&#(\d+);", 1), F.regexp_extract(reference, "(?i)&#x([0-9a-f]+);", 1)
+    number = F.when(hexadecimal != "", F.conv(F.right(hexadecimal, F.lit(15)), 16, 10)).when(decimal != "", decimal).try_cast("long")
+    letter = number.between(0, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    coded = F.when(letter, F.decode(F.unhex(F.lpad(F.hex(F.when(letter, number).otherwise(32)), 8, "0")), "UTF-32"))
+    return F.coalesce(coded, named, F.lit(" "))
 
-def decode_entities(text: Column, numeric: bool = False) -> Column:
-    """Named references (unknown ones become a space) and, if asked for, numeric ones (those need Python)."""
-    out = _coded_entities(text) if numeric else text
-    known = "|".join(x for x in NAMED_ENTITIES if x != "amp")
-    out = F.regexp_replace(out, rf"(?i)&(?!(?:amp|{known});)[a-z]+;", " ")
-    for name, letter in NAMED_ENTITIES.items():
-        if name != "amp":
-            out = F.regexp_replace(out, f"(?i)&{name};", letter)
-    return F.regexp_replace(out, "(?i)&amp;", "&")  # last, so that nothing is decoded twice
 
+def decode_entities(text: Column) -> Column:
+    """Character references, numeric and named, each decoded once."""
+    pieces, references = F.split(text, REFERENCE), F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1))
+    decoded = F.array_join(F.transform(pieces, lambda x, k: F.concat(x, F.when(k < F.size(references), _referred(F.get(references, k))).otherwise(""))), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
-def html_text(html: Column, numeric: bool = False) -> Column:
-    """Visible text on one line: no scripts and styles, tags as spaces, entities decoded."""
+
+def html_text(html: Column) -> Column:
+    """Visible text on one line: no scripts and styles, tags as spaces, references decoded."""
     out = F.regexp_replace(html, r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)>", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</p>|</li>|</div>|</h[1-6]>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
-    return plain_text(decode_entities(out, numeric))
+    return plain_text(decode_entities(out))
 
 
 def fingerprint(name: Column, employer: Column, domain: str = "lexloom.fingerprint.v1") -> Column:
     """Digest of the normalized name and employer; the border between them is a space like any other."""
-    joined = F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(employer, F.lit("")))
+    joined = nfkc(F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.coalesce(employer, F.lit(""))))
     normal = F.trim(F.regexp_replace(F.lower(joined), r"[^\p{L}\p{N}]+", " "))
     return F.sha2(F.concat(F.lit(domain + " "), normal), 256)
 
@@ -186,8 +225,22 @@ def title_matches(title: Column, query: Column) -> Column:
 
 
 def evidence_text(*parts: Column) -> Column:
-    """Non-blank parts, white space collapsed, one on a line."""
-    return F.array_join(F.filter(F.array(*[plain_text(F.coalesce(p, F.lit(""))) for p in parts]), lambda x: x != ""), "\n")
+    """Non-blank parts in compatibility form, white space collapsed, one on a line; a part may be an array of texts."""
+    lists = F.concat(*[F.coalesce(p, F.array()) if k else F.array(F.coalesce(p, F.lit(""))) for p, k in ((p[0], True) if isinstance(p, tuple) else (p, False) for p in parts)])
+    return F.array_join(F.filter(F.transform(F.split(nfkc(F.array_join(lists, "\x01")), "\x01"), plain_text), lambda x: x != ""), "\n")
+
+
+def experience_evidence(experience: Column) -> Column:
+    """The phrase of struct(kind, minimum_years, maximum_years, label) in a listing's evidence."""
+    years = lambda x: F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    most = F.when(experience["maximum_years"].isNull(), "or more").otherwise(F.concat(F.lit("to "), years(experience["maximum_years"])))
+    span = F.concat_ws(" ", F.lit("experience"), years(experience["minimum_years"]), most, F.lit("years"))
+    return F.when(experience["kind"] == "range", span).when(experience["kind"] == "other", F.concat(F.lit("experience "), plain_text(experience["label"]))).otherwise("experience unspecified")
+
+
+def listing_evidence(name: Column, employer: Column, area: Column, experience: Column, employment: Column, schedule: Column, work_format: Column, description: Column, skills: Column) -> Column:
+    """Normalized evidence of a listing: seven fields, description and skills; no identifiers, links, digests and dates."""
+    return evidence_text(name, employer, area, experience_evidence(experience), employment, schedule, work_format, description, (skills,))
 
 
 def language(text: Column) -> Column:

@@ -48,6 +48,15 @@ def leftover_pair(left: list[str], right: list[str]) -> tuple[str, str] | None:
     return (alone[0], free[0]) if len(left) > len(alone) == len(free) == 1 else None
 
 
+def role_titles(profiles: DataFrame) -> DataFrame:
+    """track, titles of stored profiles (user_id, JSON text), read through their envelope; broken profiles and tracks are passed over."""
+    parsed = F.try_parse_json("profile")
+    opened = F.coalesce(F.try_variant_get(parsed, "$.profile", "variant"), parsed)
+    tracks = profiles.select("user_id", F.posexplode(F.try_variant_get(opened, "$.tracks", "array<variant>")).alias("place", "t"))
+    titles = F.filter(F.try_variant_get("t", "$.titles", "array<string>"), lambda x: F.trim(x) != "")
+    return tracks.select(F.concat_ws(":", "user_id", "place").alias("track"), titles.alias("titles")).filter(F.size("titles") > 0)
+
+
 def mine_equivalences(tracks: DataFrame) -> DataFrame:
     """token_a < token_b and support (number of tracks): cross-script pairs left over between titles of one track.
 

@@ -69,7 +69,7 @@ def track_scores(listings: DataFrame, tracks: DataFrame) -> DataFrame:
     told = F.array_distinct(F.concat("words", F.flatten("key_words")))
     offered = left.select("id", F.explode(F.concat("title_grams", marked("title_tokens", "t:"), marked(told, "s:"))).alias("key"))
 
-    right = tracks.select("user_id", "track", F.transform("titles", lambda x: t.search_tokens(x)).alias("titles"), F.transform("skills", lambda x: t.lexical_words(x)).alias("skills"))
+    right = tracks.select("user_id", "track", F.transform(t.nfkc_all(F.col("titles")), lambda x: t.formed_tokens(x)).alias("titles"), F.transform("skills", lambda x: t.lexical_words(x)).alias("skills"))
     right = right.withColumn("titles", F.transform("titles", lambda x: F.struct(x.alias("tokens"), t.ngrams(x).alias("grams"))))
     first = F.transform(F.filter("skills", lambda s: F.size(s) > 0), lambda s: s[0])
     asked = F.concat(F.flatten(F.transform("titles", lambda x: x["grams"])), marked(F.flatten(F.transform("titles", lambda x: x["tokens"])), "t:"), marked(first, "s:"))

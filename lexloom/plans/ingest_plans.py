@@ -32,7 +32,7 @@ def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(t.html_text(F.col("html")), 256).alias("text"))
 
 
-@query("S7 P9 K17", f"SELECT url, {_html_sql(chr(34) + 'title' + chr(34))} AS title, status FROM (SELECT url, regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) AS title, 'ok' AS status FROM pages)")
+@query("S7 K17", f"SELECT url, {_html_sql(chr(34) + 'title' + chr(34))} AS title, status FROM (SELECT url, regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) AS title, 'ok' AS status FROM pages)")
 def company_listing(spark, sf):
     return readers.company_pages(table(spark, sf, "pages"), "article").select("url", "title", "status")
 
@@ -110,10 +110,37 @@ def vacancy_hash(spark, sf):
     return table(spark, sf, "part").select("p_partkey", j.content_hash(name=F.col("p_name"), employer=F.col("p_brand")).alias("content"))
 
 
-@query("P10 P11 P12 P13 S13 K20", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INTEGER) AS blocks FROM documents")
+_LINES = r"""list_filter(list_transform(string_split(replace(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(9), ' '), chr(160), ' '), chr(10)), lambda x: trim(x)), lambda x: x <> '')"""
+_ITEM, _LETTERS = r"'^(?:[-*•‣▪◦]|\d+[.)])\s+(.+)$'", r"regexp_extract_all(x, '\p{L}+')"
+
+
+@query("P10 P11 K20", f"""WITH l AS (SELECT doc_id, {_LINES} AS lines FROM documents), k AS (SELECT doc_id, list_filter(lines, lambda x: regexp_matches(x, {_ITEM})) AS items, list_filter(lines, lambda x: NOT regexp_matches(x, {_ITEM})) AS rest, lines FROM l)
+SELECT doc_id, CAST(len(items) AS INTEGER) AS items, CAST(len(list_filter(rest, lambda x: len(x) <= 80 AND len({_LETTERS}) BETWEEN 1 AND 8 AND x = upper(x) AND x <> lower(x) AND len(list_filter({_LETTERS}, lambda w: len(w) > 3)) > 0)) AS INTEGER) AS headings,
+sha256(array_to_string(list_transform(lines, lambda x: CASE WHEN regexp_matches(x, {_ITEM}) THEN regexp_extract(x, {_ITEM}, 1) ELSE x END), chr(10) || chr(10))) AS text FROM k""")
 def document_blocks(spark, sf):
-    plain = F.regexp_replace("text", r"(?m)^\s*([-*•‣▪◦]|\d+[.)])\s+$", "x")
-    return table(spark, sf, "documents").select("doc_id", F.size(documents.document_blocks(plain, F.lit(False))).alias("blocks"))
+    blocks = documents.document_blocks(F.col("text"), F.lit(False))
+    read = table(spark, sf, "documents").select("doc_id", blocks.alias("b"))
+    of = lambda kind: F.size(F.filter("b", lambda b: b["kind"] == kind))
+    return read.select("doc_id", of("list-item").alias("items"), of("heading").alias("headings"), F.sha2(documents.document_text(F.col("b")), 256).alias("text"))
+
+
+@query("P10 P13", "SELECT p_partkey, 'heading,paragraph,table,list-item,paragraph' AS kinds, 'Part ' || p_partkey || '|' || p_name || ' it goes on|a | b' || chr(10) || p_size || ' | 2|' || p_type || '|# ' || p_brand AS text, CASE WHEN p_partkey % 2 = 0 THEN 'no-dates' ELSE '' END AS warnings FROM part")
+def markdown_blocks(spark, sf):
+    part = table(spark, sf, "part")
+    lines = [F.concat(F.lit("## Part "), "p_partkey"), F.concat(F.lit("**"), "p_name", F.lit("** it")), F.lit("goes on"), F.lit("| a | `b` |"), F.lit("|---|---|"), F.concat("p_size", F.lit(" | 2")), F.concat(F.lit("- "), "p_type"), F.lit("```"), F.concat(F.lit("# "), "p_brand"), F.lit("```")]
+    text = F.concat_ws("\n", *lines)
+    read = part.select("p_partkey", documents.document_blocks(text, F.lit(True)).alias("b"))
+    dated = F.concat("b", F.when(F.col("p_partkey") % 2 == 0, F.array().cast("array<struct<kind:string,level:int,text:string>>")).otherwise(F.array(F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit("in 2019").alias("text")))))
+    return read.select("p_partkey", F.array_join(F.col("b.kind"), ",").alias("kinds"), F.array_join(F.col("b.text"), "|").alias("text"), F.array_join(documents.warnings(dated), ",").alias("warnings"))
+
+
+@query("S13", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'md' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'docx' END AS format, CASE p_partkey % 5 WHEN 2 THEN 'CV_FORMAT_MISMATCH' WHEN 3 THEN 'CV_UNSUPPORTED_FORMAT' END AS error FROM part")
+def source_formats(spark, sf):
+    which = (F.col("p_partkey") % 5).cast("int")
+    name, media = t.strings(["a.PDF", "b.md", "b.txt", "b.exe", "c.docx"])[which], t.strings(["application/pdf", "", "text/plain", "", "application/octet-stream"])[which]
+    lead = t.strings(["255044462D", "23", "25504446", "00", "504B0304"])[which]
+    read = table(spark, sf, "part").select("p_partkey", documents.source_format(name, media, F.concat(F.unhex(lead), F.col("p_name").cast("binary"))).alias("s"))
+    return read.select("p_partkey", "s.format", "s.error")
 
 
 @query("P12", "WITH b AS (SELECT l_orderkey AS doc, l_linenumber * 100000 + l_partkey AS place, l_returnflag || l_linestatus AS text FROM lineitem) SELECT doc, place, CAST(coalesce(sum(len(text) + 2) OVER (PARTITION BY doc ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM b")
@@ -127,10 +154,12 @@ def letter_check(spark, sf):
     return table(spark, sf, "documents").select("doc_id", documents.letter_valid(F.col("text")).alias("valid"))
 
 
-@query("S14", "SELECT count(*) AS n, count(*) AS same FROM documents")
+@query("S14", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Привет ' || p_partkey WHEN 1 THEN 'при' || p_name END AS text FROM part")
 def text_decoding(spark, sf):
-    rows = table(spark, sf, "documents").select("text", documents.decode_bytes(F.col("text").cast("binary")).alias("back"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("text") == F.col("back"), 1)).alias("same"))
+    """UTF-8, else Windows-1251, else nothing."""
+    lead = t.strings(["CFF0E8E2E5F220", "D0BFD180D0B8", "FF98"])[(F.col("p_partkey") % 3).cast("int")]
+    rest = F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", documents.decode_bytes(F.concat(F.unhex(lead), rest.cast("binary"))).alias("text"))
 
 
 @query("S15 O1", "SELECT doc_id FROM documents WHERE doc_id > 500 ORDER BY doc_id LIMIT 100")

@@ -7,6 +7,7 @@ import json
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parsers
@@ -77,75 +78,109 @@ def status_text(spark, sf):
     return reporting.status_lines(usage.totals(usage_plans.events(spark, sf), NOW).select("events", "users"))
 
 
-@query("T2 T11 T12", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}]')) AS letters FROM documents WHERE NOT regexp_matches(text, '[0-9@/:]') AND NOT regexp_matches(lower(text), 'contact|mail|phone|telegram|whatsapp')")
-def clean_text(spark, sf):
-    d = table(spark, sf, "documents").filter(~F.col("text").rlike("[0-9@/:]") & ~F.lower("text").rlike("contact|mail|phone|telegram|whatsapp"))
-    return _letters(d)
-
-
 @query("T2 T11 T12", None)
 def clean_text_whole(spark, sf):
-    """The same over all documents, those with something to remove included."""
-    return _letters(table(spark, sf, "documents"))
+    """Letters that are left of each document without contact data; tests/test_text.py compares all of them with brute force."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.size(t.words(t.nfkc(t.relevance_text(F.col("text"))), r"\p{L}")).cast("long").alias("letters"))
 
 
-def _letters(d):
-    return d.select("doc_id", F.size(t.words(t.nfkc(t.relevance_text(F.col("text"))), r"\p{L}")).cast("long").alias("letters"))
+@query("T2 T11 T12", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN lower(p_type) || ' fix' WHEN 1 THEN 'see ' || lower(p_type) WHEN 2 THEN 'call ' || lower(p_type) ELSE '' END AS words FROM part")
+def clean_text(spark, sf):
+    """Plain words without contact lines, addresses, links and telephone numbers, in compatibility form."""
+    kind = F.col("p_type")
+    texts = [F.concat(F.lit("E-mail: me\n"), kind, F.lit(" ﬁx")), F.concat(F.lit("see https://x.org/a?b=c "), kind, F.lit(" a.b@c.org")), F.concat(F.lit("call +7 (999) 123-45-67 "), kind, F.lit("\r\nmy Telegram is here")), F.concat(F.lit("почта: "), kind)]
+    words = t.plain_words(F.array(*texts)[(F.col("p_partkey") % 4).cast("int")])
+    return table(spark, sf, "part").select("p_partkey", F.array_join(words, " ").alias("words"))
 
 
-@query("O14", "SELECT DISTINCT p_brand, p_type FROM part ORDER BY p_brand, p_type")
+@query("O14", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey % 3, p_name, p_partkey) AS INTEGER) AS place FROM part")
 def code_unit_order(spark, sf):
-    # byte order of UTF-8 is code-unit order for all letters up to U+D7FF
-    return table(spark, sf, "part").select("p_brand", "p_type").distinct().orderBy("p_brand", "p_type")
+    """Code units put letters beyond the basic plane before its last ones; code points, as Spark sorts, do not."""
+    first = F.array(F.lit("z"), F.lit("\U0001f600"), F.lit("｡"))[(F.col("p_partkey") % 3).cast("int")]
+    order = Window.orderBy(t.code_units(F.concat(first, "p_name")), "p_partkey")
+    return table(spark, sf, "part").select("p_partkey", F.row_number().over(order).alias("place"))
+
 
+_CLAIMS_SQL = """WITH p AS (SELECT *, p_partkey % 2 = 0 AS grew, p_partkey % 3 = 0 AS known, p_partkey % 5 = 0 AS mailed FROM part)
+SELECT p_partkey, 1 AS place, 'new-number' AS kind, '40%' AS value FROM p WHERE grew
+UNION ALL SELECT p_partkey, 2, 'unknown-contact', 'x@y.z' FROM p WHERE NOT mailed
+UNION ALL SELECT p_partkey, 3, 'unknown-entry', 'Ghost ' || p_brand FROM p WHERE NOT known
+UNION ALL SELECT p_partkey, 4, 'unsupported-skill', 'Cobol' FROM p"""
 
-@query("P18 K21", None)
+
+@query("P18 K21", _CLAIMS_SQL)
 def evidence_claims(spark, sf):
-    """Claims of generated CVs that the documents do not bear out."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    """Claims of tailored CVs that their sources do not bear out."""
+    part = table(spark, sf, "part").withColumns({"grew": F.col("p_partkey") % 2 == 0, "known": F.col("p_partkey") % 3 == 0, "mailed": F.col("p_partkey") % 5 == 0})
+    source = F.concat(F.lit("I write JavaScript since 2019, saved 1 000 hours for "), "p_brand", F.when(F.col("mailed"), ", reach me at X@Y.Z/").otherwise(""))
+    entry = F.struct(F.lit("entry").alias("kind"), F.concat(F.when(F.col("known"), "").otherwise("Ghost "), "p_brand").alias("title"), F.array(F.when(F.col("grew"), "grew 40 % since 2019").otherwise("1,000 hours"), F.lit("K8s")).alias("bullets"))
+    skills = F.struct(F.lit("facts").alias("kind"), F.array(F.struct(F.lit("Languages").alias("term"), F.lit("JS; Cobol | COBOL").alias("detail"))).alias("items"))
+    blocks = F.concat(F.lit("["), F.to_json(entry), F.lit(","), F.to_json(skills), F.lit("]"))
+    cv = F.concat(F.lit('{"cv":{"name":"N","contacts":[{"value":"x@y.z"}],"sections":[{"title":"Work","blocks":'), blocks, F.lit("}]}}"))
+    rows = documents.evidence_issues(part.select("p_partkey", documents.repair_document(cv).alias("cv"), source.alias("source")), "cv", "source")
+    order = F.array_position(t.strings(["new-number", "unknown-contact", "unknown-entry", "unsupported-skill"]), F.col("x.kind")).cast("int")
+    return rows.select("p_partkey", F.explode("issues").alias("x")).select("p_partkey", order.alias("place"), "x.kind", "x.value")
+
+
+@query("P15", None)
+def structured_cvs(spark, sf):
+    """Documents of enough letters read as CVs; tests/test_text.py has known readings and counts the documents read."""
+    read = table(spark, sf, "documents").select("doc_id", documents.read_cv(F.col("text")).alias("cv")).filter("cv IS NOT NULL")
+    return read.select("doc_id", "cv.name", "cv.headline", F.size("cv.sections").alias("sections"), F.aggregate("cv.sections", F.lit(0), lambda n, s: n + F.size(s["blocks"])).alias("blocks"))
 
-    @F.pandas_udf("array<struct<kind:string,value:string>>")
-    def issues(texts):
-        def one(text):
-            words = text.split()
-            cv = {"name": "N", "contacts": words[:1] + ["x@y.z"], "sections": [{"title": "Work", "blocks": [{"kind": "entry", "title": " ".join(words[1:3]) or "none", "bullets": ["grew 40%"]}]}]}
-            return [{"kind": k, "value": v} for k, v in documents.evidence_issues(cv, text)]
 
-        return texts.map(one)
+@query("P15 P16", "SELECT p_partkey, p_brand || ' ' || p_type AS name, 'WORK HISTORY,Skills' AS titles, 'entry,facts,text' AS kinds, p_name || ';since then' AS items, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS facts FROM (SELECT * REPLACE (replace(p_brand, '#', ' ') AS p_brand) FROM part)")
+def cv_readings(spark, sf):
+    """A text read as a CV, sent through a model's envelope, and repaired."""
+    part = table(spark, sf, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(" ")))
+    lines = [F.concat_ws(" ", "p_brand", "p_type"), F.lit(""), F.lit("WORK HISTORY"), F.lit("Acme Corporation of Everywhere 2019 – present"), F.concat(F.lit("* "), "p_name"), F.lit("• since then"), F.lit("Skills:"), F.lit("Known: SQL"), F.when(F.col("p_partkey") % 2 == 0, "Also: Spark").otherwise(""), F.lit("A long line of prose that follows after the facts and"), F.lit("goes on in the line below.")]
+    cv = documents.read_cv(F.concat_ws("\n", *lines))
+    read = part.select("p_partkey", documents.repair_document(F.concat(F.lit('{"document":'), F.to_json(cv), F.lit("}"))).alias("cv"))
+    blocks = read.select("p_partkey", "cv.name", F.array_join(F.col("cv.sections.title"), ",").alias("titles"), F.flatten("cv.sections.blocks").alias("b"))
+    return blocks.select("p_partkey", "name", "titles", F.array_join(F.col("b.kind"), ",").alias("kinds"), F.array_join(F.col("b")[0]["bullets"], ";").alias("items"), F.size(F.col("b")[1]["facts"]).alias("facts"))
 
-    return d.select("doc_id", F.explode(issues("text")).alias("x")).select("doc_id", "x.kind", "x.value")
 
+_CANONICAL = "CASE l_partkey % 6 WHEN 0 THEN '1' || n WHEN 1 THEN '-' || (l_partkey % 1000) || '.5' WHEN 2 THEN (l_partkey % 1000) || '%' WHEN 3 THEN '1234' || n WHEN 4 THEN (l_partkey % 1000) || '.25k' ELSE '+0' END"
 
-@query("P15 P16", None)
-def structured_cvs(spark, sf):
-    """Documents of enough letters read as CVs."""
-    # every letter that Python takes for a space
-    d = table(spark, sf, "documents").filter(F.length(F.regexp_replace("text", r"[\s\x1c-\x1f\x85\p{Z}]", "")) >= 100).select("doc_id", "text")
 
-    @F.pandas_udf("struct<name:string,headline:string,sections:int,blocks:int>")
-    def read(texts):
-        import pandas as pd
+@query("P19", f"SELECT l_orderkey, l_linenumber, l_partkey, {_CANONICAL} AS canonical FROM (SELECT *, lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') AS n FROM lineitem)")
+def canonical_numbers(spark, sf):
+    n = F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0")
+    written = F.array(F.concat(F.lit("1,"), n), F.concat(F.lit("-00"), n, F.lit(",5")), F.concat(F.lit("0"), n, F.lit(" %")), F.concat(F.lit("1.234."), n), F.concat(F.lit("0'0"), n, F.lit(".25K")), F.lit("+ 000"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", parsers.canonical_number(written[(F.col("l_partkey") % 6).cast("int")]).alias("canonical"))
 
-        found = [documents.repair_document(documents.read_cv(x)) for x in texts]
-        return pd.DataFrame([(c["name"], c["headline"], len(c["sections"]), sum(len(s["blocks"]) for s in c["sections"])) for c in found], columns=["name", "headline", "sections", "blocks"])
 
-    return d.select("doc_id", read("text").alias("cv")).select("doc_id", "cv.*")
+@query("P9 K17", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'range' WHEN 1 THEN 'range' WHEN 2 THEN 'other' ELSE 'unspecified' END AS kind, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 0.5 END AS minimum_years, CASE WHEN p_partkey % 4 = 2 THEN p_name END AS label, CASE p_partkey % 5 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'on-site' WHEN 3 THEN 'other' ELSE 'unspecified' END AS form FROM part")
+def company_labels(spark, sf):
+    """Experience and work format as company pages label them."""
+    years = F.array(F.concat(F.lit("от "), "p_size", F.lit(" лет")), F.concat(F.col("p_size").cast("string"), F.lit(",5 years or so, 99 years")), F.concat(F.lit(" "), "p_name", F.lit("\n")), F.lit(" "))[(F.col("p_partkey") % 4).cast("int")]
+    form = F.array(F.lit("УДАЛЕННО, hybrid"), F.lit("Гибрид, office"), F.lit("On site"), F.lit("a tent"), F.lit(""))[(F.col("p_partkey") % 5).cast("int")]
+    return table(spark, sf, "part").select("p_partkey", parsers.experience(years).alias("e"), parsers.work_format(form).alias("form")).select("p_partkey", "e.kind", "e.minimum_years", "e.label", "form")
 
 
-@query("P19", "SELECT l_orderkey, l_linenumber, l_partkey, '1' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') AS canonical FROM lineitem")
-def canonical_numbers(spark, sf):
-    @F.pandas_udf("string")
-    def canonical(texts):
-        return texts.map(parsers.canonical_number)
+@query("P2 P3", "SELECT p_partkey, p_name || ' ' || chr(1040 + p_size % 32) || 'é' || chr(128512 + p_size) || ' &lt; it''s & | x' AS text FROM part")
+def character_references(spark, sf):
+    """Numeric and named references in listing text, each decoded once."""
+    n = F.col("p_size")
+    html = F.concat(F.lit("<p>"), "p_name", F.lit("</p>&#"), (1040 + n % 32).cast("string"), F.lit(";&#xE9;&#X"), F.hex((128512 + n).cast("long")), F.lit("; &amp;lt; it&#39;s &amp; |&bogus;&#1114112;x"))
+    return table(spark, sf, "part").select("p_partkey", t.html_text(html).alias("text"))
+
 
-    text = F.concat(F.lit("1,"), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", canonical(text).alias("canonical"))
+@query("T24 P1", "SELECT p_partkey, p_name || chr(10) || p_brand || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN 'experience ' || p_size || ' or more years' WHEN p_partkey % 3 = 1 THEN 'experience unspecified' ELSE 'experience ' || p_type END || chr(10) || 'remote' || chr(10) || 'fix it' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'SQL' || chr(10) || 'Go' ELSE '' END AS evidence FROM part")
+def listing_evidence(spark, sf):
+    """The semantic text of a listing: seven fields, description, skills."""
+    label = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_size", F.lit(" years"))).when(F.col("p_partkey") % 3 == 1, "").otherwise(F.col("p_type"))
+    skills = F.when(F.col("p_partkey") % 2 == 0, t.strings([" SQL", "", "Go"])).otherwise(F.array().cast("array<string>"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf, "part").select("p_partkey", t.listing_evidence(F.concat(F.lit(" "), "p_name"), F.col("p_brand"), none, parsers.experience(label), F.lit(" "), none, F.lit("remote"), F.lit("ﬁx\n\u00a0it"), skills).alias("evidence"))
 
 
-@query("P22 K23", "SELECT l_orderkey, CAST(ceil(count(*) / 3.0) AS INTEGER) AS messages FROM lineitem GROUP BY 1")
+@query("P22 K23", "WITH RECURSIVE l AS (SELECT l_orderkey, list(l_returnflag || repeat('x', CAST(floor(l_quantity) AS INTEGER)) ORDER BY l_linenumber, l_partkey, l_returnflag || repeat('x', CAST(floor(l_quantity) AS INTEGER))) AS lines FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, lines, 1 AS k, lines[1] AS last, CAST([] AS VARCHAR[]) AS done FROM l UNION ALL SELECT l_orderkey, lines, k + 1, CASE WHEN len(last) + 1 + len(lines[k + 1]) <= 80 THEN last || chr(10) || lines[k + 1] ELSE lines[k + 1] END, CASE WHEN len(last) + 1 + len(lines[k + 1]) <= 80 THEN done ELSE list_append(done, last) END FROM r WHERE k < len(lines)) SELECT l_orderkey, array_to_string(list_append(done, last), '|') AS messages FROM r WHERE k = len(lines)")
 def message_split(spark, sf):
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.lit("abcde")).alias("lines"))
-    return lines.select("l_orderkey", F.size(documents.split_message(F.col("lines"), F.lit(17))).alias("messages"))
+    line = F.struct("l_linenumber", "l_partkey", F.concat("l_returnflag", F.repeat(F.lit("x"), F.col("l_quantity").cast("int"))).alias("text"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]).alias("lines"))
+    return lines.select("l_orderkey", F.array_join(documents.split_message(F.col("lines"), F.lit(80)), "|").alias("messages"))
 
 
 @query("S1 S2 S3 S9 U1 U2 K18", "SELECT p_brand AS search_name, count(*) AS found FROM part WHERE p_partkey < 200 GROUP BY 1")

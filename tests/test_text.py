@@ -48,7 +48,38 @@ def test_relevance_text(spark):
 
 def test_html_text(spark):
     html = "<style>x</style><p>A&nbsp;&amp;lt; B&bogus;C</p><div>D<br/>E</div>&#1040;&#x41;"
-    assert value(spark, t.html_text(F.lit(html), numeric=True)) == "A &lt; B C D E АA"
+    assert value(spark, t.html_text(F.lit(html))) == "A &lt; B C D E АA"
+    of = lambda x: value(spark, t.decode_entities(F.lit(x)))
+    assert of("it&#39;s &#38;lt; &#x1F600;&#X41;&AMP;&#xD800;|&#1114112;|&#99999999999999999999;|& &x") == "it's &lt; \U0001f600A& | | |& &x"
+    assert of("&#1;&quot;") == '\x01"' and of("") == "" and of(None) is None
+
+
+def test_stable_letters_need_no_form(spark):
+    """No letter that stays in the JVM is changed by a Unicode form, and all others are formed."""
+    import unicodedata
+
+    texts = [(k, chr(k)) for k in range(0x250) if chr(k)] + [(k, "x" + chr(k)) for k in range(0x300, 0x3100) if not 0xD800 <= k < 0xE000] + [(0x20000, "ﬁ①ａ"), (0x20001, "e\u0301"), (0x20002, "к\u0306")]
+    rows = spark.createDataFrame(texts, "k int, x string").select("x", t.nfkc(F.col("x")).alias("a"), t.nfc(F.col("x")).alias("b")).collect()
+    assert all(r.a == unicodedata.normalize("NFKC", r.x) and r.b == unicodedata.normalize("NFC", r.x) for r in rows)
+    assert value(spark, t.search_tokens(F.lit("Ｐｙｔｈｏｎ ﬁx"))) == ["python", "fix"]
+    assert value(spark, t.fingerprint(F.lit("Ａ"), F.lit("b"))) == value(spark, t.fingerprint(F.lit("a"), F.lit("b")))
+
+
+def test_evidence_of_a_listing(spark):
+    experience = lambda x: parsers.experience(F.lit(x))
+    of = lambda x, skills: value(spark, t.listing_evidence(F.lit(" Dev  Ops"), F.lit("ﬁrm"), F.lit(""), experience(x), F.lit("full-time"), F.lit(None).cast("string"), F.lit("remote"), F.lit("a\n b"), skills))
+    skills = F.array(F.lit("SQL "), F.lit(""), F.lit("Go"))
+    assert of("от 3 лет", skills) == "Dev Ops\nfirm\nexperience 3 or more years\nfull-time\nremote\na b\nSQL\nGo"
+    assert of("some", F.array().cast("array<string>")).split("\n")[2] == "experience some"
+    assert of("", skills).split("\n")[2] == "experience unspecified" and "experience 1.5 or more years" in of("1,5 года", skills)
+
+
+def test_experience_and_work_format(spark):
+    of = lambda x: tuple(value(spark, parsers.experience(F.lit(x))))
+    assert of(" ") == ("unspecified", None, None, None) and of("От 2,5 года и более") == ("range", 2.5, None, None) and of("3-5 years") == ("range", 5.0, None, None)
+    assert of(" Senior ") == ("other", None, None, "Senior")
+    forms = [value(spark, parsers.work_format(F.lit(x))) for x in ("Remote or hybrid", "Гибрид/офис", "on site", "Офис", "somewhere", "", None)]
+    assert forms == ["remote", "hybrid", "on-site", "on-site", "other", "unspecified", "unspecified"]
 
 
 @pytest.mark.parametrize(
@@ -86,35 +117,81 @@ def test_postings():
     assert len(parsers.find_postings(html)) == 1
 
 
-def test_numbers():
-    assert [parsers.canonical_number(x) for x in ("1,000", "1,5", "-007", "10 %", "1.234.567", "2.50k")] == ["1000", "1.5", "-7", "10%", "1234567", "2.50k"]
-    assert d.number_claims("ISO27001 in 2019, +15% and K8s") == ["2019", "+15%"]
+def test_numbers(spark):
+    texts = ["1,000", "1,5", "-007", "10 %", "1.234.567", "2.50k", "+0", "1 000'000_0", "1.2,34", "000", "12,"]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").orderBy("k").select(parsers.canonical_number(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["1000", "1.5", "-7", "10%", "1234567", "2.50k", "+0", "10000000", "12.34", "0", "12."]
+    assert value(spark, d.number_claims(F.lit("ISO27001 in 2019, +15% and K8s"))) == ["2019", "+15%"]
 
 
-def test_blocks():
-    text = "WORK HISTORY\n- did this\nplain line\n\n1) that"
-    assert [b["kind"] for b in d.blocks_of_text(text)] == ["heading", "list-item", "paragraph", "list-item"]
-    marked = d.blocks_of_markdown("# T\na *b*\nc\n\n|x|y|\n|-|-|\n|1|2|\n\n```\ncode\n```")
-    assert [(b["kind"], b["text"]) for b in marked] == [("heading", "T"), ("paragraph", "a b c"), ("table", "x | y\n1 | 2"), ("paragraph", "code")]
+def blocks(spark, text, markdown=False):
+    return [(b.kind, b.level, b.text) for b in value(spark, d.document_blocks(F.lit(text), F.lit(markdown)))]
 
 
-def test_read_cv():
-    text = "Jane Example Doe\nBackend engineer here\n\nEXPERIENCE\nAcme Corp 2019 - 2021\n- built things that work well for many people around the world\n\nSkills: Python, SQL\nTools: Spark\n\nLoose prose goes\nover two lines"
-    cv = d.read_cv(text)
-    assert (cv["name"], cv["headline"]) == ("Jane Example Doe", "Backend engineer here")
-    kinds = [b["kind"] for b in cv["sections"][0]["blocks"]]
-    assert cv["sections"][0]["title"] == "EXPERIENCE" and kinds == ["entry", "facts", "text"]
-    with pytest.raises(ValueError):
-        d.read_cv("short")
+def test_blocks(spark):
+    text = "WORK HISTORY\r\n- did this\t \nplain\xa0line\n\n\n\n1) that\nSQL AWS"
+    assert blocks(spark, text) == [("heading", 2, "WORK HISTORY"), ("list-item", None, "did this"), ("paragraph", None, "plain line"), ("list-item", None, "that"), ("paragraph", None, "SQL AWS")]
+    marked = "# T #\na *b*\nc\n> quoted\n\n|x| `y` |\n|-|-|\n|1|**2**|\n|-3|4|\nafter\n\n```\n# code\n\nmore\n```\n- i\n12. j\n a|b\n---\n c|d\n---\ne|f\n![pic](u) [l](v) __s__ \\* []()"
+    assert blocks(spark, marked, True) == [
+        ("heading", 1, "T #"), ("paragraph", None, "a b c quoted"), ("table", None, "x | y\n1 | 2\n-3 | 4"), ("paragraph", None, "after"), ("paragraph", None, "# code  more"),
+        ("list-item", None, "i"), ("list-item", None, "j"), ("table", None, "a | b\nc | d"), ("paragraph", None, "--- e|f pic l s * []()"),
+    ]
+    assert blocks(spark, "") == blocks(spark, None) == blocks(spark, " \n", True) == []
 
 
-def test_evidence_issues():
-    document = {
-        "name": "J", "contacts": ["x@y.z"],
-        "sections": [{"title": "E", "blocks": [{"kind": "entry", "title": "Ghost Inc", "bullets": ["grew 40%"]}, {"kind": "facts", "items": [{"term": "Skills", "detail": "JS, Cobol"}]}]}],
-    }
-    got = d.evidence_issues(document, "I write JavaScript at Acme since 2019")
+def test_warnings_and_text(spark):
+    of = lambda text: value(spark, d.warnings(d.document_blocks(F.lit(text), F.lit(False))))
+    line = "a line of the text that is long enough to be told from the others, as it has eighty letters"
+    assert of("plain") == ["no-headings", "no-dates"] and of(f"WORK HERE\n{line}\nin 2019\n{line.upper()}.") == [] and of(f"WORK HERE 2019\n{line}\n{line}") == ["duplicate-content"]
+    assert value(spark, d.document_text(d.document_blocks(F.lit("a\nb"), F.lit(False)))) == "a\n\nb"
+
+
+def test_source_formats(spark):
+    rows = [("a.PDF", None, b"%PDF-1"), ("a.docx", "application/octet-stream", b"PK\x03\x04"), ("b.md", "text/markdown; charset=x", b"# a"), ("b.txt", "text/plain", b"hi"), ("b.txt", "text/plain", b"%PDF"), ("b.pdf", "text/plain", b"%PDF"), ("b.pdf", "", b"hi"), ("noext", "", b""), ("x.txt", "image/png", b"a")]
+    got = spark.createDataFrame(rows, "n string, m string, c binary").select(d.source_format(F.col("n"), F.col("m"), F.col("c")).alias("s")).select("s.*").collect()
+    assert [r.format for r in got] == ["pdf", "docx", "md", "txt"] + [None] * 5
+    assert [r.error for r in got[4:]] == ["CV_FORMAT_MISMATCH"] * 3 + ["CV_UNSUPPORTED_FORMAT"] * 2
+
+
+def plain(x):
+    """Rows as dictionaries, without fields that are null."""
+    if hasattr(x, "asDict"):
+        return {k: plain(v) for k, v in x.asDict().items() if v is not None}
+    return [plain(v) for v in x] if isinstance(x, list) else x
+
+
+def test_read_cv(spark):
+    text = "Jane Example Doe\nBackend engineer here\n\nEXPERIENCE\nAcme Corp 2019 - 2021\n- built things that work well for many people around the world\n\nSkills: Python, SQL\nTools: Spark\n\nLoose prose goes\nover two lines"
+    cv = plain(value(spark, d.read_cv(F.lit(text))))
+    assert (cv["name"], cv["headline"], cv["contacts"]) == ("Jane Example Doe", "Backend engineer here", [])
+    assert cv["sections"] == [{"title": "EXPERIENCE", "blocks": [
+        {"kind": "entry", "title": "Acme Corp", "meta": "2019 - 2021", "bullets": ["built things that work well for many people around the world"]},
+        {"kind": "facts", "facts": [{"term": "Skills", "detail": "Python, SQL"}, {"term": "Tools", "detail": "Spark"}]}, {"kind": "text", "text": "Loose prose goes over two lines"},
+    ]}]
+    assert value(spark, d.read_cv(F.lit("short"))) is None and value(spark, d.read_cv(F.lit(None).cast("string"))) is None
+    many = "\n".join(["just a line of prose that is no header, as it ends with a stop.", "", *[f"k{n}: v" for n in range(45)], "", *[f"- i{n}" for n in range(45)]])
+    got = plain(value(spark, d.read_cv(F.lit(many))))
+    assert got["name"] == "Curriculum Vitae" and [len(b.get("facts", b.get("items", []))) for b in got["sections"][0]["blocks"]] == [0, 20, 20, 5, 30]
+
+
+def test_evidence_issues(spark):
+    import json
+
+    def of(sections, contacts, source):
+        cv = d.repair_document(F.lit(json.dumps({"name": "J", "contacts": contacts, "sections": [{"title": "E", "blocks": sections}]})))
+        rows = d.evidence_issues(spark.range(1).select(cv.alias("cv"), F.lit(source).alias("source")), "cv", "source")
+        return [tuple(x) for x in rows.first().issues], rows
+
+    facts = lambda term, detail: {"kind": "facts", "items": [{"term": term, "detail": detail}]}
+    source = "I write JavaScript at Acme since 2019, mail a@b.org/ and saved 1 000 hours"
+    got, rows = of([{"kind": "entry", "title": "Ghost Inc", "bullets": ["grew 40%", "grew 40 %"]}, facts("Skills", "JS, Cobol | COBOL")], ["x@y.z", "mailto:a@b.org"], source)
     assert got == [("new-number", "40%"), ("unknown-contact", "x@y.z"), ("unknown-entry", "Ghost Inc"), ("unsupported-skill", "Cobol")]
+    assert rows.select(d.evidence_error(F.col("issues"))).first()[0] == "Tailored CV contains unsupported evidence: new-number: 40%; unknown-contact: x@y.z; unknown-entry: Ghost Inc; unsupported-skill: Cobol."
+    with pytest.raises(Exception, match="unsupported evidence: new-number: 40%"):
+        d.assert_evidence(rows).collect()
+    assert of([facts("Languages", "Cobol")], [], "")[0] == [("unsupported-skill", "Cobol")]
+    got, rows = of([facts("Язык", "TypeScript; ts / go"), facts("Place", "Nowhere"), {"kind": "entry", "title": "ACME"}, "1,000 hours, 2019"], [], source + " TS go")
+    assert got == [] and d.assert_evidence(rows).count() == 1
 
 
 def test_letter_and_messages(spark):
@@ -128,9 +205,25 @@ def test_letter_and_messages(spark):
 def test_repairs(spark):
     titles = F.array(F.lit(" Developer / Разработчик "), F.lit("developer"))
     assert value(spark, d.repair_titles(titles)) == ["Developer", "Разработчик"]
-    fixed = d.repair_document({"cv": {"fullName": " A  B ", "contacts": {"e": "x@y"}, "sections": [{"heading": "S", "items": ["text", {"role": "Dev", "highlights": ["h"]}, {}]}]}})
-    assert fixed["name"] == "A B" and [b["kind"] for b in fixed["sections"][0]["blocks"]] == ["text", "entry"]
-    assert d.repair_document([]) is None
+    import json
+
+    of = lambda x: plain(value(spark, d.repair_document(F.lit(json.dumps(x)))))
+    document = {
+        "name": " Ada Lovelace ", "headline": " Engineer ", "contacts": [{"label": "ada@example.test"}, {"url": "https://example.test"}],
+        "sections": [{"name": "Experience", "items": [
+            {"type": "entry", "employer": "Analytical Engines", "role": "Engineer", "dates": "2020–2024", "points": ["Built systems"]},
+            "Additional context", {"type": "facts", "facts": {"Language": "English"}}, {"debris": True},
+        ]}],
+    }
+    want = {"name": "Ada Lovelace", "headline": "Engineer", "contacts": ["ada@example.test", "https://example.test"], "sections": [{"title": "Experience", "blocks": [
+        {"kind": "entry", "title": "Analytical Engines", "subtitle": "Engineer", "meta": "2020–2024", "bullets": ["Built systems"]},
+        {"kind": "text", "text": "Additional context"}, {"kind": "facts", "facts": [{"term": "Language", "detail": "English"}]},
+    ]}]}
+    assert of({"document": document}) == want == of({"cv": {"document": {"cv": document}}})
+    assert of([]) is None or of([]) == {}
+    assert plain(value(spark, d.repair_document(F.lit("{")))) in (None, {})
+    assert of({"full_name": "B", "contacts": {"label": "x", "value": "v"}, "sections": [{"blocks": ["no title"]}, {"title": "T", "blocks": [{}]}, {"title": "U", "items": [{"kind": "list", "points": ["a", 3, " "]}]}]}) == {
+        "name": "B", "contacts": ["v"], "sections": [{"title": "U", "blocks": [{"kind": "bullets", "items": ["a"]}]}]}
 
 
 def test_full_text(spark):
@@ -171,4 +264,4 @@ def test_structured_cvs_take_texts_of_a_hundred_letters(spark, tmp_path):
     texts = [(k, "ab " * (n // 2) + "c" * (n % 2)) for k, n in enumerate((0, 99, 100, 119, 120))] + [(5, "\x1c\x85\xa0 " * 40), (6, "\x1c\x85\xa0 " * 40 + "d" * 100), (7, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["structured_cvs"](spark, str(tmp_path)).collect()
-    assert sorted(r.doc_id for r in got) == [2, 3, 4, 6]
+    assert sorted(r.doc_id for r in got) == [2, 3, 4, 6]  # controls that are no blanks count as letters: 80 of them are too few
