@@ -41,6 +41,7 @@ PERSONAL = [r"(?<![\w])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w])", r"(?i)(?<![\w])(
 TOKEN = r"\.[\p{L}\p{N}]+|[\p{L}\p{N}][\p{L}\p{N}+#]*(?:\.[\p{L}\p{N}][\p{L}\p{N}+#]*)*"
 PLAIN = r"[\p{L}\p{N}]+"
 LEXICAL = r"[\p{L}\p{N}+#.]+"
+QUERY_WORD = r"[\p{L}\p{N}+#.]{2,}"
 #: White space as browsers' patterns have it (Java's \s lacks the Unicode part).
 SPACE = r"[\s   -     　﻿]"
 
@@ -84,6 +85,11 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({pattern})"), F.lit(1))
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strings(values) -> Column:
     return F.array(*[F.lit(x) for x in values])
 
@@ -101,15 +107,25 @@ def nfkc_all(texts: Column) -> Column:
 def formed_tokens(text: Column) -> Column:
     """Search tokens of a text that is in compatibility form; may stand inside a lambda."""
     usable = lambda t: (F.length(t) > 1) | t.contains("+") | t.contains("#") | t.startswith(".")
-    informative = F.filter(words(text, TOKEN), lambda t: usable(t) & ~F.array_contains(strings(LOW_INFORMATION), t))
-    plain = F.filter(informative, lambda t: ~F.array_contains(strings(GRADES), t))
-    return F.array_distinct(F.when(F.size(plain) > 0, plain).otherwise(informative))
+    informative = F.array_distinct(F.filter(words(text, TOKEN), lambda t: usable(t) & ~t.isin(LOW_INFORMATION)))
+    return bind(informative, lambda all_: bind(F.filter(all_, lambda t: ~t.isin(GRADES)), lambda plain: F.when(F.size(plain) > 0, plain).otherwise(all_)))
 
 
 def plain_words(text: Column) -> Column:
     return words(nfkc(relevance_text(text)), PLAIN)
 
 
+def counted(tokens: Column) -> Column:
+    """array<struct(token, n)> of the distinct tokens: runs of the sorted array, so nothing is exchanged."""
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bind(starts, lambda b: F.transform(b, lambda p, k: F.struct(F.get(s, p).alias("token"), (F.coalesce(F.get(b, k + 1), F.size(s)) - p).cast("long").alias("n"))))
+
+    return bind(F.array_sort(tokens), runs)
+
+
 def lexical_words(text: Column) -> Column:
     return F.filter(F.transform(words(text, LEXICAL), lambda t: F.regexp_replace(t, r"\.+$", "")), lambda t: t != "")
 
@@ -139,9 +155,8 @@ def ngrams(tokens: Column) -> Column:
 
 def jaccard(left: Column, right: Column) -> Column:
     """Of two sets given as distinct arrays; two empty sets are alike, one empty set is like no other."""
-    common = F.size(F.array_intersect(left, right))
-    either = F.size(left) + F.size(right) - common
-    return F.when(either == 0, 1.0).otherwise(common / F.nullif(either, F.lit(0)))
+    sizes = F.struct(F.size(F.array_intersect(left, right)).alias("common"), (F.size(left) + F.size(right)).alias("both"))
+    return bind(sizes, lambda n: F.when(n["both"] == 0, 1.0).otherwise(n["common"] / F.nullif(n["both"] - n["common"], F.lit(0))))
 
 
 def ngram_similarity(left: Column, right: Column) -> Column:
@@ -220,7 +235,7 @@ def fingerprint(name: Column, employer: Column, domain: str = "lexloom.fingerpri
 
 def title_matches(title: Column, query: Column) -> Column:
     """Every word of two or more letters of the query stands somewhere in the title."""
-    asked = words(query, r"[\p{L}\p{N}+#.]{2,}")
+    asked = words(query, QUERY_WORD)
     return (F.size(asked) > 0) & F.forall(asked, lambda w: F.contains(F.lower(title), w))
 
 

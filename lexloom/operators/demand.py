@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,49 +102,78 @@ def resolver(pairs: DataFrame, minimum_support: int = 1, checkpoint=lambda x: x.
     return owner.join(owner.groupBy("at").agg(F.min("token").alias("representative")), "at").select("token", "representative")
 
 
-def compile_demand(searches: DataFrame, threshold: float, existing: DataFrame | None = None, resolve: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+class _Units:
+    """Units of one platform and filter, found by what they share with a search: counts of shared features over posting lists."""
+
+    def __init__(self):
+        self.rows: dict[str, dict] = {}
+        self.sizes: dict[str, tuple[int, int]] = {}
+        self.lists: tuple[dict, dict] = ({}, {})
+
+    def add(self, unit: str, row: dict) -> None:
+        self.rows[unit] = row
+        self.sizes[unit] = tuple(map(len, row["features"]))
+        for lists, found in zip(self.lists, row["features"], strict=True):
+            for x in found:
+                lists.setdefault(x, []).append(unit)
+
+    def nearest(self, features, threshold: float) -> tuple[float, str] | None:
+        """The most similar unit at or above the threshold, the first one of equals."""
+        best: dict[str, float] = {}
+        for kind, (lists, found) in enumerate(zip(self.lists, features, strict=True)):
+            shared = Counter(itertools.chain.from_iterable(lists.get(x, ()) for x in found))
+            for unit, n in shared.items():
+                best[unit] = max(best.get(unit, 0.0), n / (len(found) + self.sizes[unit][kind] - n))
+            if not found:  # two empty sets are alike
+                best |= {u: 1.0 for u, sizes in self.sizes.items() if not sizes[kind]}
+        good = [(-x, u) for u, x in best.items() if x >= threshold]
+        return (-min(good)[0], min(good)[1]) if good else None
+
+
+def compile_demand(searches: DataFrame, threshold: float, existing: DataFrame | None = None, resolver: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Shared units and one subscription for each unit and user.
 
     searches: platform, user_id, filters (canonical), unit_id, tokens, name, wording, search (canonical).
-    existing: platform, filters, unit_id, tokens, wording, search.  Each search joins the unit of its
-    own identity, else the most similar one at or above the threshold, else it founds one that
-    later searches may join; so order matters, and a (platform, filters) group is one task.
+    existing: platform, filters, unit_id, tokens, wording, search.  resolver: token, representative.  Each search
+    joins the unit of its own identity, else the most similar one at or above the threshold, else it founds one
+    that later searches may join; so order matters, and a (platform, filters) group is one task.  Tokens
+    are resolved and cut to n-grams before, by columns.
     """
-    resolve = resolve or {}
     cols = ["platform", "filters", "unit_id", "tokens", "wording", "search"]
     old = existing.select(*cols) if existing is not None else searches.select(*cols).limit(0)
     rows = searches.select(*cols, "user_id", "name").unionByName(old.withColumns({"user_id": F.lit(None).cast(dict(searches.dtypes)["user_id"]), "name": F.lit(None).cast("string")}))
+    if resolver is None:
+        rows = rows.withColumn("resolved", F.array_distinct("tokens"))
+    else:
+        sets = rows.select("tokens").distinct().withColumn("token", F.explode("tokens"))
+        named = sets.join(resolver.select("token", "representative"), "token", "left").groupBy("tokens").agg(F.array_sort(F.collect_set(F.coalesce("representative", "token"))).alias("resolved"))
+        rows = rows.join(named, "tokens", "left").withColumn("resolved", F.coalesce("resolved", F.array().cast("array<string>")))
+    rows = rows.withColumn("grams", t.ngrams(F.col("tokens")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        units: dict[str, dict] = {}
-        sets: dict[str, tuple[set, set]] = {}  # resolved tokens and n-grams of each unit
-        features = lambda tokens: ({resolve.get(x, x) for x in tokens}, _grams(tokens))
-        for row in frame[frame["user_id"].isna()].sort_values("unit_id").to_dict("records"):
-            units.setdefault(row["unit_id"], row)
-            sets.setdefault(row["unit_id"], features(units[row["unit_id"]]["tokens"]))
-        similar = lambda a, b: max(_jaccard(a[0], b[0]), _jaccard(a[1], b[1]))
+        units = _Units()
+        records = [r | {"features": (list(r["resolved"]), list(r["grams"]))} for r in frame.to_dict("records")]
+        known, asking = [r for r in records if pd.isna(r["user_id"])], [r for r in records if not pd.isna(r["user_id"])]
+        for row in sorted(known, key=lambda r: r["unit_id"]):
+            if row["unit_id"] not in units.rows:
+                units.add(row["unit_id"], row)
         best: dict[tuple, tuple] = {}
-        used: set[str] = set()
-        for row in frame[frame["user_id"].notna()].sort_values(["user_id", "unit_id", "search"]).to_dict("records"):
+        for row in sorted(asking, key=lambda r: (r["user_id"], r["unit_id"], r["search"])):
             own = row["unit_id"]
-            exact, likeness, target = own in units, 1.0, own
-            if not exact:
-                asked = features(row["tokens"])
-                scored = [(similar(u, asked), k) for k, u in sets.items()]
-                scored = [x for x in scored if x[0] >= threshold]
-                if scored:
-                    likeness, target = min(scored, key=lambda x: (-x[0], x[1]))
-                else:
-                    units[own], sets[own], exact = row, asked, True
-            elif row["wording"] and not (units[own]["wording"] and len(units[own]["wording"]) <= len(row["wording"])):
-                units[own] = units[own] | {"wording": row["wording"], "search": row["search"]}
-            used.add(target)
+            target, likeness, exact = own, 1.0, True
+            if own in units.rows:
+                mine, held = row["wording"], units.rows[own]["wording"]
+                if mine and (not held or len(mine) < len(held)):  # the shortest wording speaks for the unit
+                    units.rows[own] |= {"wording": mine, "search": row["search"]}
+            elif near := units.nearest(row["features"], threshold):
+                (likeness, target), exact = near, False
+            else:
+                units.add(own, row)
             rank = (not exact, -likeness, len(row["wording"] or "") or float("inf"), row["search"])
             key = (target, row["user_id"])
-            if key not in best or rank < best[key][0]:
-                best[key] = (rank, row["name"], row["search"])
+            best[key] = min(best.get(key, (rank, row["name"], row["search"])), (rank, row["name"], row["search"]), key=lambda x: x[0])
         first = frame.iloc[0]
-        out = [(first["platform"], first["filters"], unit, list(units[unit]["tokens"]), units[unit]["search"], user, name, search) for (unit, user), (_, name, search) in best.items()]
+        out = [(first["platform"], first["filters"], unit, list(units.rows[unit]["tokens"]), units.rows[unit]["search"], user, name, search) for (unit, user), (_, name, search) in best.items()]
         return pd.DataFrame(out, columns=["platform", "filters", "unit_id", "tokens", "query", "user_id", "name", "search"])
 
     user = dict(searches.dtypes)["user_id"]

@@ -93,18 +93,35 @@ def upsert_listings(state: DataFrame, incoming: DataFrame, now: dt.datetime) ->
 def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
     """The oldest known row of the same fingerprint and nearly the same description.
 
-    Both: id, fingerprint, tokens (distinct words).  Rows of equal words are one set with its oldest
-    row, so copies are never paired with each other; sets meet inside a fingerprint, and only
-    where their sizes allow the threshold.
+    Both: id, fingerprint, tokens (distinct words).  Words are compared by 64-bit hashes, in the order of these.
+    Rows of equal words are one set with its oldest row, so copies are never paired with each other.
+    Two sets that are alike enough share one of their first words, as many as may be missing and one more, so
+    sets meet on these words inside a fingerprint, and a common title is no task of all its pairs.
     """
-    key = F.sha2(F.array_join(F.array_sort("tokens"), "\u0001"), 256)
-    rows = candidates.select(F.col("id").alias("candidate"), "fingerprint", "tokens", key.alias("key"))
-    left = rows.groupBy("fingerprint", "key").agg(F.any_value("tokens").alias("a"))
-    right = known.select("id", "fingerprint", "tokens", key.alias("other")).groupBy(F.col("fingerprint").alias("f"), "other").agg(F.min("id").alias("known"), F.any_value("tokens").alias("b"))
-    near = F.least(F.size("a"), F.size("b")) >= threshold * F.greatest(F.size("a"), F.size("b"))
-    met = left.join(right, (F.col("fingerprint") == F.col("f")) & near).filter(t.jaccard(F.col("a"), F.col("b")) >= threshold)
-    oldest = met.groupBy("fingerprint", "key").agg(F.min("known").alias("duplicate_of"))
-    return rows.drop("tokens").join(oldest, ["fingerprint", "key"]).filter("duplicate_of < candidate").select("candidate", "duplicate_of")
+    hashed = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
+
+    def told(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "fingerprint", hashed.alias("words")).withColumn("set", F.xxhash64("words", F.size("words")))
+
+    ours, theirs = told(candidates), told(known)
+    left = ours.groupBy("fingerprint", "set").agg(F.any_value("words").alias("words"))
+    right = theirs.groupBy("fingerprint", "set").agg(F.min("id").alias("oldest"), F.any_value("words").alias("words"))
+    several = right.select("fingerprint", "set").union(left.select("fingerprint", "set")).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
+
+    def first(sets: DataFrame) -> DataFrame:
+        n = F.size("words")
+        some = F.slice("words", 1, n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
+        return sets.select("fingerprint", "set", n.alias("n"), F.explode(F.when(n > 0, some).otherwise(F.array(F.lit(0).cast("long")))).alias("word"))
+
+    a = first(left.join(several, "fingerprint", "left_semi"))
+    b = first(right.join(several, "fingerprint", "left_semi")).select("fingerprint", F.col("set").alias("other"), F.col("n").alias("m"), "word")
+    near = F.least("n", "m") >= threshold * F.greatest("n", "m")
+    met = a.join(b, ["fingerprint", "word"]).filter(near & (F.col("set") != F.col("other"))).select("fingerprint", "set", "other").distinct()
+    met = met.join(left.withColumnRenamed("words", "mine"), ["fingerprint", "set"]).join(right.select("fingerprint", F.col("set").alias("other"), "oldest", F.col("words").alias("theirs")), ["fingerprint", "other"])
+    alike = met.filter(t.jaccard(F.col("mine"), F.col("theirs")) >= threshold).select("fingerprint", "set", "oldest")
+    oldest = alike.union(right.select("fingerprint", "set", "oldest")).groupBy("fingerprint", "set").agg(F.min("oldest").alias("duplicate_of"))
+    rows = ours.select(F.col("id").alias("candidate"), "fingerprint", "set")
+    return rows.join(oldest, ["fingerprint", "set"]).filter("duplicate_of < candidate").select("candidate", "duplicate_of")
 
 
 def reset_changed(matches: DataFrame, changes: DataFrame) -> DataFrame:

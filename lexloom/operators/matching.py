@@ -121,10 +121,24 @@ def seniority_gap(title: Column, profile_titles: Column) -> Column:
 def postings_for_searches(postings: DataFrame, searches: DataFrame) -> DataFrame:
     """Searches whose words all stand in a posting's title; a posting goes to each, named by the first.
 
-    Words may stand inside longer ones, so there is no equality to join on: searches are a
-    registry, and Spark sends it to every task while it is small.
+    Words may stand inside longer ones.  A title that holds all words of a search holds each two and three
+    letters of them, so both meet on the letters of the search that the fewest titles hold, and are compared then.
     """
-    met = postings.join(searches, t.title_matches(F.col("title"), F.col("query")))
+    low = F.lower(F.coalesce("title", F.lit("")))
+
+    def grams(text: Column, size: int) -> Column:
+        count = F.length(text) - size + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: text.substr(i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    held = postings.select("posting_id", "title", F.explode(F.array_distinct(F.concat(grams(low, 2), grams(low, 3)))).alias("gram"))
+    asked = F.flatten(F.transform(t.words(F.col("query"), t.QUERY_WORD), lambda w: F.when(F.length(w) > 2, grams(w, 3)).otherwise(F.array(w))))
+    wanted = searches.select("search_id", "query", F.explode(F.array_distinct(asked)).alias("gram"))
+    seen = held.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
+    rarest = wanted.join(seen, "gram").groupBy("search_id", "query").agg(F.min(F.struct("count", "gram")).alias("x"), F.count(F.lit(1)).alias("n"))
+    # a search with letters that no title holds finds nothing
+    all_of = wanted.groupBy("search_id").agg(F.count(F.lit(1)).alias("all"))
+    keys = rarest.join(all_of, "search_id").filter("n = `all`").select("search_id", "query", F.col("x.gram").alias("gram"))
+    met = held.join(keys, "gram").filter(t.title_matches(F.col("title"), F.col("query")))
     return met.groupBy("posting_id").agg(F.min(F.struct("search_id", "query")).alias("first"), F.count(F.lit(1)).alias("recipients")).select("posting_id", F.col("first.query").alias("named_by"), "recipients")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,25 +61,33 @@ def pick_due(units: DataFrame, budget: int, now: dt.datetime) -> DataFrame:
 
     units: platform, unit_id, next_run_at, subscribers.  The choice is sequential, so a platform
     is one task; only due units with subscribers get there, and a platform that is within its
-    budget needs no choice and stays distributed.
+    budget needs no choice and stays distributed.  Gains only fall as users are reached, so a unit is counted
+    anew only when it leads.
     """
     due = units.filter((F.col("next_run_at") <= instant(now)) & (F.size("subscribers") > 0))
     crowded = due.groupBy("platform").count().filter(F.col("count") > budget).select("platform")
-    easy = due.join(F.broadcast(crowded), "platform", "left_anti")
-    hard = due.join(F.broadcast(crowded), "platform", "left_semi")
+    easy = due.join(crowded, "platform", "left_anti")
+    hard = due.join(crowded, "platform", "left_semi")
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["next_run_at", "unit_id"], kind="stable")
         groups = [set(x) for x in frame["subscribers"]]
         left = set().union(*groups)
-        taken: list[int] = []
-        while len(taken) < budget and left:
-            gain, k = max(((len(g & left), -k) for k, g in enumerate(groups) if k not in taken), default=(0, 0))
-            if not gain:
+        heap = [(-len(g), k) for k, g in enumerate(groups)]
+        heapq.heapify(heap)
+        taken: dict[int, None] = {}
+        while len(taken) < budget and left and heap:
+            said, k = heapq.heappop(heap)
+            gain = len(groups[k] & left)
+            if gain < -said:
+                heapq.heappush(heap, (-gain, k))
+            elif gain:
+                taken[k] = None
+                left -= groups[k]
+            else:
                 break
-            taken.append(-k)
-            left -= groups[-k]
-        taken += [k for k in range(len(groups)) if k not in set(taken)][: max(0, budget - len(taken))]
+        rest = (k for k in range(len(groups)) if k not in taken)
+        taken = [*taken, *itertools.islice(rest, max(0, budget - len(taken)))]
         out = frame.iloc[taken][["platform", "unit_id"]].copy()
         out["picked"] = range(1, len(out) + 1)
         return out

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import json as j
@@ -11,7 +12,7 @@ from ..functions import parsers
 from ..functions import text as t
 from ..operators import documents, queues
 from ..registry import query
-from ..session import NOW, table
+from ..session import NOW, shared_folder, table
 from ..sources import readers
 
 _CLEAN = r"""trim(regexp_replace({x}, '[\s\x{{a0}}]+', ' ', 'g'))"""
@@ -185,18 +186,23 @@ def typed_code(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", queues.code_or_null(F.when(F.col("c_custkey") % 2 == 0, " ABC ").otherwise("a1")).alias("code"))
 
 
-@query("R2 R6", None)
+@query("R2 R6", "SELECT date_trunc('hour', ts) AS hour, count(*) AS events, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS tokens, round(sum(value), 4) AS cost FROM events GROUP BY 1")
 def streaming_hourly(spark, sf):
     """The hourly sums of a drained stream of the events (batch and stream share the operator)."""
-    import tempfile
-
     from ..streaming import lanes
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     rows = source.select(F.col("ts").cast("timestamp").alias("at"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").alias("cost"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-")
-    name = f"hourly_{dt.datetime.now():%H%M%S%f}"
-    run = lanes.hourly(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    base = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex[:8]}"
+
+    def step(batch, number: int) -> None:
+        # a batch that is run again after a loss takes the place of its first try
+        batch.write.mode("overwrite").parquet(f"{base}/hours/batch={number}")
+
+    # each batch has the hours it changed, so the last one of an hour stands
+    run = lanes.hourly(rows).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     run.awaitTermination(300)
-    return spark.table(name)
+    latest = Window.partitionBy("hour").orderBy(F.desc("batch"))
+    hours = spark.read.parquet(f"{base}/hours").withColumn("nth", F.row_number().over(latest)).filter("nth = 1")
+    return hours.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "events", F.col("tokens").cast("long").alias("tokens"), F.round("cost", 4).alias("cost"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -14,15 +13,14 @@ from ..functions import parsers
 from ..functions import text as t
 from ..operators import documents, lifecycle, matching, reporting, scoring, usage
 from ..registry import query
-from ..session import NOW, table
+from ..session import NOW, shared_folder, table
 from ..sources import readers
 from ..streaming import lanes
 from . import usage_plans, work_plans
 
 
 def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def _model(prompt: str) -> str:
@@ -183,31 +181,28 @@ def message_split(spark, sf):
     return lines.select("l_orderkey", F.array_join(documents.split_message(F.col("lines"), F.lit(80)), "|").alias("messages"))
 
 
-@query("S1 S2 S3 S9 U1 U2 K18", "SELECT p_brand AS search_name, count(*) AS found FROM part WHERE p_partkey < 200 GROUP BY 1")
-def paged_listing(spark, sf):
-    """Pages of a registered data source: one partition for each search, cursors followed inside it."""
-    return _paged(spark, table(spark, sf, "part").filter("p_partkey < 200"), "parts")
-
+def _stored_page(folder: str, brand: str, cursor: str | None) -> tuple[list[dict], str | None]:
+    """Three parts of a brand from a cursor on, read from the stored table by the worker that follows it."""
+    import pyarrow.parquet as pq
 
-@query("S1 S2 S3 S9 U1 U2 K18", None)
-def paged_listing_whole(spark, sf):
-    """The same over all parts."""
-    return _paged(spark, table(spark, sf, "part"), "all_parts")
+    begin = int(cursor or 0)
+    found = pq.read_table(f"{folder}/part.parquet", columns=["p_partkey", "p_name"], filters=[("p_brand", "=", brand)]).sort_by("p_partkey")
+    rows = [{"id": k, "title": n, "url": f"https://example.org/{k}"} for k, n in zip(*(c.to_pylist() for c in found.slice(begin, 3).columns), strict=True)]
+    return rows, str(begin + 3) if begin + 3 < found.num_rows else None
 
 
-def _paged(spark, part, name):
-    rows = part.select("p_brand", "p_partkey", "p_name").collect()
-    stored: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: r.p_partkey):
-        stored.setdefault(r.p_brand, []).append({"id": r.p_partkey, "title": r.p_name, "url": f"https://example.org/{r.p_partkey}"})
-    fetch = lambda search, cursor: (stored[search.text], int(cursor or 0))
-    read = lambda payload: (payload[0][payload[1] : payload[1] + 3], str(payload[1] + 3) if payload[1] + 3 < len(payload[0]) else None)
-    source = readers.PageSource(name, fetch, read, searches=[readers.Search(b, b) for b in sorted(stored)])
+@query("S1 S2 S3 U1 U2", "SELECT p_brand AS search_name, count(*) AS found FROM part GROUP BY 1")
+def paged_listing(spark, sf):
+    """Pages of a registered data source over all parts: one partition for each search, cursors followed inside it."""
+    part = table(spark, sf, "part")
+    brands = [r[0] for r in part.select("p_brand").distinct().orderBy("p_brand").collect()]  # the configured searches
+    most = part.groupBy("p_brand").count().agg(F.max("count")).first()[0] or 0
+    fetch = lambda search, cursor: _stored_page(sf, search.text, cursor)
+    source = readers.PageSource("parts", fetch, lambda payload: payload, searches=[readers.Search(b, b) for b in brands])
     registry = readers.Registry()
     registry.add(source, ["example.org"])
-    most = max(map(len, stored.values()), default=0)
-    spark.dataSource.register(readers.listing_source(f"lexloom_{name}", source, max(10_000, most * len(stored))))
-    return spark.read.format(f"lexloom_{name}").load().groupBy("search_name").agg(F.count(F.lit(1)).alias("found"))
+    spark.dataSource.register(readers.listing_source("lexloom_parts", source, max(10_000, most * len(brands))))
+    return spark.read.format("lexloom_parts").load().groupBy("search_name").agg(F.count(F.lit(1)).alias("found"))
 
 
 @query("K2 K13 K14 U4", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0")

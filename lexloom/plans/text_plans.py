@@ -87,9 +87,9 @@ SELECT user_id, CAST(rank AS INTEGER) AS rank, doc_id, cosine FROM (SELECT *, ro
 
 def _top_cosine(spark, sf, words=None):
     docs = documents(spark, sf).select(F.col("doc_id").alias("id"), t.words(F.col("text"), t.PLAIN).alias("tokens"))
-    profiles = items(spark, sf).select("user_id", t.words(F.col("cv"), t.PLAIN).alias("tokens"))
-    scores = matching.cosines(docs, profiles, words).select("user_id", F.col("id").alias("doc_id"), F.round("cosine", 6).alias("cosine"))
-    return vocabulary.top_k(scores, "user_id", 5, F.desc("cosine"), F.col("doc_id")).select("user_id", "rank", "doc_id", "cosine")
+    profiles = items(spark, sf).select(F.col("user_id").alias("id"), t.words(F.col("cv"), t.PLAIN).alias("tokens"))
+    top = vocabulary.top_cosine(docs, profiles, 5, words)
+    return top.select(F.col("query_id").alias("user_id"), "rank", F.col("id").alias("doc_id"), "cosine")
 
 
 @query("J13 J16 T13 O1", _terms_sql("CAST(n AS DOUBLE)"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,24 @@ def at(instant: dt.datetime) -> Column:
     return F.lit(instant.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of the session; a temporary one is set only where there is none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a session on one machine may do without; it gets a temporary folder.  On a cluster that would be
+    another folder on each machine, so the setting is asked for.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder of the session."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
