@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import exact_dedup, minhash, packing, queries, toxicity
+from lexloom.llm.common import Table
 
 #: Documents at or above this score are rejected.
 REJECT = 0.5
@@ -49,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages; each but the last is written to the shared folder once, and dropped when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        written = Table(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        docs, before = written.df(), written
+    return STAGES[-1][1](spark, docs, sf_dir)
