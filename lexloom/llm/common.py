@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,18 +11,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 _ROOTS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """This application's part of the folder that every executor sees."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        _ROOTS[app] = f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+        _ROOTS[app] = f"{shared_folder(spark)}/lexloom-{uuid.uuid4().hex}"
         atexit.register(remove, spark, _ROOTS[app])
     return _ROOTS[app]
 
@@ -41,17 +38,26 @@ def remove(spark: SparkSession, path: str) -> None:
 class Table:
     """A table written to the shared folder: cuts the lineage and outlives a lost executor."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, by: str | None = None):
+        """by: a column whose values are written, and may be dropped, apart."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        # the shuffle files that led to a table are of no use once it is written
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, "false")
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(self.path)
+        finally:
+            self.spark.conf.set(clean, before)
         self.schema = df.schema
 
     def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path).select(self.schema.names)
 
-    def drop(self) -> None:
-        remove(self.spark, self.path)
+    def drop(self, part: str = "") -> None:
+        """part: only the rows of one value, as column=value."""
+        remove(self.spark, f"{self.path}/{part}" if part else self.path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -33,6 +33,8 @@ an empty result; other columns are not read; very long texts are blocks of their
 
 from __future__ import annotations
 
+import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -53,10 +55,10 @@ SWEEPS, SAMPLES, ROUNDS = 2, 3, 4
 STRENGTH = 1.0
 SMOOTHING = 0.1
 BITS = 40  # of a context's hash
-BEGIN = (1 << BITS) - 1  # the context of a text's first word
+BEGIN = 0  # the context of a text's first word
 END = b"\n"
 #: Log10 probabilities are exchanged in units of 1 / FINE.
-FINE = 1 << 27
+FINE = 1 << 21
 
 ROW = "kind int, a long, bucket int, data array<binary>, sums array<long>"
 #: Kinds of rows.  a: the block, block, sweep, group, group, and group.
@@ -64,14 +66,17 @@ DOCUMENTS, ASKED, STATE, CONTEXTS, TABLES, TOTALS = range(6)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers of 0 and more, in as few bytes each as the largest needs, compressed."""
+    """Whole numbers of 0 and more, in as few bytes each as the largest needs, compressed byte by byte of all numbers."""
     most = int(x.max()) if len(x) else 0
     size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(x.astype(f"<u{size}").tobytes())
+    parts = x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
+    return bytes([size]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(parts).tobytes())
 
 
 def unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), f"<u{x[0]}").astype(np.int64)
+    size = x[0]
+    parts = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(parts.T).view(f"<u{size}").ravel().astype(np.int64)
 
 
 def rising(x: np.ndarray) -> np.ndarray:
@@ -80,17 +85,7 @@ def rising(x: np.ndarray) -> np.ndarray:
 
 
 def context_of(word: bytes) -> int:
-    return min(xxhash.xxh64_intdigest(word) >> (64 - BITS), BEGIN - 1)
-
-
-def _five_bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _from_five_bytes(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-    return out.view("<i8").ravel()
+    return max(xxhash.xxh64_intdigest(word) >> (64 - BITS), BEGIN + 1)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -146,7 +141,8 @@ def _blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str, train_on)
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 w0, w1, p0, p1 = edges[b], edges[b + 1], pair_edges[b], pair_edges[b + 1]
                 text = zstandard.ZstdCompressor(level=1).compress(b" ".join(names[w0:w1]))
-                rows.append((ASKED, number, b, [text, pack(rising(pair_word[p0:p1] - w0)), _five_bytes(context[p0:p1]), pack(counts[p0:p1])], None))
+                contexts, at = np.unique(context[p0:p1], return_inverse=True)
+                rows.append((ASKED, number, b, [text, pack(rising(pair_word[p0:p1] - w0)), pack(rising(contexts)), pack(at), pack(counts[p0:p1])], None))
             ids = pa.array(idents, pa.int64())
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as writer:
@@ -187,11 +183,11 @@ class Pairs:
         words = _Words()
         keys, counts, self.codes = [], [], []
         for m in messages:
-            names, pair_word, context, count = m["data"]
+            names, pair_word, contexts, at, count = m["data"]
             names = zstandard.ZstdDecompressor().decompress(names).split(b" ")
             code = np.fromiter(map(words.__getitem__, names), np.int64, len(names))
             self.codes.append(code)
-            keys.append(code[np.cumsum(unpack(pair_word))] << BITS | _from_five_bytes(context))
+            keys.append(code[np.cumsum(unpack(pair_word))] << BITS | np.cumsum(unpack(contexts))[unpack(at)])
             counts.append(unpack(count))
         if len(words) >= 1 << (63 - BITS):
             raise ValueError("a bucket holds too many words: lower bucket_bytes")
@@ -201,7 +197,7 @@ class Pairs:
         self.words = words
         self.word, self.count = key >> BITS, np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
         #: all contexts, rising, and the place of each pair's there
-        self.contexts, self.at = np.unique(key & BEGIN, return_inverse=True)
+        self.contexts, self.at = np.unique(key & ((1 << BITS) - 1), return_inverse=True)
         self.known = np.bincount(self.word, self.count, len(words)).astype(np.int64)
 
 
@@ -514,42 +510,52 @@ def _added_up(documents: DataFrame, answers: DataFrame, s: Sums) -> DataFrame:
 
 
 class Model:
-    """What training leaves: the blocks' table, the sampled states with their totals, and the sums of each."""
+    """What training leaves: the blocks' table, the states and totals of the sampled sweeps, and the sums of each."""
 
     def __init__(self, docs: DataFrame, train_on, id_col: str, text_col: str, sweeps: int, samples: int, rounds: int, bucket_bytes: int, seed: int):
         size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
         self.buckets = max(6, -(-size // bucket_bytes))
-        kind = lambda df, k: df.filter(F.col("kind") == k)
-        self.blocks = Table(_blocks(docs, self.buckets, id_col, text_col, train_on), "blocks")
-        self.asked = kind(self.blocks.df(), ASKED)
-        self.documents = kind(self.blocks.df(), DOCUMENTS)
-        begin = Table(_begin(self.asked.repartition(self.buckets, "bucket"), self.buckets), "restaurants")
+        self.blocks = Table(_blocks(docs, self.buckets, id_col, text_col, train_on), "blocks", by="kind")
+        last = begin = Table(_begin(self.of(self.blocks, ASKED).repartition(self.buckets, "bucket"), self.buckets), "restaurants", by="kind")
         fixed = self._sums(begin)[:4]
         self.sums: dict[int, Sums] = {}
-        last, s, kept = begin, Sums(fixed + self._sums(begin)[4:]), []
+        self.kept: list[tuple[Table, Table]] = []
+        totals, self.last = self._totals_after(begin, begin, 0), Sums(self._sums(begin))
         for k in range(1, sweeps + samples + 1):
-            contexts, now = kind(begin.df(), CONTEXTS), last.df()
-            totals = _totals(contexts, kind(now, TABLES), self.buckets, k - 1)
-            new = Table(_swept(kind(now, STATE), totals, self.buckets, s, k, rounds, seed), "restaurants")
-            if last is not begin and last not in kept:
-                last.drop()
-            last, s = new, Sums(fixed + self._sums(new)[4:])
+            new = Table(_swept(self.of(last, STATE), totals.df(), self.buckets, self.last, k, rounds, seed), "restaurants", by="kind")
+            for table in (last, totals) if k - 1 <= sweeps else ():
+                table.drop(f"kind={STATE}" if table is begin else "")
+            last, totals, self.last = new, self._totals_after(begin, new, k), Sums(fixed + self._sums(new)[4:])
             if k > sweeps:
-                kept.append(new)
-                self.sums[k] = s
-        self.last = s
-        parts = [(kind(t.df(), STATE), _totals(kind(begin.df(), CONTEXTS), kind(t.df(), TABLES), self.buckets, k)) for k, t in zip(self.sums, kept, strict=True)]
-        self.states, self.totals = parts[0]
-        for state, totals in parts[1:]:
-            self.states, self.totals = self.states.union(state), self.totals.union(totals)
+                self.kept.append((new, totals))
+                self.sums[k] = self.last
+        begin.drop()
 
     @staticmethod
-    def _sums(table: Table) -> list[int]:
-        rows = table.df().filter(F.col("kind") == STATE)
-        return list(rows.agg(*[F.sum(F.col("sums")[k]) for k in range(len(Sums.FIELDS))]).first())
+    def of(table: Table, kind: int) -> DataFrame:
+        return table.df().filter(F.col("kind") == kind)
+
+    def _totals_after(self, begin: Table, sweep: Table, k: int) -> Table:
+        return Table(_totals(self.of(begin, CONTEXTS), self.of(sweep, TABLES), self.buckets, k), "totals")
+
+    @classmethod
+    def _sums(cls, table: Table) -> list[int]:
+        return list(cls.of(table, STATE).agg(*[F.sum(F.col("sums")[k]) for k in range(len(Sums.FIELDS))]).first())
+
+    def states(self) -> DataFrame:
+        return functools.reduce(DataFrame.union, [self.of(state, STATE) for state, _ in self.kept])
 
     def answers(self) -> DataFrame:
-        return _answers(self.asked, self.states, self.totals, self.buckets, self.sums)
+        totals = functools.reduce(DataFrame.union, [table.df() for _, table in self.kept])
+        return _answers(self.of(self.blocks, ASKED), self.states(), totals, self.buckets, self.sums)
+
+    def scores(self) -> DataFrame:
+        """What led to the answers is dropped once they are written."""
+        answers = Table(self.answers(), "answers")
+        self.blocks.drop(f"kind={ASKED}")
+        for table in itertools.chain(*self.kept):
+            table.drop()
+        return _added_up(self.of(self.blocks, DOCUMENTS), answers.df(), self.last)
 
 
 def score(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, samples: int = SAMPLES, rounds: int = ROUNDS, bucket_bytes: int = BUCKET_BYTES, seed: int = 7) -> DataFrame:
@@ -558,5 +564,4 @@ def score(docs: DataFrame, train_on, id_col: str = "doc_id", text_col: str = "te
     doc_id, trained, n_tokens, n_known (tokens seen in training), train_tokens, base_score (log10 of
     the smoothed unigram probability), score (the model's log10 probability).
     """
-    model = Model(docs, train_on, id_col, text_col, sweeps, samples, rounds, bucket_bytes, seed)
-    return _added_up(model.documents, model.answers(), model.last)
+    return Model(docs, train_on, id_col, text_col, sweeps, samples, rounds, bucket_bytes, seed).scores()
