@@ -213,19 +213,92 @@ def decodable(source: Column, source_id: Column, url: Column, content_hash: Colu
     return F.coalesce(ok, F.lit(False))
 
 
+def _asked(matches: DataFrame, asked: DataFrame, *values: str) -> DataFrame:
+    ask = asked.groupBy("id").agg(F.min(F.struct(F.lit(True).alias("asked"), *values)).alias("__ask"))
+    return matches.join(ask, "id", "left")
+
+
+def claim_matches(matches: DataFrame, asked: DataFrame, now: dt.datetime) -> DataFrame:
+    """Matched rows that are asked for (id) are queued; ``claimed`` marks them, so of two claimers one loses."""
+    out = _asked(matches, asked)
+    out = out.withColumn("claimed", F.col("__ask").isNotNull() & (F.col("state") == "matched")).drop("__ask")
+    return changed(F.col("claimed"), state=F.lit("queued"), queued_at=instant(now), updated_at=instant(now))(out)
+
+
+def release_matches(matches: DataFrame, asked: DataFrame, now: dt.datetime) -> DataFrame:
+    """Queued rows without a score go back."""
+    out = _asked(matches, asked)
+    mine = F.col("__ask").isNotNull() & (F.col("state") == "queued") & F.col("score").isNull()
+    return changed(mine, state=F.lit("matched"), updated_at=instant(now))(out).drop("__ask")
+
+
+#: What an alert shows, and is not kept when it has gone out; the full explanation is.
+SHORT = ["primary_track", "short_summary", "short_reasons", "short_gaps"]
+
+
+def alert(matches: DataFrame, asked: DataFrame, now: dt.datetime) -> DataFrame:
+    """Scored rows that no one was told of yet: alerted, without the short texts."""
+    out = _asked(matches, asked)
+    mine = F.col("__ask").isNotNull() & (F.col("state") == "scored") & F.col("delivered_at").isNull()
+    return changed(mine, state=F.lit("alerted"), delivered_at=instant(now), updated_at=instant(now), **{c: F.lit(None) for c in SHORT if c in matches.columns})(out).drop("__ask")
+
+
+def skip(matches: DataFrame, asked: DataFrame, now: dt.datetime) -> DataFrame:
+    out = _asked(matches, asked)
+    mine = F.col("__ask").isNotNull() & F.col("state").isin("scored", "alerted", "digested")
+    return changed(mine, state=F.lit("skipped"), delivered_at=F.coalesce("delivered_at", instant(now)), updated_at=instant(now))(out).drop("__ask")
+
+
+def send_digests(matches: DataFrame, users: DataFrame, digests: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """Digests (user_id, ids in order): their scored rows are digested, the users remember the ids."""
+    sent = digests.select("user_id", F.explode("ids").alias("id")).withColumn("__sent", F.lit(True))
+    out = matches.join(sent, ["user_id", "id"], "left")
+    mine = F.col("__sent") & (F.col("state") == "scored")
+    told = changed(F.coalesce(mine, F.lit(False)), state=F.lit("digested"), delivered_at=F.coalesce("delivered_at", instant(now)), updated_at=instant(now))(out).drop("__sent")
+    kept = users.join(digests.select("user_id", "ids"), "user_id", "left")
+    return told, changed(F.col("ids").isNotNull(), digest_snapshot=F.col("ids"), last_digest_at=instant(now))(kept).drop("ids")
+
+
+#: The agent that a delivered artifact is booked under.
+AGENTS = {"cv": "tailor-application", "letter": "tailor-cover-letter"}
+ARTIFACTS = "map<string,struct<cv_hash:string,text:string,delivered_at:timestamp_ntz>>"
+
+
 def set_application(matches: DataFrame, events: DataFrame, now: dt.datetime) -> DataFrame:
-    """Application events (id, event: begin, ready, failed, delivered) on matches.
+    """Application events on matches (id, event: begin, ready, failed, delivered; artifact, cv_hash, error).
 
-    begin needs a delivered state without an application; a failure returns the match to
-    alerted if it was delivered, else to skipped, and leaves the application failed.
+    begin needs a delivered state without an application, and an artifact that is not there for this CV already;
+    a failure returns the match to alerted if it was delivered, else to skipped, and leaves the application failed; only a
+    ready one is delivered.  matches: application, artifacts (a map, null: none), application_error.
     """
-    out = matches.join(events, "id", "left")
-    begin = (F.col("event") == "begin") & F.col("state").isin("alerted", "digested", "skipped", "applied") & F.col("application").isNull()
-    open_ = (F.col("state") == "applying") & F.col("event").isin("ready", "failed", "delivered")
-    state = F.when(begin, "applying").when(open_ & (F.col("event") == "delivered"), "applied")
-    state = state.when(open_ & (F.col("event") == "failed"), F.when(F.col("delivered_at").isNotNull(), "alerted").otherwise("skipped")).otherwise(F.col("state"))
-    status = F.when(begin, "preparing").when(open_ & (F.col("event") == "delivered"), None).when(open_, F.col("event")).otherwise(F.col("application"))
-    return out.withColumns({"application": status, "state": state}).drop("event")
+    out = _asked(matches, events, "event", "artifact", "cv_hash", "error")
+    event, none = F.col("__ask.event"), F.lit(None)
+    cached = F.col("artifacts")[F.col("__ask.artifact")]["cv_hash"].eqNullSafe(F.col("__ask.cv_hash")) & F.col("__ask.cv_hash").isNotNull()
+    begin = (event == "begin") & F.col("state").isin("alerted", "digested", "skipped", "applied") & F.col("application").isNull() & ~cached
+    preparing = (F.col("state") == "applying") & (F.col("application") == "preparing")
+    ready, failed = preparing & (event == "ready"), preparing & (event == "failed")
+    done = (event == "delivered") & (F.col("state") == "applying") & (F.col("application") == "ready")
+    state = F.when(begin, "applying").when(done, "applied").when(failed, F.when(F.col("delivered_at").isNotNull(), "alerted").otherwise("skipped")).otherwise(F.col("state"))
+    status = F.when(begin, "preparing").when(ready, "ready").when(failed, "failed").when(done, none).otherwise(F.col("application"))
+    error = F.when(begin, none).when(failed, F.substring("__ask.error", 1, 500)).otherwise(F.col("application_error"))
+    told = F.when(done, F.coalesce("delivered_at", instant(now))).otherwise(F.col("delivered_at"))
+    return out.withColumns({"application": status, "state": state, "application_error": error, "delivered_at": told}).drop("__ask")
+
+
+def application_usage(before: DataFrame, after: DataFrame, events: DataFrame, now: dt.datetime) -> DataFrame:
+    """One usage row (user_id, kind, agent, at) for each application that the events delivered."""
+    done = after.filter("state = 'applied'").select("id").join(before.filter("state = 'applying'").select("id", "user_id"), "id")
+    agent = F.create_map(*[F.lit(x) for pair in AGENTS.items() for x in pair])[F.col("artifact")]
+    told = events.filter("event = 'delivered'").select("id", "artifact").distinct()
+    return done.join(told, "id").select("user_id", F.lit("application").alias("kind"), agent.alias("agent"), instant(now).alias("at"))
+
+
+def save_artifacts(matches: DataFrame, saved: DataFrame, now: dt.datetime) -> DataFrame:
+    """Artifacts (id, artifact, cv_hash, text) of matches; one of the same kind takes the place of the older."""
+    out = _asked(matches, saved, "artifact", "cv_hash", "text")
+    value = F.struct(F.col("__ask.cv_hash").alias("cv_hash"), F.col("__ask.text").alias("text"), instant(now).alias("delivered_at"))
+    old = F.map_filter(F.coalesce("artifacts", F.create_map().cast(ARTIFACTS)), lambda k, _: k != F.col("__ask.artifact"))
+    return changed(F.col("__ask").isNotNull(), artifacts=F.map_concat(old, F.create_map(F.col("__ask.artifact"), value)))(out).drop("__ask")
 
 
 def set_users(users: DataFrame, changes: DataFrame, now: dt.datetime) -> DataFrame:

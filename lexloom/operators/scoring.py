@@ -19,7 +19,7 @@ HARD_LIMIT = 49
 
 def explored(score: Column, threshold: int, probability: float, key: Column) -> Column:
     """Whether a score below the threshold is let through: a draw that depends on the key alone, so it never changes."""
-    draw = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1_000_000
+    draw = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("double") / (1 << 32)
     return (score < threshold) & (draw < probability)
 
 

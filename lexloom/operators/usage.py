@@ -62,26 +62,59 @@ def hourly(events: DataFrame, now: dt.datetime, buckets: int = 25) -> DataFrame:
     return F.broadcast(hours).join(sums, "hour", "left").select("hour", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.round(F.coalesce("cost", F.lit(0.0)), 4).alias("cost"))
 
 
-def hourly_pair(events: DataFrame, first: Column, second: Column, key: str, now: dt.datetime, buckets: int = 25) -> DataFrame:
-    """Two zero-filled hourly series of distinct keys."""
-    hours = hours_until(events.sparkSession, now, buckets)
-    sums = events.groupBy(_hour("at").alias("hour")).agg(F.count_distinct(F.when(first, F.col(key))).alias("first"), F.count_distinct(F.when(second, F.col(key))).alias("second"))
-    return hours.join(sums, "hour", "left").select("hour", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("second", F.lit(0)).alias("second"))
+def hourly_pair(first: DataFrame, second: DataFrame, now: dt.datetime, buckets: int = 25) -> DataFrame:
+    """Two zero-filled hourly series of distinct keys (each input: key, at), from two tables by their own times."""
+    hours = hours_until(first.sparkSession, now, buckets)
+    start = instant(now.replace(minute=0, second=0, microsecond=0) - dt.timedelta(hours=buckets - 1))
+    for name, rows in (("first", first), ("second", second)):
+        sums = rows.filter(F.col("at") >= start).groupBy(_hour("at").alias("hour")).agg(F.count_distinct("key").alias(name))
+        hours = hours.join(sums, "hour", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return hours.select("hour", "first", "second")
+
 
+def funnel(sources: DataFrame, items: DataFrame, key: str, scored: DataFrame | None = None, **stages: Column) -> DataFrame:
+    """Every configured source with its number of items in each stage, zeros included.
 
-def funnel(sources: DataFrame, items: DataFrame, key: str, **stages: Column) -> DataFrame:
-    """Every configured source with its number of items in each stage, zeros included."""
+    scored: rows of another table with the same key (one for each score), counted on their own and joined.
+    """
     sums = items.groupBy(key).agg(*[_count(c).alias(name) for name, c in stages.items()])
-    return sources.select(key).join(sums, key, "left").select(key, *[F.coalesce(name, F.lit(0)).alias(name) for name in stages])
+    out, names = sources.select(key).join(sums, key, "left"), list(stages)
+    if scored is not None:
+        out, names = out.join(scored.groupBy(key).agg(F.count(F.lit(1)).alias("scored")), key, "left"), [*names, "scored"]
+    return out.select(key, *[F.coalesce(name, F.lit(0)).alias(name) for name in names])
+
+
+def unit_stats(units: DataFrame, now: dt.datetime) -> DataFrame:
+    """Live units of each platform: how many, how many overdue, their cadences, and when there was news last."""
+    live = units.filter(F.col("retired_at").isNull())
+    return live.groupBy("platform").agg(F.count(F.lit(1)).alias("units"), _count(F.col("next_run_at") <= instant(now)).alias("overdue"), F.min("cadence_minutes").alias("low"), F.max("cadence_minutes").alias("high"), F.max("last_novelty_at").alias("last_novelty_at"))
+
+
+def queue_health(rows: DataFrame, decodable: Column, now: dt.datetime) -> DataFrame:
+    """Rows due, claims in work and expired claims of the normalization queue, and rows in its scope that cannot be read."""
+    due = F.col("next_normalization_at") <= instant(now)
+    waiting, working = F.col("status").isin("listed", "failed"), F.col("status") == "normalizing"
+    scope = F.col("status").isin("listed", "failed", "normalizing", "normalized")
+    return rows.agg(_count(waiting & due).alias("queued"), _count(working & ~due).alias("active_claims"), _count(working & due).alias("expired_claims"), _count(scope & ~F.coalesce(decodable, F.lit(False))).alias("undecodable"))
+
+
+def top_texts(items: DataFrame, text: str, k: int = 3, size: int = 120, when: Column | None = None) -> DataFrame:
+    """The most frequent texts, cut to ``size`` letters, of the items for which ``when`` holds; ties by text."""
+    some = items.filter(F.col(text).isNotNull() if when is None else F.col(text).isNotNull() & when)
+    return some.groupBy(F.substring(text, 1, size).alias("text")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "text").limit(k)
 
 
-def spread(items: DataFrame, key: str, value: str) -> DataFrame:
-    return items.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+TOKENS = ("total_tokens", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 
 
-def top_texts(items: DataFrame, text: str, k: int = 3, size: int = 120) -> DataFrame:
-    """The most frequent texts, cut to ``size`` letters; ties by text."""
-    return items.filter(F.col(text).isNotNull()).groupBy(F.substring(text, 1, size).alias("text")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "text").limit(k)
+def model_totals(events: DataFrame, now: dt.datetime, kind: str = "llm") -> DataFrame:
+    """Fourteen measures of the events of one kind: turns, five counts of tokens and cost, of all time and of the last 24 hours."""
+    mine = F.col("kind") == kind
+    recent = mine & (F.col("at") >= instant(now - dt.timedelta(hours=24)))
+    measures = [_count(mine).alias("turns"), _count(recent).alias("turns_24h")]
+    for name in TOKENS:
+        measures += [_sum(name, mine).cast("long").alias(name), _sum(name, recent).cast("long").alias(f"{name}_24h")]
+    return events.agg(*measures, F.round(_sum("cost", mine), 4).alias("cost"), F.round(_sum("cost", recent), 4).alias("cost_24h"))
 
 
 def daily_spend(events: DataFrame) -> DataFrame:
@@ -96,19 +129,17 @@ def spent_on(events: DataFrame, day: dt.date) -> DataFrame:
 
 
 def by_agent_and_model(events: DataFrame, agent: str, model: str) -> DataFrame:
-    """Totals by agent and by model, in one pass."""
-    sets = events.groupingSets([[agent], [model]], agent, model).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
-    return sets.select(F.when(F.col(agent).isNotNull(), "agent").otherwise("model").alias("grouping"), F.coalesce(agent, model).alias("name"), "calls", "tokens")
+    """Totals by agent and by model, in one pass; an event without an agent is a group of its own."""
+    sets = events.groupingSets([[agent], [model]], agent, model).agg(F.grouping(agent).alias("by_model"), F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
+    by_model = F.col("by_model") == 1
+    return sets.select(F.when(by_model, "model").otherwise("agent").alias("grouping"), F.when(by_model, F.col(model)).otherwise(F.col(agent)).alias("name"), "calls", "tokens")
 
 
 def since(now: DataFrame, before: DataFrame, key: str, *measures: str) -> DataFrame:
-    """Differences of two snapshots; groups that did not change are left out."""
-    old = before.select(key, *[F.col(m).alias(f"old_{m}") for m in measures])
-    out = now.join(old, key, "left").select(key, *[(F.col(m) - F.coalesce(f"old_{m}", F.lit(0))).alias(m) for m in measures])
-    changed = F.lit(False)
-    for m in measures:
-        changed = changed | (F.col(m) != 0)
-    return out.filter(changed)
+    """Differences of two snapshots for every group of the later one; zero where nothing changed."""
+    old = before.select(F.col(key).alias("__key"), *[F.col(m).alias(f"old_{m}") for m in measures])
+    out = now.join(old, now[key].eqNullSafe(old["__key"]), "left")
+    return out.select(key, *[(F.col(m) - F.coalesce(f"old_{m}", F.lit(0))).alias(m) for m in measures])
 
 
 def cost_share(batches: DataFrame, batch: str, cost: str) -> DataFrame:

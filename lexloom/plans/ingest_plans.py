@@ -13,7 +13,7 @@ from ..functions import text as t
 from ..operators import documents, queues
 from ..registry import query
 from ..session import NOW, shared_folder, table
-from ..sources import readers
+from ..sources import catalogue, readers
 
 _CLEAN = r"""trim(regexp_replace({x}, '[\s\x{{a0}}]+', ' ', 'g'))"""
 
@@ -206,3 +206,64 @@ def streaming_hourly(spark, sf):
     latest = Window.partitionBy("hour").orderBy(F.desc("batch"))
     hours = spark.read.parquet(f"{base}/hours").withColumn("nth", F.row_number().over(latest)).filter("nth = 1")
     return hours.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "events", F.col("tokens").cast("long").alias("tokens"), F.round("cost", 4).alias("cost"))
+
+
+_SITES = [s for s in catalogue.SITES if s not in ("selectel", "tbank")]
+
+
+def _set_json(path: str, value):
+    """A nested struct that has the value at a path of names."""
+    names = [x for x in path.replace("$['", "$.").replace("']", "").split(".")[1:] if x]
+    for name in reversed(names[1:]):
+        value = F.struct(value.alias(name))
+    return names[0], value
+
+
+def _site_item(spec):
+    fields = {spec["id"][-1]: F.col("p_partkey"), spec["title"]: F.col("p_name"), spec["summary"]: F.col("p_type"), spec["published"]: F.lit("2024-01-05T10:00:00Z")}
+    return F.struct(*[value.alias(name) for name, value in (_set_json(p, v) for p, v in fields.items())])
+
+
+@query("S9 S3 K18 F15 H8", "SELECT site AS source, CAST(p_partkey AS VARCHAR) AS source_id, replace(url, '{id}', CAST(p_partkey AS VARCHAR)) AS url, p_name AS title, TIMESTAMP '2024-01-05 10:00:00' AS published_at FROM (SELECT *, p_partkey % 9 AS k FROM part) JOIN (VALUES " + ", ".join(f"({k}, '{s}', '{catalogue.SITES[s]['url']}')" for k, s in enumerate(_SITES)) + ") AS v(k, site, url) USING (k)")
+def catalogue_listings(spark, sf):
+    """A page of each known site, all parts dealt over them."""
+    part = table(spark, sf, "part")
+    pages = None
+    for k, site in enumerate(_SITES):
+        spec = catalogue.SITES[site]
+        item = _site_item(spec)
+        item = F.struct(item.alias(spec["one"][2:])) if "one" in spec else item
+        name, value = _set_json(spec["items"], F.collect_list("item"))
+        page = part.filter(F.col("p_partkey") % len(_SITES) == k).select(item.alias("item")).agg(F.to_json(F.struct(value.alias(name))).alias("payload"))
+        page = page.select(F.lit(site).alias("site"), F.lit("s").alias("search_name"), F.lit("q").alias("query"), "payload")
+        pages = page if pages is None else pages.unionByName(page)
+    return catalogue.listings(pages).select("source", "source_id", "url", "title", "published_at")
+
+
+@query("S9 K17 K18", "SELECT ['ozon', 'mts', 'magnit', 'sber', 'yadro', 'selectel'][p_partkey % 6 + 1] AS source, p_partkey AS number, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 6 NOT IN (2, 5) THEN 'closed' WHEN p_partkey % 7 = 0 THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN p_partkey % 6 = 2 THEN 'stored' ELSE p_name END AS title, CASE WHEN p_partkey % 6 = 2 OR p_partkey % 6 = 0 THEN 0 ELSE 2 END AS skills, CASE WHEN p_partkey % 3 = 0 THEN 'remote' ELSE 'unspecified' END AS work_format FROM part")
+def catalogue_vacancies(spark, sf):
+    """Details of several sites in the shape common to all; sites differ in names, skills and what closes a listing."""
+    sites = ["ozon", "mts", "magnit", "sber", "yadro", "selectel"]
+    closed, p = F.col("p_partkey") % 5 == 0, F.col("p_partkey")
+    form = F.when(p % 3 == 0, "Удаленно").otherwise("office")
+    body = F.struct(F.col("p_name").alias("title"), F.when(p % 7 == 0, "short").otherwise("<p>A long enough description</p>").alias("description"), F.array(F.lit("a"), F.lit(" "), F.lit("b")).alias("skills"), form.alias("workFormat"), form.alias("format"), F.when(closed, "closed").alias("status"), F.when(closed, "2024-01-01").alias("archivedAt"))
+    site = F.array(*[F.lit(s) for s in sites])[(p % 6).cast("int")]
+    rows = table(spark, sf, "part").select(site.alias("site"), p.cast("string").alias("source_id"), F.lit("stored").alias("title"), F.lit("u").alias("url"), F.lit("s").alias("search_name"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.to_json(body).alias("payload"))
+    return catalogue.vacancies(rows).select("source", F.col("source_id").cast("long").alias("number"), "status", "title", F.size("key_skills").alias("skills"), "work_format")
+
+
+@query("S8 S9 P21 P8", "SELECT 'habr' AS source, CAST(p_partkey AS VARCHAR) AS source_id, CASE WHEN p_partkey % 2 = 0 THEN 'told ' || p_name ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN TIMESTAMP '2024-01-02' ELSE TIMESTAMP '2023-03-05' END AS published_at FROM part")
+def catalogue_boards(spark, sf):
+    """Pages of links, half of whose listings are told by linked data too."""
+    told = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("/vacancies/"), "p_partkey").alias("url"), F.concat(F.lit("told "), "p_name").alias("title"), F.lit("2024-01-02").alias("datePosted")))
+    script = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">'), told, F.lit("</script>"))).otherwise("")
+    html = F.concat(script, F.lit('<a class=x href="/vacancies/'), "p_partkey", F.lit('"><b>'), "p_name", F.lit("</b></a> <time>5 марта</time>"))
+    pages = table(spark, sf, "part").select(F.lit("habr").alias("site"), html.alias("html"))
+    return catalogue.board_listings(pages, NOW).select("source", "source_id", "title", "published_at")
+
+
+@query("S9 S3", "SELECT * FROM (VALUES ('ozon', '3'), ('mts', '12'), ('yadro', NULL), ('vk', '40'), ('yandex', 'abc'), ('sber', NULL)) AS v(site, next_cursor)")
+def catalogue_cursors(spark, sf):
+    rows = [("ozon", "2", '{"items":[1]}'), ("mts", "10", '{"results":[{},{}]}'), ("yadro", "1", '{"items":[{}]}'), ("vk", "", '{"results":[],"next":"https://team.vk.company/career/api/v2/vacancies/?offset=40&x=1"}'), ("yandex", "", '{"items":[],"next":"abc"}'), ("sber", "5", '{"data":[]}')]
+    pages = spark.createDataFrame(rows, "site string, cursor string, payload string").withColumn("search_name", F.lit("s"))
+    return catalogue.next_cursors(pages).select("site", "next_cursor")

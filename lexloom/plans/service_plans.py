@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsers
 from ..functions import text as t
-from ..operators import documents, lifecycle, matching, reporting, scoring, usage
+from ..operators import accounts, documents, lifecycle, matching, reporting, scoring, usage
 from ..registry import query
 from ..session import NOW, shared_folder, table
 from ..sources import readers
@@ -205,24 +205,21 @@ def paged_listing(spark, sf):
     return spark.read.format("lexloom_parts").load().groupBy("search_name").agg(F.count(F.lit(1)).alias("found"))
 
 
-@query("K2 K13 K14 U4", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0")
-def stored_profiles(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.sha2("c_name", 256).alias("cv_hash"))
-    stored = c.select("user_id", F.when(F.col("user_id") % 2 == 0, F.col("cv_hash")).otherwise("old").alias("made_for"), F.when(F.col("user_id") % 3 == 0, 2).otherwise(1).alias("template"))
-    return c.join(stored, (c["user_id"] == stored["user_id"]) & (c["cv_hash"] == stored["made_for"]) & (stored["template"] == 2), "left_semi").select("user_id")
-
-
-@query("K3 J1", "SELECT o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderkey IN (3, 14, 15) AND o_orderstatus = 'F'")
+@query("K3 J1", "SELECT o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus = 'F'")
 def scored_by_id(spark, sf):
-    return work_plans.matches(spark, sf).filter(F.col("id").isin(3, 14, 15) & (F.col("state") == "scored")).select("id", "score")
+    """Scored matches among the ids asked for."""
+    asked = table(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"))
+    return work_plans.matches(spark, sf).join(asked, "id", "left_semi").filter("state = 'scored'").select("id", "score")
 
 
-@query("K4", "SELECT c_custkey AS user_id, CASE WHEN c_nationkey < 24 THEN c_nationkey ELSE -1 END AS hour FROM customer")
+@query("K4", "SELECT c_custkey AS user_id, CAST(CASE WHEN c_custkey % 4 = 0 AND c_nationkey < 24 THEN c_nationkey WHEN c_custkey % 4 = 3 THEN NULL ELSE 9 END AS VARCHAR) AS hour FROM customer")
 def delivery_settings(spark, sf):
-    settings = F.to_json(F.struct(F.lit(True).alias("enabled"), F.col("c_nationkey").alias("digestHourUtc"), F.lit("UTC").alias("timezone")))
-    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.from_json(settings, "enabled boolean, digestHourUtc int, timezone string").alias("s"))
-    ok = F.col("s.digestHourUtc").between(0, 23) & F.col("s.timezone").isNotNull()
-    return rows.select("user_id", F.when(ok, F.col("s.digestHourUtc")).otherwise(-1).alias("hour"))
+    """Stored settings are replaced by those that can be read; malformed ones are none."""
+    stored = F.when(F.col("c_custkey") % 4 == 3, '{"enabled":true,"digestHourUtc":99,"timezone":"UTC"}').otherwise('{"enabled":true,"digestHourUtc":9,"timezone":"UTC"}')
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), stored.alias("delivery_settings"), F.lit(None).cast("timestamp_ntz").alias("updated_at"), "c_nationkey")
+    new = F.when(F.col("user_id") % 4 == 0, F.to_json(F.struct(F.lit(True).alias("enabled"), F.col("c_nationkey").alias("digestHourUtc"), F.lit("UTC").alias("timezone")))).otherwise("{broken")
+    changes = users.filter("user_id % 4 < 2").select("user_id", new.alias("settings"))
+    return accounts.save_settings(users, changes, NOW).select("user_id", accounts.read_settings(F.col("delivery_settings"))["digest_hour"].cast("string").alias("hour"))
 
 
 @query("K10 S16 W12 K27 S18", "SELECT count(*) AS n, true AS swapped FROM part WHERE p_size > 25")
@@ -236,7 +233,7 @@ def versioned_replace(spark, sf):
     return spark.read.parquet(f"{base}/v{version}").agg(F.count(F.lit(1)).alias("n"), (F.lit(version) == 1).alias("swapped"))
 
 
-@query("K19 S10 S11", "SELECT page_id, NOT regexp_matches(url, '@') AS plain FROM pages")
+@query("F13", "SELECT page_id, NOT regexp_matches(url, '@') AS plain FROM pages")
 def plain_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.parse_url("url", F.lit("USERINFO")).isNull().alias("plain"))
 
@@ -264,7 +261,7 @@ def streaming_matches(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("W13 W15 K5", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("W15", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
 def pending_imports(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.sha2("c_name", 256).alias("cv_hash"))
     pending = c.filter("user_id % 3 = 0 OR user_id % 5 = 0").withColumn("expires_at", F.when(F.col("user_id") % 3 == 0, F.lit(NOW + dt.timedelta(minutes=1))).otherwise(F.lit(NOW)).cast("timestamp_ntz"))

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import scheduling, usage
+from ..operators import lifecycle, scheduling, usage
 from ..registry import query
 from ..session import NOW, table
 
@@ -49,34 +49,72 @@ def hourly_series(spark, sf):
     return usage.hourly(events(spark, sf), NOW)
 
 
+@query(
+    "A2 R7",
+    f"""WITH {U}, m AS (SELECT ts >= {DAY} AS new, tokens AS t, cost FROM u WHERE kind = 'view')
+SELECT count(*) AS turns, count(*) FILTER (new) AS turns_24h, {', '.join(f"CAST(coalesce(sum({x}), 0) AS BIGINT) AS {n}, CAST(coalesce(sum({x}) FILTER (new), 0) AS BIGINT) AS {n}_24h" for n, x in (('total_tokens', 't'), ('input_tokens', 't % 7'), ('output_tokens', 't % 5'), ('cache_read_tokens', 't % 3'), ('cache_write_tokens', 't % 2')))},
+round(coalesce(sum(cost), 0), 4) AS cost, round(coalesce(sum(cost) FILTER (new), 0), 4) AS cost_24h FROM m""",
+)
+def model_usage(spark, sf):
+    rows = events(spark, sf).withColumns({n: F.col("tokens") % k for n, k in zip(usage.TOKENS, (1 << 40, 7, 5, 3, 2), strict=True)})
+    return usage.model_totals(rows, NOW, "view")
+
+
 @query(
     "A4 J5",
-    f"""WITH {U}, {HOURS} SELECT hour, count(DISTINCT user_id) FILTER (kind = 'view') AS first, count(DISTINCT user_id) FILTER (kind = 'purchase') AS second FROM h LEFT JOIN u ON ts >= hour AND ts < hour + INTERVAL 1 HOUR GROUP BY hour""",
+    f"""WITH {U}, {HOURS}, o AS (SELECT o_orderkey, ts AS scored_at FROM orders JOIN u ON event_id = o_orderkey)
+SELECT hour, (SELECT count(DISTINCT user_id) FROM u WHERE ts >= hour AND ts < hour + INTERVAL 1 HOUR AND kind = 'view') AS first, (SELECT count(DISTINCT o_orderkey % 7) FROM o WHERE scored_at >= hour AND scored_at < hour + INTERVAL 1 HOUR) AS second FROM h""",
 )
 def hourly_dual_distinct(spark, sf):
-    return usage.hourly_pair(events(spark, sf), F.col("kind") == "view", F.col("kind") == "purchase", "user_id", NOW)
+    """Listings by the time they were checked, and matches of another table by the time they were scored."""
+    checked = events(spark, sf).filter("kind = 'view'").select(F.col("user_id").alias("key"), "at")
+    scored = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id")).join(events(spark, sf), "event_id").select((F.col("event_id") % 7).alias("key"), "at")
+    return usage.hourly_pair(checked, scored, NOW)
+
+
+_RECENT = "c_custkey % 10 < 3"
 
 
 @query(
-    "A5 J6 A7",
-    """SELECT n_nationkey AS source, count(c_custkey) AS found, count(*) FILTER (c_acctbal > 0) AS normalized, count(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS queued, count(*) FILTER (c_acctbal < 0) AS failed, count(*) FILTER (c_acctbal > 5000) AS scored
+    "A5 J6",
+    f"""SELECT n_nationkey AS source, count(c_custkey) FILTER ({_RECENT}) AS discovered, count(*) FILTER (c_acctbal > 0 AND {_RECENT}) AS normalized, count(*) FILTER (c_acctbal < 0) AS failed, count(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS queued, count(*) FILTER (c_mktsegment = 'MACHINERY' AND {_RECENT}) AS closed,
+(SELECT count(*) FROM orders JOIN customer s ON s.c_custkey = o_custkey WHERE s.c_nationkey = n_nationkey AND o_orderdate >= TIMESTAMP '2001-07-01') AS scored
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""",
 )
 def source_funnel(spark, sf):
+    """Stages of the listings of each source, those of the last day among them, and the scores that their matches got."""
     sources = table(spark, sf, "nation").select(F.col("n_nationkey").alias("source"))
-    items = table(spark, sf, "customer").withColumn("source", F.col("c_nationkey"))
-    balance = F.col("c_acctbal")
-    return usage.funnel(sources, items, "source", found=F.lit(True), normalized=balance > 0, queued=F.col("c_mktsegment") == "HOUSEHOLD", failed=balance < 0, scored=balance > 5000)
+    hours = F.when(F.col("c_custkey") % 10 < 3, 20).otherwise(30)
+    items = table(spark, sf, "customer").withColumns({"source": F.col("c_nationkey"), "at": F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), hours)})
+    recent, balance, kind = F.col("at") >= F.lit(NOW - dt.timedelta(hours=24)).cast("timestamp_ntz"), F.col("c_acctbal"), F.col("c_mktsegment")
+    scored = table(spark, sf, "orders").filter("o_orderdate >= timestamp_ntz'2001-07-01'").join(items.select(F.col("c_custkey").alias("o_custkey"), "source"), "o_custkey")
+    return usage.funnel(sources, items, "source", scored, discovered=recent, normalized=(balance > 0) & recent, failed=balance < 0, queued=kind == "HOUSEHOLD", closed=(kind == "MACHINERY") & recent)
 
 
-@query("A6", "SELECT o_orderpriority, count(*) AS n, min(o_orderdate) AS low, max(o_orderdate) AS high FROM orders GROUP BY 1")
+@query("A6", "SELECT o_orderpriority AS platform, count(*) AS units, count(*) FILTER (o_orderdate <= TIMESTAMP '1998-01-01') AS overdue, min(30 + o_orderkey % 690) AS low, max(30 + o_orderkey % 690) AS high, max(o_orderdate) FILTER (o_orderkey % 3 = 0) AS last_novelty_at FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1")
 def unit_stats(spark, sf):
-    return usage.spread(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate")
+    date = F.col("o_orderdate").cast("timestamp_ntz")
+    units = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("platform"), date.alias("next_run_at"), (30 + F.col("o_orderkey") % 690).alias("cadence_minutes"), F.when(F.col("o_orderkey") % 3 == 0, date).alias("last_novelty_at"), F.when(F.col("o_orderkey") % 11 == 0, date).alias("retired_at"))
+    return usage.unit_stats(units, dt.datetime(1998, 1, 1))
+
+
+@query("A7 F1 K12 F13", "SELECT count(*) FILTER (s IN (0, 1) AND due) AS queued, count(*) FILTER (s = 2 AND NOT due) AS active_claims, count(*) FILTER (s = 2 AND due) AS expired_claims, count(*) FILTER (s < 4 AND (c_custkey % 7 = 0 OR c_custkey % 5 = 0)) AS undecodable FROM (SELECT c_custkey, c_custkey % 6 AS s, c_custkey % 4 <> 0 AS due FROM customer)")
+def queue_health(spark, sf):
+    c = table(spark, sf, "customer")
+    status = F.array(*[F.lit(x) for x in ("listed", "failed", "normalizing", "normalized", "closed", "duplicate")])[(F.col("c_custkey") % 6).cast("int")]
+    turn = F.lit(NOW).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.when(F.col("c_custkey") % 4 != 0, -1).otherwise(1))
+    url = F.when(F.col("c_custkey") % 7 == 0, "ftp://x").otherwise("https://example.org/a")
+    number = F.when(F.col("c_custkey") % 5 == 0, " padded").otherwise(F.col("c_custkey").cast("string"))
+    good = lifecycle.decodable(F.lit("site"), number, url, F.sha2("c_name", 256))
+    return usage.queue_health(c.withColumns({"status": status, "next_normalization_at": turn}), good, NOW)
 
 
-@query("A8", "SELECT p_name[1:6] AS text, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, text LIMIT 3")
+@query("A8", "SELECT p_name[1:6] AS text, count(*) AS n FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0 GROUP BY 1 ORDER BY n DESC, text LIMIT 3")
 def top_errors(spark, sf):
-    return usage.top_texts(table(spark, sf, "part"), "p_name", 3, 6)
+    """The most frequent errors of the last day, cut short."""
+    hours = F.when(F.col("p_partkey") % 2 == 0, 24).otherwise(25)
+    rows = table(spark, sf, "part").select(F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("error"), (F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), hours)).alias("at"))
+    return usage.top_texts(rows, "error", 3, 6, F.col("at") >= F.lit(NOW - dt.timedelta(hours=24)).cast("timestamp_ntz"))
 
 
 @query("A12 W17", f"WITH {U} SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, CAST(sum(CAST(cost AS DECIMAL(14, 8))) AS DOUBLE) AS spent FROM u GROUP BY ALL")
@@ -99,17 +137,17 @@ def budget_pace(spark, sf):
     return users.join(spent, "user_id", "left").select("user_id", scheduling.pace(F.col("spent"), 60.0, dt.datetime(2024, 1, 30, 12)).alias("outcome"))
 
 
-@query("A18", f"WITH {U}, x AS (SELECT kind, 'model' || (event_id % 3) AS model, tokens FROM u) SELECT CASE WHEN kind IS NULL THEN 'model' ELSE 'agent' END AS \"grouping\", coalesce(kind, model) AS name, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM x GROUP BY GROUPING SETS ((kind), (model))")
+@query("A18", f"WITH {U}, x AS (SELECT CASE WHEN kind <> 'error' THEN kind END AS kind, 'model' || (event_id % 3) AS model, tokens FROM u) SELECT 'agent' AS \"grouping\", kind AS name, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM x GROUP BY kind UNION ALL SELECT 'model', model, count(*), CAST(sum(tokens) AS BIGINT) FROM x GROUP BY model")
 def usage_by_agent_and_model(spark, sf):
-    rows = events(spark, sf).withColumn("model", F.concat(F.lit("model"), (F.col("event_id") % 3).cast("string")))
+    rows = events(spark, sf).withColumns({"model": F.concat(F.lit("model"), (F.col("event_id") % 3).cast("string")), "kind": F.when(F.col("kind") != "error", F.col("kind"))})
     return usage.by_agent_and_model(rows, "kind", "model")
 
 
-@query("A18", f"WITH {U} SELECT kind, count(*) - count(*) FILTER (ts < {DAY}) AS calls, CAST(sum(tokens) - coalesce(sum(tokens) FILTER (ts < {DAY}), 0) AS BIGINT) AS tokens FROM u GROUP BY kind HAVING count(*) FILTER (ts >= {DAY}) > 0")
+@query("A18", f"WITH {U} SELECT user_id, count(*) - count(*) FILTER (ts < {DAY}) AS calls, CAST(sum(tokens) - coalesce(sum(tokens) FILTER (ts < {DAY}), 0) AS BIGINT) AS tokens FROM u GROUP BY user_id")
 def usage_since(spark, sf):
     rows = events(spark, sf)
-    total = lambda x: x.groupBy("kind").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
-    return usage.since(total(rows), total(rows.filter(F.col("at") < F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))), "kind", "calls", "tokens")
+    total = lambda x: x.groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
+    return usage.since(total(rows), total(rows.filter(F.col("at") < F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))), "user_id", "calls", "tokens")
 
 
 @query("A19", "SELECT source, count(*) AS n FROM documents GROUP BY source")

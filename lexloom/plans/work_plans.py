@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as j
 from ..functions import text as t
-from ..operators import demand, lifecycle, queues, scheduling
+from ..operators import accounts, demand, lifecycle, queues, scheduling, scoring
 from ..registry import query
 from ..session import at, table
 
@@ -296,12 +296,6 @@ def update_ledger(spark, sf):
     return lifecycle.begin_updates(ledger, updates, NOW).select("update_id")
 
 
-@query("W14", _sql("SELECT id, CASE WHEN id % 2 = 0 AND state = 'scored' THEN 'preparing' ELSE NULL END AS application FROM m"))
-def application_begin(spark, sf):
-    m = matches(spark, sf).withColumns({"application": F.lit(None).cast("string"), "state": F.when(F.col("state") == "scored", "alerted").otherwise(F.col("state"))})
-    return lifecycle.set_application(m, m.filter("id % 2 = 0").select("id", F.lit("begin").alias("event")), NOW).select("id", "application")
-
-
 @query("W16 F3", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 AND c_custkey <> 0 THEN 'blocked' ELSE 'approved' END AS status FROM customer")
 def user_status(spark, sf):
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("approved").alias("status"), (F.col("c_custkey") == 0).alias("is_owner"))
@@ -332,27 +326,132 @@ def collector_novelty(spark, sf):
     return demand.novelty(found, known, 200)[1]
 
 
-@query("F1 K12 F13 A7", "SELECT count(*) AS rows_seen, count(*) FILTER (c_custkey % 7 = 0 OR c_custkey % 5 = 0) AS undecodable FROM customer")
-def queue_health(spark, sf):
-    c = table(spark, sf, "customer")
-    url = F.when(F.col("c_custkey") % 7 == 0, "ftp://x").otherwise("https://example.org/a")
-    number = F.when(F.col("c_custkey") % 5 == 0, " padded").otherwise(F.col("c_custkey").cast("string"))
-    good = lifecycle.decodable(F.lit("site"), number, url, F.sha2("c_name", 256))
-    return c.agg(F.count(F.lit(1)).alias("rows_seen"), F.count(F.when(~good, 1)).alias("undecodable"))
-
-
-@query("T27", "SELECT p_partkey, p_size < 20 AND p_partkey % 10 = 0 AS explored FROM part")
+@query("T27", "SELECT p_partkey, p_size < 20 AND CAST(('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.1 AS explored FROM part")
 def prescore_exploration(spark, sf):
-    draw = F.pmod(F.col("p_partkey"), F.lit(10)) / 10  # a keyed draw in place of a random one
-    return table(spark, sf, "part").select("p_partkey", ((F.col("p_size") < 20) & (draw < 0.1)).alias("explored"))
+    return table(spark, sf, "part").select("p_partkey", scoring.explored(F.col("p_size"), 20, 0.1, F.col("p_partkey")).alias("explored"))
 
 
-@query("X6 K16", "SELECT l_orderkey, count(*) = count(DISTINCT l_linenumber) AS exact FROM lineitem GROUP BY 1")
+@query("X6 K16", "SELECT l_orderkey AS batch, count(*) = count(DISTINCT l_linenumber) AND bool_and(l_linenumber <= 6) AS exact FROM lineitem GROUP BY 1")
 def exact_cover(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.count(F.lit(1)) == F.count_distinct("l_linenumber")).alias("exact"))
+    """Answers of a batch cover the lines asked for: none twice, none that was not asked (line 7)."""
+    answers = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("id"))
+    return scoring.covered(answers.filter("id <= 6").distinct(), answers, "batch", "id")
 
 
-@query("X7 K13 K14", "SELECT c_custkey FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey WHERE o_custkey IS NULL")
+@query("X7 K13 K14", "SELECT c_custkey AS user_id FROM customer WHERE NOT (c_custkey % 2 = 0 AND c_custkey % 3 = 0 AND c_custkey % 5 <> 0)")
 def missing_profiles(spark, sf):
-    have = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").select("c_custkey").join(have, "c_custkey", "left_anti")
+    """Users without a profile made for their present CV, with the present template, and valid."""
+    users, usable = _profiles(spark, sf)
+    return accounts.without_profile(users, usable, F.col("profile").startswith("{"))
+
+
+def _profiles(spark, sf):
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.sha2("c_name", 256).alias("cv_hash"))
+    stored = users.select("user_id", F.when(F.col("user_id") % 2 == 0, F.col("cv_hash")).otherwise("old").alias("made_for"), F.when(F.col("user_id") % 3 == 0, 2).otherwise(1).alias("template"), F.when(F.col("user_id") % 5 == 0, "broken").otherwise("{}").alias("profile"))
+    return users.select("user_id"), accounts.profile_for(users, stored, 2)
+
+
+@query("K2 K13 K14 U4", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 5 = 0 THEN 'broken' ELSE '{}' END AS profile FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0")
+def stored_profiles(spark, sf):
+    return _profiles(spark, sf)[1].select("user_id", "profile")
+
+
+@query("W7", _sql("SELECT id, CASE WHEN state = 'matched' AND id % 3 = 0 THEN 'queued' WHEN state = 'queued' AND id % 2 = 0 AND score IS NULL THEN 'matched' ELSE state END AS state FROM m"))
+def match_claims(spark, sf):
+    """Claims of every third row, then releases of every second one that was queued before."""
+    m = matches(spark, sf).withColumns({"queued_at": F.lit(None).cast("timestamp_ntz"), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    claimed = lifecycle.claim_matches(m, m.filter("id % 3 = 0").select("id"), NOW)
+    back = claimed.filter("id % 2 = 0 AND NOT claimed").select("id")
+    return lifecycle.release_matches(claimed, back, NOW).select("id", "state")
+
+
+@query("W13", _sql("SELECT id, CASE WHEN state = 'scored' AND delivered_at IS NULL AND id % 4 = 0 THEN 'alerted' WHEN state = 'scored' AND id % 4 = 1 THEN 'skipped' WHEN state = 'scored' AND id % 4 = 2 THEN 'digested' ELSE state END AS state, CASE WHEN state = 'scored' AND id % 4 < 3 THEN coalesce(delivered_at, TIMESTAMP '2001-08-01') ELSE delivered_at END AS delivered_at, CASE WHEN state = 'scored' AND delivered_at IS NULL AND id % 4 = 0 THEN NULL ELSE 'why' END AS short_summary FROM m"))
+def match_deliveries(spark, sf):
+    """Alerts, skips and digests; an alert that has gone out keeps no short texts."""
+    m = matches(spark, sf).withColumns({"short_summary": F.lit("why"), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    of = lambda k: m.filter(F.col("id") % 4 == k).select("id", "user_id")
+    out = lifecycle.skip(lifecycle.alert(m, of(0), NOW), of(1), NOW)
+    users = m.select("user_id").distinct().withColumns({"digest_snapshot": F.array().cast("array<long>"), "last_digest_at": F.lit(None).cast("timestamp_ntz")})
+    digests = of(2).groupBy("user_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return lifecycle.send_digests(out, users, digests, NOW)[0].select("id", "state", "delivered_at", "short_summary")
+
+
+@query("W13 O5", _sql("SELECT user_id, array_to_string(list_sort(list(id) FILTER (id % 4 = 2)), ',') AS ids FROM m GROUP BY user_id"))
+def digest_snapshots(spark, sf):
+    m = matches(spark, sf).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    users = m.select("user_id").distinct().withColumns({"digest_snapshot": F.lit(None).cast("array<long>"), "last_digest_at": F.lit(None).cast("timestamp_ntz")})
+    digests = m.filter("id % 4 = 2").groupBy("user_id").agg(F.sort_array(F.collect_list(F.col("id").cast("long"))).alias("ids"))
+    return lifecycle.send_digests(m, users, digests, NOW)[1].select("user_id", F.array_join("digest_snapshot", ",").alias("ids"))
+
+
+_EVENTS = "['begin', 'ready', 'failed', 'delivered'][id % 4 + 1]"
+
+
+@query("W14", _sql(f"SELECT id, CASE WHEN id % 4 = 0 AND s = 'alerted' AND id % 3 <> 0 THEN 'applying' WHEN id % 4 = 2 AND s = 'applying' THEN (CASE WHEN delivered_at IS NOT NULL THEN 'alerted' ELSE 'skipped' END) WHEN id % 4 = 3 AND s = 'applying' AND a = 'ready' THEN 'applied' ELSE s END AS state, CASE WHEN id % 4 = 0 AND s = 'alerted' AND id % 3 <> 0 THEN 'preparing' WHEN id % 4 = 1 AND s = 'applying' AND a = 'preparing' THEN 'ready' WHEN id % 4 = 2 AND s = 'applying' THEN 'failed' WHEN id % 4 = 3 AND s = 'applying' AND a = 'ready' THEN NULL ELSE a END AS application FROM (SELECT *, CASE WHEN id % 4 = 0 THEN 'alerted' ELSE 'applying' END AS s, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 3 AND id % 8 = 3 THEN 'ready' ELSE 'preparing' END AS a FROM m)"))
+def application_events(spark, sf):
+    """Begun unless the artifact is there for this CV, made ready, failed, and delivered only when ready."""
+    first = F.when(F.col("id") % 4 == 0, "alerted").otherwise("applying")
+    status = F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 8 == 3, "ready").otherwise("preparing")
+    m = matches(spark, sf).withColumns({"state": first, "application": status, "application_error": F.lit(None).cast("string"), "artifacts": F.lit(None).cast(lifecycle.ARTIFACTS)})
+    m = lifecycle.save_artifacts(m, m.filter("id % 3 = 0").select("id", F.lit("cv").alias("artifact"), F.lit("h1").alias("cv_hash"), F.lit("text").alias("text")), NOW)
+    event = F.array(*[F.lit(x) for x in ("begin", "ready", "failed", "delivered")])[(F.col("id") % 4).cast("int")]
+    events = m.select("id", event.alias("event"), F.lit("cv").alias("artifact"), F.lit("h1").alias("cv_hash"), F.lit("why").alias("error"))
+    return lifecycle.set_application(m, events, NOW).select("id", "state", "application")
+
+
+@query("W15", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 <> 0 THEN 'new' ELSE 'old' END AS cv_hash, CASE WHEN c_custkey % 4 = 0 AND c_custkey % 3 <> 0 THEN NULL ELSE 'p' END AS career_profile, (c_custkey % 2 = 0 AND NOT (c_custkey % 4 = 0 AND c_custkey % 3 <> 0)) AND c_custkey % 5 <> 0 AS pending FROM customer")
+def cv_imports(spark, sf):
+    """Staged CVs are confirmed while they last, or discarded; a new CV drops the profiles of the old one."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+    until = F.when(F.col("user_id") % 3 == 0, at(NOW)).otherwise(at(NOW + dt.timedelta(minutes=1)))
+    pending = c.filter("user_id % 2 = 0").withColumns({"cv_hash": F.lit("new"), "cv_text": F.lit("t"), "expires_at": until})
+    documents = c.withColumns({"cv_hash": F.lit("old"), "cv_text": F.lit("t"), "search_profiles": F.lit("{}"), "career_profile": F.lit("p"), "updated_at": at(NOW)})
+    m = matches(spark, sf).withColumns({"queued_at": F.lit(None).cast("timestamp_ntz"), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    left, saved, _ = accounts.confirm_cvs(pending, documents, m, c.filter("user_id % 4 = 0"), NOW)
+    left = accounts.discard_cvs(left, c.filter("user_id % 5 = 0")).select("user_id", F.lit(True).alias("p"))
+    return saved.join(left, "user_id", "left").select("user_id", "cv_hash", "career_profile", F.coalesce("p", F.lit(False)).alias("pending"))
+
+
+_STATUS = "['new', 'pending', 'approved', 'rejected', 'revoked'][c_custkey % 5 + 1]"
+
+
+@query("W16 D8 K1", f"SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 <> 0 AND (c_custkey % 5 = 0 OR (c_custkey % 5 IN (3, 4) AND c_custkey % 2 = 0)) THEN 'pending' ELSE {_STATUS} END AS status, CAST(CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 IN (3, 4) AND c_custkey % 2 = 1 THEN 1800 ELSE 0 END AS INTEGER) AS retry_after_seconds, CASE WHEN c_custkey % 7 = 0 THEN 'ru' WHEN c_custkey % 2 = 0 THEN 'en' ELSE 'de' END AS locale FROM customer")
+def user_requests(spark, sf):
+    """Requests for access with their cooldown, chosen locales, and what a later visit changes."""
+    c = table(spark, sf, "customer")
+    status = F.array(*[F.lit(x) for x in ("new", "pending", "approved", "rejected", "revoked")])[(F.col("c_custkey") % 5).cast("int")]
+    since = F.when(F.col("c_custkey") % 2 == 0, at(NOW - dt.timedelta(hours=2))).otherwise(at(NOW - dt.timedelta(minutes=30)))
+    none = F.lit(None).cast("timestamp_ntz")
+    users = c.select(F.col("c_custkey").alias("user_id"), F.lit(None).cast("string").alias("username"), F.col("c_name").alias("first_name"), F.lit(None).cast("string").alias("last_name"), F.lit("de").alias("locale"), F.lit(False).alias("locale_selected"), status.alias("status"), F.lit(False).alias("is_owner"), since.alias("status_changed_at"), none.alias("access_requested_at"), none.alias("updated_at"))
+    users = accounts.choose_locale(users, users.filter("user_id % 7 = 0").select("user_id", F.lit("ru").alias("locale")), NOW)
+    users = accounts.touch(users, users.filter("user_id % 2 = 0").select("user_id", F.lit("u").alias("username"), "first_name", "last_name", F.lit("en").alias("locale")), NOW)
+    return accounts.request_access(users, users.filter("user_id % 3 != 0"), NOW, dt.timedelta(hours=1)).select("user_id", "status", "retry_after_seconds", "locale")
+
+
+@query("W16 J8", "SELECT o_orderkey AS unit_id, NOT bool_or(coalesce(l_suppkey % 2 = 1, false)) AS retired FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def deleted_users(spark, sf):
+    """Every second user goes with all rows; units without a subscriber retire."""
+    subs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_suppkey").alias("user_id")).distinct()
+    none = F.lit(None).cast("timestamp_ntz")
+    users = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user_id")).withColumns({"locale": F.lit("en"), "locale_selected": F.lit(True), "delivery_settings": F.lit("{}"), "digest_snapshot": F.array().cast("array<long>"), "last_digest_at": none, "updated_at": none})
+    units = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit_id"), none.alias("retired_at"))
+    _, _, kept = accounts.delete_user_data({"subscriptions": subs}, users, units, users.filter("user_id % 2 = 0").select("user_id"), NOW)
+    return kept.select("unit_id", F.col("retired_at").isNotNull().alias("retired"))
+
+
+@query("W18 K5", "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS token FROM customer WHERE c_custkey % 3 <> 0 AND NOT (c_custkey % 5 = 0 AND c_custkey % 2 = 0) AND c_custkey % 7 <> 0")
+def session_releases(spark, sf):
+    """Sessions that are left: not expired, not released by their holder's token, not deleted."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("chat").alias("kind"))
+    state = c.withColumns({"token": F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"), "expires_at": F.when(F.col("user_id") % 3 == 0, at(NOW)).otherwise(at(NOW + dt.timedelta(minutes=1)))})
+    releases = c.filter("user_id % 5 = 0").withColumn("token", F.lit("a")).union(c.filter("user_id % 7 = 0").withColumn("token", F.lit(None).cast("string")))
+    return accounts.live_sessions(accounts.release_sessions(state, releases), NOW).select("user_id", "token")
+
+
+@query("W19", "SELECT o_orderkey AS update_id, CASE WHEN o_orderkey % 3 = 0 THEN 'done' WHEN o_orderkey % 3 = 1 THEN 'failed' ELSE 'working' END AS status, CASE WHEN o_orderkey % 3 = 1 THEN repeat('e', 120) END AS error FROM orders WHERE o_orderkey % 4 <> 0")
+def update_outcomes(spark, sf):
+    """Updates in work are done or failed; those received more than a week ago are forgotten."""
+    received = F.when(F.col("o_orderkey") % 4 == 0, at(NOW - dt.timedelta(days=8))).otherwise(at(NOW - dt.timedelta(days=7)))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("update_id"), received.alias("received_at")).withColumns({"status": F.lit("working"), "lease_until": at(NOW), "error": F.lit(None).cast("string"), "updated_at": at(NOW)})
+    outcomes = o.filter("update_id % 3 < 2").select("update_id", F.when(F.col("update_id") % 3 == 1, F.repeat(F.lit("e"), 300)).alias("error"))
+    return accounts.forget_updates(accounts.finish_updates(o, outcomes, NOW), NOW).select("update_id", "status", "error")
