@@ -13,9 +13,13 @@ have not seen, turns it into a score.
 Bounds: at most ``rows_for_each_label`` rows of a label train the models and as many fit the
 curve (those with the smallest hash of the identifier); each row that fits the curve stands
 for its share of all such rows of its label, so the curve sees the same proportion of toxic
-rows whether or not the bound is met.  Whole texts are used and every row is scored.  Defined results: a null or empty text, or one without words, has margin 0;
-label rows with a null label or identifier are not used; of repeated label rows the largest
-label counts; without rows of both labels every score is 0.
+rows whether or not the bound is met.  Whole texts are used, very long ones too, and every row is scored.
+
+Defined results: a null or empty text, or one without words, has margin 0; label rows with a null label or
+identifier are not used; of repeated label rows the largest label counts; of document rows that repeat an
+identifier with other texts the model learns from the one with the smallest hash, and all are scored one by one;
+without rows of both labels every score is 0; an empty table gives an empty result; other columns are kept as
+they are, but one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -225,7 +229,7 @@ def train(
     chosen = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
     # at most 4 * rows_for_each_label identifiers, so small enough to send to every task
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("text", "label", "tune"), "labelled")
+    found = materialize(texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "tune").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("text", "label", "tune"), "labelled")
     counts = [Counter(), Counter()]
     for batch in _word_counts(found.filter(~F.col("tune"))).toArrow().to_batches():
         for label, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
