@@ -5,8 +5,9 @@ are cut; their first piece takes the rest, all others are full).  Full pieces ar
 of their own.  The others are dealt at random into blocks of about ``block_items``, and each
 block is packed by several islands.  An island holds a small population of packings; a
 crossover injects well-filled bins of one parent whole into a copy of another, removes the
-bins that hold a second copy of an injected piece, and puts the displaced pieces back by
-best fit, longest first.  Between epochs each island sends its best packing to the next one
+bins that hold a second copy of an injected piece, and puts the displaced pieces back: first one or two
+of them change places with one or two of a bin that they fill better, which leaves smaller pieces over, then
+best fit places the rest, longest first.  Between epochs each island sends its best packing to the next one
 of its block.  A packing with as few bins as the sum of lengths allows ends the search.
 
 Rows of work are island states, so memory is bounded by the block size and all blocks run
@@ -19,6 +20,8 @@ empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +38,9 @@ BLOCK_ITEMS = 8192
 ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 6
+GENERATIONS = 12
+#: Displaced items whose pairs are tried too, and bins that a crossover tries to fill better.
+PAIRED, LOOKED_AT = 48, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -138,11 +143,49 @@ def first_packings(lengths: np.ndarray, capacity: int, n: int, rng: np.random.Ge
     return out
 
 
+def exchange(bins: dict[int, list[int]], fill: list[int], displaced: list[int], lengths: list[int], assigned: np.ndarray, capacity: int) -> list[int]:
+    """Displaced items change places with one or two items of a bin where that fills it better; returns those left over.
+
+    Of all such changes of a bin the one that leaves least room is made; bins are looked at once each.
+    """
+    left = sorted(displaced, key=lengths.__getitem__)
+    sizes = [lengths[i] for i in left]
+    pairs = sorted((sizes[a] + sizes[b], a, b) for a in range(len(left)) for b in range(a)) if len(left) <= PAIRED else []
+    sums = [x[0] for x in pairs]
+    for number, items in bins.items():
+        room = capacity - fill[number]
+        if not room or not left:
+            continue
+        best, change = 0, None
+        for out in itertools.chain(((i,) for i in items), itertools.combinations(items, 2)):
+            gone = sum(lengths[i] for i in out)
+            at = bisect.bisect_right(sizes, gone + room) - 1
+            if at >= 0 and sizes[at] - gone > best:
+                best, change = sizes[at] - gone, (out, (at,))
+            at = bisect.bisect_right(sums, gone + room) - 1
+            if at >= 0 and sums[at] - gone > best:
+                best, change = sums[at] - gone, (out, pairs[at][1:])
+            if best == room:
+                break
+        if change:
+            out, places = change
+            come = [left[k] for k in places]
+            left = sorted([*(i for k, i in enumerate(left) if k not in places), *out], key=lengths.__getitem__)
+            sizes = [lengths[i] for i in left]
+            pairs = sorted((sizes[a] + sizes[b], a, b) for a in range(len(left)) for b in range(a)) if len(left) <= PAIRED else []
+            sums = [x[0] for x in pairs]
+            for i in come:
+                assigned[i] = number
+            fill[number] += best
+    return left
+
+
 def crossover(into: Packing, of: Packing, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
     """Inject well-filled bins of one packing into the other; displaced items go back by best fit."""
     full = np.argsort(-of.fill, kind="stable")[: max(1, len(of.fill) // 2)]
     chosen = np.zeros(len(of.fill), bool)
-    chosen[rng.choice(full, max(1, int(len(full) * rng.uniform(0.1, 0.5))), replace=False)] = True
+    # many bins mix the parents, few leave so few items over that exchanges can place them
+    chosen[rng.choice(full, max(1, int(len(full) * rng.uniform(0.02, 0.5) ** 2)), replace=False)] = True
     injected = chosen[of.assigned]
     gone = np.zeros(len(into.fill), bool)
     gone[into.assigned[injected]] = True
@@ -159,8 +202,14 @@ def crossover(into: Packing, of: Packing, lengths: np.ndarray, capacity: int, rn
     number[taken] = len(kept) + np.arange(len(taken))
     assigned[injected] = number[of.assigned[injected]]
     fill = np.concatenate([into.fill[kept], of.fill[taken]]).tolist()
-    order = displaced[np.argsort(-lengths[displaced], kind="stable")]
-    best_fit(lengths.tolist(), order.tolist(), assigned, fill, capacity)
+    sizes, bins = lengths.tolist(), {}
+    open_ = np.flatnonzero(np.array(fill) < capacity)
+    open_ = rng.choice(open_, min(len(open_), LOOKED_AT), replace=False) if len(open_) else open_
+    of = np.where(np.isin(assigned, open_) & ~np.isin(np.arange(len(assigned)), displaced), assigned, -1)
+    for i in np.flatnonzero(of >= 0).tolist():
+        bins.setdefault(int(of[i]), []).append(i)
+    left = exchange(bins, fill, displaced.tolist(), sizes, assigned, capacity)
+    best_fit(sizes, left[::-1], assigned, fill, capacity)
     return Packing(assigned, lengths, capacity)
 
 

@@ -287,6 +287,31 @@ def test_crossover_keeps_every_item_once():
         assert len(child.assigned) == 400 and child.fill.max() <= 2048 and child.fill.sum() == lengths.sum() and (child.fill > 0).all()
 
 
+def test_crossovers_save_sequences_on_a_hard_instance():
+    """Triplets that fill a bin exactly: best fit needs a sixth more bins than there are triplets."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        a = rng.integers(380, 490, 120)
+        b = rng.integers(250, (1000 - a) // 2 + 1)
+        lengths = rng.permutation(np.concatenate([a, b, 1000 - a - b]))
+        first = packing.first_packings(lengths, 1000, 4, rng)
+        least = min(len(x.fill) for x in first)
+        best = packing.evolve(list(first), lengths, 1000, 60, rng)[0]
+        assert least >= 138 and len(best.fill) <= 123, (least, len(best.fill))
+        assert best.fill.max() <= 1000 and (np.bincount(best.assigned, lengths) == best.fill).all()
+        # an elite that comes to another island leads there, and no generation loses it
+        guest = packing.evolve([*packing.first_packings(lengths, 1000, 4, rng), best], lengths, 1000, 3, rng)
+        assert len(guest[0].fill) <= len(best.fill)
+
+
+def test_exchange_fills_bins_better():
+    lengths = [6, 4, 3, 7, 5, 2]
+    assigned = np.array([0, 0, 0, -1, -1, -1])
+    fill = [13]
+    left = packing.exchange({0: [0, 1, 2]}, fill, [3, 4, 5], lengths, assigned, 15)
+    assert fill == [15] and sum(lengths[i] for i in left) == 12 and len({*left, *np.flatnonzero(assigned == 0).tolist()}) == 6
+
+
 # --- 5
 
 
