@@ -74,14 +74,21 @@ def score_pending(matches: DataFrame, users: DataFrame, model: Callable[[str], s
     return lifecycle.save_scores(matches, done.select("id", "value"), "score", now, "scored"), report
 
 
-def delivered(queue: DataFrame, send: Callable[[dict], bool]) -> tuple[list, bool]:
-    """Send rows in order and mark each after it went out; a refusal defers the rest.
+def delivered(queue: DataFrame, send: Callable[[dict], bool], most: int = 30) -> DataFrame:
+    """The first rows of each user's queue (user_id, id, score) with ``sent``: in order until a refusal, which defers the rest.
 
-    ``queue`` is one user's bounded alert queue; its rows are drawn one at a time.
+    Users are dealt over tasks and a user's rows go out one after another.  A task that is run again sends again, so
+    a sender has to know an alert by its id, as transports with idempotency keys do.
     """
-    sent = []
-    for row in queue.toLocalIterator():
-        if not send(row.asDict()):
-            return sent, True
-        sent.append(row["id"])
-    return sent, False
+    chosen = queues.batches(queue, 1, "user_id", F.desc("score"), "id").filter(F.col("batch") < most)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("batch")
+        sent, open_ = [], True
+        for row in frame.to_dict("records"):
+            open_ = open_ and bool(send(row))
+            sent.append(open_)
+        return frame[["user_id", "id"]].assign(sent=sent)
+
+    kinds = dict(queue.dtypes)
+    return chosen.select("user_id", "id", "score", "batch").groupBy("user_id").applyInPandas(run, f"user_id {kinds['user_id']}, id {kinds['id']}, sent boolean")

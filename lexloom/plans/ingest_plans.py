@@ -240,7 +240,7 @@ def catalogue_listings(spark, sf):
     return catalogue.listings(pages).select("source", "source_id", "url", "title", "published_at")
 
 
-@query("S9 K17 K18", "SELECT ['ozon', 'mts', 'magnit', 'sber', 'yadro', 'selectel'][p_partkey % 6 + 1] AS source, p_partkey AS number, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 6 NOT IN (2, 5) THEN 'closed' WHEN p_partkey % 7 = 0 THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN p_partkey % 6 = 2 THEN 'stored' ELSE p_name END AS title, CASE WHEN p_partkey % 6 = 2 OR p_partkey % 6 = 0 THEN 0 ELSE 2 END AS skills, CASE WHEN p_partkey % 3 = 0 THEN 'remote' ELSE 'unspecified' END AS work_format FROM part")
+@query("S1 S9 K17 K18", "SELECT ['ozon', 'mts', 'magnit', 'sber', 'yadro', 'selectel'][p_partkey % 6 + 1] AS source, p_partkey AS number, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 6 NOT IN (2, 5) THEN 'closed' WHEN p_partkey % 7 = 0 THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN p_partkey % 6 = 2 THEN 'stored' ELSE p_name END AS title, CASE WHEN p_partkey % 6 = 2 OR p_partkey % 6 = 0 THEN 0 ELSE 2 END AS skills, CASE WHEN p_partkey % 3 = 0 THEN 'remote' ELSE 'unspecified' END AS work_format FROM part")
 def catalogue_vacancies(spark, sf):
     """Details of several sites in the shape common to all; sites differ in names, skills and what closes a listing."""
     sites = ["ozon", "mts", "magnit", "sber", "yadro", "selectel"]

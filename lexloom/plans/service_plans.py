@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import parsers
 from ..functions import text as t
-from ..operators import accounts, documents, lifecycle, matching, reporting, scoring, usage
+from ..operators import accounts, documents, lifecycle, matching, profiles, reporting, scoring, usage
 from ..registry import query
 from ..session import NOW, shared_folder, table
-from ..sources import readers
+from ..sources import readers, versions
 from ..streaming import lanes
 from . import usage_plans, work_plans
 
@@ -222,15 +222,48 @@ def delivery_settings(spark, sf):
     return accounts.save_settings(users, changes, NOW).select("user_id", accounts.read_settings(F.col("delivery_settings"))["digest_hour"].cast("string").alias("hour"))
 
 
-@query("K10 S16 W12 K27 S18", "SELECT count(*) AS n, true AS swapped FROM part WHERE p_size > 25")
+@query("K10 S16 W12", "SELECT count(*) AS n, 2 AS version FROM part WHERE p_size > 25")
 def versioned_replace(spark, sf):
-    """Replace a derived table: the new version is written beside the old one, then the pointer moves."""
+    """A derived table is replaced twice; a third try that was not completed is not seen."""
     base = _folder(spark, "versions")
-    for version, condition in enumerate(("p_size > 40", "p_size > 25")):
-        table(spark, sf, "part").filter(condition).write.parquet(f"{base}/v{version}")
-        spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{base}/current")
-    version = spark.read.parquet(f"{base}/current").first()[0]
-    return spark.read.parquet(f"{base}/v{version}").agg(F.count(F.lit(1)).alias("n"), (F.lit(version) == 1).alias("swapped"))
+    for condition in ("p_size > 40", "p_size > 25"):
+        number = versions.replace(table(spark, sf, "part").filter(condition), base)
+    table(spark, sf, "part").limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/v{number + 1}")
+    found = versions.read(spark, base)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.lit(versions.versions(spark, base)[-1]).alias("version"))
+
+
+@query("S18", "SELECT * FROM (VALUES ('absent_table', false), ('present_table', true)) AS v(name, ready)")
+def store_ready(spark, sf):
+    """Which tables of the store are there."""
+    table(spark, sf, "region").createOrReplaceTempView("present_table")
+    found = readers.ready(spark, ["absent_table", "present_table"])
+    return spark.createDataFrame(sorted(found.items()), "name string, ready boolean")
+
+
+@query("K23", "WITH a AS (SELECT o_custkey AS user_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders), b AS (SELECT *, min(CASE WHEN id % 5 = 0 THEN nth END) OVER (PARTITION BY user_id) AS stop FROM a WHERE nth <= 30) SELECT user_id, id, stop IS NULL OR nth < stop AS sent FROM b")
+def alert_delivery(spark, sf):
+    """Alerts of each user in order; a refusal defers the rest."""
+    queue = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
+    return scoring.delivered(queue, lambda row: row["id"] % 5 != 0, 30).select("user_id", "id", "sent")
+
+
+@query("R10", "SELECT o_orderkey AS job, o_orderkey % 3 = 0 OR o_orderkey % 30 >= 24 AS due FROM orders")
+def cadence_guards(spark, sf):
+    """Daily jobs that are due: never run, or last run a day ago."""
+    last = F.when(F.col("o_orderkey") % 3 != 0, F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), (F.col("o_orderkey") % 30).cast("int")))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), lanes.is_due(last, NOW, dt.timedelta(days=1)).alias("due"))
+
+
+@query("U4", "SELECT p_partkey, p_partkey % 5 <> 0 AND p_partkey % 3 <> 1 AS valid, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 <> 1 THEN p_name END AS first_query FROM part")
+def search_profiles(spark, sf):
+    """Stored search profiles against their schema: version, number of searches, and lengths of texts."""
+    name = F.when(F.col("p_partkey") % 3 == 1, " x ").otherwise("track")
+    search = F.struct(name.alias("name"), F.lit("direct evidence").alias("rationale"), F.concat(F.lit(" "), "p_name").alias("query"))
+    many = F.when(F.col("p_partkey") % 10 == 0, F.array_repeat(search, 9)).otherwise(F.array(search))
+    text = F.to_json(F.struct(F.when(F.col("p_partkey") % 10 == 5, 2).otherwise(1).alias("version"), many.alias("searches")))
+    read = table(spark, sf, "part").select("p_partkey", profiles.read(text).alias("p"))
+    return read.select("p_partkey", F.col("p").isNotNull().alias("valid"), F.get("p.searches", F.lit(0))["query"].alias("first_query"))
 
 
 @query("F13", "SELECT page_id, NOT regexp_matches(url, '@') AS plain FROM pages")
@@ -245,7 +278,9 @@ def late_publications(spark, sf):
     return lanes.in_time(e, "ts", lambda c: c >= F.lit("2024-01-11").cast("timestamp_ntz"), known, "event_id").select("event_id")
 
 
-@query("R1 R3 R4 R9", None)
+@query("R1 R3 R4 R9", """WITH q(search_id, query) AS (VALUES (1, 'the of'), (2, 'des')), d AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS title FROM documents),
+m AS (SELECT doc_id, search_id, query FROM d, q WHERE len(list_filter(string_split(query, ' '), lambda w: NOT contains(title, w))) = 0)
+SELECT doc_id AS posting_id, arg_min(query, search_id) AS named_by, count(*) AS recipients FROM m GROUP BY doc_id""")
 def streaming_matches(spark, sf):
     """Listings as a drained stream matched against static profiles, each listing once."""
     schema = table(spark, sf, "documents").schema

@@ -197,15 +197,31 @@ def prefilter_evidence(spark, sf):
     return matching.best_track(scores).select(F.col("id").alias("doc_id"), "user_id", "track", F.round("title_similarity", 6).alias("title_similarity"), F.round("skill_coverage", 6).alias("skill_coverage"), "regex_score")
 
 
-@query("F8 F9 N3 T23 J13", None)
+def _admission_sql() -> str:
+    best = _prefilter_sql().strip()
+    best = best[: best.index("SELECT CAST(doc_id AS BIGINT)")]
+    skills = ", ".join(f"({u}, {w!r})" for u, _, _, asked in TRACKS for x in asked for w in x.split())
+    evidence = "ts >= 0.35 OR (known AND sc >= 0.2)"
+    return f"""{best},
+pw(user_id, token) AS (VALUES {skills}), pc AS (SELECT user_id, token, count(*) AS n FROM pw GROUP BY ALL), pn AS (SELECT user_id, sum(n * n) AS q FROM pc GROUP BY 1),
+dc AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({sql_words('text')}) AS token FROM documents) GROUP BY ALL), dn AS (SELECT doc_id, sum(n * n) AS q FROM dc GROUP BY 1),
+c AS (SELECT doc_id, user_id, sum(dc.n * pc.n) / sqrt(CAST(any_value(dn.q) AS DOUBLE) * any_value(pn.q)) AS cosine FROM dc JOIN pc USING (token) JOIN dn USING (doc_id) JOIN pn USING (user_id) GROUP BY ALL),
+j AS (SELECT coalesce(x.doc_id, c.doc_id) AS id, coalesce(x.user_id, c.user_id) AS user_id, track, coalesce(ts, 0) AS ts, coalesce(sc, 0) AS sc, coalesce(rs, 0) AS rs, coalesce(cosine, 0) AS cosine, rs IS NOT NULL AS known FROM (SELECT * FROM b WHERE nth = 1) x FULL JOIN c ON c.doc_id = x.doc_id AND c.user_id = x.user_id),
+k AS (SELECT *, id % 40 AS age, CAST(round(rs * 0.75 + CAST(least(100, round(cosine * 300)) AS INTEGER) * 0.25) AS INTEGER) AS combined FROM j)
+SELECT CAST(id AS BIGINT) AS id, CAST(user_id AS BIGINT) AS user_id, coalesce(track, -1) AS track, round(ts, 6) AS title_similarity, round(sc, 6) AS skill_coverage, rs AS regex_score, round(cosine, 6) AS cosine, combined, age >= 30 OR NOT ({evidence}) OR combined < 30 AS filtered,
+array_to_string(list_filter(['recency:' || CASE WHEN age < 1 THEN 'today' WHEN age < 7 THEN 'week' WHEN age < 14 THEN 'fortnight' WHEN age < 30 THEN 'month' ELSE 'stale' END, CASE WHEN ts >= 0.35 THEN 'title-evidence' END, CASE WHEN known AND sc >= 0.2 THEN 'skill-evidence' END, CASE WHEN age >= 30 THEN 'expired' END, CASE WHEN NOT ({evidence}) THEN 'insufficient-role-or-skill-evidence' END, CASE WHEN combined < 30 THEN 'below-minimum-score' END], lambda x: x IS NOT NULL), ',') AS reasons FROM k"""
+
+
+@query("F8 F9 N3 T23 J13", _admission_sql())
 def prefilter_admission(spark, sf):
     docs = documents(spark, sf).select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body"), F.array().cast("array<string>").alias("key_skills"))
     best = matching.best_track(matching.track_scores(docs, _profile_frame(spark)))
-    listings = docs.select("id", t.plain_words(F.col("body")).alias("tokens"))
+    listings = docs.select("id", t.words(F.col("body"), t.PLAIN).alias("tokens"))
     profiles = _profile_frame(spark).groupBy("user_id").agg(F.flatten(F.flatten(F.array_sort(F.collect_list(F.transform("skills", t.lexical_words))))).alias("tokens"))
     dated = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.expr(f"timestamp_ntz'{NOW}' - make_dt_interval(cast(doc_id % 40 as int))").alias("published_at"))
     out = matching.admission(best, matching.cosines(listings, profiles), dated, 30, 30, NOW)
-    return out.withColumn("reasons", F.array_join("reasons", ","))
+    rounded = {c: F.round(c, 6) for c in ("title_similarity", "skill_coverage", "cosine")}
+    return out.withColumns(rounded | {"reasons": F.array_join("reasons", ","), "track": F.coalesce("track", F.lit(-1))})
 
 
 @query(

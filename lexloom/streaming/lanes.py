@@ -6,10 +6,12 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..session import at as instant
+
 
 def once(updates: DataFrame, key: str = "update_id", time: str = "at", horizon: str = "7 days") -> DataFrame:
     """Each update once within the horizon; state older than that is dropped."""
@@ -79,6 +81,11 @@ def leases(asks: DataFrame, seconds: int) -> DataFrame:
     return asks.groupBy("key").transformWithStateInPandas(Leases(seconds), "key string, token string, at timestamp, granted boolean", "append", "None")
 
 
+def is_due(last: Column, now: dt.datetime, every: dt.timedelta) -> Column:
+    """The same of a column of last runs."""
+    return last.isNull() | (last <= instant(now - every))
+
+
 def due(last: dt.datetime | None, now: dt.datetime, every: dt.timedelta) -> bool:
     """Whether a periodic job (a daily rebuild, an hourly cleanup) is due."""
     return last is None or now - last >= every

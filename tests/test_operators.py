@@ -110,6 +110,42 @@ def test_postings_equal_brute_force(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_extensions(spark):
+    from lexloom import extensions
+
+    seen = []
+    fetch = lambda search, cursor: search.text
+    read = lambda payload: ([{"id": payload, "title": payload}], None)
+
+    def good(api):
+        api.register_source(readers.PageSource("ext_source", fetch, read, searches=[readers.Search("a", "x"), readers.Search("b", "y")]), ["Example.org"])
+        api.register_model("echo", lambda prompt: prompt + api.env["SUFFIX"])
+        api.on_startup(lambda: seen.append("begin"))
+        api.on_shutdown(lambda: seen.append("end 1"))
+        api.on_shutdown(lambda: 1 / 0)
+        api.on_shutdown(lambda: seen.append("end 2"))
+
+    def broken(api):
+        api.register_model("echo", str)
+
+    api = extensions.Api(spark, {"SUFFIX": "!"})
+    assert extensions.load(api, {"a": good, "b": broken}) == ["a"]
+    with api:
+        assert rows(spark.read.format("ext_source").load(), "search_name", "source_id") == [("a", "x"), ("b", "y")]
+        assert api.models["echo"]("hi") == "hi!" and api.sources.hosts["ext_source"] == {"example.org"}
+    assert seen == ["begin", "end 2", "end 1"]
+    with pytest.raises(ValueError):
+        api.register_source(readers.PageSource("late", fetch, read), [])
+
+
+def test_store_is_empty_or_refused(spark):
+    readers.require_empty(spark, "default")
+    spark.sql("CREATE TEMPORARY VIEW something AS SELECT 1")
+    with pytest.raises(ValueError):
+        readers.require_empty(spark, "default")
+    spark.catalog.dropTempView("something")
+
+
 def test_prefixes(spark):
     codes = spark.createDataFrame([("abcdef",), ("abcxyz",), ("zbcdef",), ("qwerty",)], "code string")
     assert rows(queues.shortest_prefixes(codes, "code"), "code", "prefix") == [("abcdef", "abcd"), ("abcxyz", "abcx"), ("qwerty", "q"), ("zbcdef", "z")]
@@ -237,8 +273,10 @@ def test_scoring_by_an_injected_model(spark):
     asked = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "late")], "id int, prompt string")
     model = lambda p: '{"total": 7}' if p == "good" or p.startswith("late\n") else "no idea"
     assert sorted(map(tuple, scoring.scored(asked, model).collect())) == [(1, '{"total": 7}', 1), (2, None, 3), (3, '{"total": 7}', 2)]
-    queue = spark.createDataFrame([(1,), (2,), (3,)], "id int").coalesce(1)
-    assert scoring.delivered(queue, lambda row: row["id"] < 3) == ([1, 2], True)
+    queue = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 8.0), ("a", 3, 7.0), ("a", 4, 9.0), ("b", 5, 1.0), ("c", 3, 1.0)], "user_id string, id int, score double")
+    sent = scoring.delivered(queue, lambda row: row["id"] != 2, 4)
+    assert rows(sent, "user_id", "id", "sent") == [("a", 1, True), ("a", 2, False), ("a", 3, False), ("a", 4, True), ("b", 5, True), ("c", 3, True)]
+    assert scoring.delivered(queue, lambda row: True, 2).count() == 4
 
 
 def test_registry_only_grows():
