@@ -489,6 +489,55 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum((r.toxicity >= 0.5) == bool(r.toxic) for r in got) > 0.97 * len(got)
 
 
+def direct_kneser_ney(counts: list[Counter], order: int, shared: int, letters: int):
+    """log p(word | class 1) - log p(word | class 0), straight from the definition."""
+    framed = lambda w: "\x02" + w + "\x03"
+
+    def level(words: Counter, size: int, top: bool):
+        grams: Counter = Counter()
+        longer = set()
+        for word, n in words.items():
+            x = framed(word)
+            for at in range(max(size, 1), len(x)):
+                if top or (at == size and size):
+                    grams[x[at - size : at], x[at]] += n
+                elif at > size and (gram := x[at - size - 1 : at + 1]) not in longer:
+                    longer.add(gram)
+                    grams[x[at - size : at], x[at]] += 1
+        ones, twos = (sum(1 for c in grams.values() if c == k) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))
+        totals: Counter = Counter()
+        spared: Counter = Counter()
+        for (context, _), c in grams.items():
+            totals[context] += c
+            spared[context] += c - max(c - d, 0)
+        return lambda context, x, p: max(grams[context, x] - d, 0) / totals[context] + spared[context] / totals[context] * p if totals[context] else p
+
+    both = counts[0] + counts[1]
+    models = [[level(both if k <= shared else c, k, k == order - 1) for k in range(order)] for c in counts]
+
+    def log_p(model, word):
+        x, total = framed(word), 0.0
+        for at in range(1, len(x)):
+            p = 1.0 / (letters + 1)
+            for size in range(min(at, order - 1) + 1):
+                p = model[size](x[at - size : at], x[at], p)
+            total += np.log(p)
+        return total
+
+    return lambda word: log_p(models[1], word) - log_p(models[0], word)
+
+
+def test_spelling_equals_the_definition():
+    rng = random.Random(21)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 7)))
+    counts = [Counter(make("abcde") for _ in range(120)), Counter(make("abcxy") for _ in range(60))]
+    spelling = toxicity.Spelling(counts, order=4, shared=1)
+    want = direct_kneser_ney(counts, 4, 1, spelling.letters)
+    words = [*list(counts[0])[:20], *list(counts[1])[:20], "unseen", "zzz", "a", "abcabcabc"]
+    assert np.allclose(spelling.log_odds(words), [want(w) for w in words], atol=1e-9)
+
+
 def test_toxicity_curve_weights_stand_for_rows():
     rng = np.random.default_rng(3)
     x, y, n = toxicity.features(rng.normal(size=60), rng.integers(1, 9, 60)), rng.integers(0, 2, 60), rng.integers(1, 5, 60)
@@ -677,6 +726,28 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(str, got[cols].itertuples(index=False, name=None))) == sorted(map(str, want[cols].itertuples(index=False, name=None)))
 
 
+def test_query_digests(spark, tokenizer):
+    """The columns that the queries add to their operators, against plain Python."""
+    rows = {r.doc_id: r.text for r in documents(spark).collect()}
+    for r in queries.op1_bpe(spark, DIR).collect():
+        ids = tokenizer.encode(rows[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    packed = queries.op4_packing(spark, DIR).toPandas()
+    for doc_id, text in rows.items():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        mine = packed[packed.doc_id == doc_id].sort_values("piece")
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(mine.start, mine.length, strict=True)] == mine.ids_crc32.tolist() and mine.length.sum() == len(ids)
+    near = queries.op5_minhash(spark, DIR).toPandas()
+    assert len(near) == len(rows) and (near.kept == (near.doc_id == near.class_id)).all() and (near.groupby("class_id").doc_id.min() == near.groupby("class_id").class_id.first()).all()
+    assert (near.groupby("class_id").doc_id.count() == near.groupby("class_id").class_size.first()).all()
+    toxic = queries.op7_toxicity(spark, DIR).toPandas()
+    assert sorted(toxic.doc_id) == sorted(rows) and toxic.score.between(0, 1).all() and (toxic.predicted == (toxic.score >= 0.5)).all()
+    assert (toxic.held_out == [zlib.crc32(str(k).encode()) % 5 == 0 for k in toxic.doc_id]).all()
+    for r in queries.op6_html(spark, DIR).collect():
+        assert r.n_chars == len(r.text) > 0 and r.url
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -706,5 +777,29 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_pipeline_scores_once_and_packs_nothing_of_nothing(spark, monkeypatch):
+    import corpus_pipeline
+
+    assert corpus_pipeline.packed(spark, spark.read.parquet(f"{DIR}/documents.parquet").limit(0), DIR).count() == 0
+    runs = []
+    first = corpus_pipeline.STAGES[0][1]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(spark_, docs, sf_dir):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        runs.append(1)
+        out = first(spark_, docs, sf_dir)
+        return out.mapInArrow(count, out.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(corpus_pipeline.STAGES[0][0], counted), *corpus_pipeline.STAGES[1:]])
+    out = corpus_pipeline.run(spark, DIR)
+    assert out.count() > 0 and runs == [1]
+    assert seen.value <= spark.read.parquet(f"{DIR}/documents.parquet").count()  # rows kept, each read once
+
+
 def test_tokenizer_path_is_a_parameter():
     assert queries.TOKENIZER == public_tokenizers.path("byte_bpe_50k.json")
