@@ -125,10 +125,10 @@ def document_blocks(spark, sf):
     return read.select("doc_id", of("list-item").alias("items"), of("heading").alias("headings"), F.sha2(documents.document_text(F.col("b")), 256).alias("text"))
 
 
-@query("P10 P13", "SELECT p_partkey, 'heading,paragraph,table,list-item,paragraph' AS kinds, 'Part ' || p_partkey || '|' || p_name || ' it goes on|a | b' || chr(10) || p_size || ' | 2|' || p_type || '|# ' || p_brand AS text, CASE WHEN p_partkey % 2 = 0 THEN 'no-dates' ELSE '' END AS warnings FROM part")
+@query("P10 P13", "SELECT p_partkey, 'heading,paragraph,table,list-item,paragraph' AS kinds, 'Part x' || p_partkey || '|' || p_name || ' it goes on|a | b' || chr(10) || p_size || ' | 2|' || p_type || '|# ' || p_brand AS text, CASE WHEN p_partkey % 2 = 0 THEN 'no-dates' ELSE '' END AS warnings FROM part")
 def markdown_blocks(spark, sf):
     part = table(spark, sf, "part")
-    lines = [F.concat(F.lit("## Part "), "p_partkey"), F.concat(F.lit("**"), "p_name", F.lit("** it")), F.lit("goes on"), F.lit("| a | `b` |"), F.lit("|---|---|"), F.concat("p_size", F.lit(" | 2")), F.concat(F.lit("- "), "p_type"), F.lit("```"), F.concat(F.lit("# "), "p_brand"), F.lit("```")]
+    lines = [F.concat(F.lit("## Part x"), "p_partkey"), F.concat(F.lit("**"), "p_name", F.lit("** it")), F.lit("goes on"), F.lit("| a | `b` |"), F.lit("|---|---|"), F.concat("p_size", F.lit(" | 2")), F.concat(F.lit("- "), "p_type"), F.lit("```"), F.concat(F.lit("# "), "p_brand"), F.lit("```")]
     text = F.concat_ws("\n", *lines)
     read = part.select("p_partkey", documents.document_blocks(text, F.lit(True)).alias("b"))
     dated = F.concat("b", F.when(F.col("p_partkey") % 2 == 0, F.array().cast("array<struct<kind:string,level:int,text:string>>")).otherwise(F.array(F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit("in 2019").alias("text")))))
