@@ -115,17 +115,6 @@ def plain_words(text: Column) -> Column:
     return words(nfkc(relevance_text(text)), PLAIN)
 
 
-def counted(tokens: Column) -> Column:
-    """array<struct(token, n)> of the distinct tokens: runs of the sorted array, so nothing is exchanged."""
-
-    def runs(s: Column) -> Column:
-        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return bind(starts, lambda b: F.transform(b, lambda p, k: F.struct(F.get(s, p).alias("token"), (F.coalesce(F.get(b, k + 1), F.size(s)) - p).cast("long").alias("n"))))
-
-    return bind(F.array_sort(tokens), runs)
-
-
 def lexical_words(text: Column) -> Column:
     return F.filter(F.transform(words(text, LEXICAL), lambda t: F.regexp_replace(t, r"\.+$", "")), lambda t: t != "")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..session import at as instant
+from ..session import cut_lineage
 from . import queues
 
 # The states a match may go to from each state.
@@ -103,7 +104,9 @@ def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAM
     def told(rows: DataFrame) -> DataFrame:
         return rows.select("id", "fingerprint", hashed.alias("words")).withColumn("set", F.xxhash64("words", F.size("words")))
 
-    ours, theirs = told(candidates), told(known)
+    # read several times below, so the texts are cut into words once
+    ours = cut_lineage(told(candidates))
+    theirs = ours if known is candidates else cut_lineage(told(known))
     left = ours.groupBy("fingerprint", "set").agg(F.any_value("words").alias("words"))
     right = theirs.groupBy("fingerprint", "set").agg(F.min("id").alias("oldest"), F.any_value("words").alias("words"))
     several = right.select("fingerprint", "set").union(left.select("fingerprint", "set")).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint")

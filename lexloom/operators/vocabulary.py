@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as t
-
 
 def terms(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """One row for each token of each document: id, token."""
@@ -14,8 +12,8 @@ def terms(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """id, token, n: counted inside each row (one row for each document)."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(t.counted(tokens)).alias("x")).select("id", "x.token", "x.n")
+    """id, token, n; counted before the exchange."""
+    return terms(docs, id_col, tokens).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def idf(documents: Column, seen_in: Column) -> Column:
@@ -45,25 +43,19 @@ def cosine(left: DataFrame, right: DataFrame) -> DataFrame:
 def top_cosine(docs: DataFrame, queries: DataFrame, k: int, words: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, cosine (six places): the k most similar documents of each query, ties to the smaller id.
 
-    docs, queries: id, tokens.  Only tokens of queries take part in products, so all other terms of a document are
-    summed to its length inside the row and never exchanged.  What is left is dealt by document: a term that every
-    document holds is no hot key, and products are summed before the exchange that ranks.  With a
-    vocabulary, term weights are looked up first.  Queries are a registry whose terms Spark
-    broadcasts while they are small; beyond that it joins them by token.
+    docs, queries: id, tokens.  Documents are dealt by id once, so their terms are counted and their lengths summed without
+    another exchange, and a term that every document holds is no hot key.  Only terms that a query has are multiplied: queries are
+    a registry whose terms Spark broadcasts while they are small (beyond that it joins them by term), and products are
+    summed before the exchange that ranks.  With a vocabulary, the weights of terms are looked up first.
     """
-    held = docs.select("id", t.counted(F.col("tokens")).alias("terms"))
+    dealt = docs.select("id", "tokens").repartition("id")
     asked = weighted(term_counts(queries, "id", F.col("tokens")), words)
     sizes = asked.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("query_size"))
     asked = asked.join(sizes, "id").select(F.col("id").alias("query_id"), "token", (F.col("weight") / F.sqrt("query_size")).alias("share"))
-    if words is None:
-        size = F.aggregate("terms", F.lit(0.0), lambda a, x: a + x["n"] * x["n"])
-        terms = held.select("id", size.alias("size"), F.explode("terms").alias("x")).select("id", "size", "x.token", F.col("x.n").cast("double").alias("weight"))
-    else:
-        found = weighted(held.select("id", F.explode("terms").alias("x")).select("id", "x.token", "x.n"), words)
-        size = found.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("size"))
-        terms = found.join(asked.select("token").distinct(), "token", "left_semi").join(size, "id")
-    dot = terms.join(asked, "token").groupBy("query_id", "id", "size").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
-    scores = dot.select("query_id", "id", F.round(F.col("dot") / F.sqrt("size"), 6).alias("cosine"))
+    found = weighted(term_counts(dealt, "id", F.col("tokens")), words)
+    size = found.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("size"))
+    dot = found.join(asked, "token").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    scores = dot.join(size, "id").select("query_id", "id", F.round(F.col("dot") / F.sqrt("size"), 6).alias("cosine"))
     return top_k(scores, "query_id", k, F.desc("cosine"), F.col("id")).select("query_id", "rank", "id", "cosine")
 
 

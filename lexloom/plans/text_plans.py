@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import demand, lifecycle, matching, search, vocabulary
 from ..registry import query
-from ..session import NOW, table
+from ..session import NOW, cut_lineage, table
 
 
 def _list(words) -> str:
@@ -100,7 +100,8 @@ def lexical_cosine_topk(spark, sf):
 @query("T14 U3", _terms_sql("n * coalesce(idf, (SELECT max(unknown) FROM v))", f"n AS (SELECT count(*) AS n FROM documents), v AS (SELECT token, ln((n + 1) / (count(*) + 0.5)) AS idf, ln((n + 1) / 1.5) AS unknown FROM (SELECT unnest({sql_search_tokens('text')}) AS token FROM documents), n GROUP BY token, n HAVING count(*) > 1),"))
 def idf_cosine(spark, sf):
     # the body vocabulary holds search tokens but is looked up with plain words, as defined
-    return _top_cosine(spark, sf, vocabulary.vocabulary(documents(spark, sf), t.search_tokens(F.col("text"))))
+    words = vocabulary.vocabulary(documents(spark, sf), t.search_tokens(F.col("text")))
+    return _top_cosine(spark, sf, cut_lineage(words))  # asked for four times
 
 
 @query(
@@ -294,8 +295,6 @@ def role_components(spark, sf):
     """Every part linked to the part fifty keys on, but for one key in seven: chains over the whole table."""
     name = lambda c: F.concat(F.lit("t"), c.cast("string"))
     pairs = table(spark, sf, "part").filter("p_partkey % 7 <> 0").select(name(F.col("p_partkey")).alias("token_a"), name(F.col("p_partkey") + 50).alias("token_b"), F.lit(1).alias("support"))
-    from ..session import cut_lineage
-
     return demand.resolver(pairs, checkpoint=cut_lineage)
 
 
