@@ -1,6 +1,7 @@
 """Token, similarity and parser functions on values with known results."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,24 @@ def test_relevance_text(spark):
     assert "mail" not in out.lower() and "https" not in out and "999" not in out and "Python developer" in out and "ok" in out
 
 
+def test_html_text_grows_with_its_references(spark):
+    """A page with 32 times as many references takes about as many times as long, not the square of that."""
+
+    def seconds(n: int) -> float:
+        rows = spark.range(1).select(F.repeat(F.lit("a &amp; b &#1040; <b>c</b> "), n).alias("x")).cache()
+        rows.count()
+        took = []
+        for _ in range(3):
+            begin = time.time()
+            rows.select(t.html_text(F.col("x"))).collect()
+            took.append(time.time() - begin)
+        return min(took)
+
+    seconds(100)
+    few, many = seconds(1000), seconds(32_000)
+    assert many < 32 * max(few, 0.05)
+
+
 def test_html_text(spark):
     html = "<style>x</style><p>A&nbsp;&amp;lt; B&bogus;C</p><div>D<br/>E</div>&#1040;&#x41;"
     assert value(spark, t.html_text(F.lit(html))) == "A &lt; B C D E АA"
