@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, lines, lm, minhash, packing, topk, toxicity
+from . import bpe, chat, exact_dedup, html, lines, lm, minhash, packing, search, topk, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.Index(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return search.search(index, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -83,5 +88,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lines": op9_lines,
     "op10_topk": op10_topk,
+    "op12_search": op12_search,
 }
-SQL = {"op2_chat": chat.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}
+SQL = {"op2_chat": chat.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL, "op12_search": search.ORACLE_SQL}
