@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html, lines, lm, minhash, packing, search, topk, toxicity
+from . import bpe, chat, exact_dedup, html, late, lines, lm, minhash, packing, quality, search, topk, toxicity
 
 #: The vocabulary file that op1 and op4 use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,11 +72,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.Index(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return search.search(index, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op13_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late.sales_report(_table(spark, sf_dir, "sales").select("sale_id", "client_id", "status", "total", "sold_at", "arrived_at", "priority"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -88,6 +96,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lines": op9_lines,
     "op10_topk": op10_topk,
+    "op11_quality": op11_quality,
     "op12_search": op12_search,
+    "op13_late": op13_late,
 }
 SQL = {"op2_chat": chat.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL, "op12_search": search.ORACLE_SQL}
