@@ -37,9 +37,9 @@ from .common import materialize, remembers, slices
 WORDS, REPEATED = 50, 50
 CHUNK = 2048
 LEVEL = 3
-LOW, HIGH = 2.5, 8.0
+LOW, HIGH = 2.5, 5.0
 #: Least distance of a limit from the median: these, over the root of the band's least length in bytes.
-NEAR, FAR = 0.4, 4.0
+NEAR, FAR = 0.4, 2.0
 EXTREMES = (0.08, 0.97)
 SHORTEST = 512
 #: Octaves of length that have limits of their own; shorter and longer texts belong to the outer ones.
