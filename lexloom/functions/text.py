@@ -61,7 +61,8 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def _formed(form, text: Column, stable: str) -> Column:
-    changes = text.rlike(f"[^{stable}]")
+    # letters beyond ASCII first, so that plain texts and plain letters are told fast
+    changes = (F.octet_length(text) > F.length(text)) & text.rlike(f"[\\x{{80}}-\\x{{10FFFF}}&&[^{stable}]]")
     return F.when(changes, form(F.when(changes, text))).otherwise(text)
 
 
@@ -200,17 +201,12 @@ def _referred(reference: Column) -> Column:
     return F.coalesce(coded, named, F.lit(" "))
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def decode_entities(text: Column) -> Column:
     """Character references, numeric and named, each decoded once; a text is cut into pieces and references once."""
     cut = lambda x: F.struct(F.split(x, REFERENCE).alias("pieces"), F.regexp_extract_all(x, F.lit(f"({REFERENCE})"), F.lit(1)).alias("references"))
     joined = lambda piece, reference: F.concat(piece, F.when(reference.isNotNull(), _referred(reference)).otherwise(""))
-    decoded = lambda x: bound(cut(x), lambda c: F.array_join(F.zip_with(c["pieces"], c["references"], joined), ""))
-    return bound(text, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
+    decoded = lambda x: bind(cut(x), lambda c: F.array_join(F.zip_with(c["pieces"], c["references"], joined), ""))
+    return bind(text, lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
 
 
 def html_text(html: Column) -> Column:

@@ -113,12 +113,12 @@ def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAM
 
     def first(sets: DataFrame) -> DataFrame:
         n = F.size("words")
-        some = F.slice("words", 1, n - F.ceil(n * F.lit(threshold)).cast("int") + 1)
+        some = F.slice("words", 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
         return sets.select("fingerprint", "set", n.alias("n"), F.explode(F.when(n > 0, some).otherwise(F.array(F.lit(0).cast("long")))).alias("word"))
 
     a = first(left.join(several, "fingerprint", "left_semi"))
     b = first(right.join(several, "fingerprint", "left_semi")).select("fingerprint", F.col("set").alias("other"), F.col("n").alias("m"), "word")
-    near = F.least("n", "m") >= threshold * F.greatest("n", "m")
+    near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
     met = a.join(b, ["fingerprint", "word"]).filter(near & (F.col("set") != F.col("other"))).select("fingerprint", "set", "other").distinct()
     met = met.join(left.withColumnRenamed("words", "mine"), ["fingerprint", "set"]).join(right.select("fingerprint", F.col("set").alias("other"), "oldest", F.col("words").alias("theirs")), ["fingerprint", "other"])
     alike = met.filter(t.jaccard(F.col("mine"), F.col("theirs")) >= threshold).select("fingerprint", "set", "oldest")

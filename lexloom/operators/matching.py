@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..session import at as instant
+from ..session import cut_lineage
 from . import vocabulary
 
 MIN_TITLE, MIN_SKILL = 0.35, 0.2
@@ -109,6 +110,34 @@ def admission(best: DataFrame, cosines: DataFrame, listings: DataFrame, minimum:
     return out.select("id", "user_id", "track", "title_similarity", "skill_coverage", "regex_score", "cosine", "combined", (expired | ~(titled | skilled) | low).alias("filtered"), F.array_compact(F.array(*reasons)).alias("reasons"))
 
 
+def evidence(best: DataFrame) -> Column:
+    """Whether a pair of ``best_track`` has title or skill evidence; without it a pair is always filtered out."""
+    return (F.col("title_similarity") >= MIN_TITLE) | (F.col("has_skills") & (F.col("skill_coverage") >= MIN_SKILL))
+
+
+def admitted(best: DataFrame, listings: DataFrame, profiles: DataFrame, minimum: int, max_age: int, now: dt.datetime, words: DataFrame | None = None) -> DataFrame:
+    """The pairs that admission lets through, as ``admission`` gives them; cosines are worked out for pairs with evidence alone.
+
+    best: from best_track; listings: id, published_at, tokens; profiles: user_id, tokens.
+    """
+    fresh = listings.filter(~recency(F.col("published_at"), now, max_age)["expired"])
+    some = cut_lineage(best.filter(evidence(best)).join(fresh.select("id"), "id", "left_semi"))
+    told = pair_cosines(some.select("id", "user_id"), fresh, profiles, words)
+    return admission(some, told, fresh, minimum, max_age, now).filter("NOT filtered")
+
+
+def pair_cosines(pairs: DataFrame, listings: DataFrame, profiles: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """id, user_id, cosine of the pairs given, 0 where they share no token; a listing's terms meet those of its own pairs only."""
+    asked = pairs.select("id").distinct()
+    left = cut_lineage(vocabulary.weighted(vocabulary.term_counts(listings.join(asked, "id", "left_semi"), "id", F.col("tokens")), words))
+    right = cut_lineage(vocabulary.weighted(vocabulary.term_counts(profiles.join(pairs.select("user_id").distinct(), "user_id", "left_semi"), "user_id", F.col("tokens")), words))
+    size = lambda rows, name: rows.groupBy(F.col("id").alias(name)).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(f"{name}_size"))
+    wanted = pairs.join(right.select(F.col("id").alias("user_id"), "token", F.col("weight").alias("w")), "user_id")
+    dot = wanted.join(left, ["id", "token"]).groupBy("id", "user_id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    both = pairs.join(dot, ["id", "user_id"], "left").join(size(left, "id"), "id", "left").join(size(right, "user_id"), "user_id", "left")
+    return both.select("id", "user_id", F.coalesce(F.col("dot") / (F.col("id_size") * F.col("user_id_size")), F.lit(0.0)).alias("cosine"))
+
+
 def matched_title_tokens(title_tokens: Column, track_tokens: Column) -> Column:
     return F.filter(title_tokens, lambda x: F.array_contains(track_tokens, x))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import at as instant
+from ..session import cut_lineage
 
 
 def first(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
@@ -70,6 +71,20 @@ def batches(rows: DataFrame, size: int, key: str, *order: Column | str) -> DataF
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size).cast("int"))
 
 
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """Rows numbered from 0 in order, without one task for all: sorted by ranges, and numbered inside each range.
+
+    The counts of the ranges, one row each, are all that is summed in one place.  The lineage is cut, so that the
+    ranges do not change when a later stage is run again.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    dealt = cut_lineage(dealt).withColumn("__range", F.shiftright("__row", 33))
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first"))
+    before = F.sum("n").over(Window.orderBy("__range")) - F.col("n")
+    begins = counts.select("__range", (before - F.col("first")).alias("__offset"))
+    return dealt.join(begins, "__range").withColumn(name, F.col("__row") + F.col("__offset")).drop("__row", "__range", "__offset")
+
+
 def prefix_matches(codes: DataFrame, column: str, prefix: str, limit: int = 2) -> DataFrame:
     """Up to ``limit`` codes with a prefix; two of them mean it is ambiguous."""
     return codes.filter(F.col(column).startswith(prefix)).orderBy(column).limit(limit)

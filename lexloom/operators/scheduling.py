@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import heapq
-import itertools
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import at as instant
+from ..session import cut_lineage
+from .queues import batches
 
 
 def next_cadence(current: Column, novelty: Column, floor: int, ceiling: int) -> Column:
@@ -59,43 +58,40 @@ def due_units(units: DataFrame, subscriptions: DataFrame, users: DataFrame, now:
 def pick_due(units: DataFrame, budget: int, now: dt.datetime) -> DataFrame:
     """Up to ``budget`` due units of each platform: those that reach the most users not yet reached, then by schedule.
 
-    units: platform, unit_id, next_run_at, subscribers.  The choice is sequential, so a platform
-    is one task; only due units with subscribers get there, and a platform that is within its
-    budget needs no choice and stays distributed.  Gains only fall as users are reached, so a unit is counted
-    anew only when it leads.
+    units: platform, unit_id, next_run_at, subscribers.  The greedy choice runs in rounds over all platforms
+    at once, and a platform of any size is many tasks: gains are counts that only the newly reached users change.
+    A round takes the leading units up to the first one that shares a user with a unit before it: gains only fall, so up to there the
+    choice one by one would be the same.
     """
     due = units.filter((F.col("next_run_at") <= instant(now)) & (F.size("subscribers") > 0))
+    due = cut_lineage(due.select("platform", "unit_id", "next_run_at", F.array_distinct("subscribers").alias("subscribers")))
     crowded = due.groupBy("platform").count().filter(F.col("count") > budget).select("platform")
     easy = due.join(crowded, "platform", "left_anti")
-    hard = due.join(crowded, "platform", "left_semi")
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["next_run_at", "unit_id"], kind="stable")
-        groups = [set(x) for x in frame["subscribers"]]
-        left = set().union(*groups)
-        heap = [(-len(g), k) for k, g in enumerate(groups)]
-        heapq.heapify(heap)
-        taken: dict[int, None] = {}
-        while len(taken) < budget and left and heap:
-            said, k = heapq.heappop(heap)
-            gain = len(groups[k] & left)
-            if gain < -said:
-                heapq.heappush(heap, (-gain, k))
-            elif gain:
-                taken[k] = None
-                left -= groups[k]
-            else:
-                break
-        rest = (k for k in range(len(groups)) if k not in taken)
-        taken = [*taken, *itertools.islice(rest, max(0, budget - len(taken)))]
-        out = frame.iloc[taken][["platform", "unit_id"]].copy()
-        out["picked"] = range(1, len(out) + 1)
-        return out
-
-    schema = ", ".join(f"{c} {dict(units.dtypes)[c]}" for c in ("platform", "unit_id")) + ", picked int"
-    chosen = hard.select("platform", "unit_id", "next_run_at", "subscribers").groupBy("platform").applyInPandas(choose, schema)
-    from .queues import batches
-
+    hard = cut_lineage(due.join(crowded, "platform", "left_semi"))
+    reach = hard.select("platform", "unit_id", F.explode("subscribers").alias("user"))
+    gains = hard.select("platform", "unit_id", "next_run_at", F.size("subscribers").alias("gain"), F.lit(budget).alias("left"))
+    order = Window.partitionBy("platform").orderBy(F.desc("gain"), "next_run_at", "unit_id")
+    taken = hard.select("platform", "unit_id", F.lit(0).alias("picked")).limit(0)
+    while True:
+        top = cut_lineage(gains.filter("gain > 0").withColumn("place", F.row_number().over(order)).filter((F.col("place") <= budget) & (F.col("place") <= F.col("left"))).select("platform", "unit_id", "left", "place"))
+        if not top.limit(1).count():
+            break
+        theirs = reach.join(top.select("platform", "unit_id", "place"), ["platform", "unit_id"])
+        nearest = theirs.groupBy("platform", "user").agg(F.min("place").alias("one"), F.sort_array(F.collect_set("place")).alias("places"))  # at most a budget of places
+        overlap = nearest.filter(F.size("places") > 1).groupBy("platform").agg(F.min(F.col("places")[1]).alias("stop"))
+        chosen = cut_lineage(top.join(overlap, "platform", "left").filter(F.col("place") < F.coalesce("stop", F.lit(budget + 1))))
+        taken = taken.unionByName(chosen.select("platform", "unit_id", (F.lit(budget) - F.col("left") + F.col("place")).cast("int").alias("picked")))
+        reached = reach.join(chosen.select("platform", "unit_id"), ["platform", "unit_id"], "left_semi").select("platform", "user").distinct()
+        fell = reach.join(reached, ["platform", "user"], "left_semi").groupBy("platform", "unit_id").agg(F.count(F.lit(1)).alias("fell"))
+        used = chosen.groupBy("platform").agg(F.count(F.lit(1)).alias("used"))
+        gains = gains.join(fell, ["platform", "unit_id"], "left").join(used, "platform", "left")
+        gains = cut_lineage(gains.select("platform", "unit_id", "next_run_at", (F.col("gain") - F.coalesce("fell", F.lit(0))).cast("int").alias("gain"), (F.col("left") - F.coalesce("used", F.lit(0))).cast("int").alias("left")))
+        reach = cut_lineage(reach.join(reached, ["platform", "user"], "left_anti"))
+    # what is left of a budget goes by schedule
+    rest = gains.join(taken.select("platform", "unit_id"), ["platform", "unit_id"], "left_anti")
+    by_time = Window.partitionBy("platform").orderBy("next_run_at", "unit_id")
+    rest = rest.withColumn("nth", F.row_number().over(by_time)).filter((F.col("nth") <= budget) & (F.col("nth") <= F.col("left")))
+    chosen = taken.unionByName(rest.select("platform", "unit_id", (F.lit(budget) - F.col("left") + F.col("nth")).cast("int").alias("picked")))
     return chosen.unionByName(batches(easy, 1, "platform", "next_run_at", "unit_id").select("platform", "unit_id", (F.col("batch") + 1).alias("picked")))
 
 

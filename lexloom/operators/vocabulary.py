@@ -40,25 +40,6 @@ def cosine(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("left_id", "right_id", (F.col("dot") / F.sqrt(F.col("left_size") * F.col("right_size"))).alias("cosine"))
 
 
-def top_cosine(docs: DataFrame, queries: DataFrame, k: int, words: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, id, cosine (six places): the k most similar documents of each query, ties to the smaller id.
-
-    docs, queries: id, tokens.  Documents are dealt by id once, so their terms are counted and their lengths summed without
-    another exchange, and a term that every document holds is no hot key.  Only terms that a query has are multiplied: queries are
-    a registry whose terms Spark broadcasts while they are small (beyond that it joins them by term), and products are
-    summed before the exchange that ranks.  With a vocabulary, the weights of terms are looked up first.
-    """
-    dealt = docs.select("id", "tokens").repartition("id")
-    asked = weighted(term_counts(queries, "id", F.col("tokens")), words)
-    sizes = asked.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("query_size"))
-    asked = asked.join(sizes, "id").select(F.col("id").alias("query_id"), "token", (F.col("weight") / F.sqrt("query_size")).alias("share"))
-    found = weighted(term_counts(dealt, "id", F.col("tokens")), words)
-    size = found.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("size"))
-    dot = found.join(asked, "token").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
-    scores = dot.join(size, "id").select("query_id", "id", F.round(F.col("dot") / F.sqrt("size"), 6).alias("cosine"))
-    return top_k(scores, "query_id", k, F.desc("cosine"), F.col("id")).select("query_id", "rank", "id", "cosine")
-
-
 def weighted(counts: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Term weights: counts, or counts times idf (the unknown weight for words not in the vocabulary)."""
     if words is None:

@@ -6,12 +6,11 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parsers
 from ..functions import text as t
-from ..operators import accounts, documents, lifecycle, matching, profiles, reporting, scoring, usage
+from ..operators import accounts, documents, lifecycle, matching, profiles, queues, reporting, scoring, usage
 from ..registry import query
 from ..session import NOW, shared_folder, table
 from ..sources import readers, versions
@@ -96,8 +95,8 @@ def clean_text(spark, sf):
 def code_unit_order(spark, sf):
     """Code units put letters beyond the basic plane before its last ones; code points, as Spark sorts, do not."""
     first = F.array(F.lit("z"), F.lit("\U0001f600"), F.lit("｡"))[(F.col("p_partkey") % 3).cast("int")]
-    order = Window.orderBy(t.code_units(F.concat(first, "p_name")), "p_partkey")
-    return table(spark, sf, "part").select("p_partkey", F.row_number().over(order).alias("place"))
+    rows = queues.numbered(table(spark, sf, "part").select("p_partkey", t.code_units(F.concat(first, "p_name")).alias("units")), "before", "units", "p_partkey")
+    return rows.select("p_partkey", (F.col("before") + 1).cast("int").alias("place"))
 
 
 _CLAIMS_SQL = """WITH p AS (SELECT *, p_partkey % 2 = 0 AS grew, p_partkey % 3 = 0 AS known, p_partkey % 5 = 0 AS mailed FROM part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import demand, lifecycle, matching, search, vocabulary
+from ..operators import demand, lifecycle, matching, pruned, search, vocabulary
 from ..registry import query
 from ..session import NOW, cut_lineage, table
 
@@ -88,7 +88,7 @@ SELECT user_id, CAST(rank AS INTEGER) AS rank, doc_id, cosine FROM (SELECT *, ro
 def _top_cosine(spark, sf, words=None):
     docs = documents(spark, sf).select(F.col("doc_id").alias("id"), t.words(F.col("text"), t.PLAIN).alias("tokens"))
     profiles = items(spark, sf).select(F.col("user_id").alias("id"), t.words(F.col("cv"), t.PLAIN).alias("tokens"))
-    top = vocabulary.top_cosine(docs, profiles, 5, words)
+    top = pruned.top_cosine(docs, profiles, 5, words)
     return top.select(F.col("query_id").alias("user_id"), "rank", F.col("id").alias("doc_id"), "cosine")
 
 
@@ -221,8 +221,23 @@ def prefilter_admission(spark, sf):
     profiles = _profile_frame(spark).groupBy("user_id").agg(F.flatten(F.flatten(F.array_sort(F.collect_list(F.transform("skills", t.lexical_words))))).alias("tokens"))
     dated = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.expr(f"timestamp_ntz'{NOW}' - make_dt_interval(cast(doc_id % 40 as int))").alias("published_at"))
     out = matching.admission(best, matching.cosines(listings, profiles), dated, 30, 30, NOW)
+    return _rounded(out)
+
+
+def _rounded(admission):
     rounded = {c: F.round(c, 6) for c in ("title_similarity", "skill_coverage", "cosine")}
-    return out.withColumns(rounded | {"reasons": F.array_join("reasons", ","), "track": F.coalesce("track", F.lit(-1))})
+    return admission.withColumns(rounded | {"reasons": F.array_join("reasons", ","), "track": F.coalesce("track", F.lit(-1))})
+
+
+@query("F9 J13 T13 T23", f"SELECT * FROM ({_admission_sql()}) WHERE NOT filtered")
+def prefilter_admitted(spark, sf):
+    """Admitted pairs alone: only pairs with evidence are compared by their words."""
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body"), F.array().cast("array<string>").alias("key_skills"))
+    best = matching.best_track(matching.track_scores(docs, _profile_frame(spark)))
+    published = F.expr(f"timestamp_ntz'{NOW}' - make_dt_interval(cast(id % 40 as int))")
+    listings = docs.select("id", t.words(F.col("body"), t.PLAIN).alias("tokens"), published.alias("published_at"))
+    profiles = _profile_frame(spark).groupBy("user_id").agg(F.flatten(F.flatten(F.array_sort(F.collect_list(F.transform("skills", t.lexical_words))))).alias("tokens"))
+    return _rounded(matching.admitted(best, listings, profiles, 30, 30, NOW))
 
 
 @query(
