@@ -115,7 +115,7 @@ def evidence_claims(spark, sf):
     skills = F.struct(F.lit("facts").alias("kind"), F.array(F.struct(F.lit("Languages").alias("term"), F.lit("JS; Cobol | COBOL").alias("detail"))).alias("items"))
     blocks = F.concat(F.lit("["), F.to_json(entry), F.lit(","), F.to_json(skills), F.lit("]"))
     cv = F.concat(F.lit('{"cv":{"name":"N","contacts":[{"value":"x@y.z"}],"sections":[{"title":"Work","blocks":'), blocks, F.lit("}]}}"))
-    rows = documents.evidence_issues(part.select("p_partkey", documents.repair_document(cv).alias("cv"), source.alias("source")), "cv", "source")
+    rows = documents.evidence_issues(documents.repaired(part.select("p_partkey", cv.alias("cv"), source.alias("source")), "cv"), "cv", "source")
     order = F.array_position(t.strings(["new-number", "unknown-contact", "unknown-entry", "unsupported-skill"]), F.col("x.kind")).cast("int")
     return rows.select("p_partkey", F.explode("issues").alias("x")).select("p_partkey", order.alias("place"), "x.kind", "x.value")
 
@@ -133,7 +133,7 @@ def cv_readings(spark, sf):
     part = table(spark, sf, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(" ")))
     lines = [F.concat_ws(" ", "p_brand", "p_type"), F.lit(""), F.lit("WORK HISTORY"), F.lit("Acme Corporation of Everywhere 2019 – present"), F.concat(F.lit("* "), "p_name"), F.lit("• since then"), F.lit("Skills:"), F.lit("Known: SQL"), F.when(F.col("p_partkey") % 2 == 0, "Also: Spark").otherwise(""), F.lit("A long line of prose that follows after the facts and"), F.lit("goes on in the line below.")]
     cv = documents.read_cv(F.concat_ws("\n", *lines))
-    read = part.select("p_partkey", documents.repair_document(F.concat(F.lit('{"document":'), F.to_json(cv), F.lit("}"))).alias("cv"))
+    read = documents.repaired(part.select("p_partkey", F.concat(F.lit('{"document":'), F.to_json(cv), F.lit("}")).alias("cv")), "cv")
     blocks = read.select("p_partkey", "cv.name", F.array_join(F.col("cv.sections.title"), ",").alias("titles"), F.flatten("cv.sections.blocks").alias("b"))
     return blocks.select("p_partkey", "name", "titles", F.array_join(F.col("b.kind"), ",").alias("kinds"), F.array_join(F.col("b")[0]["bullets"], ";").alias("items"), F.size(F.col("b")[1]["facts"]).alias("facts"))
 
