@@ -49,3 +49,94 @@ def search(docs: DataFrame, query: str, k: int, *order: Column | str) -> DataFra
     """The k best documents by frequency, then ``order`` (which ends in a unique key).  docs: tokens, ..."""
     hits = docs.filter(matches(F.col("tokens"), query)).withColumn("rank", frequency(F.col("tokens"), query))
     return hits.orderBy(F.desc("rank"), *order).limit(k)
+
+
+# --- ranked search over a positional index
+
+#: Fixed values of the usual rank: weight of an unlabelled word, the limit of the sum of 1 / n ** 2, positions of a word that count, and the last place that is told.
+WEIGHT, LIMIT, POSITIONS, LAST_PLACE = 0.1, 1.64493406685, 255, 16383
+
+
+def positional_index(docs: DataFrame) -> DataFrame:
+    """token, id, places (from 1, rising): one row for each word of each document.  docs: id, tokens.
+
+    Sorted by token inside its partitions, so that a table of it is read for the words of a query alone.
+    """
+    each = docs.select("id", F.posexplode("tokens").alias("at", "token"))
+    rows = each.groupBy("token", "id").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("places"))
+    return rows.sortWithinPartitions("token")
+
+
+def _told(places: Column) -> Column:
+    """The places that a rank looks at."""
+    return F.slice(F.array_distinct(F.transform(places, lambda p: F.least(p, F.lit(LAST_PLACE)))), 1, POSITIONS)
+
+
+def _phrase(places: dict[str, Column], found: list[str]) -> Column:
+    """Whether the words stand one after another somewhere."""
+    here = F.lit(True)
+    for word in dict.fromkeys(found):
+        here = here & (F.size(places[word]) > 0)
+    if len(found) > 1:
+        follows = lambda p: F.forall(F.array(*[F.array_contains(places[w], p + k) for k, w in enumerate(found)]), lambda x: x)
+        here = here & F.exists(places[found[0]], follows)
+    return here
+
+
+def _single_rank(places: dict[str, Column]) -> Column:
+    """Each word adds its weight times the sum of 1 / n ** 2 over its occurrences; the mean over all words of the query."""
+    total = F.lit(0.0)
+    for x in places.values():
+        n = F.size(_told(x))
+        squares = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda sum_, k: sum_ + 1.0 / (k * k))
+        total = total + F.when(n > 0, squares * WEIGHT / LIMIT).otherwise(0.0)
+    return total / len(places)
+
+
+def _pair_rank(places: dict[str, Column]) -> Column:
+    """One less the product of what each pair of places of two words leaves: near pairs leave little; a hair above 0 without a pair."""
+    words = list(places)
+    near = lambda d: F.when(d > 100, 1e-30).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+    left, pairs = F.lit(1.0), F.lit(False)
+    for k, a in enumerate(words):
+        for b in words[:k]:
+            x, y = _told(places[a]), _told(places[b])
+            one = lambda p, other: F.aggregate(other, F.lit(1.0), lambda rest, q: rest * F.when(p != q, 1.0 - F.sqrt(WEIGHT * WEIGHT * near(F.abs(p - q)))).otherwise(1.0))
+            left = left * _over(x, y, one)
+            pairs = pairs | ((F.size(x) > 0) & (F.size(y) > 0))
+    return F.when(pairs, 1.0 - left).otherwise(1e-20)
+
+
+def _over(x: Column, y: Column, one) -> Column:
+    return F.aggregate(x, F.lit(1.0), lambda rest, p: rest * one(p, y))
+
+
+def rank(places: dict[str, Column], query: str) -> Column:
+    """The rank of a document; places: of every word that the query names, those it excludes too."""
+    alternatives = parse(query)
+    joined = len(alternatives) == 1 and (len(alternatives[0]) > 1 or len(alternatives[0][0][1]) > 1)
+    return _pair_rank(places) if joined and len(places) > 1 else _single_rank(places)
+
+
+def ranked(index: DataFrame, ids: DataFrame, query: str, k: int, *order: Column | str) -> DataFrame:
+    """The k best of ``ids`` (id, ...) by rank, then ``order``, which ends in a unique key.
+
+    The index is read for the words of the query only; documents without any of them are looked at only
+    where an alternative of the query excludes words and asks for none.
+    """
+    alternatives = parse(query)
+    words = sorted({w for terms in alternatives for _, found in terms for w in found})
+    if not words:
+        return ids.withColumn("rank", F.lit(0.0)).limit(0)
+    hits = index.filter(F.col("token").isin(words)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("__places"))
+    bare = any(all(negated for negated, _ in terms) for terms in alternatives)
+    rows = ids.join(hits, "id", "left" if bare else "inner")
+    none = F.array().cast("array<int>")
+    places = {w: F.coalesce(F.col("__places")[w], none) for w in words}
+    any_of = F.lit(False)
+    for terms in alternatives:
+        all_of = F.lit(True)
+        for negated, found in terms:
+            all_of = all_of & (~_phrase(places, found) if negated else _phrase(places, found))
+        any_of = any_of | all_of
+    return rows.filter(any_of).withColumn("rank", rank(places, query)).drop("__places").orderBy(F.desc("rank"), *order).limit(k)

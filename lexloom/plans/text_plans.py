@@ -287,6 +287,39 @@ def full_text_match(spark, sf):
     return search.search(docs, _FTS, 50, "doc_id").select("doc_id", F.col("rank").cast("long").alias("rank"))
 
 
+def _places_sql(word: str) -> str:
+    return f"list_distinct(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{word}'), lambda i: least(i, 16383)))"
+
+
+def _single_rank_sql(words: list[str]) -> str:
+    one = lambda w: f"coalesce(list_sum(list_transform(range(1, least(255, len({_places_sql(w)})) + 1), lambda i: 1.0::DOUBLE / (i * i))), 0) * 0.1::DOUBLE / 1.64493406685::DOUBLE"
+    return f"({' + '.join(map(one, words))}) / {len(words)}"
+
+
+def _ranked(spark, sf, asked):
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), t.words(F.col("text"), t.PLAIN).alias("tokens"))
+    index = cut_lineage(search.positional_index(docs))  # a table of its own; queries read it by word
+    return search.ranked(index, docs.select("id"), asked, 50, "id").select(F.col("id").alias("doc_id"), F.round("rank", 9).alias("rank"))
+
+
+@query("F7 J10 O10", f"""WITH d AS (SELECT doc_id, {sql_words('text')} AS w FROM documents), j AS (SELECT *, chr(1) || array_to_string(w, chr(1)) || chr(1) AS j FROM d)
+SELECT doc_id, round({_single_rank_sql(['der', 'of', 'that', 'the', 'und'])}, 9) AS rank FROM j WHERE (contains(j, chr(1) || 'of' || chr(1) || 'the' || chr(1)) AND NOT list_contains(w, 'that')) OR (list_contains(w, 'und') AND NOT list_contains(w, 'der'))
+ORDER BY rank DESC, doc_id LIMIT 50""")
+def full_text_ranked(spark, sf):
+    """Alternatives: every word of the query counts by its occurrences."""
+    return _ranked(spark, sf, _FTS)
+
+
+@query("F7 J10 O10", f"""WITH d AS (SELECT doc_id, {sql_words('text')} AS w FROM documents),
+j AS (SELECT doc_id, w FROM d WHERE contains(chr(1) || array_to_string(w, chr(1)) || chr(1), chr(1) || 'of' || chr(1) || 'the' || chr(1)) AND list_contains(w, 'was')),
+p AS (SELECT doc_id, unnest(list_sort({_places_sql('of')})[1:255]) AS at, 1 AS word FROM j UNION ALL SELECT doc_id, unnest(list_sort({_places_sql('the')})[1:255]), 2 FROM j UNION ALL SELECT doc_id, unnest(list_sort({_places_sql('was')})[1:255]), 3 FROM j),
+x AS (SELECT doc_id, CAST(abs(a.at - b.at) AS DOUBLE) AS d FROM p a JOIN p b USING (doc_id) WHERE a.word < b.word AND a.at <> b.at)
+SELECT doc_id, round(1 - product(1 - sqrt(0.01::DOUBLE * CASE WHEN d > 100 THEN 1e-30 ELSE 1.0::DOUBLE / (1.005::DOUBLE + 0.05::DOUBLE * exp(d / 1.5::DOUBLE - 2)) END)), 9) AS rank FROM x GROUP BY doc_id ORDER BY rank DESC, doc_id LIMIT 50""")
+def full_text_near(spark, sf):
+    """Words and a phrase that must all be there: near places count most."""
+    return _ranked(spark, sf, 'was "of the"')
+
+
 @query("P14 T9", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'ru' ELSE 'en' END AS language, CASE p_partkey % 3 WHEN 0 THEN 'latin' WHEN 1 THEN 'cyrillic' ELSE 'unknown' END AS script FROM part")
 def document_language(spark, sf):
     """Few Cyrillic letters, enough of them, and enough among too many Latin ones."""
