@@ -231,7 +231,3 @@ def require_empty(spark: SparkSession, database: str) -> None:
         raise ValueError(f"{database} is not empty")
 
 
-def read_json_rows(payload: str, path: list[str]) -> list:
-    """Rows at a path of a JSON payload, for providers' ``read`` callables."""
-    found = _path(*path)(json.loads(payload))
-    return found if isinstance(found, list) else []
