@@ -53,7 +53,7 @@ FORMS = frozenset("form fieldset".split())
 #: Words of an element around one entry, whose header is its own.
 ENTRY = frozenset("article entry post story hentry".split())
 #: Words that say nothing about what an element holds.
-NEUTRAL = frozenset("box block container wrapper wrap section area list slot unit bar panel button buttons link links item items inner outer content group row col holder module".split())
+NEUTRAL = frozenset("box block container wrapper wrap section area list slot unit bar panel button buttons link links item items inner outer content group row col holder module large small big medium wide top bottom left right inline".split())
 WORDS = frozenset(
     "nav navigation navbar menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead cookie cookies consent gdpr notice notices banner banners alert"
     " ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion comment comments disqus reply replies respond"
@@ -69,11 +69,22 @@ RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Words for readers' comments, which are prose too: a sign by themselves.
 READERS = frozenset("comments disqus replies respond".split())
 CONTROLS = frozenset("form textarea".split())
+#: Parts of a class or id of an article's body.
+ENTRY_WORDS = frozenset("article entry post story".split())
+ENTRY_PARTS = frozenset("body content main text full inner wrap wrapper container page single".split())
+#: What the last line of a page begins with that is no part of its text.
+_RIGHTS = re.compile(r"(?i)(?:©|\(c\)\s|copyright\b)")
 #: Words inside a class or id.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 SMOOTH, THRESHOLD, SHARE, LITTLE, LAYOUT = 1.0, 0.5, 0.8, 10, 600
 
 
+def _is_entry(name: str) -> bool:
+    """Whether a class or id says that an element is an article's body: by itself, or by its parts."""
+    parts = {x.lower() for x in _PART.findall(name)}
+    return name.lower() in ENTRY or (not parts.isdisjoint(ENTRY_WORDS) and len(parts) > 1 and parts <= ENTRY_WORDS | ENTRY_PARTS)
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -148,7 +159,7 @@ class _Page(HTMLParser):
         elif attrs and tag not in KEPT:
             out = self._hidden(tag, attrs)
         mute = mute or tag in MUTE or (out == 2 and tag not in BLOCK and any(x in ("hidden", "aria-hidden", "style") for x, _ in attrs))
-        entry = entry or tag in ("article", "main") or (tag in ("div", "section") and any(n in ("class", "id") and v and not ENTRY.isdisjoint(v.lower().split()) for n, v in attrs))
+        entry = entry or tag in ("article", "main") or (tag in ("div", "section") and any(n in ("class", "id") and v and any(map(_is_entry, v.split())) for n, v in attrs))
         self.parent.append(up)
         self.tag.append(tag)
         self.out.append(out)
@@ -253,7 +264,7 @@ def _around(page: _Page, lines: list[tuple], content: list[bool], held: list[int
     out = set()
     for number, (line, good) in enumerate(zip(lines, content, strict=True)):
         at = line[1]
-        loose = at in path or (part[at] == at and page.tag[at] not in CONTAINER and not held[at] and len(line[0]) > line[2])
+        loose = (at in path or (part[at] == at and page.tag[at] not in CONTAINER and not held[at])) and 2 * line[2] < len(line[0]) and not _RIGHTS.match(line[0])
         if good or near[at] or loose:
             out.add(number)
     return out
@@ -317,6 +328,31 @@ def _kept(page: _Page) -> list[tuple]:
     return kept or [x for x in page.lines if words[x[1]]]
 
 
+def _lone(page: _Page, lines: list[tuple]) -> int:
+    """The only article of a page, or else its only main part, where it holds a heading or more than one line of prose; 0 if there is none.
+
+    It is the region however much stands beside it: a discussion may be longer than what is discussed.
+    """
+    if "article" not in page.tag and "main" not in page.tag:
+        return 0
+    around = {name: [0] * len(page.tag) for name in ("article", "main")}  # of every element: the outermost one around it
+    for k in range(1, len(page.tag)):
+        for name, of in around.items():
+            of[k] = of[page.parent[k]] or (k if page.tag[k] == name else 0)
+    prose = [(x[1], page.tag[x[1]] in ("h1", "h2")) for x in lines if 2 * x[2] < len(x[0])]
+    for name, of in around.items():
+        found = {of[at] for at, _ in prose} - {0}
+        if len(found) != 1:
+            continue
+        one = found.pop()
+        mine = [heading for at, heading in prose if of[at] == one]
+        # a main part beside the article, with prose of its own, is the page's text
+        beside = name == "article" and not around["main"][one] and any(around["main"][at] and of[at] != one for at, _ in prose)
+        if not beside and (any(mine) or len(mine) > 1):
+            return one
+    return 0
+
+
 def _further_articles(page: _Page, lines: list[tuple], content: list[bool], root: int) -> list[int]:
     """Articles beside the one that is the region: those with more than one line of prose, no mere teasers."""
     if page.tag[root] != "article" or page.tag.count("article") < 2:
@@ -364,7 +400,7 @@ def main_text(html: str | None, page: _Page | None = None) -> str:
     for k in range(1, len(held)):
         if held[k] >= enough and page.tag[k] in CONTAINER:
             root = k
-    at, marked = root, False
+    at, marked = _lone(page, lines) or root, False
     while at > 0:
         if page.tag[at] in ("article", "main"):
             root, marked = at, True
@@ -380,6 +416,9 @@ def main_text(html: str | None, page: _Page | None = None) -> str:
     chosen = [k for k, x in enumerate(lines) if inside[x[1]]]
     if not marked:
         chosen = sorted({*chosen, *_around(page, lines, content.tolist(), held, root)})
+        # links and notes of rights that stand right in the page's body
+        bare = lambda x: page.tag[x[1]] in ("body", "html") and (2 * x[2] >= len(x[0]) or _RIGHTS.match(x[0]))
+        chosen = [k for k in chosen if not bare(lines[k])] or chosen
         first = [k for k, x in enumerate(lines[: chosen[0]]) if page.tag[x[1]] == "h1"]
         if first and not any(page.tag[lines[k][1]] == "h1" for k in chosen):
             chosen.insert(0, first[-1])
