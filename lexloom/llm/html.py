@@ -342,7 +342,9 @@ def _lone(page: _Page, lines: list[tuple]) -> int:
     prose = [(x[1], page.tag[x[1]] in ("h1", "h2")) for x in lines if 2 * x[2] < len(x[0])]
     for name, of in around.items():
         found = {of[at] for at, _ in prose} - {0}
-        if len(found) != 1:
+        if len(found) > 1:  # the further articles of a page are told apart later
+            return 0
+        if not found:
             continue
         one = found.pop()
         mine = [heading for at, heading in prose if of[at] == one]

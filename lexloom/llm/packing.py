@@ -11,7 +11,8 @@ best fit places the rest, longest first.  Between epochs each island sends its b
 of its block.  A packing with as few bins as the sum of lengths allows ends the search.
 
 Rows of work are island states, so memory is bounded by the block size and all blocks run
-apart.  Results depend on the rows alone (fixed seeds).
+apart.  Seeds are fixed, so results depend on the rows and on how these are partitioned: pieces are
+numbered as they are read, and the numbers deal them into blocks.
 
 Defined results: a null text counts as empty and is the end token alone; a null identifier
 is kept; rows that repeat an identifier are packed each on its own; an empty table gives an
