@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 import uuid
 
@@ -13,7 +14,7 @@ from ..functions import text as t
 from ..operators import accounts, documents, lifecycle, matching, profiles, queues, reporting, scoring, usage
 from ..registry import query
 from ..session import NOW, shared_folder, table
-from ..sources import readers, versions
+from ..sources import readers, streams, versions
 from ..streaming import lanes
 from . import usage_plans, work_plans
 
@@ -180,14 +181,37 @@ def message_split(spark, sf):
     return lines.select("l_orderkey", F.array_join(documents.split_message(F.col("lines"), F.lit(80)), "|").alias("messages"))
 
 
-def _stored_page(folder: str, brand: str, cursor: str | None) -> tuple[list[dict], str | None]:
-    """Three parts of a brand from a cursor on, read from the stored table by the worker that follows it."""
+@functools.lru_cache(maxsize=1)
+def _stored(folder: str, brand: str) -> list[tuple]:
+    """The parts of a brand, read once by the worker that follows its pages."""
     import pyarrow.parquet as pq
 
-    begin = int(cursor or 0)
     found = pq.read_table(f"{folder}/part.parquet", columns=["p_partkey", "p_name"], filters=[("p_brand", "=", brand)]).sort_by("p_partkey")
-    rows = [{"id": k, "title": n, "url": f"https://example.org/{k}"} for k, n in zip(*(c.to_pylist() for c in found.slice(begin, 3).columns), strict=True)]
-    return rows, str(begin + 3) if begin + 3 < found.num_rows else None
+    return list(zip(*(c.to_pylist() for c in found.columns), strict=True))
+
+
+def _stored_page(folder: str, brand: str, cursor: str | None, size: int = 3) -> tuple[list[dict], str | None]:
+    """The next parts of a brand from a cursor on."""
+    begin, held = int(cursor or 0), _stored(folder, brand)
+    rows = [{"id": k, "title": n, "url": f"https://example.org/{k}"} for k, n in held[begin : begin + size]]
+    return rows, str(begin + size) if begin + size < len(held) else None
+
+
+@query("S1 S3 S4 U2 R2", "SELECT p_brand AS search_name, count(*) AS found, count(DISTINCT p_partkey) AS listings FROM part GROUP BY 1")
+def streamed_listing(spark, sf):
+    """The same parts as a stream of pages: a budget of pages for each trigger, until no search has a page left."""
+    brands = [r[0] for r in table(spark, sf, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    base = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    source = readers.PageSource("parts", lambda search, cursor: _stored_page(sf, search.text, cursor, 500), lambda payload: payload, searches=[readers.Search(b, b) for b in brands])
+    name = f"lexloom_stream_{uuid.uuid4().hex[:12]}"
+    spark.dataSource.register(streams.stream_source(name, source, f"{base}/landed", 2 * len(brands)))
+    spark.createDataFrame([], readers.LISTING).write.parquet(f"{base}/out")
+    while True:
+        run = spark.readStream.format(name).load().writeStream.format("parquet").option("checkpointLocation", f"{base}/check").option("path", f"{base}/out").trigger(availableNow=True).start()
+        run.awaitTermination()
+        if not any(p["numInputRows"] for p in run.recentProgress):
+            break
+    return spark.read.schema(readers.LISTING).parquet(f"{base}/out").groupBy("search_name").agg(F.count(F.lit(1)).alias("found"), F.count_distinct("source_id").alias("listings"))
 
 
 @query("S1 S2 S3 U1 U2", "SELECT p_brand AS search_name, count(*) AS found FROM part GROUP BY 1")
