@@ -717,7 +717,7 @@ def test_topk_numbers_beyond_64_bits(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     want = con.execute(queries.SQL[name]).df()
     got = queries.QUERIES[name](spark, DIR).toPandas()
