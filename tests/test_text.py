@@ -213,6 +213,15 @@ def test_evidence_issues(spark):
     assert got == [] and d.assert_evidence(rows).count() == 1
 
 
+def test_evidence_of_letters_that_forms_change(spark):
+    import json
+
+    text = json.dumps({"name": "J", "contacts": [], "sections": [{"title": "E", "blocks": [{"kind": "entry", "title": "Ghost \ufb01rm"}, {"kind": "entry", "title": "\ufb01ne Acme"}]}]})
+    rows = spark.createDataFrame([(text, "I worked at fine Acme", 1), ("{", "", 2)], "cv string, source string, k int")
+    got = d.evidence_issues(rows.select("k", d.repair_document(F.col("cv")).alias("cv"), "source"), "cv", "source").select("k", "issues").collect()
+    assert {r.k: [tuple(x) for x in r.issues or []] for r in got} == {1: [("unknown-entry", "Ghost \ufb01rm")], 2: []}
+
+
 def test_letter_and_messages(spark):
     body = "I build data systems and would like to build yours. " * 3
     assert value(spark, d.letter_valid(F.lit(body))) is True
