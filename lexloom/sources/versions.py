@@ -24,9 +24,10 @@ def versions(spark: SparkSession, base: str) -> list[int]:
     return [n for n in numbers if fs.exists(_files(spark, f"{base}/v{n}/_SUCCESS")[1])]
 
 
-def replace(table: DataFrame, base: str) -> int:
-    """Write the table as the next version; a version that a lost driver left incomplete is written anew."""
-    number = max(versions(table.sparkSession, base), default=0) + 1
+def replace(table: DataFrame, base: str, number: int | None = None) -> int:
+    """Write the table as the next version, or as that number; a version that a lost driver left incomplete is written anew."""
+    if number is None:
+        number = max(versions(table.sparkSession, base), default=0) + 1
     table.write.mode("overwrite").parquet(f"{base}/v{number}")
     return number
 
