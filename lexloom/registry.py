@@ -25,4 +25,4 @@ def query(covers: str, sql: str | None = None):
     return add
 
 
-from .plans import detail_plans, ingest_plans, service_plans, text_plans, usage_plans, work_plans  # noqa: E402,F401  they register their queries
+from .plans import detail_plans, ingest_plans, service_plans, store_plans, text_plans, usage_plans, work_plans  # noqa: E402,F401  they register their queries
