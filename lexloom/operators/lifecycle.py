@@ -91,24 +91,18 @@ def upsert_listings(state: DataFrame, incoming: DataFrame, now: dt.datetime) ->
     return upsert(state, cols, ["source", "source_id"], ["url", "title", "summary", "listing_hash", "last_seen_at"])
 
 
-def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
-    """The oldest known row of the same fingerprint and nearly the same description.
+def word_sets(rows: DataFrame) -> DataFrame:
+    """id, fingerprint, words (hashes of the tokens in order), set (what rows of equal words share)."""
+    hashed = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
+    return rows.select("id", "fingerprint", hashed.alias("words")).withColumn("set", F.xxhash64("words", F.size("words")))
+
+
+def alike_sets(left: DataFrame, right: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
+    """fingerprint, set, other: different sets of one fingerprint that are alike.  Both: fingerprint, set, words; a set once.
 
-    Both: id, fingerprint, tokens (distinct words).  Words are compared by 64-bit hashes, in the order of these.
-    Rows of equal words are one set with its oldest row, so copies are never paired with each other.
     Two sets that are alike enough share one of their first words, as many as may be missing and one more, so
     sets meet on these words inside a fingerprint, and a common title is no task of all its pairs.
     """
-    hashed = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
-
-    def told(rows: DataFrame) -> DataFrame:
-        return rows.select("id", "fingerprint", hashed.alias("words")).withColumn("set", F.xxhash64("words", F.size("words")))
-
-    # read several times below, so the texts are cut into words once
-    ours = cut_lineage(told(candidates))
-    theirs = ours if known is candidates else cut_lineage(told(known))
-    left = ours.groupBy("fingerprint", "set").agg(F.any_value("words").alias("words"))
-    right = theirs.groupBy("fingerprint", "set").agg(F.min("id").alias("oldest"), F.any_value("words").alias("words"))
     several = right.select("fingerprint", "set").union(left.select("fingerprint", "set")).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
 
     def first(sets: DataFrame) -> DataFrame:
@@ -120,9 +114,25 @@ def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAM
     b = first(right.join(several, "fingerprint", "left_semi")).select("fingerprint", F.col("set").alias("other"), F.col("n").alias("m"), "word")
     near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
     met = a.join(b, ["fingerprint", "word"]).filter(near & (F.col("set") != F.col("other"))).select("fingerprint", "set", "other").distinct()
-    met = met.join(left.withColumnRenamed("words", "mine"), ["fingerprint", "set"]).join(right.select("fingerprint", F.col("set").alias("other"), "oldest", F.col("words").alias("theirs")), ["fingerprint", "other"])
-    alike = met.filter(t.jaccard(F.col("mine"), F.col("theirs")) >= threshold).select("fingerprint", "set", "oldest")
-    oldest = alike.union(right.select("fingerprint", "set", "oldest")).groupBy("fingerprint", "set").agg(F.min("oldest").alias("duplicate_of"))
+    mine, theirs = left.select("fingerprint", "set", F.col("words").alias("mine")), right.select("fingerprint", F.col("set").alias("other"), F.col("words").alias("theirs"))
+    both = met.join(mine, ["fingerprint", "set"]).join(theirs, ["fingerprint", "other"])
+    return both.filter(t.jaccard(F.col("mine"), F.col("theirs")) >= threshold).select("fingerprint", "set", "other")
+
+
+def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
+    """The oldest known row of the same fingerprint and nearly the same description.
+
+    Both: id, fingerprint, tokens (distinct words).  Words are compared by 64-bit hashes, in the order of these.
+    Rows of equal words are one set with its oldest row, so copies are never paired with each other.
+    """
+    # read several times below, so the texts are cut into words once
+    ours = cut_lineage(word_sets(candidates))
+    theirs = ours if known is candidates else cut_lineage(word_sets(known))
+    left = ours.groupBy("fingerprint", "set").agg(F.any_value("words").alias("words"))
+    right = theirs.groupBy("fingerprint", "set").agg(F.min("id").alias("oldest"), F.any_value("words").alias("words"))
+    age = right.select("fingerprint", "set", "oldest")
+    alike = alike_sets(left, right.drop("oldest"), threshold).join(age.withColumnRenamed("set", "other"), ["fingerprint", "other"]).select("fingerprint", "set", "oldest")
+    oldest = alike.union(age).groupBy("fingerprint", "set").agg(F.min("oldest").alias("duplicate_of"))
     rows = ours.select(F.col("id").alias("candidate"), "fingerprint", "set")
     return rows.join(oldest, ["fingerprint", "set"]).filter("duplicate_of < candidate").select("candidate", "duplicate_of")
 

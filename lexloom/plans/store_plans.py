@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import increments
+from ..operators import increments, vacancies
 from ..registry import query
 from ..session import shared_folder, table
 from ..sources import manifest
@@ -63,3 +63,21 @@ def vocabulary_increments(spark, sf):
 
 def gone_source(source):
     return F.pmod(F.xxhash64(source), F.lit(4)) == 0
+
+
+def later_text():
+    """What a document says when it comes again: every other one without its last line."""
+    return F.when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.regexp_replace("text", r"\n[^\n]*$", "")).otherwise(F.col("text"))
+
+
+@query("W2 J15 S16")
+def vacancy_upserts(spark, sf):
+    """All documents as vacancies, and all once more after half of them changed: which ones are duplicates, and of which."""
+    folder = _folder(spark, "vacancies")
+    docs = manifest.latest(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), ["source", "doc_id"], ["text"])
+    for k, said in enumerate([F.col("text"), later_text()]):
+        text = F.coalesce(said, F.lit(""))
+        rows = docs.withColumn("said", text)
+        told = vacancies.vacancies(rows, F.col("source"), F.col("doc_id"), F.col("doc_id"), t.fingerprint(F.split("said", "\n")[0], F.col("lang")), t.words(F.col("said"), t.PLAIN), F.sha2("said", 256))
+        vacancies.upsert_batch(told, folder, k)
+    return manifest.read(spark, f"{folder}/vacancies").drop("content_hash")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage
+from ..session import stored
 
 BUCKET = "__bucket"
 FORMAT = "lexloom_manifest"
@@ -153,6 +153,10 @@ def _rows(spark: SparkSession, folder: str, manifest: dict, touched: set[int] |
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def _bucket(held: dict) -> Column:
+    return F.pmod(F.xxhash64(*held["by"]), F.lit(held["buckets"])).cast("int")
+
+
 def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """The last version, or the one of that number as long as it is kept."""
     if version is None:
@@ -162,26 +166,26 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFr
     return _rows(spark, folder, Store(folder).load(version))
 
 
-def merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Column] | None = None, drop: Column | None = None, buckets: int = 64, batch: int | None = None, attempts: int = 5) -> int:
+def merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Column] | None = None, drop: Column | None = None, buckets: int = 64, batch: int | None = None, attempts: int = 5, by: list[str] | None = None) -> int:
     """Merge changes by key; the number of the version that holds them.
 
     changes: at most one row for each key (``latest`` makes them so; a second one fails the job); a null is a key like
     others.  values: columns over ``old`` and ``new``, structs of all columns that are null where there is no such row;
     a column without one takes the new row where there is one.  drop: rows that leave the table, over the same structs.
-    buckets: set by the first merge.  batch: number of a stream's batch; one that is in the table already changes nothing.
+    buckets, and by, the columns of the key that deal rows into them: set by the first merge.  batch: number of a stream's batch; one that is in the table already changes nothing.
     """
     spark = changes.sparkSession
     spark.dataSource.register(ManifestSink)
-    changes = cut_lineage(changes)  # the same rows for the choice of buckets and for the merge
+    changes = stored(changes)  # the same rows for the choice of buckets and for the merge
     names = changes.columns
     for _ in range(attempts):
         base, held = current(folder)
-        held = held or {"schema": _nullable(changes.schema.jsonValue()), "key": key, "buckets": buckets, "batch": None, "files": []}
+        held = held or {"schema": _nullable(changes.schema.jsonValue()), "key": key, "by": by or key, "buckets": buckets, "batch": None, "files": []}
         if held["key"] != key or StructType.fromJson(held["schema"]).names != names:
             raise ValueError(f"{folder} has key {held['key']} and columns {StructType.fromJson(held['schema']).names}")
         if batch is not None and held["batch"] is not None and batch <= held["batch"]:
             return base
-        bucket = F.pmod(F.xxhash64(*key), F.lit(held["buckets"])).cast("int").alias(BUCKET)
+        bucket = _bucket(held).alias(BUCKET)
         touched = {r[0] for r in changes.select(bucket).distinct().collect()}  # at most as many as buckets
         row = F.struct(*names)
         old = _rows(spark, folder, held, touched).select(bucket, *key, row.alias("old"), F.lit(None).cast(changes.select(row).schema[0].dataType).alias("new"))
@@ -204,12 +208,11 @@ def merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Col
 
 
 def near(changes: DataFrame, folder: str) -> DataFrame:
-    """The rows of the buckets that changes touch: all that may have one of their keys, and little else of a large table."""
+    """The rows of the buckets that changes touch: all that may have one of their keys (or the columns that deal the buckets), and little else of a large table."""
     _, held = current(folder)
     if not held:
         return changes.limit(0)
-    bucket = F.pmod(F.xxhash64(*held["key"]), F.lit(held["buckets"]))
-    return _rows(changes.sparkSession, folder, held, {r[0] for r in changes.select(bucket).distinct().collect()})
+    return _rows(changes.sparkSession, folder, held, {r[0] for r in changes.select(_bucket(held)).distinct().collect()})
 
 
 def latest(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
