@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import scratch
 from ..sources import manifest, versions
 from .vocabulary import idf
 
@@ -42,9 +42,10 @@ def apply_batch(changes: DataFrame, folder: str, batch: int, buckets: int = 64)
     _, held = manifest.current(f"{folder}/documents")
     if held and held["batch"] is not None and batch <= held["batch"]:
         return False
-    changes = stored(changes)
-    delta(manifest.near(changes, f"{folder}/documents"), changes).write.mode("overwrite").parquet(f"{folder}/deltas/{batch}")
-    manifest.merge(changes, f"{folder}/documents", KEY, drop=F.col("new").isNotNull() & F.col("new.tokens").isNull(), buckets=buckets, batch=batch)
+    with scratch(changes.sparkSession) as keep:
+        changes = keep(changes)
+        delta(manifest.near(changes, f"{folder}/documents"), changes).write.mode("overwrite").parquet(f"{folder}/deltas/{batch}")
+        manifest.merge(changes, f"{folder}/documents", KEY, drop=F.col("new").isNotNull() & F.col("new.tokens").isNull(), buckets=buckets, batch=batch)
     return True
 
 

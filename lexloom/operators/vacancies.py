@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..session import stored
+from ..session import scratch, stored
 from ..sources import manifest
-from .lifecycle import SAME_TEXT, alike_sets, word_sets
+from .lifecycle import SAME_TEXT, alike_sets
 
 KEY = ["source", "source_id"]
 SET = ["fingerprint", "set"]
@@ -31,49 +31,50 @@ def vacancies(rows: DataFrame, source: Column, source_id: Column, position: Colu
     return rows.select(source.alias("source"), source_id.cast("string").alias("source_id"), position.cast("long").alias("position"), fingerprint.alias("fingerprint"), F.array_distinct(tokens).alias("tokens"), content.alias("content_hash"))
 
 
-def _losers(edges: DataFrame) -> DataFrame:
+def _losers(edges: DataFrame, keep) -> DataFrame:
     """Sets that an earlier normalized set is like.  edges: fingerprint, set, other (an earlier set that is alike)."""
     lost, other = None, ["fingerprint", "other"]
-    edges = stored(edges)
+    edges = keep(edges)
     while edges.limit(1).count():
         # sets that no earlier one can overrule any more
         free = edges.select(*other).distinct().join(edges.select("fingerprint", F.col("set").alias("other")), other, "left_anti")
-        found = stored(edges.join(free, other, "left_semi").select(*SET).distinct())
+        found = keep(edges.join(free, other, "left_semi").select(*SET).distinct())
         lost = found if lost is None else lost.union(found)
-        edges = stored(edges.join(found, SET, "left_anti").join(found.withColumnRenamed("set", "other"), other, "left_anti"))
+        edges = keep(edges.join(found, SET, "left_anti").join(found.withColumnRenamed("set", "other"), other, "left_anti"))
     return edges.select(*SET) if lost is None else lost
 
 
-def decide(rows: DataFrame, known: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
+def decide(rows: DataFrame, known: DataFrame, keep, threshold: float = SAME_TEXT) -> DataFrame:
     """id, duplicate_of of the rows that are duplicates.
 
-    rows: id, fingerprint, words, set, in the order of id; known: the same columns, normalized rows that stay as they are.
+    rows: id, fingerprint, words, set, in the order of id; known: the same columns, normalized rows that stay as they
+    are; keep: writes a table and reads it again.  Words are written once for each set.
     """
     least = lambda x, name: x.groupBy(*SET).agg(F.min("id").alias(name), F.any_value("words").alias("words"))
-    sets, before = stored(least(rows, "lead")), stored(least(known.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi"), "oldest"))
+    sets, before = keep(least(rows, "lead")), keep(least(known.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi"), "oldest"))
     age = before.select(*SET, F.col("oldest").alias("to"))
     named = lambda pairs, of: pairs.join(of.withColumnRenamed("set", "other"), ["fingerprint", "other"])
-    words = lambda x: x.select(*SET, "words")
-    equal = sets.select(*SET).join(age, SET)
-    fixed = stored(named(alike_sets(words(sets), words(before), threshold), age).select(*SET, "to").union(equal).groupBy(*SET).agg(F.min("to").alias("to")))
-    free = sets.join(fixed, SET, "left_anti")
+    worded = lambda some: sets.select(*SET, "words").join(some.select(*SET), SET, "left_semi")
+    leads = sets.select(*SET, "lead")
+    equal = leads.select(*SET).join(age, SET)
+    alike = named(alike_sets(sets.select(*SET, "words"), before.select(*SET, "words"), threshold), age)
+    fixed = keep(alike.select(*SET, "to").union(equal.select(*SET, "to")).groupBy(*SET).agg(F.min("to").alias("to")))
+    free = leads.join(fixed, SET, "left_anti")
     # the first free set of a fingerprint is normalized, and sets like it go with one comparison each
-    first = free.groupBy("fingerprint").agg(F.min_by(F.struct("set", "lead", "words"), "lead").alias("first"))
-    met = free.join(first, "fingerprint").withColumn("like", (F.col("set") == F.col("first.set")) | (t.jaccard(F.col("words"), F.col("first.words")) >= threshold))
-    met = stored(met)
-    follow = met.filter("like").select(*SET, F.col("first.lead").alias("to"))
-    rest = met.filter("NOT like").select(*SET, "lead", "words")
-    leads = rest.select(*SET, "lead")
-    pairs = stored(named(alike_sets(words(rest), words(rest), threshold), leads.withColumnRenamed("lead", "to")).join(leads, SET).filter("to < lead"))
-    lost = _losers(pairs.select(*SET, "other"))
-    normal = rest.join(lost, SET, "left_anti")
-    firsts = first.select("fingerprint", "first.set", "first.lead", "first.words")
-    normal = stored(firsts.unionByName(normal.select("fingerprint", "set", "lead", "words")))
+    first = keep(free.groupBy("fingerprint").agg(F.min_by(F.struct("set", "lead"), "lead").alias("first")).select("fingerprint", "first.*"))
+    others = free.join(first.select("fingerprint", F.col("set").alias("other"), F.col("lead").alias("to")), "fingerprint").filter("set != other")
+    words = sets.select(*SET, "words")
+    met = named(others.join(words, SET), words.withColumnRenamed("words", "theirs"))
+    met = keep(met.select(*SET, "lead", "to", (t.jaccard(F.col("words"), F.col("theirs")) >= threshold).alias("like")))
+    rest = met.filter("NOT like").select(*SET, "lead")
+    pairs = named(alike_sets(worded(rest), worded(rest), threshold), rest.withColumnRenamed("lead", "to").select(*SET, "to"))
+    pairs = keep(pairs.join(rest, SET).filter("to < lead").select(*SET, "other"))
+    normal = keep(first.select(*SET, "lead").union(rest.join(_losers(pairs, keep), SET, "left_anti").select(*SET, "lead")))
     own = normal.select(*SET, F.col("lead").alias("to"))
     # sets that are like a vacancy from before may be like an earlier one of the batch as well
-    both = named(alike_sets(words(sets.join(fixed, SET, "left_semi")), words(normal), threshold), own)
-    later = named(pairs.select(*SET, "other"), own)
-    targets = follow.union(own).union(both.select(*SET, "to")).union(later.select(*SET, "to")).groupBy(*SET).agg(F.min("to").alias("inner"))
+    both = named(alike_sets(worded(fixed), worded(normal), threshold), own).select(*SET, "to")
+    later = named(pairs, own).select(*SET, "to")
+    targets = met.filter("like").select(*SET, "to").union(own).union(both).union(later).groupBy(*SET).agg(F.min("to").alias("inner"))
     out = rows.select("id", *SET).join(fixed.withColumnRenamed("to", "outer"), SET, "left").join(targets, SET, "left")
     return out.select("id", F.least("outer", F.when(F.col("inner") < F.col("id"), F.col("inner"))).alias("duplicate_of")).filter("duplicate_of IS NOT NULL")
 
@@ -90,26 +91,31 @@ def upsert_batch(batch_rows: DataFrame, folder: str, batch: int, buckets: int =
     _, held = manifest.current(kept)
     if held and held["batch"] is not None and batch <= held["batch"]:
         return None
+    with scratch(batch_rows.sparkSession) as keep:
+        return _upsert(batch_rows, kept, index, batch, buckets, threshold, keep)
+
+
+def _upsert(batch_rows: DataFrame, kept: str, index: str, batch: int, buckets: int, threshold: float, keep) -> DataFrame:
     spark = batch_rows.sparkSession
-    told = stored(batch_rows.withColumns({"fingerprint": F.coalesce("fingerprint", F.lit("")), "tokens": F.coalesce("tokens", F.array().cast("array<string>"))}))
-    same = F.col("n.source").eqNullSafe(F.col("o.source")) & F.col("n.source_id").eqNullSafe(F.col("o.source_id"))
     fields = "source string, source_id string, id long, fingerprint string, content_hash string, status string, normalized_id long"
-    old = manifest.near(told, kept) if held else spark.createDataFrame([], fields)
+    old = manifest.near(batch_rows.select(*KEY), kept) if manifest.current(kept)[1] else spark.createDataFrame([], fields)
+    same = F.col("n.source").eqNullSafe(F.col("o.source")) & F.col("n.source_id").eqNullSafe(F.col("o.source_id"))
+    told = batch_rows.withColumns({"fingerprint": F.coalesce("fingerprint", F.lit("")), "words": F.array_sort(F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: F.xxhash64(x)))}).drop("tokens")
     met = told.alias("n").join(old.alias("o"), same, "left")
-    told = stored(met.select("n.*", F.coalesce("o.id", F.lit(batch * PLACES) + F.col("n.position")).alias("id"), F.col("o.id").isNull().alias("is_new"), F.col("o.fingerprint").alias("was"), F.col("o.status").alias("status_was"), F.col("o.content_hash").alias("hash_was")))
-    rows = stored(word_sets(told))
-    known = spark.createDataFrame([], "fingerprint string, id long, words array<long>") if not manifest.current(index)[1] else manifest.near(rows, index)
+    # words are worked out and written once, with the identifiers
+    told = keep(met.select("n.*", F.coalesce("o.id", F.lit(batch * PLACES) + F.col("n.position")).alias("id"), F.col("o.id").isNull().alias("is_new"), F.col("o.fingerprint").alias("was"), F.col("o.status").alias("status_was"), F.col("o.content_hash").alias("hash_was"), F.xxhash64("n.words", F.size("n.words")).alias("set")))
+    rows = told.select("id", *SET, "words")
+    known = manifest.near(rows.select("fingerprint"), index) if manifest.current(index)[1] else spark.createDataFrame([], "fingerprint string, id long, words array<long>")
     known = known.join(rows.select("id"), "id", "left_anti").withColumn("set", F.xxhash64("words", F.size("words")))
-    choice = decide(rows, known, threshold)
+    choice = decide(rows, known, keep, threshold)
     changed = F.col("is_new") | ~F.col("hash_was").eqNullSafe(F.col("content_hash"))
     alone = F.col("duplicate_of").isNull()
     done = told.join(choice, "id", "left").select(*KEY, "id", "fingerprint", "content_hash", F.when(alone, "normalized").otherwise("duplicate").alias("status"), F.col("duplicate_of").alias("normalized_id"), "is_new", (alone & changed).alias("needs_score"), (alone & changed & ~F.col("is_new")).alias("reset"), "was", "status_was")
     done = stored(done)
-    leave = done.filter("status_was = 'normalized'").select(F.col("was").alias("fingerprint"), "id", F.lit(None).cast("array<long>").alias("words"))
-    enter = rows.join(done.filter("status = 'normalized'").select("id"), "id", "left_semi").select("fingerprint", "id", "words")
-    moves = leave.union(enter).groupBy("fingerprint", "id").agg(F.any_value("words", ignoreNulls=True).alias("words"))
     if (manifest.current(index)[1] or {"batch": -1})["batch"] < batch:
-        _merge_index(moves, index, batch, buckets)
+        leave = done.filter("status_was = 'normalized'").select(F.col("was").alias("fingerprint"), "id", F.lit(None).cast("array<long>").alias("words"))
+        enter = rows.join(done.filter("status = 'normalized'").select("id"), "id", "left_semi").select("fingerprint", "id", "words")
+        _merge_index(leave.join(enter, ["fingerprint", "id"], "left_anti").union(enter), index, batch, buckets)
     manifest.merge(done.select(*[c.split()[0] for c in fields.split(", ")]), kept, KEY, buckets=buckets, batch=batch)
     return done.drop("was", "status_was", "fingerprint", "content_hash")
 

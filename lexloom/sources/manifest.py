@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..session import stored
+from ..session import scratch
 
 BUCKET = "__bucket"
 FORMAT = "lexloom_manifest"
@@ -174,10 +174,13 @@ def merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Col
     a column without one takes the new row where there is one.  drop: rows that leave the table, over the same structs.
     buckets, and by, the columns of the key that deal rows into them: set by the first merge.  batch: number of a stream's batch; one that is in the table already changes nothing.
     """
-    spark = changes.sparkSession
-    spark.dataSource.register(ManifestSink)
-    changes = stored(changes)  # the same rows for the choice of buckets and for the merge
-    names = changes.columns
+    changes.sparkSession.dataSource.register(ManifestSink)
+    with scratch(changes.sparkSession) as keep:  # the same rows for the choice of buckets and for the merge
+        return _merge(keep(changes), folder, key, values, drop, buckets, batch, attempts, by)
+
+
+def _merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Column] | None, drop: Column | None, buckets: int, batch: int | None, attempts: int, by: list[str] | None) -> int:
+    spark, names = changes.sparkSession, changes.columns
     for _ in range(attempts):
         base, held = current(folder)
         held = held or {"schema": _nullable(changes.schema.jsonValue()), "key": key, "by": by or key, "buckets": buckets, "batch": None, "files": []}
