@@ -221,7 +221,7 @@ def paged_listing(spark, sf):
     brands = [r[0] for r in part.select("p_brand").distinct().orderBy("p_brand").collect()]  # the configured searches
     most = part.groupBy("p_brand").count().agg(F.max("count")).first()[0] or 0
     fetch = lambda search, cursor: _stored_page(sf, search.text, cursor)
-    source = readers.PageSource("parts", fetch, lambda payload: payload, searches=[readers.Search(b, b) for b in brands])
+    source = readers.PageSource("parts", fetch, lambda payload: payload, None, [readers.Search(b, b) for b in brands])
     registry = readers.Registry()
     registry.add(source, ["example.org"])
     spark.dataSource.register(readers.listing_source("lexloom_parts", source, max(10_000, most * len(brands))))

@@ -34,13 +34,14 @@ class PageSource:
     name: str
     fetch: Callable[[Search, str | None], object]
     read: Callable[[object], tuple[list[dict], str | None]]
-    max_pages: int = 1000
+    max_pages: int | None = 1000  # of a search; None: all of them
     searches: list[Search] = field(default_factory=list)
 
 
-def allocations(searches: int, budget: int, most: int) -> list[int]:
+def allocations(searches: int, budget: int, most: int | None) -> list[int]:
     """Pages for each search: the budget shared evenly, the first ones get what is left over."""
-    return [min(most, budget // searches + (k < budget % searches)) for k in range(searches)]
+    shares = [budget // searches + (k < budget % searches) for k in range(searches)]
+    return shares if most is None else [min(most, x) for x in shares]
 
 
 def pages(source: PageSource, search: Search, budget: int) -> Iterator[dict]:

@@ -68,7 +68,10 @@ class PageStream(DataSourceStreamReader):
         held = [self.landing.read(self.landing.path(search, k)) for k in range(n)]
         met = {x["cursor"] for x in held}
         following = held[-1]["next"] if held else None
-        return n, following, met, bool(held) and (not following or following in met or n >= self.source.max_pages)
+        return n, following, met, bool(held) and (not following or following in met or self._most(n))
+
+    def _most(self, n: int) -> bool:
+        return self.source.max_pages is not None and n >= self.source.max_pages
 
     def latestOffset(self) -> dict:
         if self.at is None:
@@ -82,7 +85,7 @@ class PageStream(DataSourceStreamReader):
                 rows, following = self.source.read(self.source.fetch(search, cursor))
                 self.landing.write(search, n, {"cursor": cursor, "next": following, "rows": list(rows)})
                 met, n = met | {cursor}, n + 1
-                ended = not following or following in met or n >= self.source.max_pages
+                ended = not following or following in met or self._most(n)
                 cursor = following
             self.at[search.name] = n, cursor, met, ended
         return {name: x[0] for name, x in self.at.items()}
