@@ -118,9 +118,11 @@ def rank(places: dict[str, Column], query: str) -> Column:
     return _pair_rank(places) if joined and len(places) > 1 else _single_rank(places)
 
 
-def ranked(index: DataFrame, ids: DataFrame, query: str, k: int, *order: Column | str) -> DataFrame:
+def ranked(index: DataFrame, ids: DataFrame, query: str, k: int, *order: Column | str, digits: int | None = None) -> DataFrame:
     """The k best of ``ids`` (id, ...) by rank, then ``order``, which ends in a unique key.
 
+    Ranks that agree in ``digits`` decimals are equal ranks, and ``order`` decides between them.
+
     The index is read for the words of the query only; documents without any of them are looked at only
     where an alternative of the query excludes words and asks for none.
     """
@@ -139,4 +141,5 @@ def ranked(index: DataFrame, ids: DataFrame, query: str, k: int, *order: Column
         for negated, found in terms:
             all_of = all_of & (~_phrase(places, found) if negated else _phrase(places, found))
         any_of = any_of | all_of
-    return rows.filter(any_of).withColumn("rank", rank(places, query)).drop("__places").orderBy(F.desc("rank"), *order).limit(k)
+    score = rank(places, query)
+    return rows.filter(any_of).withColumn("rank", score if digits is None else F.round(score, digits)).drop("__places").orderBy(F.desc("rank"), *order).limit(k)

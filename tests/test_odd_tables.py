@@ -25,6 +25,16 @@ def parts(spark):
     return spark.range(3500).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "CASE WHEN id < 3400 THEN 'Brand#1' ELSE 'Brand#2' END AS p_brand")
 
 
+def documents(spark, texts):
+    return spark.createDataFrame([(k, x, "en", "s", len(x or "")) for k, x in enumerate(texts, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
 def test_pages_of_a_long_search(spark, tmp_path, parts):
     got, want = both(spark, tmp_path, "paged_listing", part=parts)
     assert got == want == [(100, "Brand#2"), (3400, "Brand#1")]
+
+
+def test_near_ranks_that_round_alike(spark, tmp_path):
+    """Sixty ranks that are 1 to nine decimals; the later ones are larger beyond them."""
+    got, want = both(spark, tmp_path, "full_text_near", documents=documents(spark, ["title\n" + "of the was " * (17 if k < 30 else 22) for k in range(60)]))
+    assert got == want and sorted(r[0] for r in got) == list(range(1, 51))
