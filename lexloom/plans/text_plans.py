@@ -39,7 +39,7 @@ TITLE = "string_split(text, chr(10))[1]"
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", "source", F.split("text", "\n")[0].alias("title"))
+    return table(spark, sf, "documents").select("doc_id", "text", "source", F.substring_index("text", "\n", 1).alias("title"))
 
 
 def items(spark, sf):

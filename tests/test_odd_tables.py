@@ -1,5 +1,7 @@
 """Queries against their SQL on tables whose size or rows the sample tables do not have."""
 
+import time
+
 import duckdb
 import pytest
 
@@ -48,3 +50,14 @@ def test_short_pages(spark, tmp_path):
     assert got == want and len(got) == len(html)
     told = {r.url[-1]: r.status for r in readers.company_pages(pages, "article").collect()}
     assert told == {"0": "invalid", "1": "invalid", "2": "invalid", "3": "ok", "4": "invalid"}
+
+
+def test_long_titles(spark, tmp_path):
+    """Texts without a line end are one title; work on them grows with their letters, not with the square."""
+    words = ["the", "of", "other", "soft", "des", "und", "que", "lark"]
+    texts = [" ".join(words[(k + i * i) % 5] + str(i % 997) for i in range(9000)) for k in range(60)] + ["The other\nof", "soft thesis", "des"]
+    begin = time.time()
+    for name in ("title_match", "streaming_matches"):
+        got, want = both(spark, tmp_path / name, name, documents=documents(spark, texts).repartition(4))
+        assert got == want and len(got) > 60
+    assert time.time() - begin < 60
