@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..session import at as instant
-from ..session import cut_lineage
+from ..session import stored
 from . import queues
 
 # The states a match may go to from each state.
@@ -97,6 +97,30 @@ def word_sets(rows: DataFrame) -> DataFrame:
     return rows.select("id", "fingerprint", hashed.alias("words")).withColumn("set", F.xxhash64("words", F.size("words")))
 
 
+def _first_words(sets: DataFrame, threshold: float, *others: str) -> DataFrame:
+    """Short rows of the words of a set that any set alike shares one of: as many as may be missing and one more, in the order of words."""
+    n = F.size("words")
+    some = F.slice("words", 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
+    return sets.select("short", "set", n.alias("n"), *others, F.explode(F.when(n > 0, some).otherwise(F.array(F.lit(0).cast("long")))).alias("word"))
+
+
+def _short(sets: DataFrame) -> DataFrame:
+    """With a hash of the fingerprint, on which pairs meet; fingerprints themselves are compared with the words."""
+    return sets.withColumn("short", F.xxhash64("fingerprint"))
+
+
+def _near(threshold: float) -> Column:
+    return (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & (F.col("set") != F.col("other"))
+
+
+def _compared(met: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (short, set, other, ...) of one fingerprint whose words are alike, with the fingerprint."""
+    mine = left.select("short", "set", "fingerprint", F.col("words").alias("mine"))
+    theirs = right.select("short", F.col("set").alias("other"), F.col("fingerprint").alias("theirs_of"), F.col("words").alias("theirs"))
+    both = met.join(mine, ["short", "set"]).join(theirs, ["short", "other"])
+    return both.filter((F.col("fingerprint") == F.col("theirs_of")) & (t.jaccard(F.col("mine"), F.col("theirs")) >= threshold)).drop("mine", "theirs", "theirs_of")
+
+
 def alike_sets(left: DataFrame, right: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
     """fingerprint, set, other: different sets of one fingerprint that are alike.  Both: fingerprint, set, words; a set once.
 
@@ -123,18 +147,38 @@ def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAM
     """The oldest known row of the same fingerprint and nearly the same description.
 
     Both: id, fingerprint, tokens (distinct words).  Words are compared by 64-bit hashes, in the order of these.
-    Rows of equal words are one set with its oldest row, so copies are never paired with each other.
+    Rows of equal words are one set with its oldest row, so copies are never paired with each other.  Words travel only
+    for sets that are not alone in their fingerprint, and a set is compared with the others from the oldest on, in
+    steps that grow, until one is alike: families of near copies are not compared pair by pair.
     """
+    key = ["fingerprint", "set"]
     # read several times below, so the texts are cut into words once
-    ours = cut_lineage(word_sets(candidates))
-    theirs = ours if known is candidates else cut_lineage(word_sets(known))
-    left = ours.groupBy("fingerprint", "set").agg(F.any_value("words").alias("words"))
-    right = theirs.groupBy("fingerprint", "set").agg(F.min("id").alias("oldest"), F.any_value("words").alias("words"))
-    age = right.select("fingerprint", "set", "oldest")
-    alike = alike_sets(left, right.drop("oldest"), threshold).join(age.withColumnRenamed("set", "other"), ["fingerprint", "other"]).select("fingerprint", "set", "oldest")
-    oldest = alike.union(age).groupBy("fingerprint", "set").agg(F.min("oldest").alias("duplicate_of"))
-    rows = ours.select(F.col("id").alias("candidate"), "fingerprint", "set")
-    return rows.join(oldest, ["fingerprint", "set"]).filter("duplicate_of < candidate").select("candidate", "duplicate_of")
+    ours = stored(word_sets(candidates))
+    theirs = ours if known is candidates else stored(word_sets(known))
+    age = theirs.groupBy(*key).agg(F.min("id").alias("oldest"))
+    several = ours.select(*key).union(theirs.select(*key)).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
+
+    def worded(rows: DataFrame) -> DataFrame:
+        """A row of each set that is not alone, with the age of the set; other words are left where they are."""
+        leads = rows.groupBy(*key).agg(F.min("id").alias("id")).join(several, "fingerprint", "left_semi").join(age, key, "left")
+        return stored(_short(rows.join(leads, ["id", *key]).dropDuplicates(key).select(*key, "words", "oldest")))
+
+    left = worded(ours)
+    right = left if theirs is ours else worded(theirs)
+    b = _first_words(right, threshold, "oldest").withColumnsRenamed({"set": "other", "n": "m"})
+    a = _first_words(left.withColumnRenamed("oldest", "bound"), threshold, "bound")
+    # only what is older than the set itself can change the outcome
+    met = a.join(b, ["short", "word"]).filter(_near(threshold) & (F.col("bound").isNull() | (F.col("oldest") < F.col("bound")))).select("short", "set", "other", "oldest").distinct()
+    turn = F.row_number().over(Window.partitionBy("short", "set").orderBy("oldest", "other"))
+    rest, alike, below = stored(met.withColumn("turn", turn)), age, 2
+    while rest.limit(1).count():
+        now = _compared(rest.filter(F.col("turn") < below), left, right, threshold)
+        found = stored(now.groupBy("short", *key).agg(F.min("oldest").alias("oldest")))
+        alike = alike.union(found.select(*key, "oldest"))
+        rest, below = stored(rest.filter(F.col("turn") >= below).join(found, ["short", "set"], "left_anti")), 8 * below
+    oldest = alike.groupBy(*key).agg(F.min("oldest").alias("duplicate_of"))
+    rows = ours.select(F.col("id").alias("candidate"), *key)
+    return rows.join(oldest, key).filter("duplicate_of < candidate").select("candidate", "duplicate_of")
 
 
 def reset_changed(matches: DataFrame, changes: DataFrame) -> DataFrame:
