@@ -13,7 +13,7 @@ from ..functions import parsers
 from ..functions import text as t
 from ..operators import accounts, documents, lifecycle, matching, profiles, queues, reporting, scoring, usage
 from ..registry import query
-from ..session import NOW, shared_folder, table
+from ..session import NOW, shared_folder, spread, table
 from ..sources import readers, streams, versions
 from ..streaming import lanes
 from . import usage_plans, work_plans
@@ -110,7 +110,7 @@ UNION ALL SELECT p_partkey, 4, 'unsupported-skill', 'Cobol' FROM p"""
 @query("P18 K21", _CLAIMS_SQL)
 def evidence_claims(spark, sf):
     """Claims of tailored CVs that their sources do not bear out."""
-    part = table(spark, sf, "part").withColumns({"grew": F.col("p_partkey") % 2 == 0, "known": F.col("p_partkey") % 3 == 0, "mailed": F.col("p_partkey") % 5 == 0})
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_brand")).withColumns({"grew": F.col("p_partkey") % 2 == 0, "known": F.col("p_partkey") % 3 == 0, "mailed": F.col("p_partkey") % 5 == 0})
     source = F.concat(F.lit("I write JavaScript since 2019, saved 1 000 hours for "), "p_brand", F.when(F.col("mailed"), ", reach me at X@Y.Z/").otherwise(""))
     entry = F.struct(F.lit("entry").alias("kind"), F.concat(F.when(F.col("known"), "").otherwise("Ghost "), "p_brand").alias("title"), F.array(F.when(F.col("grew"), "grew 40 % since 2019").otherwise("1,000 hours"), F.lit("K8s")).alias("bullets"))
     skills = F.struct(F.lit("facts").alias("kind"), F.array(F.struct(F.lit("Languages").alias("term"), F.lit("JS; Cobol | COBOL").alias("detail"))).alias("items"))
@@ -131,7 +131,7 @@ def structured_cvs(spark, sf):
 @query("P15 P16", "SELECT p_partkey, p_brand || ' ' || p_type AS name, 'WORK HISTORY,Skills' AS titles, 'entry,facts,text' AS kinds, p_name || ';since then' AS items, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS facts FROM (SELECT * REPLACE (replace(p_brand, '#', ' ') AS p_brand) FROM part)")
 def cv_readings(spark, sf):
     """A text read as a CV, sent through a model's envelope, and repaired."""
-    part = table(spark, sf, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(" ")))
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")).withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(" ")))
     lines = [F.concat_ws(" ", "p_brand", "p_type"), F.lit(""), F.lit("WORK HISTORY"), F.lit("Acme Corporation of Everywhere 2019 – present"), F.concat(F.lit("* "), "p_name"), F.lit("• since then"), F.lit("Skills:"), F.lit("Known: SQL"), F.when(F.col("p_partkey") % 2 == 0, "Also: Spark").otherwise(""), F.lit("A long line of prose that follows after the facts and"), F.lit("goes on in the line below.")]
     cv = documents.read_cv(F.concat_ws("\n", *lines))
     read = documents.repaired(part.select("p_partkey", F.concat(F.lit('{"document":'), F.to_json(cv), F.lit("}")).alias("cv")), "cv")

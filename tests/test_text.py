@@ -293,3 +293,29 @@ def test_structured_cvs_take_texts_of_a_hundred_letters(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["structured_cvs"](spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in got) == [2, 3, 4, 6]  # controls that are no blanks count as letters: 80 of them are too few
+
+
+def test_readings_of_claims_are_not_copied_into_their_uses(spark):
+    """Each element of a lambda worked out the columns before it once more, and the plan named them as often."""
+    from lexloom import registry
+
+    claims = registry.QUERIES["evidence_claims"](spark, "/root/testdata/sf0.001")
+    readings = registry.QUERIES["cv_readings"](spark, "/root/testdata/sf0.001")
+    for rows in (claims, readings):
+        plan = rows._jdf.queryExecution().optimizedPlan()
+        assert len(plan.toString()) < 40_000 and "Repartition " in plan.toString()
+
+
+def test_repaired_texts_of_odd_kinds(spark):
+    import json
+
+    of = lambda x: plain(value(spark, d.repair_document(F.lit(x))))
+    assert of('{"name":"A","name":"B"}') in (None, {}) and of("[1]") in (None, {}) and of('{"name":7}') in (None, {})
+    assert of('{"cv":{"name":"A\\u00a0 b","headline":null,"title":"x"}}') == {"name": "A b", "headline": "x", "contacts": [], "sections": []}
+    facts = {"kind": "facts", "items": {" k ": "v", "n": 3, "z": " w "}}
+    many = {"kind": "list", "items": [f"i{n}" for n in range(40)]}
+    got = of(json.dumps({"name": "A", "contacts": [None, "c", {"url": " u "}, 5], "sections": [{"title": "T", "blocks": [facts, many, {"kind": "text", "content": "p"}, 4, None]}]}))
+    assert got["contacts"] == ["c", "u"]
+    blocks = got["sections"][0]["blocks"]
+    assert [b["kind"] for b in blocks] == ["facts", "bullets", "text"] and len(blocks[1]["items"]) == 30
+    assert blocks[0]["facts"] == [{"term": "k", "detail": "v"}, {"term": "z", "detail": "w"}]
