@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import itertools
 import json
 import uuid
 
@@ -197,20 +198,56 @@ def _stored_page(folder: str, brand: str, cursor: str | None, size: int = 3) ->
     return rows, str(begin + size) if begin + size < len(held) else None
 
 
+class _Parts:
+    """Pages of the parts of each brand, read on from where the brand's last page ended; holds a batch of each."""
+
+    def __init__(self, folder: str):
+        self.folder, self.open = folder, {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "open": {}}
+
+    def _rows(self, brand: str):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(self.folder)
+        found = files.get_file_info(fs.FileSelector(f"{root}/brand={brand.encode().hex().upper()}"))
+        for path in sorted(x.path for x in found if x.base_name.endswith(".parquet")):
+            with files.open_input_file(path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(4096, columns=["p_partkey", "p_name"]):
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def page(self, brand: str, cursor: str | None, size: int) -> tuple[list[dict], str | None]:
+        begin = int(cursor or 0)
+        at, held, rows = self.open.pop(brand, (None, None, None))
+        if at != begin:
+            held, rows = [], itertools.islice(self._rows(brand), begin, None)
+        found = held + list(itertools.islice(rows, size + 1 - len(held)))  # one more tells whether a page follows
+        if len(found) > size:
+            self.open[brand] = begin + size, found[size:], rows
+        return [{"id": k, "title": n, "url": f"https://example.org/{k}"} for k, n in found[:size]], str(begin + size) if len(found) > size else None
+
+
 @query("S1 S3 S4 U2 R2", "SELECT p_brand AS search_name, count(*) AS found, count(DISTINCT p_partkey) AS listings FROM part GROUP BY 1")
 def streamed_listing(spark, sf):
     """The same parts as a stream of pages: a budget of pages for each trigger, until no search has a page left."""
-    brands = [r[0] for r in table(spark, sf, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    brands = [r[0] for r in part.select("p_brand").distinct().orderBy("p_brand").collect()]
     base = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
-    source = readers.PageSource("parts", lambda search, cursor: _stored_page(sf, search.text, cursor, 500), lambda payload: payload, searches=[readers.Search(b, b) for b in brands])
+    # files of a brand, which hold its parts in the order of their keys
+    part.withColumn("brand", F.hex("p_brand")).repartitionByRange("brand", "p_partkey").sortWithinPartitions("brand", "p_partkey").drop("p_brand").write.partitionBy("brand").parquet(f"{base}/parts")
+    parts = _Parts(f"{base}/parts")
+    source = readers.PageSource("parts", lambda search, cursor: parts.page(search.text, cursor, 500), lambda payload: payload, None, [readers.Search(b, b) for b in brands])
     name = f"lexloom_stream_{uuid.uuid4().hex[:12]}"
     spark.dataSource.register(streams.stream_source(name, source, f"{base}/landed", 2 * len(brands)))
     spark.createDataFrame([], readers.LISTING).write.parquet(f"{base}/out")
-    while True:
-        run = spark.readStream.format(name).load().writeStream.format("parquet").option("checkpointLocation", f"{base}/check").option("path", f"{base}/out").trigger(availableNow=True).start()
-        run.awaitTermination()
-        if not any(p["numInputRows"] for p in run.recentProgress):
-            break
+    # one run to the end: each start reads again what has landed
+    run = spark.readStream.format(name).load().writeStream.format("parquet").option("checkpointLocation", f"{base}/check").option("path", f"{base}/out").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
     return spark.read.schema(readers.LISTING).parquet(f"{base}/out").groupBy("search_name").agg(F.count(F.lit(1)).alias("found"), F.count_distinct("source_id").alias("listings"))
 
 

@@ -66,3 +66,45 @@ def test_budget_restart_and_failure(spark, tmp_path):
 def test_no_searches(tmp_path):
     reader = streams.PageStream(readers.PageSource("none", lambda s, c: None, lambda x: x), f"file://{tmp_path}", 5)
     assert reader.initialOffset() == reader.latestOffset() == {} and reader.partitions({}, {}) == []
+
+
+def test_streamed_listing_is_one_run(spark):
+    """A run that starts again reads all landed pages again, so a listing of many pages took the square of them."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    from lexloom import registry
+
+    class Starts(StreamingQueryListener):
+        n = 0
+
+        def onQueryStarted(self, event):
+            self.n += 1
+
+        def onQueryProgress(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    starts = Starts()
+    spark.streams.addListener(starts)
+    try:
+        rows = registry.QUERIES["streamed_listing"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.streams.removeListener(starts)
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    assert starts.n == 1 and {r[0]: (r[1], r[2]) for r in rows} == {r[0]: (r[1], r[1]) for r in part.groupBy("p_brand").count().collect()}
+
+
+def test_parts_are_read_on(spark, tmp_path):
+    from lexloom.plans.service_plans import _Parts
+
+    spark.range(12).selectExpr("id AS p_partkey", "'n' || id AS p_name").coalesce(1).write.parquet(f"{tmp_path}/brand=58")
+    parts, cursor, got = _Parts(f"file://{tmp_path}"), None, []
+    while True:
+        rows, cursor = parts.page("X", cursor, 5)
+        got.append([x["id"] for x in rows])
+        if cursor is None:
+            break
+    assert got == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9], [10, 11]] and not parts.open
+    assert [x["id"] for x in parts.page("X", "5", 5)[0]] == [5, 6, 7, 8, 9] and [x["id"] for x in parts.page("X", "10", 2)[0]] == [10, 11]
