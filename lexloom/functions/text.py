@@ -117,7 +117,9 @@ def plain_words(text: Column) -> Column:
 
 
 def lexical_words(text: Column) -> Column:
-    return F.filter(F.transform(words(text, LEXICAL), lambda t: F.regexp_replace(t, r"\.+$", "")), lambda t: t != "")
+    """Words that may hold + # and dots, without the dots at their ends; these leave the whole text at once, not word by word."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<!\.)\.++(?![\p{L}\p{N}+#])", "")
+    return F.regexp_extract_all(bare, F.lit(f"({LEXICAL})"), F.lit(1))
 
 
 def relevance_text(text: Column) -> Column:
