@@ -29,12 +29,17 @@ def delta(before: DataFrame, changes: DataFrame) -> DataFrame:
     """token, n: by how much the frequency of each token changes; the row of a null token has the number of documents.
 
     changes: one row for each id.  Documents whose content hash is as before are passed over before a token is read.
+    Identifiers and hashes meet first; tokens of a side are dealt by identifier only if there are documents to tell apart.
     """
-    met = changes.alias("new").join(before.alias("old"), F.col("new.id").eqNullSafe(F.col("old.id")), "left")
-    met = met.filter(~F.col("new.content_hash").eqNullSafe(F.col("old.content_hash")))
+    same_id = F.col("new.id").eqNullSafe(F.col("old.id"))
+    same_text = F.col("new.content_hash").eqNullSafe(F.col("old.content_hash"))
+    told = lambda rows, name: rows.select("id", "content_hash").alias(name)
+    met, same = told(changes, "new").join(told(before, "old"), same_id).agg(F.count(F.lit(1)), F.count_if(same_text)).first()
+    new = changes.alias("new").join(told(before, "old"), same_id & same_text, "left_anti") if same else changes
+    old = before.alias("old").join(told(changes, "new"), same_id & ~same_text, "left_semi") if met > same else before.limit(0)
     # the null that each side adds stands for the document itself
-    side = lambda x, sign: F.transform(F.when(F.col(f"{x}.tokens").isNotNull(), F.array_append(F.array_compact(f"{x}.tokens"), F.lit(None))).otherwise(F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(sign).cast("long").alias("n")))
-    return met.select(F.inline(F.concat(side("old", -1), side("new", 1)))).groupBy("token").agg(F.sum("n").alias("n")).filter("n != 0")
+    side = lambda rows, sign: rows.filter("tokens IS NOT NULL").select(F.explode(F.array_append(F.array_compact("tokens"), F.lit(None))).alias("token"), F.lit(sign).cast("long").alias("n"))
+    return side(old, -1).union(side(new, 1)).groupBy("token").agg(F.sum("n").alias("n")).filter("n != 0")
 
 
 def apply_batch(changes: DataFrame, folder: str, batch: int, buckets: int = 64) -> bool:
@@ -45,7 +50,7 @@ def apply_batch(changes: DataFrame, folder: str, batch: int, buckets: int = 64)
     with scratch(changes.sparkSession) as keep:
         changes = keep(changes)
         delta(manifest.near(changes, f"{folder}/documents"), changes).write.mode("overwrite").parquet(f"{folder}/deltas/{batch}")
-        manifest.merge(changes, f"{folder}/documents", KEY, drop=F.col("new").isNotNull() & F.col("new.tokens").isNull(), buckets=buckets, batch=batch)
+        manifest.merge(changes, f"{folder}/documents", KEY, drop=F.col("new").isNotNull() & F.col("new.tokens").isNull(), buckets=buckets, batch=batch, written=True)
     return True
 
 

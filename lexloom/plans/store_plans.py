@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import increments, vacancies
 from ..registry import query
-from ..session import shared_folder, table
+from ..session import scratch, shared_folder, table
 from ..sources import manifest
 
 
@@ -46,18 +46,19 @@ def vocabulary_increments(spark, sf):
     The counts are folded after the second batch, and the last batch is handed in twice.
     """
     folder = _folder(spark, "vocabulary")
-    docs = manifest.latest(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), ["doc_id"], ["text"])
     told = lambda rows, content: increments.documents(rows.withColumn("content", content), "doc_id", F.col("content"), t.search_tokens(F.col("content")))
     whole = F.coalesce("text", F.lit(""))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
-    for k in range(3):
-        increments.apply_batch(told(docs.filter(part == k), whole), folder, k)
-        if k == 1:
-            increments.compact(spark, folder)
-    gone = gone_source(F.col("source"))
-    changes = told(docs.filter(gone | (F.col("lang") == "de")), F.when(~F.coalesce(gone, F.lit(False)), F.regexp_replace(whole, r"^[^\n]*\n?", "")))
-    for _ in range(2):
-        increments.apply_batch(changes, folder, 3)
+    with scratch(spark) as keep:
+        docs = keep(manifest.latest(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), ["doc_id"], ["text"]))
+        for k in range(3):
+            increments.apply_batch(told(docs.filter(part == k), whole), folder, k)
+            if k == 1:
+                increments.compact(spark, folder)
+        gone = gone_source(F.col("source"))
+        changes = told(docs.filter(gone | (F.col("lang") == "de")), F.when(~F.coalesce(gone, F.lit(False)), F.regexp_replace(whole, r"^[^\n]*\n?", "")))
+        for _ in range(2):
+            increments.apply_batch(changes, folder, 3)
     return increments.vocabulary(spark, folder)
 
 

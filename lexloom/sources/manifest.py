@@ -1,7 +1,7 @@
 """Keyed tables behind a manifest: a merge writes files beside the old ones, and they count once its manifest is there.
 
 A table is dealt into a fixed number of buckets by its key.  A merge reads and writes only the buckets that its
-changes touch; tasks stream their buckets to new files and tell the driver names and counts, and the commit writes
+changes touch, and leaves the files of those that only get new keys; tasks stream their buckets to new files and tell the driver names and counts, and the commit writes
 one manifest of all files that count.  A manifest appears as a whole under the next number, which only one writer can
 take: a reader sees the old version or the new one, a writer that comes second works its merge out anew, and
 files of failed or repeated tasks are in no manifest.  The driver holds names of files and numbers of buckets, never rows.
@@ -11,6 +11,7 @@ Atomic numbering needs a file system whose rename (or link, on a local one) refu
 
 from __future__ import annotations
 
+import collections
 import json
 import os
 import time
@@ -29,6 +30,8 @@ from pyspark.sql.types import StructType
 from ..session import scratch
 
 BUCKET = "__bucket"
+#: Files of a bucket that new keys may add to; a bucket of more is written anew.
+FILES = 8
 FORMAT = "lexloom_manifest"
 
 
@@ -166,15 +169,18 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFr
     return _rows(spark, folder, Store(folder).load(version))
 
 
-def merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Column] | None = None, drop: Column | None = None, buckets: int = 64, batch: int | None = None, attempts: int = 5, by: list[str] | None = None) -> int:
+def merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Column] | None = None, drop: Column | None = None, buckets: int = 64, batch: int | None = None, attempts: int = 5, by: list[str] | None = None, written: bool = False) -> int:
     """Merge changes by key; the number of the version that holds them.
 
     changes: at most one row for each key (``latest`` makes them so; a second one fails the job); a null is a key like
     others.  values: columns over ``old`` and ``new``, structs of all columns that are null where there is no such row;
     a column without one takes the new row where there is one.  drop: rows that leave the table, over the same structs.
     buckets, and by, the columns of the key that deal rows into them: set by the first merge.  batch: number of a stream's batch; one that is in the table already changes nothing.
+    written: changes are a table that is read, so that they need not be written for the merge.
     """
     changes.sparkSession.dataSource.register(ManifestSink)
+    if written:
+        return _merge(changes, folder, key, values, drop, buckets, batch, attempts, by)
     with scratch(changes.sparkSession) as keep:  # the same rows for the choice of buckets and for the merge
         return _merge(keep(changes), folder, key, values, drop, buckets, batch, attempts, by)
 
@@ -190,8 +196,9 @@ def _merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Co
             return base
         bucket = _bucket(held).alias(BUCKET)
         touched = {r[0] for r in changes.select(bucket).distinct().collect()}  # at most as many as buckets
+        again = touched & _met(changes, folder, held)
         row = F.struct(*names)
-        old = _rows(spark, folder, held, touched).select(bucket, *key, row.alias("old"), F.lit(None).cast(changes.select(row).schema[0].dataType).alias("new"))
+        old = _rows(spark, folder, held, again).select(bucket, *key, row.alias("old"), F.lit(None).cast(changes.select(row).schema[0].dataType).alias("new"))
         new = changes.select(bucket, *key, F.lit(None).cast(old.schema["old"].dataType).alias("old"), row.alias("new"))
         # one exchange by bucket serves the grouping by key and the files
         met = old.unionByName(new).repartition(BUCKET).groupBy(BUCKET, *key).agg(F.any_value("old", ignoreNulls=True).alias("old"), F.any_value("new", ignoreNulls=True).alias("new"), F.count("new").alias("n"))
@@ -200,7 +207,7 @@ def _merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Co
         types = {f.name: f.dataType for f in StructType.fromJson(held["schema"])}
         chosen = {c: F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(F.col("old")[c]) for c in names} | (values or {})
         out = met.select(BUCKET, *(chosen[c].cast(types[c]).alias(c) for c in names)).sortWithinPartitions(BUCKET)
-        kept = held | {"batch": held["batch"] if batch is None else batch, "files": [x for x in held["files"] if x["bucket"] not in touched]}
+        kept = held | {"batch": held["batch"] if batch is None else batch, "files": [x for x in held["files"] if x["bucket"] not in again]}
         try:
             out.write.format(FORMAT).mode("append").options(folder=folder, base=str(base), manifest=json.dumps(kept)).save()
             return base + 1
@@ -210,6 +217,16 @@ def _merge(changes: DataFrame, folder: str, key: list[str], values: dict[str, Co
     raise Conflict(folder)
 
 
+def _met(changes: DataFrame, folder: str, held: dict) -> set[int]:
+    """Buckets that are read and written anew: those that hold a key of the changes, found by keys alone, or many files; others get a further file."""
+    if not held["files"]:
+        return set()
+    count = collections.Counter(x["bucket"] for x in held["files"])
+    keys = lambda rows, of: rows.select(_bucket(held).alias(BUCKET), *held["key"], F.lit(of).alias("__of"))
+    both = keys(changes, 1).union(keys(_rows(changes.sparkSession, folder, held), 2)).groupBy(BUCKET, *held["key"]).agg(F.bit_or("__of").alias("__of"))
+    return {r[0] for r in both.filter("__of = 3").select(BUCKET).distinct().collect()} | {b for b, n in count.items() if n >= FILES}
+
+
 def near(changes: DataFrame, folder: str) -> DataFrame:
     """The rows of the buckets that changes touch: all that may have one of their keys (or the columns that deal the buckets), and little else of a large table."""
     _, held = current(folder)

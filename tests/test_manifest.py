@@ -92,3 +92,20 @@ def test_empty_tables(spark, folder):
         manifest.read(spark, folder + "x")
     with pytest.raises(ValueError):
         manifest.merge(none.drop("v"), folder, ["k"])
+
+
+def test_new_keys_leave_the_files_of_their_buckets(spark, tmp_path):
+    """Only buckets that hold a key of the changes are written anew, or those of many files."""
+    folder = f"file://{tmp_path}/new"
+    rows = lambda *ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id int, v string")
+    names = lambda: {x["name"] for x in manifest.current(folder)[1]["files"]}
+    manifest.merge(rows(None, *range(40)), folder, ["id"], buckets=2)
+    first = names()
+    manifest.merge(rows(*range(40, 80)), folder, ["id"])
+    assert first < names()
+    manifest.merge(rows(None), folder, ["id"])
+    assert len(first - names()) == 1
+    for k in range(80, 80 + manifest.FILES):
+        manifest.merge(rows(*range(k * 10, k * 10 + 10)), folder, ["id"])
+    assert not first & names() and len(names()) <= 2 * manifest.FILES
+    assert manifest.read(spark, folder).count() == 81 + 10 * manifest.FILES
