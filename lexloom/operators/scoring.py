@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,13 +83,17 @@ def delivered(queue: DataFrame, send: Callable[[dict], bool], most: int = 30) ->
     """
     chosen = queues.batches(queue, 1, "user_id", F.desc("score"), "id").filter(F.col("batch") < most)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("batch")
-        sent, open_ = [], True
-        for row in frame.to_dict("records"):
-            open_ = open_ and bool(send(row))
-            sent.append(open_)
-        return frame[["user_id", "id"]].assign(sent=sent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, open_, begun = None, True, False
+        for batch in batches:
+            sent = []
+            for row in batch.to_pylist():
+                if not begun or row["user_id"] != user:
+                    user, open_, begun = row["user_id"], True, True
+                open_ = open_ and bool(send(row))
+                sent.append(open_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sent, pa.bool_())], names=["user_id", "id", "sent"])
 
     kinds = dict(queue.dtypes)
-    return chosen.select("user_id", "id", "score", "batch").groupBy("user_id").applyInPandas(run, f"user_id {kinds['user_id']}, id {kinds['id']}, sent boolean")
+    rows = chosen.select("user_id", "id", "score", "batch").repartition("user_id").sortWithinPartitions("user_id", "batch")
+    return rows.mapInArrow(run, f"user_id {kinds['user_id']}, id {kinds['id']}, sent boolean")
