@@ -158,8 +158,8 @@ def source_counts(spark, sf):
 @query("A22", "SELECT l_orderkey, l_linenumber, l_partkey, round(o_totalprice / count(*) OVER (PARTITION BY l_orderkey), 6) AS share FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def cost_share(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
-    rows = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
-    return usage.cost_share(rows, "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "l_partkey", F.round("share", 6).alias("share"))
+    shares = usage.cost_share(lines, table(spark, sf, "orders"), "o_orderkey", "o_totalprice")
+    return shares.select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "l_partkey", F.round("share", 6).alias("share"))
 
 
 @query("A21", "WITH p AS (SELECT min(l_linenumber) AS m FROM lineitem) SELECT CAST(min(l_linenumber) AS INTEGER) AS phase, CAST(sum(l_quantity) AS BIGINT) AS current, count(*) AS total FROM lineitem, p WHERE l_linenumber = m")

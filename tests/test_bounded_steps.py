@@ -17,3 +17,12 @@ def test_alerts_go_out_by_user_without_a_call_for_each(spark, kind):
     out = scoring.delivered(queue, lambda row: row["id"] not in (1, 3), 2)
     assert "FlatMapGroups" not in plan(out)
     assert sorted((r["id"], r["sent"]) for r in out.collect()) == [(1, False), (2, False), (3, False), (4, True), (6, True)]
+
+
+def test_tasks_of_shares_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(usage, "TASK_ROWS", 10)
+    rows = spark.range(100).select((F.col("id") % 40).alias("b"), "id")
+    costs = spark.range(0, 41, 2).select(F.col("id").alias("b"), F.lit(6.0).alias("c"))
+    out = usage.cost_share(rows, costs, "b", "c")
+    assert "hashpartitioning(b" in plan(out) and ", 11)" in plan(out)
+    assert {(r["b"], r["share"]) for r in out.collect()} == {(b, 2.0 if b < 20 else 3.0) for b in range(0, 40, 2)}
