@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +63,26 @@ WEIGHT, LIMIT, POSITIONS, LAST_PLACE = 0.1, 1.64493406685, 255, 16383
 def positional_index(docs: DataFrame) -> DataFrame:
     """token, id, places (from 1, rising): one row for each word of each document.  docs: id, tokens.
 
-    Sorted by token inside its partitions, so that a table of it is read for the words of a query alone.
+    Words are gathered inside the rows of documents, so none travels.  Sorted by token inside its partitions, so that a table of it is read for the words of a query alone.
     """
-    each = docs.select("id", F.posexplode("tokens").alias("at", "token"))
-    rows = each.groupBy("token", "id").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("places"))
-    return rows.sortWithinPartitions("token")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                counts = np.asarray(part.column(1).value_lengths().fill_null(0), np.int64)
+                coded = part.column(1).flatten().dictionary_encode()
+                code = np.asarray(coded.indices.fill_null(-1), np.int64)
+                row = np.repeat(np.arange(len(counts)), counts)
+                place = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+                order = np.lexsort((place, row, code))
+                order = order[code[order] >= 0]
+                row, code = row[order], code[order]
+                first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), part.column(0).take(pa.array(row[first])), places], names=["token", "id", "places"])
+
+    return docs.select("id", "tokens").mapInArrow(run, f"token string, id {dict(docs.dtypes)['id']}, places array<int>").sortWithinPartitions("token")
 
 
 def _told(places: Column) -> Column:
@@ -130,7 +148,9 @@ def ranked(index: DataFrame, ids: DataFrame, query: str, k: int, *order: Column
     words = sorted({w for terms in alternatives for _, found in terms for w in found})
     if not words:
         return ids.withColumn("rank", F.lit(0.0)).limit(0)
-    hits = index.filter(F.col("token").isin(words)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("__places"))
+    # rows of one identifier are one document
+    each = index.filter(F.col("token").isin(words)).repartition("id").groupBy("token", "id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    hits = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "places"))).alias("__places"))
     bare = any(all(negated for negated, _ in terms) for terms in alternatives)
     rows = ids.join(hits, "id", "left" if bare else "inner")
     none = F.array().cast("array<int>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import demand, lifecycle, matching, pruned, search, vocabulary
 from ..registry import query
-from ..session import NOW, cut_lineage, table
+from ..session import NOW, cut_lineage, stored, table
 
 
 def _list(words) -> str:
@@ -298,7 +298,7 @@ def _single_rank_sql(words: list[str]) -> str:
 
 def _ranked(spark, sf, asked):
     docs = documents(spark, sf).select(F.col("doc_id").alias("id"), t.words(F.col("text"), t.PLAIN).alias("tokens"))
-    index = cut_lineage(search.positional_index(docs))  # a table of its own; queries read it by word
+    index = stored(search.positional_index(docs))  # a table of its own; queries read it by word
     # ranks of near words come close to 1 together, so they are rounded before the best are taken
     return search.ranked(index, docs.select("id"), asked, 50, "id", digits=9).select(F.col("id").alias("doc_id"), "rank")
 

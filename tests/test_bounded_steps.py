@@ -10,6 +10,13 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_an_index_is_built_without_an_exchange(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (None, ["a", None]), (3, None)], "id long, tokens array<string>")
+    index = search.positional_index(docs)
+    assert "Exchange" not in plan(index)
+    assert sorted(map(tuple, index.collect()), key=str) == sorted([("a", 1, [2]), ("b", 1, [1, 3]), ("a", None, [1])], key=str)
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_alerts_go_out_by_user_without_a_call_for_each(spark, kind):
     rows = [(None, 1, 9.0), (None, 2, 8.0), (7, 3, 5.0), (7, 4, 6.0), (7, 5, 1.0), (8, 6, 1.0)]
