@@ -8,7 +8,10 @@ has moved on meanwhile is left alone.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ TRANSITIONS = {
 }
 DELIVERED = ["alerted", "digested", "skipped", "applying", "applied"]
 SAME_TEXT = 0.92
+#: Longs that hold the parities of a set of words.
+PARITIES = 8
 
 
 def allowed(source: Column, target: Column) -> Column:
@@ -121,22 +126,50 @@ def _compared(met: DataFrame, left: DataFrame, right: DataFrame, threshold: floa
     return both.filter((F.col("fingerprint") == F.col("theirs_of")) & (t.jaccard(F.col("mine"), F.col("theirs")) >= threshold)).drop("mine", "theirs", "theirs_of")
 
 
+def with_parities(sets: DataFrame) -> DataFrame:
+    """fingerprint, set, words, and parities p0, p1, ...: for each of ``64 * PARITIES`` parts of all hashes, whether a set has an odd number of words there.
+
+    Two sets differ in at least as many words as in parities, so most that are not alike are told apart without their words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 64 * PARITIES
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                words, n = part.column(2), part.num_rows
+                row = np.repeat(np.arange(n), np.asarray(words.value_lengths().fill_null(0), np.int64))
+                place = np.asarray(words.flatten(), np.int64) & (bits - 1)
+                odd = (np.bincount(row * bits + place, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+                longs = np.packbits(odd, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(longs[:, k]) for k in range(PARITIES))], names=["fingerprint", "set", "words", *parity("p")])
+
+    return sets.select("fingerprint", "set", "words").mapInArrow(run, "fingerprint string, set long, words array<long>, " + ", ".join(f"{p} long" for p in parity("p")))
+
+
+def parity(name: str) -> list[str]:
+    return [f"{name}{k}" for k in range(PARITIES)]
+
+
 def alike_sets(left: DataFrame, right: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
-    """fingerprint, set, other: different sets of one fingerprint that are alike.  Both: fingerprint, set, words; a set once.
+    """fingerprint, set, other: different sets of one fingerprint that are alike.  Both: as ``with_parities`` has them; a set once.
 
     Two sets that are alike enough share one of their first words, as many as may be missing and one more, so
-    sets meet on these words inside a fingerprint, and a common title is no task of all its pairs.
+    sets meet on these words inside a fingerprint, and a common title is no task of all its pairs.  Where they meet, parities
+    leave those pairs alone that may be alike, so that words travel for few others.
     """
     several = right.select("fingerprint", "set").union(left.select("fingerprint", "set")).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
 
     def first(sets: DataFrame) -> DataFrame:
         n = F.size("words")
         some = F.slice("words", 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
-        return sets.select("fingerprint", "set", n.alias("n"), F.explode(F.when(n > 0, some).otherwise(F.array(F.lit(0).cast("long")))).alias("word"))
+        return sets.select("fingerprint", "set", n.alias("n"), *parity("p"), F.explode(F.when(n > 0, some).otherwise(F.array(F.lit(0).cast("long")))).alias("word"))
 
     a = first(left.join(several, "fingerprint", "left_semi"))
-    b = first(right.join(several, "fingerprint", "left_semi")).select("fingerprint", F.col("set").alias("other"), F.col("n").alias("m"), "word")
+    b = first(right.join(several, "fingerprint", "left_semi")).select("fingerprint", F.col("set").alias("other"), F.col("n").alias("m"), *(F.col(p).alias(q) for p, q in zip(parity("p"), parity("q"), strict=True)), "word")
     near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(parity("p"), parity("q"), strict=True)), F.lit(0))
+    near = near & (differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-6)
     met = a.join(b, ["fingerprint", "word"]).filter(near & (F.col("set") != F.col("other"))).select("fingerprint", "set", "other").distinct()
     mine, theirs = left.select("fingerprint", "set", F.col("words").alias("mine")), right.select("fingerprint", F.col("set").alias("other"), F.col("words").alias("theirs"))
     both = met.join(mine, ["fingerprint", "set"]).join(theirs, ["fingerprint", "other"])

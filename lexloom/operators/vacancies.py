@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..session import scratch, stored
 from ..sources import manifest
-from .lifecycle import SAME_TEXT, alike_sets
+from .lifecycle import SAME_TEXT, alike_sets, with_parities
 
 KEY = ["source", "source_id"]
 SET = ["fingerprint", "set"]
@@ -44,27 +44,33 @@ def _losers(edges: DataFrame, keep) -> DataFrame:
     return edges.select(*SET) if lost is None else lost
 
 
-def decide(rows: DataFrame, known: DataFrame, keep, threshold: float = SAME_TEXT) -> DataFrame:
+def decide(rows: DataFrame, known: DataFrame, mine: DataFrame, theirs: DataFrame, keep, threshold: float = SAME_TEXT) -> DataFrame:
     """id, duplicate_of of the rows that are duplicates.
 
-    rows: id, fingerprint, words, set, in the order of id; known: the same columns, normalized rows that stay as they
-    are; keep: writes a table and reads it again.  Words are written once for each set.
+    rows: id, place (of each row its own), fingerprint, set, in the order of id; known: id, fingerprint, set, normalized
+    rows that stay as they are; mine: place, words; theirs: fingerprint, id, words; keep: writes a table and reads it
+    again.  Words travel and are written once for each set that is not alone in its fingerprint.
     """
-    least = lambda x, name: x.groupBy(*SET).agg(F.min("id").alias(name), F.any_value("words").alias("words"))
-    sets, before = keep(least(rows, "lead")), keep(least(known.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi"), "oldest"))
+    sets = keep(rows.groupBy(*SET).agg(F.min("id").alias("lead"), F.min_by("place", "id").alias("place")))
+    before = keep(known.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi").groupBy(*SET).agg(F.min("id").alias("oldest")))
+    several = keep(sets.select(*SET).union(before.select(*SET)).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint"))
+    wanted = lambda some: some.join(several, "fingerprint", "left_semi").hint("shuffle_hash")
+    words = keep(with_parities(mine.join(wanted(sets.select(*SET, "place")), "place")))
+    some = before.limit(1).count()
+    known_words = keep(with_parities(theirs.join(wanted(before.select(*SET, F.col("oldest").alias("id"))), ["fingerprint", "id"]))) if some else words.limit(0)
     age = before.select(*SET, F.col("oldest").alias("to"))
     named = lambda pairs, of: pairs.join(of.withColumnRenamed("set", "other"), ["fingerprint", "other"])
-    worded = lambda some: sets.select(*SET, "words").join(some.select(*SET), SET, "left_semi")
+    worded = lambda some: words.join(some.select(*SET), SET, "left_semi")
     leads = sets.select(*SET, "lead")
     equal = leads.select(*SET).join(age, SET)
-    alike = named(alike_sets(sets.select(*SET, "words"), before.select(*SET, "words"), threshold), age)
+    alike = named(alike_sets(words, known_words, threshold), age)
     fixed = keep(alike.select(*SET, "to").union(equal.select(*SET, "to")).groupBy(*SET).agg(F.min("to").alias("to")))
     free = leads.join(fixed, SET, "left_anti")
     # the first free set of a fingerprint is normalized, and sets like it go with one comparison each
     first = keep(free.groupBy("fingerprint").agg(F.min_by(F.struct("set", "lead"), "lead").alias("first")).select("fingerprint", "first.*"))
     others = free.join(first.select("fingerprint", F.col("set").alias("other"), F.col("lead").alias("to")), "fingerprint").filter("set != other")
-    words = sets.select(*SET, "words")
-    met = named(others.join(words, SET), words.withColumnRenamed("words", "theirs"))
+    said = words.select(*SET, "words")
+    met = named(others.join(said, SET), said.withColumnRenamed("words", "theirs"))
     met = keep(met.select(*SET, "lead", "to", (t.jaccard(F.col("words"), F.col("theirs")) >= threshold).alias("like")))
     rest = met.filter("NOT like").select(*SET, "lead")
     pairs = named(alike_sets(worded(rest), worded(rest), threshold), rest.withColumnRenamed("lead", "to").select(*SET, "to"))
@@ -72,7 +78,7 @@ def decide(rows: DataFrame, known: DataFrame, keep, threshold: float = SAME_TEXT
     normal = keep(first.select(*SET, "lead").union(rest.join(_losers(pairs, keep), SET, "left_anti").select(*SET, "lead")))
     own = normal.select(*SET, F.col("lead").alias("to"))
     # sets that are like a vacancy from before may be like an earlier one of the batch as well
-    both = named(alike_sets(worded(fixed), worded(normal), threshold), own).select(*SET, "to")
+    both = named(alike_sets(worded(fixed), worded(normal), threshold), own).select(*SET, "to") if some else own.limit(0)
     later = named(pairs, own).select(*SET, "to")
     targets = met.filter("like").select(*SET, "to").union(own).union(both).union(later).groupBy(*SET).agg(F.min("to").alias("inner"))
     out = rows.select("id", *SET).join(fixed.withColumnRenamed("to", "outer"), SET, "left").join(targets, SET, "left")
@@ -98,28 +104,31 @@ def upsert_batch(batch_rows: DataFrame, folder: str, batch: int, buckets: int =
 def _upsert(batch_rows: DataFrame, kept: str, index: str, batch: int, buckets: int, threshold: float, keep) -> DataFrame:
     spark = batch_rows.sparkSession
     fields = "source string, source_id string, id long, fingerprint string, content_hash string, status string, normalized_id long"
-    old = manifest.near(batch_rows.select(*KEY), kept) if manifest.current(kept)[1] else spark.createDataFrame([], fields)
     same = F.col("n.source").eqNullSafe(F.col("o.source")) & F.col("n.source_id").eqNullSafe(F.col("o.source_id"))
-    told = batch_rows.withColumns({"fingerprint": F.coalesce("fingerprint", F.lit("")), "words": F.array_sort(F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: F.xxhash64(x)))}).drop("tokens")
-    met = told.alias("n").join(old.alias("o"), same, "left")
-    # words are worked out and written once, with the identifiers
-    told = keep(met.select("n.*", F.coalesce("o.id", F.lit(batch * PLACES) + F.col("n.position")).alias("id"), F.col("o.id").isNull().alias("is_new"), F.col("o.fingerprint").alias("was"), F.col("o.status").alias("status_was"), F.col("o.content_hash").alias("hash_was"), F.xxhash64("n.words", F.size("n.words")).alias("set")))
-    rows = told.select("id", *SET, "words")
-    known = manifest.near(rows.select("fingerprint"), index) if manifest.current(index)[1] else spark.createDataFrame([], "fingerprint string, id long, words array<long>")
-    known = known.join(rows.select("id"), "id", "left_anti").withColumn("set", F.xxhash64("words", F.size("words")))
-    choice = decide(rows, known, keep, threshold)
-    changed = F.col("is_new") | ~F.col("hash_was").eqNullSafe(F.col("content_hash"))
-    alone = F.col("duplicate_of").isNull()
-    done = told.join(choice, "id", "left").select(*KEY, "id", "fingerprint", "content_hash", F.when(alone, "normalized").otherwise("duplicate").alias("status"), F.col("duplicate_of").alias("normalized_id"), "is_new", (alone & changed).alias("needs_score"), (alone & changed & ~F.col("is_new")).alias("reset"), "was", "status_was")
-    done = stored(done)
-    if (manifest.current(index)[1] or {"batch": -1})["batch"] < batch:
-        leave = done.filter("status_was = 'normalized'").select(F.col("was").alias("fingerprint"), "id", F.lit(None).cast("array<long>").alias("words"))
-        enter = rows.join(done.filter("status = 'normalized'").select("id"), "id", "left_semi").select("fingerprint", "id", "words")
-        _merge_index(leave.join(enter, ["fingerprint", "id"], "left_anti").union(enter), index, batch, buckets)
+    with scratch(spark) as brief:  # words of the batch go before the index is written
+        # words are worked out and written once; rows meet without them
+        told = brief(batch_rows.withColumns({"fingerprint": F.coalesce("fingerprint", F.lit("")), "words": F.array_sort(F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: F.xxhash64(x)))}).drop("tokens"))
+        of_words = F.xxhash64("words", F.size("words")).alias("set")
+        old = manifest.near(told.select(*KEY), kept) if manifest.current(kept)[1] else spark.createDataFrame([], fields)
+        met = told.select(*KEY, F.col("position").alias("place"), "fingerprint", "content_hash", of_words).alias("n").join(old.alias("o"), same, "left")
+        rows = keep(met.select("n.*", F.coalesce("o.id", F.lit(batch * PLACES) + F.col("n.place")).alias("id"), F.col("o.id").isNull().alias("is_new"), F.col("o.fingerprint").alias("was"), F.col("o.status").alias("status_was"), F.col("o.content_hash").alias("hash_was")))
+        indexed = manifest.near(rows.select("fingerprint"), index) if manifest.current(index)[1] else spark.createDataFrame([], "fingerprint string, id long, words array<long>")
+        there = keep(indexed.select("fingerprint", "id", of_words))
+        mine = told.select(F.col("position").alias("place"), "words")
+        with scratch(spark) as deciding:
+            choice = decide(rows.select("id", "place", *SET), there.join(rows.select("id"), "id", "left_anti"), mine, indexed.select("fingerprint", "id", "words"), deciding, threshold)
+            changed = F.col("is_new") | ~F.col("hash_was").eqNullSafe(F.col("content_hash"))
+            alone = F.col("duplicate_of").isNull()
+            done = rows.join(choice, "id", "left").select(*KEY, "id", "place", *SET, "content_hash", F.when(alone, "normalized").otherwise("duplicate").alias("status"), F.col("duplicate_of").alias("normalized_id"), "is_new", (alone & changed).alias("needs_score"), (alone & changed & ~F.col("is_new")).alias("reset"), "was", "status_was")
+            done = stored(done)
+        due = (manifest.current(index)[1] or {"batch": -1})["batch"] < batch
+        if due:  # a row that the index has with the same words stays as it is
+            normal = done.filter("status = 'normalized'").select("id", "place", *SET)
+            leave = done.filter("status_was = 'normalized'").select(F.col("was").alias("fingerprint"), "id").join(normal, ["fingerprint", "id"], "left_anti")
+            enter = mine.join(normal.join(there, ["fingerprint", "id", "set"], "left_anti").hint("shuffle_hash"), "place")
+            moves = keep(leave.withColumn("words", F.lit(None).cast("array<long>")).union(enter.select("fingerprint", "id", "words")))
+    if due:
+        # buckets of the index are those of fingerprints, so that a batch finds all of one together
+        manifest.merge(moves, index, ["fingerprint", "id"], drop=F.col("new").isNotNull() & F.col("new.words").isNull(), buckets=buckets, batch=batch, by=["fingerprint"], written=True)
     manifest.merge(done.select(*[c.split()[0] for c in fields.split(", ")]), kept, KEY, buckets=buckets, batch=batch)
-    return done.drop("was", "status_was", "fingerprint", "content_hash")
-
-
-def _merge_index(moves: DataFrame, index: str, batch: int, buckets: int) -> None:
-    """Buckets of the index are those of fingerprints, so that a batch finds all of one together."""
-    manifest.merge(moves, index, ["fingerprint", "id"], drop=F.col("new").isNotNull() & F.col("new.words").isNull(), buckets=buckets, batch=batch, by=["fingerprint"])
+    return done.drop("was", "status_was", "fingerprint", "content_hash", "place", "set")

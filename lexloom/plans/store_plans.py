@@ -75,10 +75,13 @@ def later_text():
 def vacancy_upserts(spark, sf):
     """All documents as vacancies, and all once more after half of them changed: which ones are duplicates, and of which."""
     folder = _folder(spark, "vacancies")
-    docs = manifest.latest(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), ["source", "doc_id"], ["text"])
-    for k, said in enumerate([F.col("text"), later_text()]):
-        text = F.coalesce(said, F.lit(""))
-        rows = docs.withColumn("said", text)
-        told = vacancies.vacancies(rows, F.col("source"), F.col("doc_id"), F.col("doc_id"), t.fingerprint(F.split("said", "\n")[0], F.col("lang")), t.words(F.col("said"), t.PLAIN), F.sha2("said", 256))
-        vacancies.upsert_batch(told, folder, k)
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    with scratch(spark) as keep:
+        # texts travel only if a key comes twice
+        if docs.groupBy("source", "doc_id").count().filter("count > 1").limit(1).count():
+            docs = keep(manifest.latest(docs, ["source", "doc_id"], ["text"]))
+        for k, said in enumerate([F.col("text"), later_text()]):
+            rows = docs.withColumn("said", F.coalesce(said, F.lit("")))
+            told = vacancies.vacancies(rows, F.col("source"), F.col("doc_id"), F.col("doc_id"), t.fingerprint(F.split("said", "\n")[0], F.col("lang")), t.words(F.col("said"), t.PLAIN), F.sha2("said", 256))
+            vacancies.upsert_batch(told, folder, k)
     return manifest.read(spark, f"{folder}/vacancies").drop("content_hash")

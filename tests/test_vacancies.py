@@ -1,5 +1,6 @@
 """Vacancies by batches against a replay of their order, row by row."""
 
+import contextlib
 import random
 import uuid
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom import registry
 from lexloom.functions import text as t
-from lexloom.operators import vacancies
+from lexloom.operators import lifecycle, vacancies
 from lexloom.plans.store_plans import later_text
 from lexloom.session import shared_folder
 from lexloom.sources import manifest
@@ -83,3 +84,38 @@ def test_vacancy_upserts(spark):
     got = {(r["source"], r["source_id"]): (r["id"], r["status"], r["normalized_id"]) for r in registry.QUERIES["vacancy_upserts"](spark, DIR).collect()}
     assert got == {k: (v[0], v[4], v[5]) for k, v in state.items()}
     assert {x[1] for x in got.values()} == {"normalized", "duplicate"}
+
+
+def test_words_of_lone_vacancies_are_kept_once(spark, folder, monkeypatch):
+    """A vacancy alone in its fingerprint is compared with none, and one that comes again as it was stays in the index."""
+    rows = spark.range(50).select(F.lit("s").alias("source"), "id", F.col("id").alias("position"), F.concat(F.lit("f"), "id").alias("fingerprint"), F.array(F.lit("a"), F.lit("b")).alias("tokens"), F.lit("h").alias("content_hash")).withColumnRenamed("id", "source_id")
+    vacancies.upsert_batch(rows, folder, 0, 4)
+    held, real = [], vacancies.scratch
+
+    @contextlib.contextmanager
+    def counting(session):
+        with real(session) as keep:
+
+            def kept(df):
+                out = keep(df)
+                held.append(out.count() if "words" in out.columns else 0)
+                return out
+
+            yield kept
+
+    monkeypatch.setattr(vacancies, "scratch", counting)
+    assert {r["status"] for r in vacancies.upsert_batch(rows, folder, 1, 4).collect()} == {"normalized"}
+    assert sum(held) == 50
+    assert manifest.read(spark, f"{folder}/index").count() == 50
+
+
+def test_parities_pass_over_no_sets_that_are_alike(spark):
+    rng = random.Random(3)
+    base = [rng.sample(range(10**6), n) for n in (0, 1, 30, 400, 1500)]
+    sets = [set(b[rng.randrange(1 + len(b) // 12) :]) | set(rng.sample(range(10**6), rng.randrange(1 + len(b) // 12))) for b in base for _ in range(6)]
+    told = spark.createDataFrame([("f", k, sorted(x)) for k, x in enumerate(sets)], "fingerprint string, set long, words array<long>")
+    hashed = told.withColumn("words", F.array_sort(F.transform("words", lambda x: F.xxhash64(x))))
+    got = lifecycle.alike_sets(lifecycle.with_parities(hashed), lifecycle.with_parities(hashed))
+    want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a != b and alike(x, y, lifecycle.SAME_TEXT)}
+    assert {(r["set"], r["other"]) for r in got.collect()} == want
+    assert 60 < len(want)
