@@ -125,7 +125,7 @@ def evidence_claims(spark, sf):
 @query("P15", None)
 def structured_cvs(spark, sf):
     """Documents of enough letters read as CVs; tests/test_text.py has known readings and counts the documents read."""
-    read = table(spark, sf, "documents").select("doc_id", documents.read_cv(F.col("text")).alias("cv")).filter("cv IS NOT NULL")
+    read = documents.with_cvs(table(spark, sf, "documents").select("doc_id", "text"), "text")
     return read.select("doc_id", "cv.name", "cv.headline", F.size("cv.sections").alias("sections"), F.aggregate("cv.sections", F.lit(0), lambda n, s: n + F.size(s["blocks"])).alias("blocks"))
 
 

@@ -319,3 +319,15 @@ def test_repaired_texts_of_odd_kinds(spark):
     blocks = got["sections"][0]["blocks"]
     assert [b["kind"] for b in blocks] == ["facts", "bullets", "text"] and len(blocks[1]["items"]) == 30
     assert blocks[0]["facts"] == [{"term": "k", "detail": "v"}, {"term": "z", "detail": "w"}]
+
+
+def test_structured_cvs_read_a_text_once(spark, tmp_path):
+    """The reading stood in the filter and in the result, and the letters of a text were counted for each use of it."""
+    from lexloom import registry
+
+    texts = [(1, "  Ann Lee \x85\nData Engineer \r\nSkills:\r• SQL \n 3) Spark\nTools: a, b\nBuilt it 2019 – 2020\n" + "x" * 100), (2, "y" * 99)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["structured_cvs"](spark, str(tmp_path))
+    told = out._jdf.queryExecution().executedPlan().toString()
+    assert told.count("_cv_of(") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "Ann Lee\x85", "Data Engineer", 1, 4)]
