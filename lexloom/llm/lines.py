@@ -87,17 +87,20 @@ def hashed_words(texts: list[str], lines: bool = False) -> tuple[np.ndarray, np.
     hashes = _polynomials(data, begins, ends) if len(begins) else np.zeros(0, np.uint64)
     if not lines:
         return hashes, counts, None
-    breaks = np.searchsorted(np.flatnonzero((data == 10) | (data == 13)), begins)
-    return hashes, counts, np.flatnonzero(np.diff(breaks, prepend=-1))
+    # the first word of all, and the first one after each break; breaks are far fewer than words
+    first = np.searchsorted(begins, np.append(0, np.flatnonzero((data == 10) | (data == 13))))
+    return hashes, counts, first[(np.diff(first, prepend=-1) != 0) & (first < len(begins))]
 
 
 def _polynomials(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each range of values, which depends on its length too."""
     powers, inverse = _powers(len(values))
     with np.errstate(over="ignore"):
-        sums = np.cumsum((values + np.uint64(1)) * powers[: len(values)])
-        before = np.where(begins > 0, sums[begins - 1], _U(0))
-        return _mix((sums[ends - 1] - before) * inverse[begins] + (ends - begins).astype(np.uint64))
+        sums = np.zeros(len(values) + 1, np.uint64)  # worked out in place, as tables of all bytes are large
+        np.add(values, _U(1), out=sums[1:], dtype=np.uint64)
+        sums[1:] *= powers[: len(values)]
+        np.cumsum(sums, out=sums)
+        return _mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -312,7 +315,8 @@ def _extended(pairs: DataFrame, texts: DataFrame, run_words: int, line: int) ->
                     stops.append(y)
                 base, of = np.repeat(floor, counts), np.repeat(np.arange(len(counts)), counts)
                 which, keys, starts, cuts = sticking_out(words, base + np.repeat(sizes, counts), places + base, hashes, begin + base, end + base, base, run_words, line)
-                found = line_hashes(words, run_words)[starts].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+                # windows are hashed where they stick out, not at all words
+                found = _polynomials(words, starts, starts + run_words).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
                 starts = starts - np.repeat(base[which], np.diff(cuts))
                 row = np.concatenate([*rows, of[which]])
                 if not len(row):

@@ -658,6 +658,20 @@ def test_lines_query_leaves_each_line_once(spark):
     assert {n for line, n in kept.items() if line} == {1}
 
 
+def test_line_starts_and_window_hashes_by_definition():
+    """The first word after a break begins a line; equal windows of words, and only these, hash alike wherever they stand."""
+    texts = ["", "\n\na b\n\nc", " ", "d\r\ne f\n", "g", "a b c " * 30]
+    words, counts, starts = lines.hashed_words(texts, lines=True)
+    told = [x.split() for x in texts]
+    assert counts.tolist() == [len(x) for x in told] and len(words) == sum(map(len, told))
+    assert starts.tolist() == [0, 2, 3, 4, 6, 7]
+    assert lines.hashed_words(["", "\n"], lines=True)[2].tolist() == []
+    base = int(counts[:-1].sum())
+    at = np.arange(base, base + 40)
+    found = lines._polynomials(words, at, at + lines.RUN)
+    assert len(set(found.tolist())) == 3 and (found[3:] == found[:-3]).all()
+
+
 def test_lines_odd_rows(spark):
     got = lines.drop_repeated_lines(odd_docs(spark).withColumn("removed_runs", F.lit("clash")).withColumn("text_hash", F.lit(1))).collect()
     assert len(got) == len(ODD) + 3 and {r.removed_words for r in got if r.doc_id == 0} == {0}
