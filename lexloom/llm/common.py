@@ -38,8 +38,8 @@ def remove(spark: SparkSession, path: str) -> None:
 class Table:
     """A table written to the shared folder: cuts the lineage and outlives a lost executor."""
 
-    def __init__(self, df: DataFrame, tag: str, by: str | None = None):
-        """by: a column whose values are written, and may be dropped, apart."""
+    def __init__(self, df: DataFrame, tag: str, by: str | None = None, file_rows: int = 0):
+        """by: a column whose values are written, and may be dropped, apart.  file_rows: most rows of a file; writers and readers hold up to some thousand rows of one, however long."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex[:12]}"
         # the shuffle files that led to a table are of no use once it is written
@@ -47,7 +47,7 @@ class Table:
         before = self.spark.conf.get(clean, "false")
         self.spark.conf.set(clean, "true")
         try:
-            df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(self.path)
+            df.write.options(compression="zstd", maxRecordsPerFile=file_rows).partitionBy(*([by] if by else [])).parquet(self.path)
         finally:
             self.spark.conf.set(clean, before)
         self.schema = df.schema
@@ -60,8 +60,8 @@ class Table:
         remove(self.spark, f"{self.path}/{part}" if part else self.path)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    return Table(df, tag).df()
+def materialize(df: DataFrame, tag: str, file_rows: int = 0) -> DataFrame:
+    return Table(df, tag, file_rows=file_rows).df()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

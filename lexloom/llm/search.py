@@ -31,6 +31,8 @@ from .common import Table, materialize, shuffle_partitions, slices
 K = 10
 #: Bytes of text of a shard, about.
 SHARD_TEXT = 8 << 20
+#: Shards of a file: Parquet's writer and Spark's reader would hold all of a scan partition at once, as it has fewer than they count in.
+FILE_SHARDS = 4
 #: Queries that a task holds at once; more queries take further passes over the shards.
 PASS = 4096
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -91,7 +93,7 @@ class Index:
     """Shards with their impacts, and the corpus's number of documents and of terms."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_text: int = SHARD_TEXT):
-        counted = Table(_shards(docs, id_col, text_col, shard_text), "postings")
+        counted = Table(_shards(docs, id_col, text_col, shard_text), "postings", file_rows=FILE_SHARDS)
         self.docs, self.length = (x or 0 for x in counted.df().agg(F.sum("n_docs"), F.sum("n_terms")).first())
         n_docs, n_terms = self.docs, self.length
 
@@ -103,7 +105,7 @@ class Index:
                     packed = [x.tobytes() for x in (ids, begins, where, impacts(tf, n[where], n_docs, n_terms))]
                     yield pa.RecordBatch.from_arrays([*(row.column(k) for k in range(3)), pa.array([packed], pa.list_(pa.binary()))], names=["shard", "terms", "df", "packed"])
 
-        self.shards = materialize(counted.df().select("shard", "terms", "df", "packed").mapInArrow(weigh, "shard long, terms array<string>, df array<long>, packed array<binary>"), "impacts")
+        self.shards = materialize(counted.df().select("shard", "terms", "df", "packed").mapInArrow(weigh, "shard long, terms array<string>, df array<long>, packed array<binary>"), "impacts", FILE_SHARDS)
         counted.drop()
 
     def weights(self, terms: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lexloom.llm import queries, search
@@ -81,3 +83,13 @@ def test_top_keeps_ties():
     scores = np.array([5, 0, 7, 5, 5, 9, -1])
     assert search.top(scores, 3).tolist() == [0, 2, 3, 4, 5]
     assert search.top(scores, 9).tolist() == [0, 2, 3, 4, 5]
+
+
+def test_files_hold_few_shards(spark):
+    """A scan partition of many shards is not one row group, which a writer and a reader would hold whole."""
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(50)], "doc_id long, text string").coalesce(1)
+    index = search.Index(docs, shard_text=40)
+    held = [pq.ParquetFile(unquote(urlparse(x).path)).metadata.num_rows for x in index.shards.inputFiles()]
+    assert sum(held) >= 20 and max(held) <= search.FILE_SHARDS
+    items = spark.createDataFrame([(1, "text 7")], "item_id long, text string")
+    assert [r.doc_id for r in search.search(index, items, k=2).orderBy("rank").collect()] == [7, 0]
