@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..session import at as instant
-from ..session import stored
+from ..session import scratch, stored
 from . import queues
 
 # The states a match may go to from each state.
@@ -126,8 +126,8 @@ def _compared(met: DataFrame, left: DataFrame, right: DataFrame, threshold: floa
     return both.filter((F.col("fingerprint") == F.col("theirs_of")) & (t.jaccard(F.col("mine"), F.col("theirs")) >= threshold)).drop("mine", "theirs", "theirs_of")
 
 
-def with_parities(sets: DataFrame) -> DataFrame:
-    """fingerprint, set, words, and parities p0, p1, ...: for each of ``64 * PARITIES`` parts of all hashes, whether a set has an odd number of words there.
+def with_parities(sets: DataFrame, *others: str) -> DataFrame:
+    """fingerprint, set, words, other columns, and parities p0, p1, ...: for each of ``64 * PARITIES`` parts of all hashes, whether a set has an odd number of words there.
 
     Two sets differ in at least as many words as in parities, so most that are not alike are told apart without their words.
     """
@@ -142,15 +142,23 @@ def with_parities(sets: DataFrame) -> DataFrame:
                 place = np.asarray(words.flatten(), np.int64) & (bits - 1)
                 odd = (np.bincount(row * bits + place, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
                 longs = np.packbits(odd, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(longs[:, k]) for k in range(PARITIES))], names=["fingerprint", "set", "words", *parity("p")])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(longs[:, k]) for k in range(PARITIES))], names=names)
 
-    return sets.select("fingerprint", "set", "words").mapInArrow(run, "fingerprint string, set long, words array<long>, " + ", ".join(f"{p} long" for p in parity("p")))
+    told = sets.select("fingerprint", "set", "words", *others)
+    names = [*told.columns, *parity("p")]
+    return told.mapInArrow(run, ", ".join([*(f"{name} {kind}" for name, kind in told.dtypes), *(f"{p} long" for p in parity("p"))]))
 
 
 def parity(name: str) -> list[str]:
     return [f"{name}{k}" for k in range(PARITIES)]
 
 
+def _may_be_alike(threshold: float) -> Column:
+    """Of a pair with n and m words: sets alike enough differ in few words, and so in few parities p and q."""
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(parity("p"), parity("q"), strict=True)), F.lit(0))
+    return _near(threshold) & (differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-6)
+
+
 def alike_sets(left: DataFrame, right: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
     """fingerprint, set, other: different sets of one fingerprint that are alike.  Both: as ``with_parities`` has them; a set once.
 
@@ -167,10 +175,7 @@ def alike_sets(left: DataFrame, right: DataFrame, threshold: float = SAME_TEXT)
 
     a = first(left.join(several, "fingerprint", "left_semi"))
     b = first(right.join(several, "fingerprint", "left_semi")).select("fingerprint", F.col("set").alias("other"), F.col("n").alias("m"), *(F.col(p).alias(q) for p, q in zip(parity("p"), parity("q"), strict=True)), "word")
-    near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(parity("p"), parity("q"), strict=True)), F.lit(0))
-    near = near & (differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-6)
-    met = a.join(b, ["fingerprint", "word"]).filter(near & (F.col("set") != F.col("other"))).select("fingerprint", "set", "other").distinct()
+    met = a.join(b, ["fingerprint", "word"]).filter(_may_be_alike(threshold)).select("fingerprint", "set", "other").distinct()
     mine, theirs = left.select("fingerprint", "set", F.col("words").alias("mine")), right.select("fingerprint", F.col("set").alias("other"), F.col("words").alias("theirs"))
     both = met.join(mine, ["fingerprint", "set"]).join(theirs, ["fingerprint", "other"])
     return both.filter(t.jaccard(F.col("mine"), F.col("theirs")) >= threshold).select("fingerprint", "set", "other")
@@ -181,37 +186,39 @@ def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAM
 
     Both: id, fingerprint, tokens (distinct words).  Words are compared by 64-bit hashes, in the order of these.
     Rows of equal words are one set with its oldest row, so copies are never paired with each other.  Words travel only
-    for sets that are not alone in their fingerprint, and a set is compared with the others from the oldest on, in
-    steps that grow, until one is alike: families of near copies are not compared pair by pair.
+    for fingerprints of several sets.  Where sets meet, parities leave those pairs alone that may be alike, and a set is
+    compared with these from the oldest on, in steps that grow, until one is alike: families of near copies are not compared pair by pair.
     """
     key = ["fingerprint", "set"]
-    # read several times below, so the texts are cut into words once
-    ours = stored(word_sets(candidates))
-    theirs = ours if known is candidates else stored(word_sets(known))
-    age = theirs.groupBy(*key).agg(F.min("id").alias("oldest"))
-    several = ours.select(*key).union(theirs.select(*key)).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
-
-    def worded(rows: DataFrame) -> DataFrame:
-        """A row of each set that is not alone, with the age of the set; other words are left where they are."""
-        leads = rows.groupBy(*key).agg(F.min("id").alias("id")).join(several, "fingerprint", "left_semi").join(age, key, "left")
-        return stored(_short(rows.join(leads, ["id", *key]).dropDuplicates(key).select(*key, "words", "oldest")))
-
-    left = worded(ours)
-    right = left if theirs is ours else worded(theirs)
-    b = _first_words(right, threshold, "oldest").withColumnsRenamed({"set": "other", "n": "m"})
-    a = _first_words(left.withColumnRenamed("oldest", "bound"), threshold, "bound")
-    # only what is older than the set itself can change the outcome
-    met = a.join(b, ["short", "word"]).filter(_near(threshold) & (F.col("bound").isNull() | (F.col("oldest") < F.col("bound")))).select("short", "set", "other", "oldest").distinct()
-    turn = F.row_number().over(Window.partitionBy("short", "set").orderBy("oldest", "other"))
-    rest, alike, below = stored(met.withColumn("turn", turn)), age, 2
-    while rest.limit(1).count():
-        now = _compared(rest.filter(F.col("turn") < below), left, right, threshold)
-        found = stored(now.groupBy("short", *key).agg(F.min("oldest").alias("oldest")))
-        alike = alike.union(found.select(*key, "oldest"))
-        rest, below = stored(rest.filter(F.col("turn") >= below).join(found, ["short", "set"], "left_anti")), 8 * below
+    with scratch(candidates.sparkSession) as keep:
+        with scratch(candidates.sparkSession) as brief:  # words of all rows go before sets meet
+            # read several times below, so the texts are cut into words once
+            ours = brief(word_sets(candidates))
+            theirs = ours if known is candidates else brief(word_sets(known))
+            rows = stored(ours.select("id", *key))
+            age = (rows if theirs is ours else stored(theirs.select("id", *key))).groupBy(*key).agg(F.min("id").alias("oldest")).filter("oldest IS NOT NULL")
+            several = rows.select(*key).union(age.select(*key)).distinct().filter("fingerprint IS NOT NULL").groupBy("fingerprint").count().filter("count > 1")
+            several = brief(_short(several).select("short").distinct())
+
+            def worded(rows: DataFrame) -> DataFrame:
+                """A row of each set that is not alone, with its oldest row; other words are left where they are."""
+                return _short(rows).join(several, "short", "left_semi").groupBy("short", *key).agg(F.min("id").alias("oldest"), F.first("words").alias("words"))
+
+            right = keep(with_parities(worded(theirs).filter("oldest IS NOT NULL"), "short", "oldest"))
+            left = right if theirs is ours else keep(with_parities(worded(ours).drop("oldest").join(age, key, "left"), "short", "oldest"))
+        b = _first_words(right, threshold, "oldest", *parity("p")).withColumnsRenamed({"set": "other", "n": "m"} | dict(zip(parity("p"), parity("q"), strict=True)))
+        a = _first_words(left.withColumnRenamed("oldest", "bound"), threshold, "bound", *parity("p"))
+        # only what is older than the set itself can change the outcome
+        met = a.join(b, ["short", "word"]).filter(_may_be_alike(threshold) & (F.col("bound").isNull() | (F.col("oldest") < F.col("bound")))).select("short", "set", "other", "oldest").distinct()
+        turn = F.row_number().over(Window.partitionBy("short", "set").orderBy("oldest", "other"))
+        rest, alike, below = keep(met.withColumn("turn", turn)), age, 2
+        while rest.limit(1).count():
+            now = _compared(rest.filter(F.col("turn") < below), left, right, threshold)
+            found = stored(now.groupBy("short", *key).agg(F.min("oldest").alias("oldest")))
+            alike = alike.union(found.select(*key, "oldest"))
+            rest, below = keep(rest.filter(F.col("turn") >= below).join(found, ["short", "set"], "left_anti")), 8 * below
     oldest = alike.groupBy(*key).agg(F.min("oldest").alias("duplicate_of"))
-    rows = ours.select(F.col("id").alias("candidate"), *key)
-    return rows.join(oldest, key).filter("duplicate_of < candidate").select("candidate", "duplicate_of")
+    return rows.withColumnRenamed("id", "candidate").join(oldest, key).filter("duplicate_of < candidate").select("candidate", "duplicate_of")
 
 
 def reset_changed(matches: DataFrame, changes: DataFrame) -> DataFrame:
