@@ -36,6 +36,8 @@ DELIVERED = ["alerted", "digested", "skipped", "applying", "applied"]
 SAME_TEXT = 0.92
 #: Longs that hold the parities of a set of words.
 PARITIES = 8
+#: Words that come last where sets meet on their first words.
+COMMON = 256
 
 
 def allowed(source: Column, target: Column) -> Column:
@@ -96,16 +98,30 @@ def upsert_listings(state: DataFrame, incoming: DataFrame, now: dt.datetime) ->
     return upsert(state, cols, ["source", "source_id"], ["url", "title", "summary", "listing_hash", "last_seen_at"])
 
 
+def hashed_words(tokens: Column) -> Column:
+    """Hashes of the distinct words in order; of hashes rather than words, as Spark has faster ways for arrays of longs."""
+    return F.sort_array(F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x))))
+
+
 def word_sets(rows: DataFrame) -> DataFrame:
     """id, fingerprint, words (hashes of the tokens in order), set (what rows of equal words share)."""
-    hashed = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
-    return rows.select("id", "fingerprint", hashed.alias("words")).withColumn("set", F.xxhash64("words", F.size("words")))
+    return rows.select("id", "fingerprint", hashed_words(F.col("tokens")).alias("words")).withColumn("set", F.xxhash64("words", F.size("words")))
+
 
+def common_words(sets: DataFrame) -> list[int]:
+    """The words that most sets hold, ``COMMON`` at most."""
+    counted = sets.select(F.explode("words").alias("word")).groupBy("word").count()
+    return [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(COMMON).collect()]
 
-def _first_words(sets: DataFrame, threshold: float, *others: str) -> DataFrame:
-    """Short rows of the words of a set that any set alike shares one of: as many as may be missing and one more, in the order of words."""
-    n = F.size("words")
-    some = F.slice("words", 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
+
+def _first_words(sets: DataFrame, threshold: float, common: list[int], *others: str) -> DataFrame:
+    """Short rows of the words of a set that any set alike shares one of: as many as may be missing and one more, in the order of words.
+
+    Common words come last in this order, which is one for all sets: few sets that are not alike share a first word then.
+    """
+    n, last = F.size("words"), F.split(F.lit(",".join(map(str, common))), ",").cast("array<bigint>")
+    words = F.concat(F.array_except("words", last), F.array_intersect("words", last)) if common else F.col("words")
+    some = F.slice(words, 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
     return sets.select("short", "set", n.alias("n"), *others, F.explode(F.when(n > 0, some).otherwise(F.array(F.lit(0).cast("long")))).alias("word"))
 
 
@@ -159,32 +175,30 @@ def _may_be_alike(threshold: float) -> Column:
     return _near(threshold) & (differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-6)
 
 
-def alike_sets(left: DataFrame, right: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
+def alike_sets(left: DataFrame, right: DataFrame, threshold: float = SAME_TEXT, common: list[int] | None = None, keep=lambda rows: rows) -> DataFrame:
     """fingerprint, set, other: different sets of one fingerprint that are alike.  Both: as ``with_parities`` has them; a set once.
 
     Two sets that are alike enough share one of their first words, as many as may be missing and one more, so
     sets meet on these words inside a fingerprint, and a common title is no task of all its pairs.  Where they meet, parities
-    leave those pairs alone that may be alike, so that words travel for few others.
+    leave those pairs alone that may be alike, and keep writes these, so that words travel for few others.  common: ``common_words`` of the sets.
     """
-    several = right.select("fingerprint", "set").union(left.select("fingerprint", "set")).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint")
 
     def first(sets: DataFrame) -> DataFrame:
-        n = F.size("words")
-        some = F.slice("words", 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
-        return sets.select("fingerprint", "set", n.alias("n"), *parity("p"), F.explode(F.when(n > 0, some).otherwise(F.array(F.lit(0).cast("long")))).alias("word"))
-
-    a = first(left.join(several, "fingerprint", "left_semi"))
-    b = first(right.join(several, "fingerprint", "left_semi")).select("fingerprint", F.col("set").alias("other"), F.col("n").alias("m"), *(F.col(p).alias(q) for p, q in zip(parity("p"), parity("q"), strict=True)), "word")
-    met = a.join(b, ["fingerprint", "word"]).filter(_may_be_alike(threshold)).select("fingerprint", "set", "other").distinct()
-    mine, theirs = left.select("fingerprint", "set", F.col("words").alias("mine")), right.select("fingerprint", F.col("set").alias("other"), F.col("words").alias("theirs"))
-    both = met.join(mine, ["fingerprint", "set"]).join(theirs, ["fingerprint", "other"])
+        # sets meet on one hash of fingerprint and word; both are compared with the words
+        return _first_words(_short(sets), threshold, common or [], *parity("p")).withColumn("word", F.xxhash64("short", "word"))
+
+    a = first(left)
+    b = first(right).select(F.col("set").alias("other"), F.col("n").alias("m"), *(F.col(p).alias(q) for p, q in zip(parity("p"), parity("q"), strict=True)), "word")
+    met = keep(a.join(b, "word").filter(_may_be_alike(threshold)).select("short", "set", "other").distinct())
+    mine, theirs = _short(left).select("short", "fingerprint", "set", F.col("words").alias("mine")), right.select("fingerprint", F.col("set").alias("other"), F.col("words").alias("theirs"))
+    both = met.join(mine, ["short", "set"]).join(theirs, ["fingerprint", "other"])
     return both.filter(t.jaccard(F.col("mine"), F.col("theirs")) >= threshold).select("fingerprint", "set", "other")
 
 
 def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAME_TEXT) -> DataFrame:
     """The oldest known row of the same fingerprint and nearly the same description.
 
-    Both: id, fingerprint, tokens (distinct words).  Words are compared by 64-bit hashes, in the order of these.
+    Both: id, fingerprint, tokens.  Words are compared by 64-bit hashes, in the order of these.
     Rows of equal words are one set with its oldest row, so copies are never paired with each other.  Words travel only
     for fingerprints of several sets.  Where sets meet, parities leave those pairs alone that may be alike, and a set is
     compared with these from the oldest on, in steps that grow, until one is alike: families of near copies are not compared pair by pair.
@@ -206,8 +220,9 @@ def duplicate_of(candidates: DataFrame, known: DataFrame, threshold: float = SAM
 
             right = keep(with_parities(worded(theirs).filter("oldest IS NOT NULL"), "short", "oldest"))
             left = right if theirs is ours else keep(with_parities(worded(ours).drop("oldest").join(age, key, "left"), "short", "oldest"))
-        b = _first_words(right, threshold, "oldest", *parity("p")).withColumnsRenamed({"set": "other", "n": "m"} | dict(zip(parity("p"), parity("q"), strict=True)))
-        a = _first_words(left.withColumnRenamed("oldest", "bound"), threshold, "bound", *parity("p"))
+        common = common_words(right)
+        b = _first_words(right, threshold, common, "oldest", *parity("p")).withColumnsRenamed({"set": "other", "n": "m"} | dict(zip(parity("p"), parity("q"), strict=True)))
+        a = _first_words(left.withColumnRenamed("oldest", "bound"), threshold, common, "bound", *parity("p"))
         # only what is older than the set itself can change the outcome
         met = a.join(b, ["short", "word"]).filter(_may_be_alike(threshold) & (F.col("bound").isNull() | (F.col("oldest") < F.col("bound")))).select("short", "set", "other", "oldest").distinct()
         turn = F.row_number().over(Window.partitionBy("short", "set").orderBy("oldest", "other"))

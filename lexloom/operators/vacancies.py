@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..session import scratch, stored
 from ..sources import manifest
-from .lifecycle import SAME_TEXT, alike_sets, with_parities
+from .lifecycle import SAME_TEXT, alike_sets, common_words, hashed_words, with_parities
 
 KEY = ["source", "source_id"]
 SET = ["fingerprint", "set"]
@@ -28,7 +28,7 @@ PLACES = 1 << 40
 
 def vacancies(rows: DataFrame, source: Column, source_id: Column, position: Column, fingerprint: Column, tokens: Column, content: Column) -> DataFrame:
     """What a batch tells of a vacancy; position: its place in the batch, from 0, each once."""
-    return rows.select(source.alias("source"), source_id.cast("string").alias("source_id"), position.cast("long").alias("position"), fingerprint.alias("fingerprint"), F.array_distinct(tokens).alias("tokens"), content.alias("content_hash"))
+    return rows.select(source.alias("source"), source_id.cast("string").alias("source_id"), position.cast("long").alias("position"), fingerprint.alias("fingerprint"), tokens.alias("tokens"), content.alias("content_hash"))
 
 
 def _losers(edges: DataFrame, keep) -> DataFrame:
@@ -55,15 +55,17 @@ def decide(rows: DataFrame, known: DataFrame, mine: DataFrame, theirs: DataFrame
     before = keep(known.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi").groupBy(*SET).agg(F.min("id").alias("oldest")))
     several = keep(sets.select(*SET).union(before.select(*SET)).distinct().groupBy("fingerprint").count().filter("count > 1").select("fingerprint"))
     wanted = lambda some: some.join(several, "fingerprint", "left_semi").hint("shuffle_hash")
-    words = keep(with_parities(mine.join(wanted(sets.select(*SET, "place")), "place")))
-    some = before.limit(1).count()
+    # places alone are small enough to go to every task, so that only words of these sets travel
+    places = keep(sets.join(several, "fingerprint", "left_semi").select("place"))
+    words = keep(with_parities(mine.join(places, "place", "left_semi").join(wanted(sets.select(*SET, "place")), "place")))
+    common, some = common_words(words), before.limit(1).count()
     known_words = keep(with_parities(theirs.join(wanted(before.select(*SET, F.col("oldest").alias("id"))), ["fingerprint", "id"]))) if some else words.limit(0)
     age = before.select(*SET, F.col("oldest").alias("to"))
     named = lambda pairs, of: pairs.join(of.withColumnRenamed("set", "other"), ["fingerprint", "other"])
     worded = lambda some: words.join(some.select(*SET), SET, "left_semi")
     leads = sets.select(*SET, "lead")
     equal = leads.select(*SET).join(age, SET)
-    alike = named(alike_sets(words, known_words, threshold), age)
+    alike = named(alike_sets(words, known_words, threshold, common, keep), age)
     fixed = keep(alike.select(*SET, "to").union(equal.select(*SET, "to")).groupBy(*SET).agg(F.min("to").alias("to")))
     free = leads.join(fixed, SET, "left_anti")
     # the first free set of a fingerprint is normalized, and sets like it go with one comparison each
@@ -73,12 +75,12 @@ def decide(rows: DataFrame, known: DataFrame, mine: DataFrame, theirs: DataFrame
     met = named(others.join(said, SET), said.withColumnRenamed("words", "theirs"))
     met = keep(met.select(*SET, "lead", "to", (t.jaccard(F.col("words"), F.col("theirs")) >= threshold).alias("like")))
     rest = met.filter("NOT like").select(*SET, "lead")
-    pairs = named(alike_sets(worded(rest), worded(rest), threshold), rest.withColumnRenamed("lead", "to").select(*SET, "to"))
+    pairs = named(alike_sets(worded(rest), worded(rest), threshold, common, keep), rest.withColumnRenamed("lead", "to").select(*SET, "to"))
     pairs = keep(pairs.join(rest, SET).filter("to < lead").select(*SET, "other"))
     normal = keep(first.select(*SET, "lead").union(rest.join(_losers(pairs, keep), SET, "left_anti").select(*SET, "lead")))
     own = normal.select(*SET, F.col("lead").alias("to"))
     # sets that are like a vacancy from before may be like an earlier one of the batch as well
-    both = named(alike_sets(worded(fixed), worded(normal), threshold), own).select(*SET, "to") if some else own.limit(0)
+    both = named(alike_sets(worded(fixed), worded(normal), threshold, common, keep), own).select(*SET, "to") if some else own.limit(0)
     later = named(pairs, own).select(*SET, "to")
     targets = met.filter("like").select(*SET, "to").union(own).union(both).union(later).groupBy(*SET).agg(F.min("to").alias("inner"))
     out = rows.select("id", *SET).join(fixed.withColumnRenamed("to", "outer"), SET, "left").join(targets, SET, "left")
@@ -107,7 +109,7 @@ def _upsert(batch_rows: DataFrame, kept: str, index: str, batch: int, buckets: i
     same = F.col("n.source").eqNullSafe(F.col("o.source")) & F.col("n.source_id").eqNullSafe(F.col("o.source_id"))
     with scratch(spark) as brief:  # words of the batch go before the index is written
         # words are worked out and written once; rows meet without them
-        told = brief(batch_rows.withColumns({"fingerprint": F.coalesce("fingerprint", F.lit("")), "words": F.array_sort(F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda x: F.xxhash64(x)))}).drop("tokens"))
+        told = brief(batch_rows.withColumns({"fingerprint": F.coalesce("fingerprint", F.lit("")), "words": hashed_words(F.coalesce("tokens", F.array().cast("array<string>")))}).drop("tokens"))
         of_words = F.xxhash64("words", F.size("words")).alias("set")
         old = manifest.near(told.select(*KEY), kept) if manifest.current(kept)[1] else spark.createDataFrame([], fields)
         met = told.select(*KEY, F.col("position").alias("place"), "fingerprint", "content_hash", of_words).alias("n").join(old.alias("o"), same, "left")

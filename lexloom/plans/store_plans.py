@@ -82,6 +82,6 @@ def vacancy_upserts(spark, sf):
             docs = keep(manifest.latest(docs, ["source", "doc_id"], ["text"]))
         for k, said in enumerate([F.col("text"), later_text()]):
             rows = docs.withColumn("said", F.coalesce(said, F.lit("")))
-            told = vacancies.vacancies(rows, F.col("source"), F.col("doc_id"), F.col("doc_id"), t.fingerprint(F.split("said", "\n")[0], F.col("lang")), t.words(F.col("said"), t.PLAIN), F.sha2("said", 256))
+            told = vacancies.vacancies(rows, F.col("source"), F.col("doc_id"), F.col("doc_id"), t.fingerprint(F.substring_index("said", "\n", 1), F.col("lang")), t.words(F.col("said"), t.PLAIN), F.sha2("said", 256))
             vacancies.upsert_batch(told, folder, k)
     return manifest.read(spark, f"{folder}/vacancies").drop("content_hash")

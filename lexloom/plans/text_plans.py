@@ -258,7 +258,7 @@ SELECT candidate, min(known) AS duplicate_of FROM p GROUP BY candidate""",
 )
 def near_duplicate_block(spark, sf):
     docs = table(spark, sf, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), t.fingerprint(F.substring_index("text", "\n", 1), F.col("lang")).alias("fingerprint"), F.array_distinct(t.words(F.col("text"), t.PLAIN)).alias("tokens"))
+    rows = docs.select(F.col("doc_id").alias("id"), t.fingerprint(F.substring_index("text", "\n", 1), F.col("lang")).alias("fingerprint"), t.words(F.col("text"), t.PLAIN).alias("tokens"))
     return lifecycle.duplicate_of(rows, rows)
 
 

@@ -57,3 +57,21 @@ def test_known_rows_apart_from_the_candidates(spark):
     known = spark.createDataFrame([(1, "f", words[:59]), (2, "f", words), (3, "g", words), (None, "f", words[1:])], "id long, fingerprint string, tokens array<string>")
     asked = spark.createDataFrame([(10, "f", words), (11, "f", words[1:]), (12, "h", words), (13, "g", words[:30])], "id long, fingerprint string, tokens array<string>")
     assert {r.candidate: r.duplicate_of for r in lifecycle.duplicate_of(asked, known).collect()} == {10: 1, 11: 1}
+
+
+def test_sets_do_not_meet_on_common_words(spark, monkeypatch):
+    """Texts of one title that share their common words and nothing else: pairs that meet grow with the square of a word's sets."""
+    texts = [[f"common{i}" for i in range(20)] + [f"own{k}-{i}" for i in range(20)] for k in range(60)]
+    texts.append([*texts[5][1:], "new"])
+    rows = spark.createDataFrame([(k, "f", x) for k, x in enumerate(texts)], "id long, fingerprint string, tokens array<string>")
+    monkeypatch.setattr(lifecycle, "COMMON", 20, raising=False)
+    first, most = lifecycle._first_words, []
+
+    def counting(*args):
+        out = first(*args)
+        most.append(out.groupBy("word").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(lifecycle, "_first_words", counting)
+    assert [tuple(r) for r in lifecycle.duplicate_of(rows, rows).collect()] == [(60, 5)]
+    assert most and max(most) <= 2
