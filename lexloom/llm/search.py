@@ -153,7 +153,8 @@ def search(index: Index, items: DataFrame, k: int = K, id_col: str = "item_id",
     many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     told = queries.select(many(tasks).alias("task"), turn.alias("turn"), F.lit(0).alias("later"), F.col("query").alias("id"), "item", F.col("x.term").alias("terms"), F.col("x.w").alias("w"), F.lit(None).cast("array<binary>").alias("packed"))
     dealt = index.shards.select(F.pmod(F.xxhash64("shard"), F.lit(tasks)).cast("int").alias("task"), many(passes).alias("turn"), F.lit(1).alias("later"), F.col("shard").alias("id"), F.lit(None).cast("long").alias("item"), "terms", F.lit(None).cast("array<bigint>").alias("w"), "packed")
-    met = told.unionByName(dealt).repartition(tasks, "task").sortWithinPartitions("task", "turn", "later", "id")
+    # by the number itself, as a hash of it would put the shards of several into one task and leave others idle
+    met = told.unionByName(dealt).repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "turn", "later", "id")
     names = ["query", "item", "doc", "score", "shard", "place"]
 
     def answers(asked: dict) -> Iterator[pa.RecordBatch]:

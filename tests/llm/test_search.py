@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import queries, search
 
@@ -93,3 +94,21 @@ def test_files_hold_few_shards(spark):
     assert sum(held) >= 20 and max(held) <= search.FILE_SHARDS
     items = spark.createDataFrame([(1, "text 7")], "item_id long, text string")
     assert [r.doc_id for r in search.search(index, items, k=2).orderBy("rank").collect()] == [7, 0]
+
+
+def test_shards_are_dealt_by_number(spark, monkeypatch):
+    """As many tasks with rows as were dealt: a hash of their numbers would leave some idle and give others several shares."""
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(50)], "doc_id long, text string")
+    ids, local = [], type(docs).sortWithinPartitions
+
+    def seen(df, *cols, **kw):
+        out = local(df, *cols, **kw)
+        if "packed" in out.columns:
+            ids.extend(r[0] for r in out.select(F.spark_partition_id()).distinct().collect())
+        return out
+
+    index = search.Index(docs, shard_text=40)
+    monkeypatch.setattr(type(docs), "sortWithinPartitions", seen)
+    monkeypatch.setattr(search, "shuffle_partitions", lambda _: 13)
+    search.search(index, spark.createDataFrame([(1, "text 7")], "item_id long, text string"), k=2).collect()
+    assert sorted(ids) == list(range(13))
